@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.session import read_table
+from attestor.session import Workspace, read_table
 
 PIECE_MODEL = "piece_bpe_32k.model"
 
@@ -41,9 +41,73 @@ def op6_sentencepiece_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from attestor.llm import warc
+
+    work = Workspace(spark, "warc")
+    name = F.concat(F.lit("page-"), F.col("page_id"), F.lit(".arc"))
+    archives = warc.arc_archives(read_table(spark, sf_dir, "pages"), name, F.col("url"), F.col("html"), F.when(F.col("page_id") % 2 == 0, 1).otherwise(2))
+    page = F.regexp_extract("archive", "page-(-?[0-9]+)", 1).cast("long")
+    heads = warc.convert_arc(archives, with_payload=False).withColumn("page_id", page)
+    revisits = work.save(warc.first_copies(heads, "page_id"), "revisits")
+    path = work.new_path("archives")
+    warc.write_warc(warc.convert_arc(archives), revisits, path)
+    read = work.save(warc.read_warc(spark, path, with_payload=False).where("warc_type != 'warcinfo'").drop("payload"), "read")
+    pages = read.select(
+        F.regexp_extract("source", "page-(-?[0-9]+)", 1).cast("long").alias("page_id"), "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), "record_id", F.col("refers_to").alias("first_id"),
+    )
+    firsts = pages.select(F.col("record_id").alias("id"), F.col("page_id").alias("refers_to"))
+    met = pages.join(firsts, pages.first_id == firsts.id, "left")
+    return met.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP4_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+d AS (SELECT page_id, octet_length(body)::BIGINT AS payload_bytes, sha256(body) AS payload_digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_page FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_page THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_page THEN first_page END AS refers_to
+FROM f
+"""
+
+
+def op8_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from attestor.llm import chat
+
+    text = F.lit("\\### Assistant: </turn> ok")
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), text.alias("text"))
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.conversation_digests(chat.format_conversations(turns))
+
+
+OP8_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+e AS (SELECT *,
+  (6 + 8 + length(replace(replace(replace(replace(replace(role, '\', '\b'), '###', '\h'), '</turn>', '\t'), ':', '\c'), chr(10), '\n'))
+   + length(replace(replace(replace(text, '\', '\b'), '###', '\h'), '</turn>', '\t')))::BIGINT AS chars FROM c),
+o AS (SELECT *, row_number() OVER w AS ord,
+  coalesce(sum(ceil(chars / 4.0)::BIGINT) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  FROM e WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+s AS (SELECT *, start // 896 AS win FROM o),
+spans AS (SELECT conv_id, win, min(start) AS first_start, lag(win) OVER (PARTITION BY conv_id ORDER BY win) AS prev FROM s GROUP BY conv_id, win),
+sys AS (SELECT conv_id, min(ord) AS ord, min_by(win, ord) AS win, min_by(chars, ord) AS chars FROM s WHERE role = 'system' GROUP BY conv_id),
+kept AS (SELECT p.conv_id, sum(sys.chars) AS chars FROM spans p JOIN sys ON sys.conv_id = p.conv_id AND sys.win < p.win GROUP BY p.conv_id),
+hist AS (SELECT p.conv_id, sum(s.chars) AS chars FROM spans p JOIN s ON s.conv_id = p.conv_id AND s.win = p.prev AND s.start >= p.first_start - 256
+         LEFT JOIN sys ON sys.conv_id = p.conv_id WHERE sys.ord IS NULL OR sys.ord <> s.ord GROUP BY p.conv_id),
+g AS (SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY ord)) AS turns_sha256,
+  coalesce(string_agg(text, '' ORDER BY ord) FILTER (WHERE role = 'assistant'), '') AS loss, sum(chars) AS chars FROM s GROUP BY conv_id)
+SELECT g.conv_id, n_turns, turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256,
+  (g.chars + coalesce(kept.chars, 0) + coalesce(hist.chars, 0))::BIGINT AS formatted_chars
+FROM g LEFT JOIN kept ON kept.conv_id = g.conv_id LEFT JOIN hist ON hist.conv_id = g.conv_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op3_token_counts, op6_sentencepiece_spans)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op3_token_counts, op4_warc_archive, op6_sentencepiece_spans, op8_chat_windows)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_warc_archive": OP4_SQL, "op8_chat_windows": OP8_SQL}
