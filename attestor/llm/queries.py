@@ -19,6 +19,23 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read_table(spark, sf_dir, "documents"))
 
 
+def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from attestor.llm.inner_product import top_k
+
+    return top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+OP2_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.e, v.e)::BIGINT AS score
+      FROM v AS q JOIN v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from attestor.llm.token_count import count_tokens
 
@@ -106,8 +123,8 @@ FROM g LEFT JOIN kept ON kept.conv_id = g.conv_id LEFT JOIN hist ON hist.conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op3_token_counts, op4_warc_archive, op6_sentencepiece_spans, op8_chat_windows)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_exact_top_k, op3_token_counts, op4_warc_archive, op6_sentencepiece_spans, op8_chat_windows)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc_archive": OP4_SQL, "op8_chat_windows": OP8_SQL}
+    return {"op2_exact_top_k": OP2_SQL, "op4_warc_archive": OP4_SQL, "op8_chat_windows": OP8_SQL}
