@@ -44,6 +44,13 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), "n_tokens", "over_limit")
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from attestor.llm.quality import classify
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return classify(docs, read_table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op6_sentencepiece_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from attestor.llm.piece_spans import encode_pieces
 
@@ -123,7 +130,7 @@ FROM g LEFT JOIN kept ON kept.conv_id = g.conv_id LEFT JOIN hist ON hist.conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_exact_top_k, op3_token_counts, op4_warc_archive, op6_sentencepiece_spans, op8_chat_windows)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_exact_top_k, op3_token_counts, op4_warc_archive, op5_quality_classifier, op6_sentencepiece_spans, op8_chat_windows)}
 
 
 def oracle_sql() -> dict[str, str]:
