@@ -129,8 +129,16 @@ FROM g LEFT JOIN kept ON kept.conv_id = g.conv_id LEFT JOIN hist ON hist.conv_id
 """
 
 
+def op9_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from attestor.llm.decontaminate import find_leaks
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_leaks(docs, read_table(spark, sf_dir, "benchmark")).select("doc_id", F.explode("leaks").alias("leak"))
+    return found.select("doc_id", "leak.*")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_exact_top_k, op3_token_counts, op4_warc_archive, op5_quality_classifier, op6_sentencepiece_spans, op8_chat_windows)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_exact_top_k, op3_token_counts, op4_warc_archive, op5_quality_classifier, op6_sentencepiece_spans, op8_chat_windows, op9_benchmark_leaks)}
 
 
 def oracle_sql() -> dict[str, str]:
