@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from attestor.session import Workspace, read_table
 
 PIECE_MODEL = "piece_bpe_32k.model"
+#: Key of the surrogates; a real job takes it from a secret store.
+PII_KEY = "attestor-example-key"
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,8 +139,15 @@ def op9_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "leak.*")
 
 
+def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from attestor.llm.pii import replace_pii
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return replace_pii(docs, PII_KEY).select("doc_id", "text", F.col("n_entities").cast("long").alias("n_entities"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_exact_top_k, op3_token_counts, op4_warc_archive, op5_quality_classifier, op6_sentencepiece_spans, op8_chat_windows, op9_benchmark_leaks)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_exact_top_k, op3_token_counts, op4_warc_archive, op5_quality_classifier, op6_sentencepiece_spans, op8_chat_windows, op9_benchmark_leaks, op10_pii_surrogates)}
 
 
 def oracle_sql() -> dict[str, str]:
