@@ -176,21 +176,23 @@ def find_leaks(
     out = df.drop(out_col)
     parts = []
     for n, index in enumerate(_indexes(benchmark, item_col, item_text_col, pass_bytes)):
-        shared = spark.sparkContext.broadcast(index)
-
-        @F.arrow_udf(LEAK)
-        def search(batches: Iterator[pa.Array], shared=shared) -> Iterator[pa.Array]:
-            for batch in batches:
-                yield pa.array([shared.value.leaks(t) for t in _each(batch)], _ARROW_LEAK)
-
         name = f"__{out_col}_{n}"
-        out = out.withColumn(name, search(F.col(text_col)))
+        out = out.withColumn(name, _search(spark.sparkContext.broadcast(index))(F.col(text_col)))
         parts.append(name)
     if not parts:
         return out.withColumn(out_col, F.array().cast(LEAK.simpleString()))
     return out.withColumn(out_col, F.concat(*parts) if len(parts) > 1 else F.col(parts[0])).drop(*parts)
 
 
+def _search(shared):
+    @F.arrow_udf(LEAK)
+    def search(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([shared.value.leaks(t) for t in _each(batch)], _ARROW_LEAK)
+
+    return search
+
+
 def _each(batch: pa.Array) -> Iterator[str]:
     for text in pc.fill_null(batch, ""):
         yield text.as_py()
