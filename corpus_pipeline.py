@@ -29,10 +29,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one whose doc_id is smallest.
 
-    Shingles have five words. Rows without doc_id can't be told apart and stay; of rows that repeat a doc_id
-    the one with the smallest text stays.
+    Groups are those of the operator's contract: three-word shingles, at most 3 differing bits. Rows without
+    doc_id can't be told apart and stay; of rows that repeat a doc_id the one with the smallest text stays.
     """
-    groups = simhash_components(docs.where("doc_id is not null"), words=5)
+    groups = simhash_components(docs.where("doc_id is not null"))
     kept = groups.where("doc_id = component_id").select("doc_id").distinct()
     whole = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
     one = whole.groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("row"))
