@@ -98,6 +98,12 @@ FROM f
 """
 
 
+def op7_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from attestor.llm.repeats import remove_repeats
+
+    return remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op8_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from attestor.llm import chat
 
@@ -147,7 +153,7 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_exact_top_k, op3_token_counts, op4_warc_archive, op5_quality_classifier, op6_sentencepiece_spans, op8_chat_windows, op9_benchmark_leaks, op10_pii_surrogates)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_exact_top_k, op3_token_counts, op4_warc_archive, op5_quality_classifier, op6_sentencepiece_spans, op7_repeated_strings, op8_chat_windows, op9_benchmark_leaks, op10_pii_surrogates)}
 
 
 def oracle_sql() -> dict[str, str]:
