@@ -1 +1,6 @@
+"""The catalogue of queries."""
 
+from attestor.plans import documents  # noqa: F401
+from attestor.plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
