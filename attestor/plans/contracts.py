@@ -393,7 +393,7 @@ def replay_deltas(t):
     return compare.metric_deltas(sql("SELECT * FROM VALUES ('precision', 0.5D), ('recall', 0.75D), ('gone', 0.1D) AS v(metric, value)"), sql("SELECT * FROM VALUES ('precision', 0.75D), ('recall', 0.5D) AS v(metric, value)"))
 
 
-@query("WITH l AS (SELECT DISTINCT l_returnflag AS code, l_partkey AS at FROM lineitem WHERE l_linenumber = 1), c AS (SELECT DISTINCT l_returnflag AS code, l_partkey AS at FROM lineitem WHERE l_linenumber = 2) SELECT coalesce(l.code, c.code) AS code, CASE WHEN c.code IS NULL THEN 'left' ELSE 'right' END AS side, count(*) AS n FROM l FULL JOIN c ON l.code = c.code AND l.place = c.place WHERE l.code IS NULL OR c.code IS NULL GROUP BY ALL")
+@query("WITH l AS (SELECT DISTINCT l_returnflag AS code, l_partkey AS place FROM lineitem WHERE l_linenumber = 1), c AS (SELECT DISTINCT l_returnflag AS code, l_partkey AS place FROM lineitem WHERE l_linenumber = 2) SELECT coalesce(l.code, c.code) AS code, CASE WHEN c.code IS NULL THEN 'left' ELSE 'right' END AS side, count(*) AS n FROM l FULL JOIN c ON l.code = c.code AND l.place = c.place WHERE l.code IS NULL OR c.code IS NULL GROUP BY ALL")
 def shadow_comparison(t):
     rows = t.lineitem.select(F.col("l_returnflag").alias("code"), F.col("l_partkey").alias("place"), "l_linenumber")
     return compare.shadow_comparison(rows.where("l_linenumber = 1"), rows.where("l_linenumber = 2"), ["code", "place"])
