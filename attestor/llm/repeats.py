@@ -190,12 +190,13 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     each = F.explode(F.arrays_zip("pos", "hash", "ctx")).alias("x")
     places = texts.select("cid", "n", each).select("cid", "n", "x.pos", "x.hash", "x.ctx")
-    often = places.groupBy(F.col("hash").alias("h")).agg(F.sum("n").alias("s")).where("s > 1").select("h")
+    often = work.save(places.groupBy(F.col("hash").alias("h")).agg(F.sum("n").alias("s")).where("s > 1").select("h"), "often")  # written, so that the join can split a hot anchor
     shared = work.save(places.join(often, places.hash == often.h).select("cid", "n", "pos", "hash", "ctx"), "shared")
     _release(spark)
 
     kinds = work.save(shared.groupBy("hash", "ctx").agg(F.sum("n").alias("c"), F.min(F.struct("cid", "pos")).alias("who")), "contexts")
     mixed = kinds.groupBy(F.col("hash").alias("h")).agg(F.count("*").alias("u"), F.min("c").alias("least")).where("u > 1 and least = 1").select("h")
+    mixed = work.save(mixed, "mixed")
     wanted = kinds.join(mixed, kinds.hash == mixed.h).select("who.cid", F.struct("who.pos", "hash", "c").alias("w"))
     wanted = wanted.groupBy("cid").agg(F.collect_list("w").alias("wanted"))
     lone = shared.where("n = 1").select("cid").distinct()
