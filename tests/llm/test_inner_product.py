@@ -14,7 +14,8 @@ def brute(rows, k, every):
     for q, a in ok:
         if q % every:
             continue
-        scored = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in ok if i != q)
+        scores = ((max(-(2**63), min(2**63 - 1, sum(x * y for x, y in zip(a, b)))), i) for i, b in ok if i != q)  # a score is a long
+        scored = sorted((-s, i) for s, i in scores)
         out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:k])]
     return sorted(out)
 
@@ -44,5 +45,7 @@ def test_query_blocks_agree(spark):
 def test_few_rows_large_values_and_none(spark):
     rows = [(0, [1e9, -1e9]), (1, [1e9, 1e9]), (2, [3e8, 0.1])]
     assert run(spark, rows) == brute(rows, 5, 10)
+    exact = [(0, [1e6, -1e6]), (1, [1e6, 1e6 + 1]), (2, [-1e6, 1e6]), (3, [1e6, 1e6 + 2])]  # beyond 2**53, within a long
+    assert run(spark, exact) == brute(exact, 5, 10) and abs(run(spark, exact)[0][3]) < 2**62
     assert run(spark, [(0, [1.0])]) == []
     assert run(spark, []) == []
