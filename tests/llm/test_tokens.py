@@ -60,7 +60,7 @@ def test_pieces_spans_and_decoding(docs, texts):
         for piece, end in zip(r.piece_ids, r.piece_ends):
             surface = lib.id_to_piece(piece).replace("▁", " ")
             if not lib.is_byte(piece) and start:  # the first may hold the dummy prefix
-                assert data[start:end] == surface.encode()
+                assert data[start:end].replace("▁".encode(), b" ") == surface.encode()  # a text may hold the mark itself
             start = end
         assert r.source == "s"
 
