@@ -17,7 +17,7 @@ from attestor.llm.pii import replace_pii
 from attestor.llm.piece_spans import encode_pieces
 from attestor.llm.quality import classify
 from attestor.llm.queries import PIECE_MODEL, PII_KEY
-from attestor.llm.simhash import simhash_components
+from attestor.llm.wide_simhash import similar_components
 from attestor.session import Workspace, read_table
 
 
@@ -29,10 +29,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one whose doc_id is smallest.
 
-    Groups are those of the operator's contract: three-word shingles, at most 3 differing bits. Rows without
-    doc_id can't be told apart and stay; of rows that repeat a doc_id the one with the smallest text stays.
+    Near-duplicates have sets of five-word shingles with a Jaccard similarity of 0.8 or more, found by wide SimHash
+    fingerprints and verified on the texts. Rows without doc_id can't be told apart and stay; of rows that
+    repeat a doc_id the one with the smallest text stays.
     """
-    groups = simhash_components(docs.where("doc_id is not null"))
+    groups = similar_components(docs.where("doc_id is not null"))
     kept = groups.where("doc_id = component_id").select("doc_id").distinct()
     whole = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
     one = whole.groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("row"))
