@@ -79,3 +79,36 @@ def test_odd_rows(spark, docs, texts, no_docs):
     assert by[24] == by[25] == by[26] == {24} and by[27] == {27} and by[28] == {28} and by[34] == {34} and by[29] == {29}
     assert similar_components(no_docs).collect() == []
     assert len(shingle_hashes("a b c d e f", 5)) == 2
+
+
+def bridged_families(n, copies=40):
+    """Families of A, B and copies C: A and B at exactly 0.8, every C at 0.782 to both and at 0.88 to the others (450 shingles, of which a changed word takes five)."""
+    out = []
+    for seed in range(n):
+        r = random.Random(7000 + seed)
+        a = [f"w{r.getrandbits(40)}" for _ in range(454)]
+        at = [10 + 25 * k for k in r.sample(range(17), 16)]
+        b = list(a)
+        for k in at[:10]:
+            b[k] = f"b{r.getrandbits(40)}"
+        family = [a, b]
+        for _ in range(copies):
+            c = list(a)
+            for k in at[:5]:
+                c[k] = b[k]
+            for k in at[10:]:
+                c[k] = f"c{r.getrandbits(40)}"
+            family.append(c)
+        out.append([" ".join(x) for x in family])
+    return out
+
+
+def test_a_link_is_found_where_nearer_edges_fail(spark):
+    families = bridged_families(10)
+    rows = [(100 * n + k, text) for n, family in enumerate(families) for k, text in enumerate(family)]
+    got = {r.doc_id: r.component_id for r in similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for n, family in enumerate(families):
+        sets = [plain_shingles(t) for t in family]
+        assert jaccard(sets[0], sets[1]) == 0.8 > max(jaccard(x, c) for x in sets[:2] for c in sets[2:])
+        assert all(got[100 * n + k] >= 100 * n + 2 for k in range(2, len(family)))
+    assert sum(got[100 * n + 1] == 100 * n for n in range(len(families))) == len(families)
