@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from attestor.functions.json_text import pointer_escape
+from attestor.session import Workspace
 
 
 def claim_paths(fields: dict[str, Column], lists: dict[str, tuple[Column, str, list[str]]] | None = None) -> Column:
@@ -80,23 +81,30 @@ def uncovered_paths(required: DataFrame, supported: DataFrame) -> DataFrame:
     return required.join(supported, ["identity", "path"], "left_anti")
 
 
-def parent_cycles(fragments: DataFrame, max_depth: int = 64) -> DataFrame:
-    """(id, violation) of fragments (id, parent): a parent that is not there, or a chain that comes back to its start.
+def parent_cycles(fragments: DataFrame) -> DataFrame:
+    """(id, violation, on_cycle) of fragments (id, parent): a parent that is not there, or a chain that never ends.
 
-    A recursive query that stops at ``max_depth`` steps.
+    Every fragment whose chain enters a cycle counts; ``on_cycle`` tells those that lie on it. Ids are unique. Pointers
+    are doubled over written tables until no chain ends and no ancestor drops out: logarithmic rounds, no limit of depth.
     """
-    spark = fragments.sparkSession
-    base = fragments.select("id", "parent")
-    lost = base.where("parent is not null").join(base.select(F.col("id").alias("parent")), "parent", "left_anti").select("id", F.lit("PARENT_MISSING").alias("violation"))
-    view = f"__chain_{id(fragments)}"
-    base.where("parent is not null").createOrReplaceTempView(view)
-    walk = spark.sql(f"""
-        WITH RECURSIVE up(start, at, depth) AS (
-          SELECT id, parent, 1 FROM {view}
-          UNION ALL
-          SELECT u.start, c.parent, u.depth + 1 FROM up u JOIN {view} c ON c.id = u.at WHERE u.at <> u.start AND u.depth < {max_depth})
-        SELECT DISTINCT start AS id, 'PARENT_CYCLE' AS violation FROM up WHERE at = start""")
-    return lost.unionByName(walk)
+    work = Workspace(fragments.sparkSession, "parents")
+    base = work.save(fragments.select("id", "parent"), "base")
+    ids = base.select(F.col("id").alias("parent"))
+    lost = base.where("parent is not null").join(ids, "parent", "left_anti").select("id", F.lit("PARENT_MISSING").alias("violation"), F.lit(False).alias("on_cycle"))
+    live = work.save(base.join(ids, "parent", "left_semi").select("id", F.col("parent").alias("at")), "live")
+    state = None
+    while True:
+        seen = live.agg(F.count("*"), F.count_distinct("at")).first()
+        if seen == state:
+            break
+        state = seen
+        up = live.select(F.col("id").alias("at"), F.col("at").alias("next"))
+        farther = work.save(live.join(up, "at").select("id", F.col("next").alias("at")), "live")
+        work.drop(live)
+        live = farther
+    ring = live.select(F.col("at").alias("id")).distinct().withColumn("on_cycle", F.lit(True))
+    endless = live.select("id").join(ring, "id", "left").select("id", F.lit("PARENT_CYCLE").alias("violation"), F.coalesce("on_cycle", F.lit(False)).alias("on_cycle"))
+    return lost.unionByName(endless)
 
 
 def supersession(amendments: DataFrame, now: Column, target: Column | None = None) -> DataFrame:

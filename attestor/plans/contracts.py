@@ -220,7 +220,20 @@ up(first, cur, depth) AS (SELECT id, parent, 1 FROM f WHERE parent IS NOT NULL U
 SELECT DISTINCT first AS id, 'PARENT_CYCLE' AS violation FROM up WHERE cur = first UNION ALL SELECT id, 'PARENT_MISSING' FROM f WHERE parent NOT IN (SELECT id FROM f)""")
 def parent_cycle_check(t):
     parent = F.expr("CASE WHEN n_nationkey % 6 = 5 THEN n_nationkey - 2 WHEN n_nationkey = 0 THEN NULL WHEN n_nationkey = 8 THEN 99 ELSE (n_nationkey + 1) % 12 END")
-    return claims.parent_cycles(t.nation.select(F.col("n_nationkey").alias("id"), parent.alias("parent")))
+    found = claims.parent_cycles(t.nation.select(F.col("n_nationkey").alias("id"), parent.alias("parent")))
+    return found.where("violation != 'PARENT_CYCLE' or on_cycle").select("id", "violation")
+
+
+#: Of each thousand orders: a ring of 100, a chain of 100 that hangs on it, chains of 50 to a root, and lost parents.
+PARENT = "CASE WHEN o_orderkey % 1000 < 100 THEN o_orderkey - o_orderkey % 1000 + (o_orderkey % 1000 + 1) % 100 WHEN o_orderkey % 1000 = 777 THEN -1 WHEN o_orderkey % 1000 < 200 OR o_orderkey % 50 <> 0 THEN o_orderkey - 1 END"
+
+
+@query(f"""WITH RECURSIVE f AS (SELECT o_orderkey AS id, {PARENT} AS parent FROM orders),
+ends(id) AS (SELECT id FROM f WHERE parent IS NULL OR parent NOT IN (SELECT id FROM f) UNION ALL SELECT f.id FROM f JOIN ends e ON f.parent = e.id)
+SELECT id, 'PARENT_CYCLE' AS violation, id % 1000 < 100 AS on_cycle FROM f WHERE id NOT IN (SELECT id FROM ends) UNION ALL SELECT id, 'PARENT_MISSING', false FROM f WHERE parent NOT IN (SELECT id FROM f)""")
+def parent_chains(t):
+    """All fragments whose chain of parents enters a cycle, also those that only hang on it."""
+    return claims.parent_cycles(t.orders.select(F.col("o_orderkey").alias("id"), F.expr(PARENT).alias("parent")))
 
 
 @query("""WITH a AS (SELECT o_orderkey AS id, o_orderdate AS approved, CASE WHEN o_orderstatus = 'F' THEN o_orderdate + INTERVAL 90 DAY END AS expires, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS sup FROM orders),
