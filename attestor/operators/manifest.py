@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from attestor.session import Workspace
+
 #: File endings and the format each stands for.
 FORMATS = {"pdf": "pdf", "md": "markdown", "markdown": "markdown", "docx": "word", "doc": "word_legacy", "xlsx": "spreadsheet", "xls": "spreadsheet", "txt": "plain_text", "csv": "csv", "json": "openapi_json", "yaml": "openapi_yaml", "yml": "openapi_yaml", "html": "html", "htm": "html"}
 #: Formats that are recognised but can't be read.
@@ -99,10 +101,20 @@ def rollup_status(rows: DataFrame, keys: list[str], status: str = "status") -> D
     return rows.rollup(*keys).agg(F.count("*").alias("n"), F.count_if(F.col(status) == "pending").alias("n_pending"), F.count_if(F.col(status) == "duplicate").alias("n_duplicate"))
 
 
+def row_numbers(rows: DataFrame, order: list[str], out: str) -> DataFrame:
+    """Number rows from 1 in order: ranges of the order are written, and each adds the counts of the ranges before it."""
+    work = Workspace(rows.sparkSession, "numbers")
+    ranges = work.save(rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
+    counts = ranges.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = counts.select(F.col("__range"), (F.sum("__n").over(W.orderBy("__range")) - F.col("__n")).alias("__before"))
+    own = F.row_number().over(W.partitionBy("__range").orderBy(*order))
+    return ranges.withColumn("__own", own).join(F.broadcast(before), "__range").select(*rows.columns, (F.col("__own") + F.col("__before")).alias(out))
+
+
 def sequential_ids(rows: DataFrame, prefix: str, order: list[str], width: int = 3, out: str = "id", within: list[str] | None = None) -> DataFrame:
-    """Ids ``prefix`` 001, 002 … in order inside each group."""
-    n = F.row_number().over(W.partitionBy(*(within or [F.lit(0)])).orderBy(*order))
-    return rows.withColumn(out, F.concat(F.lit(prefix), F.lpad(n.cast("string"), width, "0")))
+    """Ids ``prefix`` 001, 002 … in order inside each group; longer numbers keep all their digits."""
+    numbered = rows.withColumn("__id", F.row_number().over(W.partitionBy(*within).orderBy(*order))) if within else row_numbers(rows, order, "__id")
+    return numbered.withColumn(out, F.concat(F.lit(prefix), F.format_string(f"%0{width}d", "__id"))).drop("__id")
 
 
 def occurrence_keys(rows: DataFrame, key: str, order: str, out: str = "key") -> DataFrame:

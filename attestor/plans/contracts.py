@@ -295,6 +295,12 @@ def sequential_numbering(t):
     return sequential_ids(t.supplier.where("s_suppkey < 900").select("s_suppkey", "s_nationkey"), "SQ-", ["s_nationkey", "s_suppkey"]).select("s_suppkey", "id")
 
 
+@query("SELECT o_orderkey, printf('SQ-%03d', row_number() OVER (ORDER BY o_orderpriority, o_orderkey)) AS id FROM orders")
+def sequential_numbering_whole(t):
+    """All orders, of which there are more than three digits can number."""
+    return sequential_ids(t.orders.select("o_orderkey", "o_orderpriority"), "SQ-", ["o_orderpriority", "o_orderkey"]).select("o_orderkey", "id")
+
+
 @query("SELECT s_suppkey, CASE WHEN r > 1 THEN n || '#' || r ELSE n END AS key FROM (SELECT s_suppkey, 'n' || s_nationkey AS n, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS r FROM supplier)")
 def occurrence_suffix(t):
     rows = t.supplier.select("s_suppkey", F.concat(F.lit("n"), "s_nationkey").alias("n"))
