@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from attestor.functions import text
+from attestor.operators.manifest import row_numbers
 
 HEADING = r"^\s{0,3}(#{1,6})\s+(.*?)\s*#*\s*$"
 FENCE = r"^\s{0,3}(`{3,}|~{3,})(.*)$"
@@ -102,8 +103,12 @@ def error_code_floor(facts: DataFrame) -> DataFrame:
     return facts.groupBy("code").agg(F.count("*").alias("n_facts"), F.count_distinct("source").alias("n_sources"), F.min("ord").alias("first_ord"))
 
 
-def scaffold(drafts: DataFrame) -> DataFrame:
-    """Draft endpoints as numbered extraction files, each identity once in order."""
-    first = drafts.groupBy("method", "path").agg(F.min(F.struct("source", "line")).alias("at"))
-    n = F.row_number().over(W.orderBy("at.source", "at.line", "method", "path"))
-    return first.withColumn("file", F.concat(F.lit("ep"), F.lpad(n.cast("string"), 2, "0"), F.lit(".json"))).select("file", "method", "path", "at.source", "at.line")
+def first_drafts(drafts: DataFrame) -> DataFrame:
+    """The first draft of each method and path."""
+    return drafts.groupBy("method", "path").agg(F.min(F.struct("source", "line")).alias("at")).select("at.source", "at.line", "method", "path")
+
+
+def scaffold(drafts: DataFrame, start: int = 0) -> DataFrame:
+    """Every draft endpoint as an extraction file, numbered in order of source, line, method and path."""
+    numbered = row_numbers(drafts.select("source", "line", "method", "path"), ["source", "line", "method", "path"], "n")
+    return numbered.select(F.format_string("ep%02d.json", F.col("n") - 1 + start).alias("file"), "method", "path", "source", "line")

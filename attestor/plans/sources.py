@@ -54,7 +54,16 @@ def markdown_drafts(t):
 
 @query("SELECT 'ep01.json' AS file, 'GET' AS method, '/orders/{id}' AS path, min(source || '.md') AS source, 2 AS line FROM documents")
 def extraction_scaffold(t):
-    return facts.scaffold(facts.draft_endpoints(_guides(t), "path", "text"))
+    return facts.scaffold(facts.first_drafts(facts.draft_endpoints(_guides(t), "path", "text")), 1)
+
+
+@query(r"""WITH d AS (SELECT doc_id AS source, string_split(text || chr(10) || 'get /documents/' || doc_id || chr(10) || 'POST `/documents`', chr(10)) AS ls FROM documents), l AS (SELECT source, ls, unnest(range(1, len(ls) + 1))::INT AS line FROM d),
+m AS (SELECT source, line, regexp_extract(ls[line], '(?i)\b(GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)\s+`?(/[A-Za-z0-9_{}./:-]*)', ['method', 'path']) AS e FROM l WHERE regexp_matches(ls[line], '(?i)\b(GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)\s+`?(/[A-Za-z0-9_{}./:-]*)'))
+SELECT printf('ep%02d.json', row_number() OVER (ORDER BY source, line, upper(e.method), e.path) - 1) AS file, upper(e.method) AS method, e.path AS path, source, line FROM m""")
+def extraction_scaffold_whole(t):
+    """Every draft of every document, each of which gets two lines that name endpoints."""
+    text = F.concat("text", F.lit("\nget /documents/"), "doc_id", F.lit("\nPOST `/documents`"))
+    return facts.scaffold(facts.draft_endpoints(t.documents.select("doc_id", text.alias("text")), "doc_id", "text"))
 
 
 @query("SELECT 'GET' AS method, '/orders/{id}' AS path, count(DISTINCT source) AS units, 1::BIGINT AS n_fences, 'expand,id' AS parameters FROM documents UNION ALL SELECT 'POST', '/pay', count(DISTINCT source), 0, 'amount' FROM documents")
