@@ -94,7 +94,13 @@ b AS (SELECT * FROM f WHERE severity = 'blocker' ORDER BY source, doc_id LIMIT 9
 SELECT * FROM (SELECT * FROM b UNION ALL SELECT * FROM w) ORDER BY source, doc_id LIMIT 99""")
 def risk_capped_findings(t):
     rows = t.labels.where("quality = 0 or toxic = 1").join(t.documents.select("doc_id", "source"), "doc_id")
-    return risk.capped(rows.select("doc_id", "source", F.when(F.col("quality") == 0, "blocker").otherwise("warning").alias("severity")), ["source", "doc_id"], 99, 20)
+    return risk.first_findings(rows.select("doc_id", "source", F.when(F.col("quality") == 0, "blocker").otherwise("warning").alias("severity")), ["source", "doc_id"], 99, 20)
+
+
+@query()
+def risk_capped_report(t):
+    """Findings of the rule pack over all documents under its documented caps, with what was cut."""
+    return risk.capped(risk.findings(t.documents, "text", ["doc_id"]), ["doc_id", "offset", "rule_id", "rule_index"])
 
 
 @query("SELECT page_id, regexp_replace(regexp_replace(url, '#.*$', ''), '/+$', '') AS url FROM pages")
