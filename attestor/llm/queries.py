@@ -68,20 +68,25 @@ def op6_sentencepiece_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row of ``pages`` is one record, archived and read back; rows that repeat are records of their own.
+
+    The page_id travels as a line of the HTTP header (left out if null; null ids come last, and a revisit of such a page
+    refers to null). Of rows that repeat an id and payload one is the response, the others revisit it.
+    """
     from attestor.llm import warc
 
     work = Workspace(spark, "warc")
-    name = F.concat(F.lit("page-"), F.col("page_id"), F.lit(".arc"))
-    archives = warc.arc_archives(read_table(spark, sf_dir, "pages"), name, F.col("url"), F.col("html"), F.when(F.col("page_id") % 2 == 0, 1).otherwise(2))
-    page = F.regexp_extract("archive", "page-(-?[0-9]+)", 1).cast("long")
-    heads = warc.convert_arc(archives, with_payload=False).withColumn("page_id", page)
+    key = "X-Page-Id"
+    built = warc.arc_archives(read_table(spark, sf_dir, "pages"), F.col("url"), F.col("html"), F.when(F.col("page_id") % 2 == 0, 1).otherwise(2), {key: F.col("page_id")})
+    archives = work.save(built, "arc")
+    page = F.regexp_extract(F.col("head").cast("string"), rf"\r\n{key}: (-?[0-9]+)\r\n", 1)
+    heads = warc.convert_arc(archives, with_payload=False).withColumn("page_id", page.try_cast("long"))
     revisits = work.save(warc.first_copies(heads, "page_id"), "revisits")
     path = work.new_path("archives")
     warc.write_warc(warc.convert_arc(archives), revisits, path)
     read = work.save(warc.read_warc(spark, path, with_payload=False).where("warc_type != 'warcinfo'").drop("payload"), "read")
-    pages = read.select(
-        F.regexp_extract("source", "page-(-?[0-9]+)", 1).cast("long").alias("page_id"), "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), "record_id", F.col("refers_to").alias("first_id"),
-    )
+    found = F.regexp_extract(F.concat("head", F.lit("\r\n")), rf"\r\n{key}: (-?[0-9]+)\r\n", 1).try_cast("long")
+    pages = read.select(found.alias("page_id"), "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), "record_id", F.col("refers_to").alias("first_id"))
     firsts = pages.select(F.col("record_id").alias("id"), F.col("page_id").alias("refers_to"))
     met = pages.join(firsts, pages.first_id == firsts.id, "left")
     return met.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -1,4 +1,4 @@
-"""Legacy ARC archives converted to WARC, written with Spark's text writer and read back."""
+"""Legacy ARC archives converted to WARC, written and streamed back by Spark's text source."""
 
 from __future__ import annotations
 
@@ -6,24 +6,30 @@ import base64
 import gzip
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CRLF = "\r\n"
 END = CRLF + CRLF
 MIN_DEDUP_BYTES = 100
+#: Bytes after which an archive is closed; a larger page has an archive of its own.
+ARCHIVE_BYTES = 4 << 20
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Header fields of an ARC record by version of the format.
 ARC_FIELDS = {
     "1": ["url", "ip", "date", "type", "length"],
     "2": ["url", "ip", "date", "type", "status", "checksum", "location", "offset", "filename", "length"],
 }
+#: The titles of those fields in a version block.
+ARC_TITLES = {"url": "URL", "ip": "IP-address", "date": "Archive-date", "type": "Content-type", "status": "Result-code", "checksum": "Checksum", "location": "Location", "offset": "Offset", "filename": "Filename", "length": "Archive-length"}
 RECORD = "archive string, offset long, record_id string, warc_type string, target_uri string, warc_date string, ip string, content_type string, head binary, payload binary, payload_bytes long, payload_digest string, block_digest string"
-READ = "file string, offset long, record_id string, warc_type string, target_uri string, warc_date string, source string, refers_to string, payload_bytes long, payload_digest string, payload binary"
+READ = "file string, offset long, record_id string, warc_type string, target_uri string, warc_date string, source string, refers_to string, head string, payload_bytes long, payload_digest string, payload binary"
 
 
 def _inflate(content: bytes) -> bytes:
@@ -138,22 +144,47 @@ def convert_arc(archives: DataFrame, with_payload: bool = True) -> DataFrame:
     return archives.select("archive", "content").mapInArrow(run, RECORD)
 
 
-def arc_archives(df: DataFrame, name, url, body, version, date: str = "20240101000000") -> DataFrame:
-    """An ARC archive (``archive``, ``content``) for each row, with its version block and one HTTP response.
+def arc_archives(df: DataFrame, url: Column, body: Column, version: Column, headers: dict[str, Column] | None = None, date: str = "20240101000000", label: str = "pages", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """ARC archives (``archive``, ``content``) that hold every row of ``df`` as an HTTP response.
 
-    ``name``, ``url``, ``body`` (string columns) and ``version`` (1 or 2); null urls become ``urn:none``, white
-    space in them is percent-encoded, a null body is empty.
+    ``url``, ``body`` (string columns) and ``version`` (1 or 2). Each partition fills an archive of either version
+    until ``archive_bytes``, and opens the next; names count partitions and archives, so they are unique, and every
+    row has a record of its own whatever it repeats. ``headers`` become HTTP header lines (null: none). Null
+    urls become ``urn:none``, white space in them is percent-encoded, a null body is empty, a null version is 2.
     """
     spaces = F.regexp_replace(F.coalesce(url, F.lit("urn:none")), r"\s", "%20")
     text = F.coalesce(body, F.lit(""))
-    http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=UTF-8{CRLF}Content-Length: "), F.octet_length(text), F.lit(END), text)
-    one = "1 0 attestor\nURL IP-address Archive-date Content-type Archive-length\n"
-    two = "2 0 attestor\nURL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length\n"
-    size = F.octet_length(http).cast("string")
-    first = F.concat(F.lit("filedesc://"), name, F.lit(f" 0.0.0.0 {date} text/plain {len(one)}\n{one}\n"), spaces, F.lit(f" 0.0.0.0 {date} text/html "), size)
-    second = F.concat(F.lit("filedesc://"), name, F.lit(f" 0.0.0.0 {date} text/plain 200 - - 0 "), name, F.lit(f" {len(two)}\n{two}\n"), spaces, F.lit(f" 0.0.0.0 {date} text/html 200 - - 0 "), name, F.lit(" "), size)
-    content = F.concat(F.when(version == 1, first).otherwise(second), F.lit("\n"), http, F.lit("\n"))
-    return df.select(name.alias("archive"), content.cast("binary").alias("content"))
+    more = [F.coalesce(F.concat(F.lit(f"{k}: "), v.cast("string"), F.lit(CRLF)), F.lit("")) for k, v in (headers or {}).items()]
+    http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=UTF-8{CRLF}"), *more, F.lit("Content-Length: "), F.octet_length(text), F.lit(END), text)
+    rows = df.select(F.coalesce(version.cast("int"), F.lit(2)).alias("version"), spaces.alias("url"), http.cast("binary").alias("block"))
+
+    def head(name: str, kind: int) -> bytes:
+        block = f"{kind} 0 attestor\n{' '.join(ARC_TITLES[f] for f in ARC_FIELDS[str(kind)])}\n"
+        extra = "" if kind == 1 else f"200 - - 0 {name} "
+        return f"filedesc://{name} 0.0.0.0 {date} text/plain {extra}{len(block)}\n{block}\n".encode()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, made, names, parts, sizes = TaskContext.get().partitionId(), {1: 0, 2: 0}, {}, {}, {}
+
+        def close(kind: int) -> pa.RecordBatch:
+            made[kind] += 1
+            return pa.RecordBatch.from_arrays([pa.array([names.pop(kind)]), pa.array([b"".join(parts.pop(kind))], pa.binary())], ["archive", "content"])
+
+        for batch in batches:
+            for kind, address, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if kind not in names:
+                    names[kind] = f"{label}-{task:06d}-{made[kind]:06d}-v{kind}.arc"
+                    parts[kind], sizes[kind] = [head(names[kind], kind)], 0
+                data = block.as_py()
+                extra = "" if kind == 1 else f"200 - - 0 {names[kind]} "
+                parts[kind] += [f"{address} 0.0.0.0 {date} text/html {extra}{len(data)}\n".encode(), data, b"\n"]
+                sizes[kind] += len(data)
+                if sizes[kind] >= archive_bytes:
+                    yield close(kind)
+        for kind in list(names):
+            yield close(kind)
+
+    return rows.mapInArrow(run, "archive string, content binary")
 
 
 def first_copies(records: DataFrame, order: str, least: int = MIN_DEDUP_BYTES) -> DataFrame:
@@ -172,7 +203,8 @@ def write_warc(records: DataFrame, revisits: DataFrame, path: str, records_per_f
     """Write ``records`` as compressed WARC files under ``path``; those in ``revisits`` carry headers only.
 
     Spark's text writer with a line separator of two CRLF, which is what ends a WARC record, so the files
-    are committed like any table on any file system.
+    are committed like any table on any file system. A file holds at most ``records_per_file`` records and
+    never more than one task writes; readers stream it.
     """
     links = revisits.select(F.col("record_id").alias("copy_id"), "first_id")
     full = records.join(links, records.record_id == links.copy_id, "left")
@@ -202,37 +234,57 @@ def write_warc(records: DataFrame, revisits: DataFrame, path: str, records_per_f
     wide.select(text.alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
 
 
-def parse_warc(content: bytes) -> Iterator[dict]:
-    """Records of a WARC file, plain or compressed: ``headers`` (lower-case names), ``offset`` and ``block``."""
-    data, at = _inflate(content), 0
-    while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        if not data.startswith(b"WARC/", at) or end < 0:
-            raise ValueError(f"no WARC record at {at}")
-        lines = data[at:end].decode("utf-8", "replace").split(CRLF)
-        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        size = int(headers["content-length"])
-        block = data[end + 4 : end + 4 + size]
-        if len(block) != size or data[end + 4 + size : end + 8 + size] != b"\r\n\r\n":
-            raise ValueError(f"record at {at} does not end where it declares")
-        yield {"headers": headers, "offset": at, "block": block}
-        at = end + 8 + size
+def parse_warc(chunks: Iterable[bytes]) -> Iterator[dict]:
+    """Records of a WARC file read chunk by chunk: ``headers`` (lower-case names), ``offset`` and ``block``.
+
+    One record is held at a time, whatever the size of the file. A record that does not end where it declares raises.
+    """
+    held, size, need, at = [], 0, 0, 0
+    for chunk in chunks:
+        held.append(chunk)
+        size += len(chunk)
+        if size < need:
+            continue
+        data, start = b"".join(held), 0
+        while True:
+            end = data.find(b"\r\n\r\n", start)
+            if end < 0:
+                need = 0
+                break
+            if not data.startswith(b"WARC/", start):
+                if not data[start:].strip(b"\r\n"):  # an end of line or two may follow the last record
+                    break
+                raise ValueError(f"no WARC record at {at + start}")
+            lines = data[start:end].decode("utf-8", "replace").split(CRLF)
+            headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+            stop = end + 4 + int(headers["content-length"])
+            if stop + 4 > len(data):
+                need = stop + 4 - start
+                break
+            if data[stop : stop + 4] != b"\r\n\r\n":
+                raise ValueError(f"record at {at + start} does not end where it declares")
+            yield {"headers": headers, "offset": at + start, "block": data[end + 4 : stop]}
+            start = stop + 4
+        held, at = [data[start:]], at + start
+        size = len(held[0])
+    if b"".join(held).strip(b"\r\n"):
+        raise ValueError(f"record at {at} does not end where it declares")
 
 
 def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
-    """Records of the WARC files under ``path``; a payload that belies its digest raises.
+    """Records of the WARC files under ``path`` (plain, or .gz of any number of members); a payload that belies its digest raises.
 
-    A revisit has no payload of its own: length and digest are those its headers state.
+    The files are streamed by Spark's text reader, cut at two CRLF and put together again by declared lengths.
+    A revisit has no payload of its own: length and digest are those its headers state. ``head`` is the HTTP header.
     """
     schema = _arrow_schema(READ)
 
     def read(name: str, record: dict) -> dict:
         h, block = record["headers"], record["block"]
-        kind = h["warc-type"]
-        payload = block
+        kind, head, payload = h["warc-type"], None, block
         if h.get("content-type", "").startswith("application/http"):
             cut = block.find(b"\r\n\r\n")
-            payload = b"" if cut < 0 else block[cut + 4 :]
+            head, payload = block if cut < 0 else block[:cut], b"" if cut < 0 else block[cut + 4 :]
         digest, size = h.get("warc-payload-digest", "").removeprefix("sha256:"), len(payload)
         if kind == "revisit":
             payload, size = None, int(h["x-payload-length"])
@@ -243,16 +295,21 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
             digest = found
         return {
             "file": name, "offset": record["offset"], "record_id": h["warc-record-id"].strip("<>"), "warc_type": kind, "target_uri": h.get("warc-target-uri"), "warc_date": h.get("warc-date"),
-            "source": h.get("x-source-archive"), "refers_to": h["warc-refers-to"].strip("<>") if "warc-refers-to" in h else None, "payload_bytes": size, "payload_digest": digest, "payload": payload if with_payload else None,
+            "source": h.get("x-source-archive"), "refers_to": h["warc-refers-to"].strip("<>") if "warc-refers-to" in h else None, "head": None if head is None else head.decode("utf-8", "replace"),
+            "payload_bytes": size, "payload_digest": digest, "payload": payload if with_payload else None,
         }
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows():
+        def pieces():
             for batch in batches:
-                for name, content in zip(batch.column(0), batch.column(1), strict=True):
-                    for record in parse_warc(content.as_py()):
-                        yield read(name.as_py(), record)
+                yield from zip(batch.column(0).to_pylist(), batch.column(1), strict=True)
+
+        def rows():
+            for name, mine in groupby(pieces(), key=lambda x: x[0]):
+                for record in parse_warc(piece.as_py() + b"\r\n\r\n" for _, piece in mine):
+                    yield read(name, record)
 
         yield from _batches(rows(), schema)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, T.StructType.fromDDL(READ))
+    lines = spark.read.option("lineSep", END).text(path)
+    return lines.select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("line")).mapInArrow(run, T.StructType.fromDDL(READ))

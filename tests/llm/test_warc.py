@@ -2,28 +2,36 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from attestor.llm import warc
+from attestor.llm import queries, warc
 from attestor.session import Workspace
 
 PAGES = [(1, "http://a.b/x y", "<p>" + "long " * 40 + "</p>"), (2, None, "<p>" + "long " * 40 + "</p>"), (3, "http://c", None), (4, "http://c", ""), (5, "http://d", "short"), (6, "http://d", "short"), (7, "http://e", "body\r\n\r\nWARC/1.1\r\n\r\nmore é" * 20), (8, "http://f", "z" * 2_000_000), (9, "http://g", "<p>" + "long " * 40 + "</p>")]
 
 
-def archive(spark, rows):
-    df = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, archive string")
-    name = F.concat(F.lit("page-"), F.col("page_id"), F.lit(".arc"))
-    return warc.arc_archives(df, name, F.col("url"), F.col("html"), F.when(F.col("page_id") % 2 == 0, 1).otherwise(2))
+def archive(spark, rows, **args):
+    df = spark.createDataFrame([(*r, "clash", "x") for r in rows], "page_id long, url string, html string, archive string, content string").repartition(2, "page_id")
+    return warc.arc_archives(df, F.col("url"), F.col("html"), F.when(F.col("page_id") % 2 == 0, 1).otherwise(2), {"X-Page-Id": F.col("page_id")}, **args)
 
 
-def test_round_trip(spark):
+def page_of(column):
+    return F.regexp_extract(F.concat(F.col(column).cast("string"), F.lit("\r\n")), r"\r\nX-Page-Id: (-?\d+)\r\n", 1).try_cast("long")
+
+
+@pytest.mark.parametrize("archive_bytes", [1, 700, 1 << 20])
+def test_round_trip(spark, archive_bytes):
     work = Workspace(spark, "warctest")
-    records = warc.convert_arc(archive(spark, PAGES)).withColumn("order", F.regexp_extract("archive", r"page-(\d+)", 1).cast("long"))
+    archives = work.save(archive(spark, PAGES, archive_bytes=archive_bytes), "arc")
+    if archive_bytes > 1:
+        assert archives.count() < len(PAGES)
+    records = warc.convert_arc(archives).withColumn("order", page_of("head"))
     path = work.new_path("warc")
     warc.write_warc(records, warc.first_copies(records, "order"), path, records_per_file=3)
-    rows = {int(r.source.split("-")[1].split(".")[0]): r for r in warc.read_warc(spark, path).where("warc_type != 'warcinfo'").collect()}
+    rows = {r.page: r for r in warc.read_warc(spark, path).where("warc_type != 'warcinfo'").withColumn("page", page_of("head")).collect()}
     assert len(rows) == len(PAGES)
     for page, url, html in PAGES:
         data, r = (html or "").encode(), rows[page]
@@ -35,6 +43,21 @@ def test_round_trip(spark):
     assert len({r.record_id for r in rows.values()}) == len(rows)
 
 
+def test_the_query_keeps_repeated_and_null_ids(spark, tmp_path):
+    long = "<p>" + "long " * 40 + "</p>"
+    pages = [(3, "http://a", long), (5, "http://b", "short"), (5, "http://b", "short"), (7, "http://c", long), (7, "http://c", long), (None, "http://d", long), (None, None, None), (2, "http://e", "end\r\n" + "y" * 120 + "\r\n")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = queries.op4_warc_archive(spark, str(tmp_path)).collect()
+    want = Counter()
+    seen = set()
+    for page, _, html in sorted(pages, key=lambda p: (p[0] is None, p[0] or 0)):
+        data = (html or "").encode()
+        again = len(data) >= 100 and data in seen
+        seen.add(data)
+        want[(page, len(data), hashlib.sha256(data).hexdigest(), "revisit" if again else "response", 3 if again else None)] += 1
+    assert Counter(map(tuple, got)) == want
+
+
 def test_empty_table(spark):
     work = Workspace(spark, "warctest")
     records = warc.convert_arc(archive(spark, PAGES).limit(0)).withColumn("order", F.lit(1))
@@ -60,6 +83,18 @@ def test_malformed_archives_raise(data):
         list(warc.parse_arc(data))
 
 
-def test_a_damaged_warc_raises():
+DAMAGED = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: %d\r\n\r\nshort\r\n\r\n"
+
+
+@pytest.mark.parametrize("size", [50, 3])
+def test_a_damaged_warc_raises(size):
     with pytest.raises(ValueError):
-        list(warc.parse_warc(b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 50\r\n\r\nshort\r\n\r\n"))
+        list(warc.parse_warc([DAMAGED % size]))
+
+
+@pytest.mark.parametrize("step", [1, 7, 64, 10_000])
+def test_records_are_the_same_in_any_chunks(step):
+    blocks = [b"", b"a\r\n", b"\r\n\r\nWARC/1.1\r\n\r\n", b"x" * 300]
+    data = b"".join(b"WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(b), b) for b in blocks)
+    found = list(warc.parse_warc(data[i : i + step] for i in range(0, len(data), step)))
+    assert [f["block"] for f in found] == blocks and all(data[f["offset"] :].startswith(b"WARC/") for f in found)
