@@ -1,94 +1,188 @@
-"""Merging sorted orders of strings by iterative refinement of their interleave."""
+"""Burrows-Wheeler transforms of shards of strings, merged by refining their interleave.
+
+Strings are bytes of UTF-8, which never hold END; STEP of END close each of them and sort last. Every END counts as a
+symbol of its own, so that what two strings share stops where either ends. Transforms hold the STEP symbols before a
+suffix in place of one, which divides the rounds of a merge by STEP.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 
-_STEP = 8
+END, STEP = 0xFF, 8
 
 
-def refine(blocks: np.ndarray, symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The interleave of many shards' strings and the prefix each shares with the one before it.
+@dataclass
+class Shard:
+    """The suffixes of some strings in order, of which it keeps what a merge needs."""
 
-    ``blocks`` numbers the block of each string (equal: nothing tells them apart yet), ``symbols`` is a matrix of
-    their bytes. Starting from the shards one after another, each step sorts stably by the next eight
-    symbols inside blocks that still hold several strings and splits them; where a block splits, the length of
-    the common prefix is known. Blocks of one string are never looked at again, so no string is re-sorted.
-    Returns (order, common): ``common[i]`` bytes, at most ``depth``, are shared by strings order[i-1] and
-    order[i] of one block, -1 where the first blocks differ.
-    """
-    n = len(blocks)
-    order = np.argsort(blocks, kind="stable")
-    common = np.full(n, depth, np.int64)
-    first = np.ones(n, bool)
-    first[1:] = blocks[order][1:] != blocks[order][:-1]
-    common[first] = -1
-    block = np.cumsum(first)
-    padded = np.zeros((n, -(-depth // _STEP) * _STEP), np.uint8)
-    padded[:, :depth] = symbols[:, :depth]
-    words = padded.view(">u8").astype(np.uint64)
-    open_ = np.flatnonzero(_alive(first))
-    for step in range(words.shape[1]):
+    #: Place of each suffix in the text, in order; those of ends alone come last, as they stand.
+    order: np.ndarray
+    #: The STEP symbols before each suffix as a number: the Burrows-Wheeler transform. Only where ``inner``.
+    bwt: np.ndarray
+    #: Rank of the suffix that begins STEP symbols earlier.
+    lf: np.ndarray
+    #: Whether there are STEP symbols before the suffix in its string.
+    inner: np.ndarray
+    #: Whether a suffix shares ``depth`` bytes with the one before it.
+    deep: np.ndarray
+    n_plain: int
+
+
+def build_shard(strings: list[bytes], depth: int) -> Shard:
+    """Sort the suffixes of ``strings``, laid one after another with their ends, by doubling prefixes."""
+    if depth % STEP or not depth:
+        raise ValueError(f"depth is no multiple of {STEP}")
+    ends = bytes([END]) * STEP
+    text = np.frombuffer(b"".join(s + ends for s in strings), np.uint8)
+    n, is_end = len(text), text == END
+    size = np.array([len(s) + STEP for s in strings])
+    begin = np.cumsum(size) - size
+    string = np.repeat(np.arange(len(strings)), size)
+    end = (begin + size - STEP)[string]  # the first of the string's ends
+    words = np.zeros(n, np.uint64)
+    for k in range(STEP):
+        words <<= np.uint64(8)
+        words[: max(0, n - k)] |= text[k:].astype(np.uint64)
+    plain, tail = np.flatnonzero(~is_end), np.flatnonzero(is_end)
+    m = len(plain)
+    order = plain[np.argsort(words[plain], kind="stable")]  # equal strings that end here keep their order
+    first = np.ones(m, bool)
+    first[1:] = (words[order[1:]] != words[order[:-1]]) | (order[1:] + STEP > end[order[1:]])
+    rank = np.empty(n, np.int64)
+    rank[tail] = np.arange(m, n)
+    rank[order] = np.maximum.accumulate(np.where(first, np.arange(m), 0))
+    h = STEP
+    while True:
+        open_ = np.flatnonzero(~(first & np.append(first[1:], True)))
+        if h <= depth:
+            half, half_rank = h, rank.copy()
         if not len(open_):
             break
-        word = words[order[open_], step]
-        inside = np.lexsort((word, block[open_]))
-        order[open_] = order[open_[inside]]
-        word = word[inside]
-        place = open_
-        new = np.zeros(len(place), bool)
-        new[1:] = (block[place][1:] == block[place][:-1]) & (word[1:] != word[:-1])
-        cut = np.flatnonzero(new)
-        diff = word[cut] ^ word[cut - 1]
-        same = (63 - _top_bit(diff)) // 8
-        common[place[cut]] = np.minimum(step * _STEP + same, depth)
-        first[place[cut]] = True
-        block = np.cumsum(first)
-        open_ = open_[_alive(first)[open_]]
-    return order, common
-
-
-def _alive(first: np.ndarray) -> np.ndarray:
-    """Whether a place belongs to a block of several strings."""
-    last = np.append(first[1:], True)
-    return ~(first & last)
-
-
-def _top_bit(x: np.ndarray) -> np.ndarray:
-    high = np.zeros(len(x), np.int64)
-    for shift in (32, 16, 8, 4, 2, 1):
-        big = x >> np.uint64(shift) != 0
-        high[big] += shift
-        x = np.where(big, x >> np.uint64(shift), x)
-    return high
-
-
-def repeated_windows(groups: np.ndarray, left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.ndarray, side: int) -> np.ndarray:
-    """For each anchor and each d in 0..side whether the window of d bytes left and side-d right of it occurs twice.
-
-    ``groups`` numbers equal anchors; ``left`` (read backwards) and ``right`` hold the bytes beside them, of which
-    ``n_left`` and ``n_right`` are there. Both orders come from refine(); cutting their common prefixes at d
-    numbers the intervals of equal contexts on either side, and two anchors in one interval of both share a window.
+        mine = order[open_]
+        inside = np.argsort(rank[mine] * n + rank[mine + h], kind="stable")
+        mine = mine[inside]
+        group, second = rank[mine], rank[mine + h]
+        new = np.ones(len(mine), bool)
+        new[1:] = (group[1:] != group[:-1]) | (second[1:] != second[:-1])
+        order[open_] = mine
+        first[open_] |= new
+        rank[mine] = np.maximum.accumulate(np.where(new, open_, 0))
+        h *= 2
+    deep = np.zeros(n, bool)
+    a, b = order[:-1], order[1:]
+    long = (a + depth <= end[a]) & (b + depth <= end[b])
+    a, b, at = a[long], b[long], np.flatnonzero(long) + 1
+    same = np.ones(len(a), bool)
+    for skip in [*range(0, depth - half, half), depth - half]:
+        same &= half_rank[a + skip] == half_rank[b + skip]
+    deep[at[same]] = True
+    order = np.concatenate([order, tail])
+    place = np.empty(n, np.int32)
+    place[order] = np.arange(n)
+    inner = order - begin[string[order]] >= STEP
+    before = np.maximum(order - STEP, 0)
+    return Shard(order.astype(np.int32), words[before], place[before], inner, deep, m)
+
+
+def _stable(keys: np.ndarray) -> np.ndarray:
+    """Stable order of small numbers, dealt out digit by digit."""
+    turn = np.argsort((keys & 0xFFFF).astype(np.uint16), kind="stable")
+    high = keys >> 16
+    return turn[np.argsort(high[turn].astype(np.uint16), kind="stable")] if high.any() else turn
+
+
+def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """All shards' suffixes in one order, and whether each shares ``depth`` bytes with the one before it.
+
+    The order is given as indices into the shards laid one after another. It starts as the shards in turn. Each round
+    deals the suffixes out by the STEP symbols before them, in the order of the round before: what was in order by h
+    symbols is then in order by h + STEP, and a shard's suffixes never change places among themselves. Where two
+    neighbours first part in a round, they share fewer bytes than it has seen. A block whose suffixes all come
+    from one shard is in its final order; once its own suffixes were dealt out, neither they nor what they
+    became are looked at again. No suffix is sorted.
+    """
+    sizes = np.array([len(s.order) for s in shards])
+    base = np.concatenate(([0], np.cumsum(sizes)))
+    total = int(base[-1])
+    inner = np.concatenate([s.inner for s in shards])
+    lf = np.concatenate([s.lf + np.int32(b) for s, b in zip(shards, base, strict=False)])
+    deep = np.concatenate([s.deep for s in shards])
+    owner = np.repeat(np.arange(len(shards), dtype=np.int16), sizes)
+    plain = np.concatenate([np.arange(n) < s.n_plain for n, s in zip(sizes, shards, strict=True)])
+    n_plain = int(plain.sum())
+    grams, numbers = np.unique(np.concatenate([s.bwt for s in shards])[inner], return_inverse=True)
+    ended = grams & np.uint64(0xFF) == END
+    bwt = np.zeros(total, np.uint32)
+    bwt[inner] = numbers
+    merged = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)]).astype(np.int32)
+    block = np.zeros(total, np.int64)  # twice the first place of each place's block, plus one if one shard fills it
+    apart = np.zeros(total, bool)
+    apart[:1] = apart[n_plain:] = True
+    source, target = np.arange(total, dtype=np.int32), np.arange(n_plain, dtype=np.int32)
+    for h in range(0, depth, STEP):
+        if not len(target):
+            break
+        if h == STEP:  # every suffix of ends alone is in order
+            block[n_plain:] = np.arange(n_plain, total) * 2 + 1
+        suffix, origin = merged[source], block[source]
+        dealt = np.flatnonzero(inner[suffix])
+        source = source[origin & 1 == 0]
+        suffix, origin = suffix[dealt], origin[dealt]
+        symbol = bwt[suffix]
+        turn = _stable(symbol)
+        symbol, image, origin = symbol[turn], lf[suffix[turn]], origin[turn]
+        new = np.ones(len(target), bool)
+        new[1:] = (symbol[1:] != symbol[:-1]) | (origin[1:] != origin[:-1]) | (target[1:] - target[:-1] != 1)
+        if h == 0:
+            new |= ended[symbol]
+        merged[target] = image
+        starts = np.flatnonzero(new)
+        first, shard = target[starts], owner[image]
+        apart[first] = True
+        lone = np.minimum.reduceat(shard, starts) == np.maximum.reduceat(shard, starts)
+        block[target] = np.repeat(first.astype(np.int64) * 2 + lone, np.diff(starts, append=len(target)))
+        target = target[origin & 1 == 0]
+    same = ~apart
+    same[1:] &= deep[merged[1:]] | (owner[merged[1:]] != owner[merged[:-1]])
+    return merged, same
+
+
+def repeated_windows(strings: list[bytes], groups: np.ndarray, anchor_at: np.ndarray, shard_of: np.ndarray, window: int, side: int) -> np.ndarray:
+    """For each string and each d in 0..side: whether the ``window`` bytes that start d before its anchor are in another string of its group, at that place.
+
+    The strings of each shard are sorted on their own; their merged order gives the intervals of suffixes that
+    share ``window`` bytes, and two suffixes of one interval, group and d are a repeat.
     """
-    n = len(groups)
-    numbers = []
-    for symbols in (left, right):
-        order, common = refine(groups, symbols, side)
-        numbers.append((order, common))
-    out = np.zeros((n, side + 1), bool)
-    for d in range(side + 1):
-        have = (n_left >= d) & (n_right >= side - d)
-        if have.sum() < 2:
-            continue
-        key = np.zeros(n, np.int64)
-        for (order, common), need in zip(numbers, (d, side - d), strict=True):
-            part = np.empty(n, np.int64)
-            part[order] = np.cumsum(common < need)
-            key = key * (n + 1) + part
-        mine = key[have]
-        ranked = np.sort(mine)
-        twice = np.unique(ranked[1:][ranked[1:] == ranked[:-1]])
-        if len(twice):
-            spot = np.searchsorted(twice, mine)
-            out[np.flatnonzero(have), d] = twice[np.minimum(spot, len(twice) - 1)] == mine
+    out = np.zeros((len(strings), side + 1), bool)
+    shards, whose, where = [], [], []
+    for s in np.unique(shard_of):
+        mine = np.flatnonzero(shard_of == s)
+        shard = build_shard([strings[i] for i in mine], window)
+        size = np.array([len(strings[i]) + STEP for i in mine])
+        start = np.concatenate(([0], np.cumsum(size)[:-1]))
+        string = np.repeat(np.arange(len(mine)), size)
+        shards.append(shard)
+        whose.append(mine[string][shard.order])
+        where.append((np.arange(len(string)) - start[string])[shard.order])
+    if not shards:
+        return out
+    merged, same = merge(shards, window)
+    either = same.copy()
+    either[:-1] |= same[1:]
+    hits = np.flatnonzero(either)
+    interval = np.cumsum(~same)[hits]
+    owner = np.concatenate(whose)[merged[hits]]
+    d = anchor_at[owner] - np.concatenate(where)[merged[hits]]
+    inside = (d >= 0) & (d <= side)
+    interval, owner, d = interval[inside], owner[inside], d[inside]
+    order = np.lexsort((d, groups[owner], interval))
+    key = np.stack([interval, groups[owner], d])[:, order]
+    pair = (key[:, 1:] == key[:, :-1]).all(axis=0)
+    twice = np.zeros(len(order), bool)
+    twice[1:] |= pair
+    twice[:-1] |= pair
+    out[owner[order[twice]], d[order[twice]]] = True
     return out

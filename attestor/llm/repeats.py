@@ -5,9 +5,11 @@ from __future__ import annotations
 import gc
 import hashlib
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,12 +17,12 @@ from attestor.llm.anchors import ANCHOR, SIDE, WINDOW, anchors
 from attestor.llm.interleave import repeated_windows
 from attestor.session import Workspace
 
-#: Different contexts of one anchor that are interleaved in memory; larger groups are counted window by window.
-GROUP = 1 << 16
-#: Contexts interleaved at once.
-BATCH = 1 << 17
+#: Different contexts of one anchor that are merged in one task; those of a more frequent anchor are counted window by window.
+GROUP = 1 << 10
+#: Contexts merged at once, and the shards they come from.
+BATCH, SHARDS = 1 << 13, 4
 EMPTY = hashlib.sha256(b"").hexdigest()
-_CTX = "hash long, cid long, pos int, weight long, n_left int, n_right int, bytes binary"
+_CTX = "hash long, cid binary, pos int, weight long, n_left int, bytes binary"
 
 
 def _ints(values: list[np.ndarray], kind) -> pa.Array:
@@ -42,72 +44,53 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes beside each wanted anchor: SIDE to the left read backwards, then SIDE to the right."""
+def _wanted_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, dict, int, bytes]]:
+    """Each wanted anchor of each text with the bytes beside it: up to SIDE to the left, the anchor, up to SIDE to the right."""
     for batch in batches:
-        rows: list[tuple] = []
         for cid, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-            if not wanted:
-                continue
             data = (text.as_py() or "").encode()
             for w in wanted:
-                p = w["pos"]
-                left, right = data[max(0, p - SIDE) : p][::-1], data[p + ANCHOR : p + WINDOW]
-                rows.append((w["hash"], cid, p, w["c"], len(left), len(right), left.ljust(SIDE, b"\0") + right.ljust(SIDE, b"\0")))
-            if len(rows) > 20000:
-                yield _context_batch(rows)
-                rows = []
-        if rows:
-            yield _context_batch(rows)
+                first = max(0, w["pos"] - SIDE)
+                yield cid, w, w["pos"] - first, data[first : w["pos"] + WINDOW]
+
+
+def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for some in batched(_wanted_contexts(batches), 10_000):
+        rows = [(w["hash"], cid, w["pos"], w["c"], n_left, raw) for cid, w, n_left, raw in some]
+        kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["hash", "cid", "pos", "weight", "n_left", "bytes"])
 
 
-def _context_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["hash", "cid", "pos", "weight", "n_left", "n_right", "bytes"])
+def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every window of a context, with its anchor and place, by a digest of 128 bits, for anchors of too many contexts; those of copies have no cid."""
+    for some in batched(_wanted_contexts(batches), 64):
+        cids, starts, digests = [], [], []
+        for cid, w, n_left, raw in some:
+            for at in range(max(0, n_left - SIDE), min(n_left, len(raw) - WINDOW) + 1):
+                cids.append(cid if w["c"] == 1 else None)
+                starts.append(w["pos"] - n_left + at)
+                digests.append(xxhash.xxh3_128_digest(raw[at : at + WINDOW] + (n_left - at).to_bytes(2, "big") + w["hash"].to_bytes(8, "big", signed=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(cids, pa.binary()), pa.array(starts, pa.int32()), pa.array(digests, pa.binary())], names=["cid", "pos", "window"])
 
 
-def _interleave(group: int):
-    """Contexts in order of anchor to (cid, pos, window starts that repeat); anchors of more than ``group`` contexts go on as rows."""
-    fields = ["cid", "pos", "mask", "window"]
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contexts in order of anchor to (cid, pos, mask of the window starts that repeat), at least BATCH at a time."""
 
     def solve(table: pa.Table) -> pa.RecordBatch:
-        column = lambda k: np.asarray(table.column(k).combine_chunks())
-        raw = np.frombuffer(b"".join(table.column("bytes").to_pylist()), np.uint8).reshape(-1, 2 * SIDE)
-        masks = repeated_windows(column("hash"), raw[:, :SIDE], raw[:, SIDE:], column("n_left"), column("n_right"), SIDE)
-        alone = (column("weight") == 1) & masks.any(axis=1)
-        packed = np.packbits(masks[alone], axis=1, bitorder="little")
-        n = int(alone.sum())
-        return pa.RecordBatch.from_arrays(
-            [pa.array(column("cid")[alone]), pa.array(column("pos")[alone].astype(np.int32)), pa.array([m.tobytes() for m in packed], pa.binary()), pa.nulls(n, pa.binary())], names=fields
-        )
-
-    def windows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        """Every window of a context by a digest, for anchors of too many contexts."""
-        for row in batch.to_pylist():
-            left, right = row["bytes"][:SIDE][::-1], row["bytes"][SIDE:]
-            starts = [d for d in range(SIDE + 1) if row["n_left"] >= d and row["n_right"] >= SIDE - d]
-            digests = [hashlib.blake2b(left[SIDE - d :] + right[: SIDE - d] + d.to_bytes(2, "big") + row["hash"].to_bytes(8, "big", signed=True), digest_size=16).digest() for d in starts]
-            n = len(starts)
-            single = row["weight"] == 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([row["cid"] if single else None] * n, pa.int64()), pa.array([row["pos"] - d for d in starts], pa.int32()), pa.nulls(n, pa.binary()), pa.array(digests, pa.binary())], names=fields
-            )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size, hot = 0, None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = np.asarray(batch.column(0))
-            if hot is not None:
-                n = len(keys) if (keys == hot).all() else int(np.argmin(keys == hot))
-                yield from windows(batch.slice(0, n))
-                if n == len(keys):
-                    continue
-                batch, keys, hot = batch.slice(n), keys[n:], None
-            held.append(batch)
-            size += len(keys)
+        column = lambda k: table.column(k).combine_chunks()
+        cids = column("cid").to_pylist()
+        shard = np.array([c[-1] % SHARDS for c in cids])
+        masks = repeated_windows(column("bytes").to_pylist(), np.asarray(column("hash")), np.asarray(column("n_left")), shard, WINDOW, SIDE)
+        alone = np.flatnonzero((np.asarray(column("weight")) == 1) & masks.any(axis=1))
+        packed = [m.tobytes() for m in np.packbits(masks[alone], axis=1, bitorder="little")]
+        return pa.RecordBatch.from_arrays([pa.array([cids[i] for i in alone], pa.binary()), pa.array(np.asarray(column("pos"))[alone], pa.int32()), pa.array(packed, pa.binary())], names=["cid", "pos", "mask"])
+
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        for a in range(0, batch.num_rows, BATCH):
+            held.append(batch.slice(a, BATCH))
+            size += held[-1].num_rows
             if size < BATCH:
                 continue
             table = pa.Table.from_batches(held)
@@ -115,17 +98,9 @@ def _interleave(group: int):
             cut = int(np.argmax(every == every[-1]))
             if cut:
                 yield solve(table.slice(0, cut))
-            if len(every) - cut > group:
-                hot = every[-1]
-                for part in table.slice(cut).to_batches():
-                    yield from windows(part)
-                held, size = [], 0
-            else:
-                held, size = table.slice(cut).to_batches(), len(every) - cut
-        if held:
-            yield solve(pa.Table.from_batches(held))
-
-    return run
+            held, size = table.slice(cut).to_batches(), len(every) - cut
+    if size:
+        yield solve(pa.Table.from_batches(held))
 
 
 def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,13 +124,13 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
             runs = int((gone & ~np.concatenate(([False], gone[:-1]))).sum())
             out.append((cid, int(gone.sum()), runs, hashlib.sha256(kept).hexdigest()))
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
+        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.string()]
         columns = list(zip(*out, strict=True)) or [[], [], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["cid", "n_removed", "n_spans", "kept_sha256"])
 
 
 def _release(spark) -> None:
-    """Let Spark drop the shuffle files of tables that are already written."""
+    """Let Spark drop the shuffle files of tables that are already written; without it nothing but the use of disk changes."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
@@ -166,11 +141,11 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Strings are compared as UTF-8 bytes, within documents and across them, on the input; a match never crosses documents.
     Every window of 200 bytes has an anchor of 64 bytes chosen by content, so equal windows meet at equal anchors,
     about one for 69 bytes. Anchors that occur once are dropped by a pre-aggregated count. For the others the
-    context of 136 bytes on either side is the suffix (and the reversed prefix) at that anchor: those of one anchor
-    are merged across the shards they come from by refining their interleave, which gives the common prefixes;
-    cutting these yields the intervals of equal windows. Copies of a context are counted, not merged, and texts
-    that occur more than once are removed whole. An anchor with over ``group`` different contexts is counted
-    window by window, so no group is held in memory beyond that.
+    context, the anchor with 136 bytes on either side, goes to the task of its anchor. There the contexts of each of
+    SHARDS shards of the corpus become a Burrows-Wheeler transform, and the transforms are merged by refining their
+    interleave; its intervals of suffixes with 200 bytes in common are the repeats. Copies of a context are
+    counted, not merged, and texts that occur more than once are removed whole. An anchor with over ``group``
+    different contexts never meets in one task: its windows are counted by digest, in a pre-aggregated count.
 
     Null texts count as empty; texts under 200 bytes lose nothing, however often they occur; rows that repeat stay
     repeated; other columns are ignored; an empty table gives an empty table.
@@ -179,7 +154,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     work = Workspace(spark, "repeats")
     text = F.coalesce(F.col(text_col), F.lit(""))
     sha_of = lambda body: F.unhex(F.sha2(body, 256))
-    cid = F.conv(F.substring(F.hex("sha"), 1, 15), 16, 10).cast("long")
+    cid = F.substring(F.col("sha"), 1, 16)  # 128 bits
 
     rows = df.select(F.col(id_col).alias("id"), text.alias("body"))
     kind = rows.schema["id"].dataType.simpleString()
@@ -195,28 +170,30 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     _release(spark)
 
     kinds = work.save(shared.groupBy("hash", "ctx").agg(F.sum("n").alias("c"), F.min(F.struct("cid", "pos")).alias("who")), "contexts")
-    mixed = kinds.groupBy(F.col("hash").alias("h")).agg(F.count("*").alias("u"), F.min("c").alias("least")).where("u > 1 and least = 1").select("h")
+    mixed = kinds.groupBy(F.col("hash").alias("h")).agg(F.count("*").alias("u"), F.min("c").alias("least")).where("u > 1 and least = 1").select("h", (F.col("u") > group).alias("hot"))
     mixed = work.save(mixed, "mixed")
-    wanted = kinds.join(mixed, kinds.hash == mixed.h).select("who.cid", F.struct("who.pos", "hash", "c").alias("w"))
+    wanted = kinds.join(mixed, kinds.hash == mixed.h).select("who.cid", F.struct("who.pos", "hash", "c", "hot").alias("w"))
     wanted = wanted.groupBy("cid").agg(F.collect_list("w").alias("wanted"))
     lone = shared.where("n = 1").select("cid").distinct()
-    none = F.array().cast("array<struct<pos:int,hash:long,c:long>>")
+    none = F.array().cast("array<struct<pos:int,hash:long,c:long,hot:boolean>>")
     asked = lone.join(wanted, "cid", "full_outer").join(texts.select("cid", "one"), "cid").select(F.col("cid").alias("key"), "one", F.coalesce("wanted", none).alias("wanted"))
     whole = rows.withColumn("sha", sha_of(F.col("body"))).select("id", cid.alias("cid"), "body")
     chosen = work.save(whole.join(asked, (F.col("cid") == F.col("key")) & F.col("id").eqNullSafe(F.col("one"))).select("cid", "body", "wanted"), "bodies")  # one row of each text
     _release(spark)
 
-    contexts = chosen.where(F.size("wanted") > 0).mapInArrow(_context_rows, _CTX)
-    solved = work.save(contexts.repartition("hash").sortWithinPartitions("hash").mapInArrow(_interleave(group), "cid long, pos int, mask binary, window binary"), "solved")
+    some = lambda hot: chosen.select("cid", "body", F.filter("wanted", lambda w: w.hot if hot else ~w.hot).alias("wanted")).where(F.size("wanted") > 0)
+    contexts = some(False).mapInArrow(_context_rows, _CTX)
+    solved = work.save(contexts.repartition("hash").sortWithinPartitions("hash").mapInArrow(_merge, "cid binary, pos int, mask binary"), "solved")
+    windows = work.save(some(True).mapInArrow(_window_rows, "cid binary, pos int, window binary"), "windows")
     _release(spark)
 
-    twice = solved.where("window is not null").groupBy(F.col("window").alias("w")).agg(F.count("*").alias("c"), F.count_if(F.col("cid").isNull()).alias("many")).where("c > 1 or many > 0").select("w")
-    by_window = solved.where("window is not null and cid is not null").join(twice, F.col("window") == F.col("w")).select("cid", "pos", F.lit(None).cast("binary").alias("mask"), F.lit(False).alias("whole"))
-    by_mask = solved.where("mask is not null").select("cid", "pos", "mask", F.lit(False).alias("whole"))
+    twice = windows.groupBy(F.col("window").alias("w")).agg(F.count("*").alias("c"), F.count_if(F.col("cid").isNull()).alias("many")).where("c > 1 or many > 0").select("w")
+    by_window = windows.where("cid is not null").join(twice, F.col("window") == F.col("w")).select("cid", "pos", F.lit(None).cast("binary").alias("mask"), F.lit(False).alias("whole"))
+    by_mask = solved.select("cid", "pos", "mask", F.lit(False).alias("whole"))
     copies = kinds.where("c > 1").select(F.col("hash").alias("h"), F.col("ctx").alias("x"))
     by_copy = shared.where("n = 1").join(copies, (F.col("hash") == F.col("h")) & (F.col("ctx") == F.col("x"))).select("cid", "pos", F.lit(None).cast("binary").alias("mask"), F.lit(True).alias("whole"))
     flags = by_mask.unionAll(by_window).unionAll(by_copy).groupBy(F.col("cid").alias("key")).agg(F.collect_list(F.struct("pos", "mask", "whole")).alias("flags"))
-    cut = work.save(chosen.select("cid", "body").join(flags, F.col("cid") == F.col("key")).select("cid", "body", "flags").mapInArrow(_keep, "cid long, n_removed long, n_spans long, kept_sha256 string"), "cut")
+    cut = work.save(chosen.select("cid", "body").join(flags, F.col("cid") == F.col("key")).select("cid", "body", "flags").mapInArrow(_keep, "cid binary, n_removed long, n_spans long, kept_sha256 string"), "cut")
     _release(spark)
 
     verdict = texts.join(cut.dropDuplicates(["cid"]), "cid", "left").select(F.col("sha").alias("key"), "n", F.col("n_bytes").alias("size"), "n_removed", "n_spans", "kept_sha256")

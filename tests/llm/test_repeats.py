@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 
 from attestor.llm.anchors import CHUNK, WINDOW, anchors
-from attestor.llm.interleave import refine, repeated_windows
+from attestor.llm.interleave import STEP, build_shard, merge, repeated_windows
 from attestor.llm.repeats import remove_repeats
 from tests.llm.conftest import prose
 
@@ -43,12 +43,13 @@ def test_matches_brute_force(spark, texts):
     assert run(spark, rows) == brute(rows)
 
 
-def test_large_groups_are_counted_window_by_window(spark, monkeypatch):
+def test_groups_above_and_below_the_limit(spark, monkeypatch):
     import attestor.llm.repeats as module
 
-    monkeypatch.setattr(module, "BATCH", 4)
     rows = passages()
-    assert run(spark, rows, group=2) == brute(rows)
+    assert run(spark, rows, group=0) == run(spark, rows, group=2) == brute(rows)  # all, or the larger ones, window by window
+    monkeypatch.setattr(module, "BATCH", 4)
+    assert run(spark, rows) == brute(rows)
 
 
 def test_empty_table(spark):
@@ -67,21 +68,55 @@ def test_long_texts_have_the_same_anchors_in_chunks():
     assert np.diff(pos).max() <= WINDOW - 64 + 1
 
 
-def test_refinement_gives_the_sorted_order_and_common_prefixes():
-    r = np.random.default_rng(1)
-    blocks = r.integers(0, 4, 300)
-    rows = r.integers(97, 99, (300, 20)).astype(np.uint8)
-    order, common = refine(blocks, rows, 20)
-    keys = [(blocks[i], rows[i].tobytes()) for i in order]
+def test_merged_shards_are_in_order_and_know_what_they_share():
+    r = np.random.default_rng(3)
+    for depth in (8, 16, 24):
+        strings = [bytes(r.integers(97, 99, r.integers(0, 60)).astype(np.uint8)) for _ in range(24)]
+        strings += [strings[3] + b"x", b"y" + strings[3], strings[5], b"", b"", b"ab" * 30, b"ab" * 25]
+        for n_shards in (1, 2, 5):
+            shard_of = r.integers(0, n_shards, len(strings))
+            shards, where = [], []
+            for s in np.unique(shard_of):
+                mine = [i for i in range(len(strings)) if shard_of[i] == s]
+                shards.append(build_shard([strings[i] for i in mine], depth))
+                places = [(i, p) for i in mine for p in range(len(strings[i]) + STEP)]
+                where += [places[k] for k in shards[-1].order]
+            merged, same = merge(shards, depth)
+            texts = [strings[i][p:] for i, p in (where[k] for k in merged)]
+            ends = [t[:depth] + b"\xff" * (len(t) < depth) for t in texts]
+            assert ends == sorted(ends) and sorted(merged.tolist()) == list(range(sum(len(s) + STEP for s in strings)))
+            for a, b, shares in zip(texts, texts[1:], same[1:]):
+                assert shares == (len(a) >= depth and len(b) >= depth and a[:depth] == b[:depth])
+
+
+def test_a_shard_is_sorted_in_full():
+    r = np.random.default_rng(4)
+    strings = [bytes(r.integers(97, 99, r.integers(0, 90)).astype(np.uint8)) for _ in range(30)] + [b"a" * 200, b"a" * 300]
+    shard = build_shard(strings, 16)
+    places = [(i, p) for i, s in enumerate(strings) for p in range(len(s) + STEP)]
+    keys = [[*strings[i][p:], 1000 + i, p] for i, p in (places[k] for k in shard.order)]
     assert keys == sorted(keys)
-    for (ba, a), (bb, b), n in zip(keys, keys[1:], common[1:]):
-        same = next((i for i in range(20) if a[i] != b[i]), 20)
-        assert n == (-1 if ba != bb else same)
 
 
-def test_windows_across_contexts():
-    left = np.frombuffer(b"abc" b"abd" b"xbc", np.uint8).reshape(3, 3)
-    right = np.frombuffer(b"uvw" b"uvx" b"uvw", np.uint8).reshape(3, 3)
-    full = np.full(3, 3)
-    got = repeated_windows(np.zeros(3, np.int64), left, right, full, full, 3)
-    assert got.tolist() == [[True, True, True, False], [False, True, True, False], [True, False, False, False]]
+def test_repeated_windows_of_a_group():
+    r = np.random.default_rng(5)
+    side, window = 16, 24
+    strings, groups, at = [], [], []
+    for i in range(200):
+        g = int(r.integers(0, 6))
+        left, right = (b"".join(r.choice([b"aaaa", b"abba"], 4))[: r.integers(side // 2, side + 1)] for _ in range(2))
+        left = left[::-1]
+        strings.append(left + b"ANCHOR%02d" % g + right)
+        groups.append(g)
+        at.append(len(left))
+    got = repeated_windows(strings, np.array(groups), np.array(at), r.integers(0, 3, 200), window, side)
+    seen = Counter()
+    for s, g, a in zip(strings, groups, at):
+        for d in range(min(a, side) + 1):
+            if a - d + window <= len(s):
+                seen[g, d, s[a - d : a - d + window]] += 1
+    for k, (s, g, a) in enumerate(zip(strings, groups, at)):
+        for d in range(side + 1):
+            want = d <= a and a - d + window <= len(s) and seen[g, d, s[a - d : a - d + window]] > 1
+            assert got[k, d] == want
+    assert got.any()
