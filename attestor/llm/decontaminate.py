@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -14,12 +15,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from attestor.session import Workspace
+
 WORD = re.compile(r"\w+")
 K1, B = 1.2, 0.75
-#: Share of an item's own BM25 score that a passage must reach before its overlap is verified.
+#: Share of an indexed part's own BM25 score that a passage must reach before its item is verified.
 THRESHOLD = 0.7
 SHINGLE, OVERLAP = 5, 0.8
-BLOCK = 8
+#: Neighbouring items whose postings of a term share one maximum.
+BLOCK = 4
 #: Test items indexed, broadcast and passed over the documents at once, by bytes of their text.
 PASS_BYTES = 4 << 20
 LEAST_CHUNK = 64
@@ -46,74 +50,133 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
     return first, rest
 
 
+def indexed_part(text: str) -> list[str]:
+    """The words by which an item is searched: the longer of question and answer, so that one that stands apart from the other is found too."""
+    question, answer = question_and_answer(text)
+    return answer if len(answer) > len(question) else question
+
+
 @dataclass
 class Index:
-    """Postings of normalised BM25 impacts with their maximum in each block of items."""
+    """Postings of BM25 impacts, each divided by the part's score against itself, with their maxima for a term and for a term in a block of items."""
 
     ids: list[int]
     terms: dict[str, int]
+    #: By term: items in order, their impacts, the largest impact, and the largest in each block.
+    items: list[list[int]]
+    impacts: list[list[float]]
+    most: list[float]
+    block_most: list[dict[int, float]]
+    #: The maxima of blocks once more, term after term, for bounds of whole passages: first place of each term, blocks, maxima.
     start: np.ndarray
-    items: np.ndarray
-    impacts: np.ndarray
-    block_max: np.ndarray
+    blocks: np.ndarray
+    bounds: np.ndarray
     parts: list[tuple[set, set]] = field(repr=False)
     chunk: int
 
     @classmethod
-    def build(cls, items: list[tuple[int, str]], document_frequency: dict[str, int], total: int, mean_length: float) -> Index:
-        terms, postings, longest = {}, [], LEAST_CHUNK
+    def build(cls, items: list[tuple[int, str]], document_frequency: dict[str, int], total: int, mean_length: float, chunk: int) -> Index:
+        terms: dict[str, int] = {}
+        postings: list[list[tuple[int, float]]] = []
         for i, (_, text) in enumerate(items):
-            counts = Counter(words(text))
-            length = sum(counts.values())
-            longest = max(longest, length)
-            row = {}
+            counts = Counter(indexed_part(text))
+            length, row = sum(counts.values()), {}
             for term, tf in counts.items():
                 df = document_frequency[term]
                 idf = np.log1p((total - df + 0.5) / (df + 0.5))
                 row[term] = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean_length))
             own = sum(row.values()) or 1.0
-            postings += [(terms.setdefault(term, len(terms)), i, x / own) for term, x in row.items()]
-        postings.sort()
-        term = np.array([p[0] for p in postings], np.int64)
-        item = np.array([p[1] for p in postings], np.int64)
-        impact = np.array([p[2] for p in postings], np.float32)
-        block_max = np.zeros((len(terms) + 1, -(-len(items) // BLOCK) or 1), np.float32)  # the last row is for words of no item
-        np.maximum.at(block_max, (term, item // BLOCK), impact)
-        start = np.searchsorted(term, np.arange(len(terms) + 1))
-        return cls([i for i, _ in items], terms, start, item, impact, block_max, [tuple(map(shingles, question_and_answer(t))) for _, t in items], longest)
+            for term, x in row.items():
+                if term not in terms:
+                    terms[term] = len(terms)
+                    postings.append([])
+                postings[terms[term]].append((i, float(x / own)))
+        block_most: list[dict[int, float]] = []
+        for row in postings:
+            most: dict[int, float] = {}
+            for i, x in row:
+                most[i // BLOCK] = max(most.get(i // BLOCK, 0.0), x)
+            block_most.append(most)
+        return cls(
+            [i for i, _ in items], terms, [[i for i, _ in row] for row in postings], [[x for _, x in row] for row in postings], [max(x for _, x in row) for row in postings], block_most,
+            np.concatenate(([0], np.cumsum([len(m) for m in block_most], dtype=np.int64))), np.array([b for m in block_most for b in m], np.int64), np.array([x for m in block_most for x in m.values()], np.float64),
+            [tuple(map(shingles, question_and_answer(t))) for _, t in items], chunk,
+        )
 
     def candidates(self, tokens: list[str]) -> dict[int, float]:
-        """Items whose score in some passage reaches THRESHOLD, with their best score.
+        """Items whose part scores THRESHOLD or more in some passage, with their best score.
 
-        A passage is two chunks of as many words as the longest item, one chunk apart, so that it holds
-        any occurrence whole. Blocks of items whose summed maxima fall short are skipped together.
+        A passage is two chunks of as many words as the longest part of any item, one chunk apart, so that it holds
+        any occurrence whole. Passages in which no block of items can reach THRESHOLD are dropped together;
+        the others are searched one by one.
         """
         none = len(self.terms)
         coded = np.fromiter(map(self.terms.get, tokens, [none] * len(tokens)), np.int64, len(tokens))
         known = np.flatnonzero(coded != none)
         if not len(known):
             return {}
-        pairs = np.unique(known // self.chunk * (none + 1) + coded[known])
-        chunk, term = pairs // (none + 1), pairs % (none + 1)
-        first = np.flatnonzero(np.concatenate(([True], chunk[1:] != chunk[:-1])))
-        place = chunk[first]
-        bound = np.add.reduceat(self.block_max[term], first, axis=0)
-        reach = bound.copy()
-        joined = np.flatnonzero(np.diff(place) == 1)
-        reach[joined] += bound[joined + 1]
-        at, block = np.nonzero(reach >= THRESHOLD)
+        chunks = known // self.chunk
+        pairs = np.unique(np.concatenate([chunks, chunks - 1]) * (none + 1) + np.tile(coded[known], 2))  # a chunk is in its own passage and in the one before
+        passage, term = pairs // (none + 1), pairs % (none + 1)
+        n_blocks = -(-len(self.ids) // BLOCK)
         found: dict[int, float] = {}
-        ends = np.append(first[1:], len(term))
-        for p in np.unique(at):
-            stop = ends[p + 1] if p + 1 < len(place) and place[p + 1] == place[p] + 1 else ends[p]
-            mine = np.unique(term[first[p] : stop])
-            wanted = block[at == p]
-            size = self.start[mine + 1] - self.start[mine]
-            spot = np.repeat(self.start[mine] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
-            score = np.bincount(self.items[spot], weights=self.impacts[spot], minlength=len(self.ids))
-            for i in np.flatnonzero(score >= THRESHOLD):
-                if i // BLOCK in wanted:
-                    found[int(i)] = max(found.get(int(i), 0.0), float(score[i]))
+        step = max(1, (1 << 20) // n_blocks)
+        for low in range(int(passage[0]), int(passage[-1]) + 1, step):
+            a, b = np.searchsorted(passage, [low, low + step])
+            size = self.start[term[a:b] + 1] - self.start[term[a:b]]
+            spot = np.repeat(self.start[term[a:b]] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            cell = np.repeat((passage[a:b] - low) * n_blocks, size) + self.blocks[spot]
+            reach = np.bincount(cell, weights=self.bounds[spot], minlength=step * n_blocks).reshape(step, n_blocks).max(axis=1)
+            for p in np.flatnonzero(reach >= THRESHOLD - 1e-9):
+                x, y = np.searchsorted(passage, [low + p, low + p + 1])
+                for i, score in self.search(term[x:y].tolist()).items():
+                    found[i] = max(found.get(i, 0.0), score)
+        return found
+
+    def search(self, terms: list[int]) -> dict[int, float]:
+        """Items in which ``terms`` score THRESHOLD or more, by block-max WAND.
+
+        Cursors stand at the next item of each term, in order. The pivot is the first item that the terms up to it can
+        lift to THRESHOLD by their largest impacts. Where the maxima of its block fall short, all of them
+        jump behind the block (or to the next cursor); else they catch up with the pivot, and only an
+        item that all have reached is scored.
+        """
+        cursors = sorted([self.items[t][0], 0, t] for t in terms)
+        found, enough = {}, THRESHOLD - 1e-9
+        while cursors:
+            bound, last = 0.0, -1
+            for k, cursor in enumerate(cursors):
+                bound += self.most[cursor[2]]
+                if bound >= enough:
+                    last = k
+                    break
+            if last < 0:
+                break
+            pivot = cursors[last][0]
+            while last + 1 < len(cursors) and cursors[last + 1][0] == pivot:
+                last += 1
+            block = pivot // BLOCK
+            if sum(self.block_most[c[2]].get(block, 0.0) for c in cursors[: last + 1]) < enough:
+                goal = (block + 1) * BLOCK
+                if last + 1 < len(cursors):
+                    goal = min(goal, cursors[last + 1][0])
+            elif cursors[0][0] == pivot:
+                score = sum(self.impacts[c[2]][c[1]] for c in cursors[: last + 1])
+                if score >= enough:
+                    found[pivot] = score
+                goal = pivot + 1
+            else:
+                goal = pivot
+            moved = []
+            for cursor in cursors[: last + 1]:
+                if cursor[0] < goal:
+                    items = self.items[cursor[2]]
+                    cursor[1] = bisect_left(items, goal, cursor[1])
+                    if cursor[1] == len(items):
+                        continue
+                    cursor[0] = items[cursor[1]]
+                moved.append(cursor)
+            cursors = sorted(moved + cursors[last + 1 :])
         return found
 
     def leaks(self, text: str) -> list[dict]:
@@ -132,28 +195,38 @@ class Index:
         return out
 
 
-def _indexes(benchmark: DataFrame, item_col: str, text_col: str, pass_bytes: int) -> Iterator[Index]:
-    """One index for each pass; the statistics are those of all items."""
+def _indexes(benchmark: DataFrame, item_col: str, text_col: str, pass_bytes: int) -> tuple[int, Iterator[Index]]:
+    """The number of passes, and the index of each in turn; statistics and passages are those of all items."""
     items = benchmark.where(F.col(item_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).alias("body")).distinct()
 
     @F.arrow_udf(T.ArrayType(T.StringType()))
     def split(batch: pa.Array) -> pa.Array:
-        return pa.array([words(t.as_py()) for t in batch], pa.list_(pa.string()))
+        return pa.array([indexed_part(t.as_py()) for t in batch], pa.list_(pa.string()))
 
     coded = items.select("item_id", "body", split("body").alias("tokens")).where(F.size("tokens") > 0)
-    total, length, size = coded.agg(F.count("*"), F.sum(F.size("tokens")), F.sum(F.octet_length("body"))).first()
-    if not total:
-        return
-    passes = -(-size // pass_bytes)
-    terms = coded.select(F.pmod(F.xxhash64("item_id", "body"), F.lit(passes)).alias("pass"), F.explode(F.array_distinct("tokens")).alias("term"))
+    total, length, longest, size = coded.agg(F.count("*"), F.sum(F.size("tokens")), F.max(F.size("tokens")), F.sum(F.octet_length("body"))).first()
+    passes = -(-size // pass_bytes) if total else 0
+    number = F.pmod(F.xxhash64("item_id", "body"), F.lit(max(1, passes)))
+    terms = coded.select(number.alias("pass"), F.explode(F.array_distinct("tokens")).alias("term"))
     counts = terms.groupBy("term").count()
-    for p in range(passes):
-        mine = coded.where(F.pmod(F.xxhash64("item_id", "body"), F.lit(passes)) == p).orderBy("item_id", "body")
-        own = terms.where(F.col("pass") == p).select("term").distinct()
-        frequency = {r[0]: r[1] for r in counts.join(own, "term", "left_semi").collect()}
-        rows = [(r[0], r[1]) for r in mine.select("item_id", "body").collect()]
-        if rows:
-            yield Index.build(rows, frequency, total, length / total)
+
+    def build() -> Iterator[Index]:
+        for p in range(passes):
+            rows = [(r[0], r[1]) for r in coded.where(number == p).orderBy("item_id", "body").select("item_id", "body").collect()]
+            own = terms.where(F.col("pass") == p).select("term").distinct()
+            frequency = {r[0]: r[1] for r in counts.join(own, "term", "left_semi").collect()}
+            if rows:
+                yield Index.build(rows, frequency, total, length / total, max(LEAST_CHUNK, longest))
+
+    return passes, build()
+
+
+def _free(df: DataFrame, name: str) -> str:
+    """``name``, or the first like it that no column has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def find_leaks(
@@ -161,12 +234,14 @@ def find_leaks(
 ) -> DataFrame:
     """Add ``out_col``: the test items that a document holds, as an array of (item_id, score, question_overlap, answer_overlap).
 
-    The items become an inverted index of BM25 impacts, each divided by the item's score against itself. Every
-    passage of every text is a query: blocks of items whose summed maxima cannot reach THRESHOLD are
-    skipped, all items that do reach it are retrieved, and one counts as leaked where at least OVERLAP of the
-    five-word shingles of its question and of its answer stand in the document. Words are compared in lower
-    case without punctuation. At most ``pass_bytes`` of items are indexed and broadcast at once; a larger
-    benchmark takes several passes. No shuffle of the documents.
+    The longer part of each item, question or answer, goes into an inverted index of BM25 impacts. Every
+    passage of every text is a query by block-max WAND: all items whose part reaches THRESHOLD of its own score are
+    retrieved, and one counts as leaked where at least OVERLAP of the five-word shingles of its question and of
+    its answer stand in the document, together or apart. Words are compared in lower case without punctuation.
+
+    One pass indexes, collects to the driver and broadcasts about ``pass_bytes`` of items; a larger benchmark takes
+    several, one after another, each of which writes what it found by the digest of the text, so that one index is held
+    at a time. With one pass the documents are not shuffled.
 
     Null and empty texts have no leaks; null items and items without words match nothing; items with equal text are
     all reported; rows, ties, repeats and other columns stay; a column named ``out_col`` is replaced; an
@@ -174,14 +249,24 @@ def find_leaks(
     """
     spark = df.sparkSession
     out = df.drop(out_col)
-    parts = []
-    for n, index in enumerate(_indexes(benchmark, item_col, item_text_col, pass_bytes)):
-        name = f"__{out_col}_{n}"
-        out = out.withColumn(name, _search(spark.sparkContext.broadcast(index))(F.col(text_col)))
-        parts.append(name)
-    if not parts:
-        return out.withColumn(out_col, F.array().cast(LEAK.simpleString()))
-    return out.withColumn(out_col, F.concat(*parts) if len(parts) > 1 else F.col(parts[0])).drop(*parts)
+    passes, indexes = _indexes(benchmark, item_col, item_text_col, pass_bytes)
+    if passes <= 1:
+        index = next(indexes, None)
+        if index is None:
+            return out.withColumn(out_col, F.array().cast(LEAK.simpleString()))
+        return out.withColumn(out_col, _search(spark.sparkContext.broadcast(index))(F.col(text_col)))
+    work, found = Workspace(spark, "leaks"), None
+    texts = df.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("body"))
+    for index in indexes:
+        shared = spark.sparkContext.broadcast(index)
+        some = texts.withColumn("leaks", _search(shared)(F.col("body"))).where(F.size("leaks") > 0)
+        part = work.save(some.select(F.sha2("body", 256).alias("of"), "leaks").distinct(), "pass")
+        shared.destroy()
+        found = part if found is None else found.unionAll(part)
+    key, at = _free(out, "text_digest"), _free(out, "leak_digest")
+    found = found.groupBy(F.col("of").alias(at)).agg(F.sort_array(F.flatten(F.collect_list("leaks"))).alias(out_col))
+    met = out.withColumn(key, F.sha2(text_col, 256)).join(found, F.col(key) == F.col(at), "left")
+    return met.select(*[out[c] for c in out.columns], F.coalesce(out_col, F.array().cast(LEAK.simpleString())).alias(out_col))
 
 
 def _search(shared):
