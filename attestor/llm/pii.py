@@ -19,6 +19,7 @@ def _named(titles: str) -> str:
     return rf"(?<= )(?=\p{{Lu}})(?<=\b(?:{titles})\.? (?:\p{{Lu}}[\p{{L}}'-]{{1,24}} )?)\p{{Lu}}[\p{{L}}'-]{{1,24}}"
 
 
+_NAMES = {"name_m": _MALE, "name_f": _FEMALE, "name_n": _EITHER}
 #: Kinds in the order in which they are tried at a place of the text, each with its pattern.
 PATTERNS = {
     "secret": rf'(?<=["\'])(?<=(?i:{_LABEL})[^\w"\']{{0,8}}["\'])[^\s"\']{{8,}}(?=["\'])|(?<![0-9A-Za-z])(?=[0-9a-fA-F]{{32}})(?:[0-9a-f]{{32,128}}|[0-9A-F]{{32,128}})(?![0-9A-Za-z])',
@@ -28,29 +29,70 @@ PATTERNS = {
     "ssn": r"(?=\d)(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": rf"(?=[+(\d])(?:(?<![\w+])\+\d{{1,3}}{_GAP}{{0,7}}\d{{2,4}}{_GAP}{{1,7}}\d{{3,4}}{_GAP}{{1,4}}\d{{3,4}}(?!\d)|(?<![\d(])\(\d{{3}}\) ?\d{{3}}-\d{{4}}(?!\d)|(?<![\d-])\d{{3}}-\d{{3}}-\d{{4}}(?![\d-]))",
     "card": r"(?=\d)(?<![\d.,])\d(?:[ -]?\d){12,18}(?!\d)",
-    "name_m": _named(_MALE),
-    "name_f": _named(_FEMALE),
-    "name_n": _named(_EITHER),
-}
+} | {kind: _named(titles) for kind, titles in _NAMES.items()}
 #: What every entity holds something of: a text without it is not searched further.
 SIGN = rf"[0-9@\"']|(?=[MHSDFP])\b(?:{_MALE}|{_FEMALE}|{_EITHER})\b|(?<![0-9A-Za-z])[a-fA-F]{{32}}"
-ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+TITLE = rf"(?=[MHSDFP])\b(?:{_MALE}|{_FEMALE}|{_EITHER})\b"
+#: Any entity; the names of each gender are its three groups.
+ENTITY = "|".join(f"({p})" if kind in _NAMES else f"(?:{p})" for kind, p in PATTERNS.items())
 _SYLLABLES = ["ba", "de", "fi", "go", "hu", "ka", "le", "mi", "no", "pu", "ra", "se", "ti", "vo", "wa", "zu"]
 MAX_ROUNDS = 40
 
 
 def found_entities(text: Column) -> Column:
-    """The entities of a text in order."""
+    """The entities of a text in order, other than names without title."""
     return F.when(text.rlike(SIGN), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)))
 
 
-def _kind(value: Column, text_names: dict[str, Column]) -> Column:
+def _groups(text: Column, pattern: Column) -> list[Column]:
+    """For each entity the name it is by each title's gender, else the empty string."""
+    return [F.regexp_extract_all(text, pattern, F.lit(i + 1)) for i in range(len(_NAMES))]
+
+
+def _with_mentions(rows: DataFrame) -> DataFrame:
+    """Add ``list``, (kind, value) of every entity of ``body`` in order, and ``pieces``, the text around them.
+
+    A name that stands after a title is also found where it stands without one. The kind is that of the title it was found by;
+    a title of either gender, or none, takes the gender that the name has elsewhere in the text: of two,
+    the one of the earliest title.
+    """
+    titled = F.col("body").rlike(TITLE)
+    plain = F.lit(ENTITY)
+    none = F.array().cast("array<string>")
+    rows = rows.withColumn("g", F.when(titled, F.array(*_groups(F.col("body"), plain))))
+    known = lambda g, i: F.coalesce(F.filter(g[i], lambda v: v != ""), none)
+    rows = rows.withColumns({"m": known(F.col("g"), 0), "f": known(F.col("g"), 1), "n": known(F.col("g"), 2)})
+    rows = rows.withColumns({"titles": F.zip_with(F.coalesce(F.col("g")[0], none), F.coalesce(F.col("g")[1], none), lambda a, b: F.concat(a, b)), "names": F.array_distinct(F.concat("m", "f", "n"))})
+    again = F.concat(F.lit(f"{ENTITY}|(?<![\\p{{L}}'-])(?:"), F.array_join("names", "|"), F.lit(")(?![\\p{L}'-])"))
+    rows = rows.withColumn("pattern", F.when(F.size("names") > 0, again).otherwise(plain))
+    own = F.array(*_groups(F.col("body"), F.col("pattern")))
+    rows = rows.withColumns({"found": F.when(F.size("names") > 0, F.regexp_extract_all("body", "pattern", F.lit(0))).otherwise(F.col("found")), "own": F.when(F.size("names") > 0, own), "pieces": F.split("body", F.col("pattern"), -1)})
+
+    def kind(value: Column, i: Column) -> Column:
+        male, female = F.array_contains("m", value), F.array_contains("f", value)
+        first = F.array_position("titles", value)
+        earliest = F.when(F.coalesce(F.get(F.col("g")[0], (first - 1).cast("int")), F.lit("")) == value, "name_m").otherwise("name_f")
+        by_title = F.when(F.get(F.col("own")[0], i) != "", "name_m").when(F.get(F.col("own")[1], i) != "", "name_f")
+        return (
+            F.when(F.col("own").isNull(), _kind(value))
+            .when(by_title.isNotNull(), by_title)
+            .when(~F.array_contains("names", value), _kind(value))
+            .when(male & female, earliest)
+            .when(male, "name_m")
+            .when(female, "name_f")
+            .otherwise("name_n")
+        )
+
+    out = rows.withColumn("list", F.transform("found", lambda v, i: F.struct(kind(v, i).alias("kind"), v.alias("value"))))
+    return out.drop("g", "m", "f", "n", "titles", "names", "pattern", "own", "found")
+
+
+def _kind(value: Column) -> Column:
+    """The kind of an entity that is no name."""
     digits = F.regexp_replace(value, r"\D", "")
     out = F.when(value.rlike("^[^@ ]+@[^@ ]+$"), "email")
     out = out.when(value.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), "ip").when(value.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn").when(value.rlike(r"^[A-Z]{2}\d{2}[ A-Z0-9]{12,}$"), "iban")
     out = out.when(value.rlike(r"^(\+|\()") | value.rlike(r"^\d{3}-\d{3}-\d{4}$"), "phone").when(value.rlike(r"^[\d -]+$") & F.length(digits).between(13, 19), "card")
-    for kind, names in text_names.items():
-        out = out.when(F.array_contains(names, value), kind)
     return out.otherwise("secret")
 
 
@@ -168,38 +210,33 @@ def replace_pii(df: DataFrame, key: str, text_col: str = "text", out_col: str =
     """``df`` with the entities of ``text_col`` replaced in ``out_col``, and their number in ``count_col``.
 
     Kinds: secrets (quoted after a label, or long hexadecimal), e-mail addresses, IPv4 addresses, IBANs, US social
-    security numbers, phone numbers, numbers of 13 to 19 digits (cards), and names after a title. The
+    security numbers, phone numbers, numbers of 13 to 19 digits (cards), and names after a title with their other
+    mentions in the text; a name that never follows a title is not known as one. The
     replacement depends on the key and the entity's normal form alone, so all mentions agree, in every
     document and spelling. It keeps kind, length, separators, letter case and script; a card keeps its
     first digit and whether its Luhn check holds, a phone number its country code, an address its top-level
-    domain, a name the gender its title tells. Replacements that would coincide with each other or with an
-    entity of the table are drawn again.
+    domain, a name the gender its title tells, so that two persons of one name and different titles stay two.
+    Replacements that would coincide with each other or with an entity of the table are drawn again.
 
-    Texts without entities stay as they are and are never shuffled. Null texts stay null and count 0; empty and very
-    long texts, repeated rows and ties are no special case; other columns pass through; an empty
-    table gives an empty table.
+    Every text is searched once and written with what was found; texts without entities are never shuffled. Null texts
+    stay null and count 0; empty and very long texts, repeated rows and ties are no special case; other columns,
+    whatever their names, pass through; an existing ``out_col`` or ``count_col`` is replaced; an empty table
+    gives an empty table.
     """
     work = Workspace(df.sparkSession, "pii")
-    base = df.withColumn("__found", found_entities(F.col(text_col)))
-    has = F.coalesce(F.size("__found") > 0, F.lit(False))
-    names = {k: F.regexp_extract_all(F.col(text_col), F.lit(PATTERNS[k]), F.lit(0)) for k in ("name_m", "name_f", "name_n")}
-    listed = F.transform("__found", lambda v: F.struct(_kind(v, {k: F.col(f"__{k}") for k in names}).alias("kind"), v.alias("value")))
-
-    def marked(rows: DataFrame) -> DataFrame:
-        rows = rows.where(has).withColumns({f"__{k}": v for k, v in names.items()})
-        rows = rows.withColumn("__list", listed).drop("__found", *[f"__{k}" for k in names])
-        return rows.withColumn("__key", F.sha2(F.to_json("__list"), 256))
-
-    lists = work.save(marked(base.select(text_col, "__found")).groupBy("__key").agg(F.first("__list").alias("list")), "lists")
-    mentions = lists.select("__key", F.posexplode("list").alias("pos", "e")).select("__key", "pos", "e.kind", "e.value", _norm(F.col("e.kind"), F.col("e.value")).alias("norm"))
+    base = work.save(df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), F.col(text_col).alias("body"), found_entities(F.col(text_col)).alias("found")), "found")
+    has = F.coalesce(F.size("found") > 0, F.lit(False))
+    marked = work.save(_with_mentions(base.where(has)).withColumn("key", F.sha2(F.to_json("list"), 256)), "marked")
+    lists = work.save(marked.groupBy("key").agg(F.first("list").alias("list")), "lists")
+    mentions = lists.select("key", F.posexplode("list").alias("pos", "e")).select("key", "pos", "e.kind", "e.value", _norm(F.col("e.kind"), F.col("e.value")).alias("norm"))
     known = distinct_surrogates(mentions.select("kind", "norm").distinct(), key, work)
-    met = mentions.join(known, ["kind", "norm"]).select("__key", F.struct("pos", _in_format(F.col("kind"), F.col("value"), F.col("surrogate")).alias("new")).alias("part"))
-    news = work.save(met.groupBy("__key").agg(F.transform(F.sort_array(F.collect_list("part")), lambda p: p.new).alias("__new")), "replacements")
-
-    changed = marked(base).join(news, "__key", "left")
-    pieces = F.split(F.col(text_col), ENTITY, -1)
-    text = F.array_join(F.zip_with(pieces, "__new", lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    count = {} if count_col is None else {count_col: F.size("__list")}
-    changed = changed.withColumns({out_col: text} | count).drop("__key", "__list", "__new")
-    same = base.where(~has).drop("__found").withColumns({out_col: F.col(text_col)} | ({} if count_col is None else {count_col: F.lit(0)}))
-    return same.unionByName(changed.select(*same.columns))
+    met = mentions.join(known, ["kind", "norm"]).select("key", F.struct("pos", _in_format(F.col("kind"), F.col("value"), F.col("surrogate")).alias("new")).alias("part"))
+    news = work.save(met.groupBy("key").agg(F.transform(F.sort_array(F.collect_list("part")), lambda p: p.new).alias("new")), "replacements")
+
+    text = F.array_join(F.zip_with("pieces", "new", lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    changed = marked.join(news, "key").select("row", text.alias("body"), F.size("list").alias("n"))
+    same = base.where(~has).select("row", "body", F.lit(0).alias("n"))
+    fresh = {out_col: F.col("body")} | ({} if count_col is None else {count_col: F.col("n")})
+    old = [c for c in df.columns if c != count_col]
+    columns = [fresh[c].alias(c) if c in fresh else F.col("row")[c].alias(c) for c in old]
+    return same.unionAll(changed).select(*columns, *[v.alias(c) for c, v in fresh.items() if c not in old])

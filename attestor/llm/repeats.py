@@ -20,7 +20,7 @@ from attestor.session import Workspace
 #: Different contexts of one anchor that are merged in one task; those of a more frequent anchor are counted window by window.
 GROUP = 1 << 10
 #: Contexts merged at once, and the shards they come from.
-BATCH, SHARDS = 1 << 13, 4
+BATCH, SHARDS = 1 << 10, 4
 EMPTY = hashlib.sha256(b"").hexdigest()
 _CTX = "hash long, cid binary, pos int, weight long, n_left int, bytes binary"
 

@@ -1,8 +1,11 @@
 from __future__ import annotations
 
+import random
 import re
 
-from attestor.llm.pii import replace_pii
+import regex
+
+from attestor.llm.pii import PATTERNS, replace_pii
 
 LUHN = "4539 1488 0343 6467"
 TEXTS = [
@@ -14,7 +17,7 @@ TEXTS = [
 
 
 def run(spark, rows, key="k"):
-    df = spark.createDataFrame([(i, t, "clash", 3) for i, t in rows], "doc_id long, text string, kind string, norm int")
+    df = spark.createDataFrame([(i, t, "clash", 3) for i, t in rows], "doc_id long, text string, kind string, found int")
     return df, replace_pii(df, key)
 
 
@@ -22,7 +25,7 @@ def test_surrogates_keep_type_format_and_coreference(spark):
     df, out = run(spark, TEXTS)
     assert out.columns == [*df.columns, "n_entities"]
     rows = out.collect()
-    assert len(rows) == len(TEXTS) and all(r.kind == "clash" and r.norm == 3 for r in rows)
+    assert len(rows) == len(TEXTS) and all(r.kind == "clash" and r.found == 3 for r in rows)
     by = {r.doc_id: r for r in rows}
     mail = re.search(r"[A-Za-z]{4}\.[A-Za-z]{4}@[a-z]{7}\.com", by[1].text).group()
     assert mail.lower() != "anna.berg@example.com" and mail[0].isupper() and mail.upper() in by[2].text
@@ -61,3 +64,79 @@ def test_many_entities_stay_distinct(spark):
 def test_empty(spark):
     assert run(spark, TEXTS)[1].limit(0).count() == 0
     assert run(spark, [])[1].count() == 0
+
+
+def test_gender_is_that_of_the_title_and_names_agree_without_one(spark):
+    rows = [
+        (1, "So Mr. Kim and Mrs. Kim met Dr. Kim today"), (2, "Here is Frau Berg. Later Berg left, and Bergmann stayed with Dr. Berg."), (3, "Prof. Olsen spoke; Olsen sat"),
+        (4, "Madame Kim wrote"), (5, "Kim and Berg stand here without title"), (6, "Then Herr O'Neil-Smith, called O'Neil-Smith"),
+    ]
+    by = {r.doc_id: r for r in run(spark, rows)[1].collect()}
+    m = re.fullmatch(r"So Mr\. (\w+) and Mrs\. (\w+) met Dr\. (\w+) today", by[1].text)
+    assert m[1] != m[2] and m[3] == m[1] and m[1].endswith("no") and m[2].endswith("na")
+    assert by[4].text == f"Madame {m[2]} wrote"
+    m = re.fullmatch(r"Here is Frau (\w+)\. Later (\w+) left, and Bergmann stayed with Dr\. (\w+)\.", by[2].text)
+    assert m[1] == m[2] == m[3] != "Berg" and m[1].endswith("na") and by[2].n_entities == 3
+    m = re.fullmatch(r"Prof\. (\w+) spoke; (\w+) sat", by[3].text)
+    assert m[1] == m[2] != "Olsen" and m[1].endswith("ne")
+    assert by[5].text == rows[4][1]
+    m = re.fullmatch(r"Then Herr (\S+), called (\S+)", by[6].text)
+    assert m[1] == m[2] and "Neil" not in by[6].text
+
+
+def search(text, tried):
+    out, at = [], 0
+    while at < len(text):
+        for kind, p in tried.items():
+            m = p.match(text, at)
+            if m and m.end() > at:
+                out.append((at, m.end(), kind))
+                at = m.end()
+                break
+        else:
+            at += 1
+    return out
+
+
+def plain_mentions(text):
+    """(start, end, kind) of the entities of a text, kind by kind at each place, then of the names found by a title."""
+    tried = {k: regex.compile(p) for k, p in PATTERNS.items()}
+    found = search(text, tried)
+    names = {text[a:b] for a, b, kind in found if kind.startswith("name")}
+    if not names:
+        return found
+    return search(text, tried | {"name_n again": regex.compile(rf"(?<![\p{{L}}'-])(?:{'|'.join(sorted(names))})(?![\p{{L}}'-])")})
+
+
+def test_equals_a_search_row_by_row(spark):
+    r = random.Random(11)
+    names = ["Kim", "Berg", "Olsen", "Иванов"]
+    made = [
+        lambda: f"{r.choice('abc')}.{r.choice('xyz')}@{r.choice(['corp', 'mail'])}.example", lambda: f"10.{r.randrange(3)}.0.{r.randrange(9)}", lambda: f"{r.randrange(100, 103)}-45-6789", lambda: f"(555) 123-{r.randrange(4567, 4570)}",
+        lambda: f"{r.choice(['Mr.', 'Mrs.', 'Frau', 'Dr.'])} {r.choice(names)}", lambda: f'token: "{r.choice("pq")}Zr8-Lm2_xx"', lambda: "DE89 3704 0044 0532 0130 00", lambda: r.choice(["4539 1488 0343 6467", "4539148803436467"]), lambda: "v1.2.3 and 2024-01-02",
+    ]
+    rows = [(i, " ".join(r.choice(made)() if r.random() < 0.3 else r.choice(["the", "and", "Word", "x9", "\n"]) for _ in range(r.randrange(1, 60)))) for i in range(150)]
+    out = {x.doc_id: x for x in run(spark, rows)[1].collect()}
+    seen = {}
+    for i, text in rows:
+        mentions = plain_mentions(text)
+        assert out[i].n_entities == len(mentions)
+        parts, at = [], 0
+        for start, end, kind in mentions:
+            parts.append(re.escape(text[at:start]) + ("(\\d+\\.\\d+\\.\\d+\\.\\d+)" if kind == "ip" else "(\\w+)" if kind.startswith("name") else f"(.{{{end - start}}})"))
+            at = end
+        m = re.fullmatch("".join(parts) + re.escape(text[at:]), out[i].text, re.DOTALL)
+        assert m, (text, out[i].text)
+        gender = {}
+        for start, end, kind in mentions:
+            if kind in ("name_m", "name_f"):
+                gender.setdefault(text[start:end], []).append(kind)
+        for (start, end, kind), new in zip(mentions, m.groups()):
+            old = text[start:end]
+            if kind.startswith("name_n"):
+                kind = gender.get(old, ["name_n"])[0]
+            norm = re.sub(r"\D", "", old) if kind in ("phone", "card", "ssn") else old
+            new_norm = re.sub(r"\D", "", new) if kind in ("phone", "card", "ssn") else new
+            assert new != old and seen.setdefault((kind, norm), new_norm) == new_norm
+    assert len(seen) == len({(k, v) for (k, _), v in seen.items()}) and len(seen) > 25
+    assert not {(k, v) for (k, _), v in seen.items()} & seen.keys()
