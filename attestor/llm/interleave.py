@@ -1,8 +1,7 @@
 """Burrows-Wheeler transforms of shards of strings, merged by refining their interleave.
 
-Strings are bytes of UTF-8, which never hold END; STEP of END close each of them and sort last. Every END counts as a
-symbol of its own, so that what two strings share stops where either ends. Transforms hold the STEP symbols before a
-suffix in place of one, which divides the rounds of a merge by STEP.
+A symbol is a word of WORD bytes, aligned to the string's anchor, by its number among the words of all shards. Each
+string closes with an end that sorts last and is a symbol of its own, so that what two strings share stops where either ends.
 """
 
 from __future__ import annotations
@@ -11,50 +10,44 @@ from dataclasses import dataclass
 
 import numpy as np
 
-END, STEP = 0xFF, 8
+WORD = 8
 
 
 @dataclass
 class Shard:
     """The suffixes of some strings in order, of which it keeps what a merge needs."""
 
-    #: Place of each suffix in the text, in order; those of ends alone come last, as they stand.
+    #: Place of each suffix in the text, in order; the ends come last, as they stand.
     order: np.ndarray
-    #: The STEP symbols before each suffix as a number: the Burrows-Wheeler transform. Only where ``inner``.
+    #: The symbol before each suffix: the Burrows-Wheeler transform. Only where ``inner``.
     bwt: np.ndarray
-    #: Rank of the suffix that begins STEP symbols earlier.
+    #: Rank of the suffix that begins one symbol earlier.
     lf: np.ndarray
-    #: Whether there are STEP symbols before the suffix in its string.
+    #: Whether there is a symbol before the suffix in its string.
     inner: np.ndarray
-    #: Whether a suffix shares ``depth`` bytes with the one before it.
+    #: Whether a suffix shares ``depth`` symbols with the one before it.
     deep: np.ndarray
     n_plain: int
 
 
-def build_shard(strings: list[bytes], depth: int) -> Shard:
-    """Sort the suffixes of ``strings``, laid one after another with their ends, by doubling prefixes."""
-    if depth % STEP or not depth:
-        raise ValueError(f"depth is no multiple of {STEP}")
-    ends = bytes([END]) * STEP
-    text = np.frombuffer(b"".join(s + ends for s in strings), np.uint8)
-    n, is_end = len(text), text == END
-    size = np.array([len(s) + STEP for s in strings])
-    begin = np.cumsum(size) - size
-    string = np.repeat(np.arange(len(strings)), size)
-    end = (begin + size - STEP)[string]  # the first of the string's ends
-    words = np.zeros(n, np.uint64)
-    for k in range(STEP):
-        words <<= np.uint64(8)
-        words[: max(0, n - k)] |= text[k:].astype(np.uint64)
+def build_shard(symbols: np.ndarray, sizes: np.ndarray, depth: int) -> Shard:
+    """Sort the suffixes of strings of ``sizes`` symbols, which lie one after another in ``symbols``, by doubling prefixes."""
+    n = len(symbols) + len(sizes)
+    begin = np.cumsum(sizes + 1) - sizes - 1
+    end = begin + sizes
+    is_end = np.zeros(n, bool)
+    is_end[end] = True
     plain, tail = np.flatnonzero(~is_end), np.flatnonzero(is_end)
+    text = np.zeros(n, np.int64)
+    text[plain] = symbols
     m = len(plain)
-    order = plain[np.argsort(words[plain], kind="stable")]  # equal strings that end here keep their order
+    order = plain[np.argsort(symbols, kind="stable")]
     first = np.ones(m, bool)
-    first[1:] = (words[order[1:]] != words[order[:-1]]) | (order[1:] + STEP > end[order[1:]])
+    first[1:] = text[order[1:]] != text[order[:-1]]
     rank = np.empty(n, np.int64)
     rank[tail] = np.arange(m, n)
     rank[order] = np.maximum.accumulate(np.where(first, np.arange(m), 0))
-    h = STEP
+    h, half, half_rank = 1, 0, rank
     while True:
         open_ = np.flatnonzero(~(first & np.append(first[1:], True)))
         if h <= depth:
@@ -62,8 +55,7 @@ def build_shard(strings: list[bytes], depth: int) -> Shard:
         if not len(open_):
             break
         mine = order[open_]
-        inside = np.argsort(rank[mine] * n + rank[mine + h], kind="stable")
-        mine = mine[inside]
+        mine = mine[np.argsort(rank[mine] * n + rank[mine + h], kind="stable")]
         group, second = rank[mine], rank[mine + h]
         new = np.ones(len(mine), bool)
         new[1:] = (group[1:] != group[:-1]) | (second[1:] != second[:-1])
@@ -72,8 +64,9 @@ def build_shard(strings: list[bytes], depth: int) -> Shard:
         rank[mine] = np.maximum.accumulate(np.where(new, open_, 0))
         h *= 2
     deep = np.zeros(n, bool)
+    last = np.repeat(end, sizes + 1)
     a, b = order[:-1], order[1:]
-    long = (a + depth <= end[a]) & (b + depth <= end[b])
+    long = (a + depth <= last[a]) & (b + depth <= last[b])
     a, b, at = a[long], b[long], np.flatnonzero(long) + 1
     same = np.ones(len(a), bool)
     for skip in [*range(0, depth - half, half), depth - half]:
@@ -82,9 +75,9 @@ def build_shard(strings: list[bytes], depth: int) -> Shard:
     order = np.concatenate([order, tail])
     place = np.empty(n, np.int32)
     place[order] = np.arange(n)
-    inner = order - begin[string[order]] >= STEP
-    before = np.maximum(order - STEP, 0)
-    return Shard(order.astype(np.int32), words[before], place[before], inner, deep, m)
+    before = np.maximum(order - 1, 0)
+    inner = order > np.repeat(begin, sizes + 1)[order]
+    return Shard(order.astype(np.int32), text[before].astype(np.uint32), place[before], inner, deep, m)
 
 
 def _stable(keys: np.ndarray) -> np.ndarray:
@@ -95,37 +88,33 @@ def _stable(keys: np.ndarray) -> np.ndarray:
 
 
 def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """All shards' suffixes in one order, and whether each shares ``depth`` bytes with the one before it.
-
-    The order is given as indices into the shards laid one after another. It starts as the shards in turn. Each round
-    deals the suffixes out by the STEP symbols before them, in the order of the round before: what was in order by h
-    symbols is then in order by h + STEP, and a shard's suffixes never change places among themselves. Where two
-    neighbours first part in a round, they share fewer bytes than it has seen. A block whose suffixes all come
-    from one shard is in its final order; once its own suffixes were dealt out, neither they nor what they
-    became are looked at again. No suffix is sorted.
+    """All shards' suffixes in one order, and whether each shares ``depth`` symbols with the one before it.
+
+    The order is given as indices into the shards laid one after another. It starts as the shards in turn. Round h
+    deals the suffixes out by the symbol before them, in the order of round h - 1: what was in order by h - 1 symbols
+    is then in order by h, and a shard's suffixes never change places among themselves. Where two neighbours first part
+    in round h they share h - 1 symbols. A block whose suffixes all come from one shard is in its final order; once
+    its own suffixes were dealt out, neither they nor what they became are looked at again. No suffix is sorted.
     """
     sizes = np.array([len(s.order) for s in shards])
     base = np.concatenate(([0], np.cumsum(sizes)))
     total = int(base[-1])
     inner = np.concatenate([s.inner for s in shards])
+    bwt = np.concatenate([s.bwt for s in shards])
     lf = np.concatenate([s.lf + np.int32(b) for s, b in zip(shards, base, strict=False)])
     deep = np.concatenate([s.deep for s in shards])
     owner = np.repeat(np.arange(len(shards), dtype=np.int16), sizes)
     plain = np.concatenate([np.arange(n) < s.n_plain for n, s in zip(sizes, shards, strict=True)])
     n_plain = int(plain.sum())
-    grams, numbers = np.unique(np.concatenate([s.bwt for s in shards])[inner], return_inverse=True)
-    ended = grams & np.uint64(0xFF) == END
-    bwt = np.zeros(total, np.uint32)
-    bwt[inner] = numbers
     merged = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)]).astype(np.int32)
     block = np.zeros(total, np.int64)  # twice the first place of each place's block, plus one if one shard fills it
     apart = np.zeros(total, bool)
     apart[:1] = apart[n_plain:] = True
     source, target = np.arange(total, dtype=np.int32), np.arange(n_plain, dtype=np.int32)
-    for h in range(0, depth, STEP):
+    for h in range(depth):
         if not len(target):
             break
-        if h == STEP:  # every suffix of ends alone is in order
+        if h == 1:  # by one symbol, every end is in order
             block[n_plain:] = np.arange(n_plain, total) * 2 + 1
         suffix, origin = merged[source], block[source]
         dealt = np.flatnonzero(inner[suffix])
@@ -136,8 +125,6 @@ def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
         symbol, image, origin = symbol[turn], lf[suffix[turn]], origin[turn]
         new = np.ones(len(target), bool)
         new[1:] = (symbol[1:] != symbol[:-1]) | (origin[1:] != origin[:-1]) | (target[1:] - target[:-1] != 1)
-        if h == 0:
-            new |= ended[symbol]
         merged[target] = image
         starts = np.flatnonzero(new)
         first, shard = target[starts], owner[image]
@@ -150,39 +137,68 @@ def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
     return merged, same
 
 
-def repeated_windows(strings: list[bytes], groups: np.ndarray, anchor_at: np.ndarray, shard_of: np.ndarray, window: int, side: int) -> np.ndarray:
-    """For each string and each d in 0..side: whether the ``window`` bytes that start d before its anchor are in another string of its group, at that place.
+def repeated_windows(strings: list[bytes], anchor_at: np.ndarray, shard_of: np.ndarray, window: int, side: int) -> np.ndarray:
+    """For each string and each d in 0..side: whether the ``window`` bytes that start d before its anchor are in another string, as far before its anchor.
 
-    The strings of each shard are sorted on their own; their merged order gives the intervals of suffixes that
-    share ``window`` bytes, and two suffixes of one interval, group and d are a repeat.
+    ``window`` is a multiple of WORD. A window holds all but one of its words whole, however it lies to the words
+    of its string. So the strings' words become one Burrows-Wheeler transform for each shard, and the merged order gives the
+    intervals of suffixes that share one word less than a window; a repeat shares such an interval, its place
+    and the bytes that are left on either side.
     """
     out = np.zeros((len(strings), side + 1), bool)
-    shards, whose, where = [], [], []
+    if window % WORD or window <= WORD:
+        raise ValueError(f"window is no multiple of {WORD}")
+    if not strings:
+        return out
+    length = np.array([len(s) for s in strings])
+    skip = anchor_at % WORD
+    sizes = (length - skip) // WORD
+    raw = np.frombuffer(bytes(WORD) + b"".join(strings) + bytes(window), np.uint8)
+    base = WORD + np.cumsum(length) - length
+    string = np.repeat(np.arange(len(strings)), sizes)
+    number = np.arange(len(string)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    at = base[string] + skip[string] + number * WORD
+
+    def words(place: np.ndarray) -> np.ndarray:
+        value = np.zeros(len(place), np.uint64)
+        for k in range(WORD):
+            value = value << np.uint64(8) | raw[place + k]
+        return value
+
+    symbols = np.unique(words(at), return_inverse=True)[1]
+    shards, places = [], []
     for s in np.unique(shard_of):
         mine = np.flatnonzero(shard_of == s)
-        shard = build_shard([strings[i] for i in mine], window)
-        size = np.array([len(strings[i]) + STEP for i in mine])
-        start = np.concatenate(([0], np.cumsum(size)[:-1]))
-        string = np.repeat(np.arange(len(mine)), size)
-        shards.append(shard)
-        whose.append(mine[string][shard.order])
-        where.append((np.arange(len(string)) - start[string])[shard.order])
-    if not shards:
-        return out
-    merged, same = merge(shards, window)
+        own = shard_of[string] == s
+        shards.append(build_shard(symbols[own], sizes[mine], window // WORD - 1))
+        flat = np.full(len(shards[-1].order), -1)  # ends have no place
+        ends = np.cumsum(sizes[mine] + 1) - 1
+        is_end = np.zeros(len(flat), bool)
+        is_end[ends] = True
+        flat[~is_end] = np.flatnonzero(own)
+        places.append(flat[shards[-1].order])
+    merged, same = merge(shards, window // WORD - 1)
     either = same.copy()
     either[:-1] |= same[1:]
     hits = np.flatnonzero(either)
     interval = np.cumsum(~same)[hits]
-    owner = np.concatenate(whose)[merged[hits]]
-    d = anchor_at[owner] - np.concatenate(where)[merged[hits]]
-    inside = (d >= 0) & (d <= side)
-    interval, owner, d = interval[inside], owner[inside], d[inside]
-    order = np.lexsort((d, groups[owner], interval))
-    key = np.stack([interval, groups[owner], d])[:, order]
-    pair = (key[:, 1:] == key[:, :-1]).all(axis=0)
-    twice = np.zeros(len(order), bool)
-    twice[1:] |= pair
-    twice[:-1] |= pair
-    out[owner[order[twice]], d[order[twice]]] = True
+    spot = np.concatenate(places)[merged[hits]]
+    owner, at = string[spot], at[spot]
+    before, after = words(at - WORD), words(at + window - WORD)
+    for e in range(WORD):
+        first = at - base[owner] - e
+        d = anchor_at[owner] - first
+        ok = np.flatnonzero((first >= 0) & (first + window <= length[owner]) & (d >= 0) & (d <= side))
+        bits = np.uint64(8 * e)
+        rest = after[ok] >> bits
+        if e:
+            rest |= (before[ok] & ((np.uint64(1) << bits) - np.uint64(1))) << (np.uint64(8 * WORD) - bits)
+        key = interval[ok] * (side + 1) + d[ok]
+        order = np.lexsort((rest, key))
+        pair = (key[order[1:]] == key[order[:-1]]) & (rest[order[1:]] == rest[order[:-1]])
+        twice = np.zeros(len(ok), bool)
+        twice[order[1:][pair]] = True
+        twice[order[:-1][pair]] = True
+        hit = ok[twice]
+        out[owner[hit], d[hit]] = True
     return out

@@ -18,9 +18,9 @@ from attestor.llm.interleave import repeated_windows
 from attestor.session import Workspace
 
 #: Different contexts of one anchor that are merged in one task; those of a more frequent anchor are counted window by window.
-GROUP = 1 << 10
+GROUP = 1 << 15
 #: Contexts merged at once, and the shards they come from.
-BATCH, SHARDS = 1 << 10, 4
+BATCH, SHARDS = 1 << 12, 4
 EMPTY = hashlib.sha256(b"").hexdigest()
 _CTX = "hash long, cid binary, pos int, weight long, n_left int, bytes binary"
 
@@ -80,7 +80,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         column = lambda k: table.column(k).combine_chunks()
         cids = column("cid").to_pylist()
         shard = np.array([c[-1] % SHARDS for c in cids])
-        masks = repeated_windows(column("bytes").to_pylist(), np.asarray(column("hash")), np.asarray(column("n_left")), shard, WINDOW, SIDE)
+        masks = repeated_windows(column("bytes").to_pylist(), np.asarray(column("n_left")), shard, WINDOW, SIDE)
         alone = np.flatnonzero((np.asarray(column("weight")) == 1) & masks.any(axis=1))
         packed = [m.tobytes() for m in np.packbits(masks[alone], axis=1, bitorder="little")]
         return pa.RecordBatch.from_arrays([pa.array([cids[i] for i in alone], pa.binary()), pa.array(np.asarray(column("pos"))[alone], pa.int32()), pa.array(packed, pa.binary())], names=["cid", "pos", "mask"])

@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 
 from attestor.llm.anchors import CHUNK, WINDOW, anchors
-from attestor.llm.interleave import STEP, build_shard, merge, repeated_windows
+from attestor.llm.interleave import build_shard, merge, repeated_windows
 from attestor.llm.repeats import remove_repeats
 from tests.llm.conftest import prose
 
@@ -68,55 +68,51 @@ def test_long_texts_have_the_same_anchors_in_chunks():
     assert np.diff(pos).max() <= WINDOW - 64 + 1
 
 
+def made(r, n):
+    return [r.integers(0, 2, r.integers(0, 60)).tolist() for _ in range(n)]
+
+
 def test_merged_shards_are_in_order_and_know_what_they_share():
     r = np.random.default_rng(3)
-    for depth in (8, 16, 24):
-        strings = [bytes(r.integers(97, 99, r.integers(0, 60)).astype(np.uint8)) for _ in range(24)]
-        strings += [strings[3] + b"x", b"y" + strings[3], strings[5], b"", b"", b"ab" * 30, b"ab" * 25]
+    for depth in (1, 3, 8, 24):
+        strings = made(r, 24)
+        strings += [strings[3] + [2], [5] + strings[3], strings[5], [], [], [0, 1] * 30, [0, 1] * 25, [70_000, 1, 1]]
         for n_shards in (1, 2, 5):
             shard_of = r.integers(0, n_shards, len(strings))
             shards, where = [], []
             for s in np.unique(shard_of):
                 mine = [i for i in range(len(strings)) if shard_of[i] == s]
-                shards.append(build_shard([strings[i] for i in mine], depth))
-                places = [(i, p) for i in mine for p in range(len(strings[i]) + STEP)]
+                shards.append(build_shard(np.array(sum((strings[i] for i in mine), []), np.int64), np.array([len(strings[i]) for i in mine]), depth))
+                places = [(i, p) for i in mine for p in range(len(strings[i]) + 1)]
                 where += [places[k] for k in shards[-1].order]
             merged, same = merge(shards, depth)
             texts = [strings[i][p:] for i, p in (where[k] for k in merged)]
-            ends = [t[:depth] + b"\xff" * (len(t) < depth) for t in texts]
-            assert ends == sorted(ends) and sorted(merged.tolist()) == list(range(sum(len(s) + STEP for s in strings)))
+            ends = [(t + [10**9])[:depth] for t in texts]
+            assert ends == sorted(ends) and sorted(merged.tolist()) == list(range(sum(len(s) + 1 for s in strings)))
             for a, b, shares in zip(texts, texts[1:], same[1:]):
                 assert shares == (len(a) >= depth and len(b) >= depth and a[:depth] == b[:depth])
 
 
 def test_a_shard_is_sorted_in_full():
-    r = np.random.default_rng(4)
-    strings = [bytes(r.integers(97, 99, r.integers(0, 90)).astype(np.uint8)) for _ in range(30)] + [b"a" * 200, b"a" * 300]
-    shard = build_shard(strings, 16)
-    places = [(i, p) for i, s in enumerate(strings) for p in range(len(s) + STEP)]
-    keys = [[*strings[i][p:], 1000 + i, p] for i, p in (places[k] for k in shard.order)]
+    strings = made(np.random.default_rng(4), 30) + [[1] * 200, [1] * 300]
+    shard = build_shard(np.array(sum(strings, [])), np.array([len(s) for s in strings]), 16)
+    places = [(i, p) for i, s in enumerate(strings) for p in range(len(s) + 1)]
+    keys = [[*strings[i][p:], 1000 + i] for i, p in (places[k] for k in shard.order)]
     assert keys == sorted(keys)
 
 
 def test_repeated_windows_of_a_group():
     r = np.random.default_rng(5)
-    side, window = 16, 24
-    strings, groups, at = [], [], []
-    for i in range(200):
-        g = int(r.integers(0, 6))
-        left, right = (b"".join(r.choice([b"aaaa", b"abba"], 4))[: r.integers(side // 2, side + 1)] for _ in range(2))
-        left = left[::-1]
-        strings.append(left + b"ANCHOR%02d" % g + right)
-        groups.append(g)
-        at.append(len(left))
-    got = repeated_windows(strings, np.array(groups), np.array(at), r.integers(0, 3, 200), window, side)
-    seen = Counter()
-    for s, g, a in zip(strings, groups, at):
-        for d in range(min(a, side) + 1):
-            if a - d + window <= len(s):
-                seen[g, d, s[a - d : a - d + window]] += 1
-    for k, (s, g, a) in enumerate(zip(strings, groups, at)):
-        for d in range(side + 1):
-            want = d <= a and a - d + window <= len(s) and seen[g, d, s[a - d : a - d + window]] > 1
-            assert got[k, d] == want
-    assert got.any()
+    for side, window in ((16, 24), (24, 32), (30, 40)):
+        strings, at = [], []
+        for i in range(300):
+            left, right = (b"".join(r.choice([b"aaaa", b"abba"], 8))[: r.integers(side // 2, side + 1)] for _ in range(2))
+            strings.append(left[::-1] + b"ANCHOR%02d" % r.integers(0, 6) + right)
+            at.append(len(left))
+        got = repeated_windows(strings, np.array(at), r.integers(0, 3, 300), window, side)
+        seen = Counter(x for s, a in zip(strings, at) for x in {(d, s[a - d : a - d + window]) for d in range(min(a, side) + 1) if a - d + window <= len(s)})
+        for k, (s, a) in enumerate(zip(strings, at)):
+            for d in range(side + 1):
+                assert got[k, d] == (d <= a and a - d + window <= len(s) and seen[d, s[a - d : a - d + window]] > 1)
+        assert got.any() and not got.all()
+    assert repeated_windows([], np.zeros(0, int), np.zeros(0, int), 200, 136).shape == (0, 137)
