@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attestor.llm.tokenizer_io import by_bytes, encoder, split_text
+from attestor.llm.tokenizer_io import by_bytes, encoder, n_bytes, split_text
 
 BATCH_BYTES = 1 << 20
 PIECE_CHARS = 1 << 16
@@ -26,7 +26,7 @@ def token_lengths(texts: list[str], path: str, batch_bytes: int = BATCH_BYTES, p
             pieces.append(piece)
             owner.append(i)
     out = [0] * len(texts)
-    for a, b in by_bytes([len(p) for p in pieces], batch_bytes):
+    for a, b in by_bytes([n_bytes(p) for p in pieces], batch_bytes):
         for i, ids in zip(owner[a:b], encode(pieces[a:b]), strict=True):
             out[i] += len(ids)
     return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -52,13 +53,42 @@ def splits_at_spaces(path: str) -> bool:
     )
 
 
+#: Fixed value: the pattern of a word tokenizer whose words, kept while all else is dropped, never hold white space.
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_HARMLESS = ({"type": "NFC"}, {"type": "Lowercase"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "})
+
+
+@lru_cache(maxsize=4)
+def json_splits_at_spaces(path: str) -> bool:
+    """Whether a .json tokenizer encodes a text as it encodes the two parts at a single space between ASCII letters or digits.
+
+    Proven for two makes whose words never hold white space behind anything else: bytes with the regular expression
+    that lets a word begin with its space, without normaliser; and the word pattern _WORDS, behind normalisers
+    that work character by character. No added token may hold, or swallow, white space.
+    """
+    with open(path, encoding="utf-8") as f:
+        made = json.load(f)
+    if any(t.get("lstrip") or t.get("rstrip") or re.search(r"\s", t["content"]) for t in made.get("added_tokens", [])):
+        return False
+    pre, normalizer = made.get("pre_tokenizer") or {}, made.get("normalizer")
+    if pre.get("type") == "ByteLevel":
+        return normalizer is None and pre.get("use_regex", True) and not pre.get("add_prefix_space", True)
+    steps = pre.get("pretokenizers", []) if pre.get("type") == "Sequence" else [pre]
+    first = steps[0] if steps else {}
+    words = first.get("type") == "Split" and first.get("pattern") == {"Regex": _WORDS} and first.get("behavior") == "Removed" and first.get("invert") is True
+    norms = [] if normalizer is None else normalizer.get("normalizers", [normalizer])
+    return bool(words and all(n in _HARMLESS for n in norms) and all(s.get("type") == "ByteLevel" and not s.get("add_prefix_space", True) and not s.get("use_regex", True) for s in steps[1:]))
+
+
 def split_text(text: str, path: str, limit: int) -> list[str]:
-    """Cut a text of over ``limit`` characters at spaces that are safe for this tokenizer; whole if none is.
+    """Cut a text of over ``limit`` characters at single spaces between ASCII letters or digits, if that is proven safe for this tokenizer.
 
-    Pieces of a .json tokenizer keep the space that leads them, those of a .model lose it to the mark
-    that the library puts before each piece.
+    A tokenizer without proof, and a text without such spaces (as in scripts without them), stays whole. Pieces
+    of a .json tokenizer keep the space that leads them, those of a .model lose it to the mark that the library puts
+    before each piece.
     """
-    if len(text) <= limit or (path.endswith(".model") and not splits_at_spaces(path)):
+    proven = splits_at_spaces if path.endswith(".model") else json_splits_at_spaces
+    if len(text) <= limit or not proven(path):
         return [text]
     skip = 1 if path.endswith(".model") else 0
     parts, start = [], 0
@@ -82,6 +112,10 @@ def encoder(path: str) -> Callable[[list[str]], list]:
     return lambda texts: [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+def n_bytes(text: str) -> int:
+    return len(text) if text.isascii() else len(text.encode())
+
+
 def by_bytes(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive items of at most ``limit`` bytes together, or of one larger item."""
     start = total = 0

@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 from attestor.llm import token_count
 from attestor.llm.char_map import CharMap, normalise, rewrite
 from attestor.llm.piece_spans import encode_pieces, piece_ends
-from attestor.llm.tokenizer_io import split_text, splits_at_spaces
+from attestor.llm.tokenizer_io import by_bytes, json_splits_at_spaces, n_bytes, split_text, splits_at_spaces
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -35,6 +35,26 @@ def test_split_pieces_tile_the_text(texts):
         assert " ".join(split_text(t or "", MODEL, 50)) == (t or "")
 
 
+def test_batches_are_bounded_by_bytes():
+    texts = ["a" * 10, "é" * 10, "漢" * 10, "b" * 5, "c" * 50, "d"]
+    sizes = [n_bytes(t) for t in texts]
+    assert sizes == [len(t.encode()) for t in texts]
+    parts = list(by_bytes(sizes, 40))
+    assert [i for a, b in parts for i in range(a, b)] == list(range(6)) and all(b - a == 1 or sum(sizes[a:b]) <= 40 for a, b in parts)
+
+
+def test_json_tokenizers_are_cut_only_with_proof(tmp_path):
+    import json
+
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        made = json.load(open(public_tokenizers.path(name)))
+        assert json_splits_at_spaces(public_tokenizers.path(name))
+        for k, change in enumerate([{"normalizer": {"type": "StripAccents"}}, {"pre_tokenizer": {"type": "Metaspace"}}, {"added_tokens": [*made["added_tokens"], made["added_tokens"][0] | {"content": "new york"}]}, {"pre_tokenizer": None}]):
+            path = tmp_path / f"{k}-{name}"
+            path.write_text(json.dumps(made | change))
+            assert not json_splits_at_spaces(str(path)) and split_text("one two " * 99, str(path), 50) == ["one two " * 99]
+
+
 def test_unknown_kind_is_refused(docs):
     with pytest.raises(ValueError):
         token_count.count_tokens(docs, "x.bin")
