@@ -10,9 +10,12 @@ from attestor.session import Workspace
 MAX_ROUNDS = 60
 
 
-def _hook(pairs: DataFrame, only_up: bool) -> DataFrame:
-    """Links of every node's neighbours to its smallest neighbour (itself included)."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("least")).select(F.col("u").alias("k"), F.least("u", "least").alias("m"))
+def _hook(pairs: DataFrame, only_up: bool, work: Workspace) -> DataFrame:
+    """Links of every node's neighbours to its smallest neighbour (itself included).
+
+    The minima are written before the join, so that both its sides are plain exchanges, which adaptive execution splits.
+    """
+    least = work.save(pairs.groupBy("u").agg(F.min("v").alias("least")).select(F.col("u").alias("k"), F.least("u", "least").alias("m")), "least")
     met = pairs.join(least, pairs.u == least.k)
     keep = F.col("v") > F.col("u") if only_up else F.col("v") != F.col("m")
     return met.where(keep).select(F.col("v").alias("a"), F.col("m").alias("b"))
@@ -35,11 +38,11 @@ def connected_components(edges: DataFrame, src: str, dst: str, work: Workspace)
             break
         state = seen
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        large = work.save(_hook(both, True).where("a != b").distinct(), "large")
+        large = work.save(_hook(both, True, work).where("a != b").distinct(), "large")
         work.drop(now)
         down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = _hook(down, False).unionAll(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
+        small = _hook(down, False, work).unionAll(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
         now = work.save(small.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "small")
         work.drop(large)
     else:

@@ -211,7 +211,7 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     distinct = work.save(marked.groupBy("fp").agg(F.min("id").alias("first_id")), "distinct")
     roots = connected_components(link_fingerprints(distinct.select("fp"), work, bucket=bucket), "fp", "root", work)
     rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    least = work.save(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "least")  # written, so that the join can split a hot root
     label = work.save(rooted.join(least, "root").select(F.col("fp").alias("key"), "component_id"), "labels")
     return marked.join(label, marked.fp == label.key, "left").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"

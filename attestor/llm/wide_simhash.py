@@ -27,6 +27,7 @@ WORDS = SEGMENTS * WIDTH // 64
 #: Bits of the following segments that ride along with a variant, and how many of them near copies may differ in.
 CHECK_BITS, CHECK_LIMIT = 29, 11
 _CHUNK = 255 * 32
+FAR = 1 << 20
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -139,7 +140,12 @@ def _groups(batches: Iterator[pa.RecordBatch], keys, most: int) -> Iterator[tupl
 
 
 def _met(variants: DataFrame, bucket: int) -> DataFrame:
-    """(bucket, node) of rows that share a variant with a row whose check bits are near."""
+    """(bucket, node) of rows that share a variant with another one.
+
+    Two rows of a bucket are candidates if their check bits and all their bits are near, whatever the size of the bucket. Rows
+    of a small bucket that are near none by check bits are left out here already; a bucket that outgrows ``bucket`` rows
+    goes on whole, and the same test is made where its blocks are compared.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, size = [], 0
@@ -164,28 +170,46 @@ def _met(variants: DataFrame, bucket: int) -> DataFrame:
     return variants.repartition(cut).sortWithinPartitions("packed").mapInArrow(run, "bucket long, node long")
 
 
-def nearest_forest(fps: np.ndarray, limit: int) -> list[tuple[int, int]]:
+def check_mask(bucket: int) -> np.ndarray:
+    """Which bits of a fingerprint ride along with the variants of ``bucket`` as check bits."""
+    segment, bits = bucket >> 29, np.zeros((SEGMENTS, WIDTH), np.uint8)
+    bits[(segment + 1) % SEGMENTS] = 1
+    bits[(segment + 2) % SEGMENTS, : CHECK_BITS - WIDTH] = 1
+    return np.packbits(bits, bitorder="little").view(np.uint64)
+
+
+def _apart(fps: np.ndarray, one: np.ndarray, mask: np.ndarray | None) -> np.ndarray:
+    """Bits in which each fingerprint differs from ``one``; out of reach where over CHECK_LIMIT check bits do."""
+    diff = fps ^ one
+    bits = np.bitwise_count(diff).sum(axis=1, dtype=np.int64)
+    if mask is None:
+        return bits
+    held = np.flatnonzero(mask)
+    return np.where(np.bitwise_count(diff[:, held] & mask[held]).sum(axis=1, dtype=np.int64) <= CHECK_LIMIT, bits, FAR)
+
+
+def nearest_forest(fps: np.ndarray, limit: int, mask: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Edges of a forest that joins what is within ``limit`` bits, nearest first, so that no path holds an edge longer than the pair it stands for."""
     n = len(fps)
-    best, near, done = np.full(n, 1 << 20), np.zeros(n, np.int64), np.zeros(n, bool)
+    best, near, done = np.full(n, FAR), np.zeros(n, np.int64), np.zeros(n, bool)
     at, edges = 0, []
     for _ in range(n - 1):
         done[at] = True
-        apart = np.bitwise_count(fps ^ fps[at]).sum(axis=1, dtype=np.int64)
+        apart = _apart(fps, fps[at], mask)
         closer = (apart < best) & ~done
         best[closer], near[closer] = apart[closer], at
-        at = int(np.argmin(np.where(done, 1 << 21, best)))
+        at = int(np.argmin(np.where(done, FAR + 1, best)))
         if best[at] <= limit:
             edges.append((at, int(near[at])))
     return edges
 
 
-def unjoined_pairs(fps: np.ndarray, roots: np.ndarray, limit: int) -> Iterator[tuple[int, np.ndarray]]:
+def unjoined_pairs(fps: np.ndarray, roots: np.ndarray, limit: int, mask: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
     """Each row with the later rows of another root that are within ``limit`` bits."""
     for at in range(len(fps) - 1):
         others = np.flatnonzero(roots[at + 1 :] != roots[at]) + at + 1
         if len(others):
-            near = others[np.bitwise_count(fps[others] ^ fps[at]).sum(axis=1, dtype=np.int64) <= limit]
+            near = others[_apart(fps[others], fps[at], mask) <= limit]
             if len(near):
                 yield at, near
 
@@ -209,7 +233,7 @@ def _forests(rows: DataFrame, limit: int) -> DataFrame:
     """(a, b) of the forests inside the groups (bucket, low, high) of rows with node and fp."""
 
     def forest(table: pa.Table, fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        edges = nearest_forest(fps, limit)
+        edges = nearest_forest(fps, limit, check_mask(table["bucket"][0].as_py()))
         if edges:
             nodes, ends = np.asarray(table["node"]), np.array(edges)
             yield nodes[ends[:, 0]], nodes[ends[:, 1]]
@@ -222,7 +246,7 @@ def _unjoined(rows: DataFrame, limit: int) -> DataFrame:
 
     def every(table: pa.Table, fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         nodes, left, right, size = np.asarray(table["node"]), [], [], 0
-        for at, near in unjoined_pairs(fps, np.asarray(table["root"]), limit):
+        for at, near in unjoined_pairs(fps, np.asarray(table["root"]), limit, check_mask(table["bucket"][0].as_py())):
             left.append(np.full(len(near), nodes[at]))
             right.append(nodes[near])
             size += len(near)
@@ -302,6 +326,6 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     links = verified(rest, "rest").unionAll(joined.select(F.col("node").alias("a"), F.col("root").alias("b")))
     roots = connected_components(links, "a", "b", work).select(F.col("node").alias("member"), "root")
     rooted = classes.join(roots, classes.node == roots.member, "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    least = work.save(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "least")  # written, so that the join can split a hot root
     label = work.save(rooted.join(least, "root").select(F.col("node").alias("key"), "component_id"), "labels")
     return marked.join(label, marked.node == label.key, "left").select(F.col("id").alias(id_col), "component_id")

@@ -39,3 +39,56 @@ def test_the_risk_is_never_negative_for_separable_data():
     good, bad = r.normal(1, 0.3, (200, n)), r.normal(-1, 0.3, (60, n))
     model = quality.fit(good, np.concatenate([r.normal(1, 0.3, (240, n)), bad]), 0.8)
     assert model.score(good).min() > 0.5 and model.score(bad).max() < 0.5
+
+
+def naive_features(text):
+    """The features of a text, byte by byte and word by word."""
+    data = text.encode()
+    n = len(data)
+    if not n:
+        return [0.0] * (quality.N_FEATURES - 1) + [1.0]
+    punct = [b for b in range(33, 127) if not chr(b).isalnum()]
+    out = [sum(x == b for x in data) / n for b in punct]
+    count = lambda test: sum(map(test, data))
+    upper, lower = count(lambda x: 65 <= x <= 90), count(lambda x: 97 <= x <= 122)
+    words = data.split()
+    size = [len(w) for w in words]
+    share = lambda test: sum(map(test, words)) / len(words) if words else 0.0
+    mean = sum(size) / len(size) if size else 0.0
+    deviation = (sum((s - mean) ** 2 for s in size) / len(size)) ** 0.5 if size else 0.0
+    lines = [x for x in data.split(b"\n") if x.strip()]
+    out += [
+        np.log1p(n) / 10, upper / n, lower / n, count(lambda x: 48 <= x <= 57) / n, count(lambda x: x > 127) / n, count(lambda x: x == 10) / n, count(lambda x: x == 32) / n, upper / max(1, upper + lower),
+        mean / 10, deviation / 10, share(lambda w: len(w) > 20), share(lambda w: len(w) == 1), share(lambda w: w[-1] in punct and w[-1] not in b".,;:?'\")"), share(lambda w: w[-1] in punct and w[max(0, len(w) - 2)] in punct), share(lambda w: len(w) == 1 and w[0] in punct),
+        share(lambda w: 65 <= w[0] <= 90), share(lambda w: w[-1] in b".?!"), 1 - len(set(lines)) / max(1, len(lines)), len(set(words)) / max(1, len(words)), sum(a == b for a, b in zip(words, words[1:])) / max(1, len(words)),
+    ]
+    return out + [0.0] * (quality.N_FEATURES - len(out))
+
+
+def test_features_equal_a_count_byte_by_byte(texts, monkeypatch):
+    some = [(t or "")[:3000] for _, t in texts] + ["A!! b?? c ;; ; 12\n\n12\n12 the the The", " \t ", "É é漢 x"]
+    for piece in (quality.PIECE, 7):
+        monkeypatch.setattr(quality, "PIECE", piece)
+        for text in some:
+            assert np.allclose(quality.features(text), naive_features(text), atol=1e-12)
+
+
+def test_the_fit_reaches_the_least_non_negative_risk():
+    r = np.random.default_rng(7)
+    for prior, gap in ((0.5, 1.0), (0.8, 0.6), (0.3, 1.5)):
+        positives = r.normal(gap, 1, (400, 1))
+        unlabelled = np.concatenate([r.normal(gap, 1, (int(600 * prior), 1)), r.normal(-gap, 1, (600 - int(600 * prior), 1))])
+        model = quality.fit(positives, unlabelled, prior)
+        p, u = model.expand(positives), model.expand(unlabelled)
+
+        def risk(w):
+            sp, su = p @ w, u @ w
+            return prior * np.logaddexp(0, -sp).mean() + max(0.0, np.logaddexp(0, su).mean() - prior * np.logaddexp(0, sp).mean())
+
+        best, step, at = np.inf, 2.0, np.zeros(3)
+        while step > 0.02:  # a search of the grid around the best point, ever finer
+            grid = [at + step * np.array(d) for d in np.ndindex(3, 3, 3) for d in [np.array(d) - 1]]
+            values = [risk(w) for w in grid]
+            k = int(np.argmin(values))
+            step, at, best = (step / 2, at, best) if values[k] >= best - 1e-9 else (step, grid[k], values[k])
+        assert risk(model.weights) <= best + 0.01
