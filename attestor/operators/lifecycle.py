@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 #: Allowed edges.
 EDGES = {"registered": ["acquired"], "acquired": ["claims_proposed"], "claims_proposed": ["reconciled"], "reconciled": ["contract_built"], "contract_built": ["validated"], "validated": ["review_required", "approval_ready"], "review_required": ["approved", "revoked"], "approval_ready": ["approved", "revoked"], "approved": ["published", "revoked"], "published": ["stale", "superseded", "revoked"], "stale": ["superseded", "revoked"]}
@@ -18,25 +17,50 @@ def edge_keys() -> list[str]:
     return [f"{a}>{b}" for a, bs in EDGES.items() for b in bs]
 
 
-def check_transitions(events: DataFrame, start: str = "registered") -> DataFrame:
-    """Each event (aggregate_id, ord, target, actor, key) with the state before it and the first rule it breaks, if any.
+def _lookup(table: dict[str, list[str]], key: Column) -> Column:
+    values = F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    return F.try_element_at(values, key)
 
-    The state before an event is the target of the one before it, a replay of a key that reached the same state
-    changes nothing, and a set of artifacts grows along the events. Window functions, one shuffle by aggregate.
-    """
-    w = W.partitionBy("aggregate_id").orderBy("ord")
-    state = F.coalesce(F.lag("target").over(w), F.lit(start))
-    seen = F.collect_set(F.concat_ws("|", "key", "target")).over(w.rowsBetween(W.unboundedPreceding, -1))
-    have = F.array_distinct(F.flatten(F.collect_list(F.coalesce("artifacts", F.array().cast("array<string>"))).over(w.rowsBetween(W.unboundedPreceding, 0))))
-    out = events.withColumns({"state": state, "__seen": seen, "__have": have})
-    need = F.coalesce(F.try_element_at(F.create_map(*[x for k, v in REQUIRED.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]), F.col("target")), F.array().cast("array<string>"))
-    actors = F.try_element_at(F.create_map(*[x for k, v in ACTORS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]), F.col("target"))
-    replay = (F.col("state") == F.col("target")) & F.array_contains("__seen", F.concat_ws("|", "key", "target"))
-    verdict = (
-        F.when(replay, "replayed")
-        .when(~F.concat(F.col("state"), F.lit(">"), F.col("target")).isin(edge_keys()), "illegal_edge")
-        .when(actors.isNotNull() & ~F.array_contains(actors, F.col("actor")), "wrong_actor")
-        .when(F.size(F.array_except(need, F.col("__have"))) > 0, "missing_artifact")
+
+def verdict(state: Column, have: Column, keys: Column, target: Column, actor: Column, key: Column, artifacts: Column) -> Column:
+    """What becomes of an event that meets ``state``, the artifacts ``have`` and the idempotency ``keys`` processed so far: the first rule it breaks, if any."""
+    none = F.array().cast("array<string>")
+    actors = _lookup(ACTORS, target)
+    missing = F.array_except(F.coalesce(_lookup(REQUIRED, target), none), F.concat(have, F.coalesce(artifacts, none)))
+    return (
+        F.when(F.array_contains(keys, key) & (target == state), "replayed")
+        .when(~F.array_contains(F.coalesce(_lookup(EDGES, state), none), target), "illegal_edge")
+        .when(actors.isNotNull() & ~F.array_contains(actors, actor), "wrong_actor")
+        .when(F.size(missing) > 0, "missing_artifact")
         .otherwise("accepted")
     )
-    return out.withColumn("verdict", verdict).drop("__seen", "__have")
+
+
+def check_transitions(events: DataFrame, start: str = "registered") -> DataFrame:
+    """Each event (aggregate_id, ord, target, actor, key, artifacts) with the ``state`` before it and its ``verdict``.
+
+    A refused event changes nothing: neither the state, nor the artifacts at hand, nor the keys processed; a replay of a
+    processed key that asks for the present state is no error. One fold over the events of each aggregate in order
+    (ties by target, actor, key) keeps only what was accepted, of which the graph, having no way back, allows
+    few; every event is then judged against the acceptances before it. One shuffle, by aggregate.
+    """
+    others = [c for c in events.columns if c not in ("aggregate_id", "ord", "target", "actor", "key", "artifacts")]
+    none = F.array().cast("array<string>")
+    event = F.struct("ord", "target", "actor", "key", F.coalesce("artifacts", none).alias("artifacts"), *others)
+    one = events.groupBy("aggregate_id").agg(F.sort_array(F.collect_list(event)).alias("events"))
+    began = F.struct(F.lit(start).alias("state"), none.alias("have"), none.alias("keys"), F.lit(0).alias("at"), F.array(F.struct(F.lit(-1).alias("at"), F.lit(start).alias("state"), none.alias("have"), none.alias("keys"))).alias("past"))
+
+    def step(acc: Column, e: Column) -> Column:
+        took = verdict(acc.state, acc.have, acc["keys"], e.target, e.actor, e.key, e.artifacts) == "accepted"
+        state = F.when(took, e.target).otherwise(acc.state)
+        have = F.when(took, F.array_union(acc.have, e.artifacts)).otherwise(acc.have)
+        keys = F.when(took, F.array_union(acc["keys"], F.array(e.key))).otherwise(acc["keys"])
+        mark = F.struct(acc["at"].alias("at"), state.alias("state"), have.alias("have"), keys.alias("keys"))
+        past = F.when(took, F.concat(acc.past, F.array(mark))).otherwise(acc.past)
+        return F.struct(state.alias("state"), have.alias("have"), keys.alias("keys"), (acc["at"] + 1).alias("at"), past.alias("past"))
+
+    folded = one.withColumn("past", F.aggregate("events", began, step, lambda acc: acc.past))
+    each = folded.select("aggregate_id", "past", F.posexplode("events").alias("pos", "e"))
+    each = each.withColumn("before", F.element_at(F.filter("past", lambda p: p["at"] < F.col("pos")), -1))
+    said = verdict(F.col("before.state"), F.col("before.have"), F.col("before.keys"), F.col("e.target"), F.col("e.actor"), F.col("e.key"), F.col("e.artifacts"))
+    return each.select("aggregate_id", "e.*", F.col("before.state").alias("state"), said.alias("verdict"))
