@@ -2,35 +2,64 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from attestor.functions import text
 from attestor.operators.manifest import row_numbers
 
-HEADING = r"^\s{0,3}(#{1,6})\s+(.*?)\s*#*\s*$"
-FENCE = r"^\s{0,3}(`{3,}|~{3,})(.*)$"
-SEPARATOR = r"^\s*\|?[\s:|-]*-[\s:|-]*\|?\s*$"
+#: An ATX heading of one to six marks; closing marks are no part of it.
+HEADING = r"^ {0,3}(#{1,6})[ \t]+(.*?)[ \t]*#*[ \t]*$"
+#: A run of three or more of one fence character, and what stands behind it.
+FENCE = r"^ {0,3}(([`~])\2{2,})(.*)$"
+#: The rule under a table's header: dashes, with colons and pipes.
+SEPARATOR = r"^[ \t]*(?=[^-]*-)[|:\- \t]+$"
+
+
+def fence_spans(body: Column) -> Column:
+    """Array of (opened, closed) lines of the fences of a text, ``closed`` null where one stays open.
+
+    A fence closes at a run of its own character, at least as long, with nothing behind it; any other run inside it is
+    content. One fold over the lines that hold runs, in order.
+    """
+    runs = F.transform(_split(body), lambda x, i: F.named_struct(F.lit("line"), i + 1, F.lit("run"), F.regexp_extract(x, FENCE, 1), F.lit("info"), F.trim(F.regexp_extract(x, FENCE, 3))))
+    none = F.lit(None).cast("int")
+    start = F.struct(none.alias("line"), F.lit("").alias("run"), F.array().cast("array<struct<opened:int,closed:int>>").alias("spans"))
+
+    def step(acc: Column, x: Column) -> Column:
+        opens = acc.line.isNull()
+        closes = ~opens & (x["info"] == "") & x.run.startswith(acc.run)
+        span = F.named_struct(F.lit("opened"), acc.line, F.lit("closed"), x.line)
+        return F.named_struct(
+            F.lit("line"), F.when(opens, x.line).when(closes, none).otherwise(acc.line), F.lit("run"), F.when(opens, x.run).otherwise(acc.run),
+            F.lit("spans"), F.when(closes, F.concat(acc.spans, F.array(span))).otherwise(acc.spans),
+        )
+
+    left = lambda acc: F.when(acc.line.isNull(), acc.spans).otherwise(F.concat(acc.spans, F.array(F.named_struct(F.lit("opened"), acc.line, F.lit("closed"), none))))
+    return F.aggregate(F.filter(runs, lambda x: x.run != ""), start, step, left)
+
+
+def _split(body: Column) -> Column:
+    return F.split(F.regexp_replace(body, "\r\n?", "\n"), "\n", -1)
 
 
 def lines(docs: DataFrame, source: str, body: str) -> DataFrame:
     """(source, line, text): the lines of every document from 1."""
-    parts = F.split(F.regexp_replace(F.col(body), "\r\n?", "\n"), "\n", -1)
-    return docs.select(F.col(source).alias("source"), F.posexplode(parts).alias("line", "text")).withColumn("line", F.col("line") + 1)
+    return docs.select(F.col(source).alias("source"), F.posexplode(_split(F.col(body))).alias("line", "text")).withColumn("line", F.col("line") + 1)
 
 
 def marked_lines(docs: DataFrame, source: str, body: str) -> DataFrame:
-    """Lines with ``in_fence``, ``level`` (0 if no heading), ``heading`` and the endpoint a line declares outside fences.
+    """Lines with ``in_fence``, ``opens_fence``, ``level`` (0 if no heading), ``heading`` and the endpoint a line declares outside fences.
 
-    A fence opens at a marker and closes at one of the same kind with nothing after it; whether a line is inside follows
-    from the number of markers before it in its document, a running count in one window.
+    The lines of a fence's own marks are no content: neither inside nor outside. Each document's fences are found in one
+    fold over its runs, and a line looks up whether it is between two.
     """
-    rows = lines(docs, source, body)
-    w = W.partitionBy("source").orderBy("line")
-    marker = F.col("text").rlike(FENCE)
-    before = F.coalesce(F.sum(marker.cast("int")).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.withColumns({"is_marker": marker, "in_fence": before % 2 == 1})
+    rows = docs.select(F.col(source).alias("source"), fence_spans(F.col(body)).alias("spans"), F.posexplode(_split(F.col(body))).alias("line", "text")).withColumn("line", F.col("line") + 1)
+    at = F.col("line")
+    opens, closes = F.exists("spans", lambda s: s.opened == at), F.exists("spans", lambda s: s.closed.eqNullSafe(at))
+    inside = F.exists("spans", lambda s: (s.opened < at) & (s.closed.isNull() | (at < s.closed)))
+    rows = rows.withColumns({"opens_fence": opens, "is_marker": opens | closes, "in_fence": inside}).drop("spans")
     free = ~F.col("in_fence") & ~F.col("is_marker")
     level = F.when(free, F.length(F.regexp_extract("text", HEADING, 1))).otherwise(0)
     return rows.withColumns({"level": level, "heading": F.when(level > 0, F.regexp_extract("text", HEADING, 2)), "endpoint": F.when(free, text.declared_endpoint(F.col("text")))})
@@ -72,7 +101,7 @@ def endpoint_facts(docs: DataFrame, source: str, body: str) -> DataFrame:
     field = F.when(F.col("is_row") & named & F.col("head").isNull() & ~F.col("is_rule") & cell.rlike("^[A-Za-z_][A-Za-z0-9_.\\-\\[\\]]*$"), cell)
     owned = rows.withColumn("field", field).where("owner is not null")
     g = owned.groupBy("source", "owner.method", "owner.path").agg(
-        F.min("line").alias("line"), F.max("line").alias("last_line"), F.floor(F.count_if("is_marker") / 2).cast("long").alias("n_fences"), F.array_sort(F.collect_set("field")).alias("parameters")
+        F.min("line").alias("line"), F.max("line").alias("last_line"), F.count_if("opens_fence").alias("n_fences"), F.array_sort(F.collect_set("field")).alias("parameters")
     )
     return g
 
@@ -85,8 +114,8 @@ def draft_endpoints(docs: DataFrame, source: str, body: str) -> DataFrame:
 
 
 def unclosed_fences(docs: DataFrame, source: str, body: str) -> DataFrame:
-    """Documents whose last fence stays open."""
-    return lines(docs, source, body).groupBy("source").agg(F.count_if(F.col("text").rlike(FENCE)).alias("n_markers")).where("n_markers % 2 = 1")
+    """(source, opened): documents whose last fence stays open, with the line it opened in."""
+    return docs.select(F.col(source).alias("source"), F.try_element_at(F.filter(fence_spans(F.col(body)), lambda s: s.closed.isNull()), F.lit(1)).alias("span")).where("span is not null").select("source", F.col("span.opened").alias("opened"))
 
 
 def merge_facts(facts: DataFrame) -> DataFrame:
