@@ -262,9 +262,10 @@ EDGES_SQL = ", ".join(f"'{e}'" for e in lifecycle.edge_keys())
 TARGETS = ["acquired", "claims_proposed", "reconciled", "contract_built", "validated", "approval_ready", "approved", "published", "stale"]
 
 
-@query(f"""WITH e AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS ord FROM events),
+@query(f"""WITH RECURSIVE e AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS ord FROM events),
 x AS (SELECT *, [{', '.join(f"'{s}'" for s in TARGETS)}][((ord - 1 + CASE WHEN ord > 4 AND user_id % 3 = 0 THEN 1 ELSE 0 END) % 9)::INT + 1] AS target FROM e),
-s AS (SELECT *, coalesce(lag(target) OVER (PARTITION BY user_id ORDER BY ord), 'registered') AS state FROM x)
+s AS (SELECT event_id, user_id, ord, target, 'registered' AS state FROM x WHERE ord = 1
+  UNION ALL SELECT x.event_id, x.user_id, x.ord, x.target, CASE WHEN s.state || '>' || s.target IN ({EDGES_SQL}) AND NOT (s.target = 'approved' AND s.user_id % 2 = 0) THEN s.target ELSE s.state END FROM s JOIN x ON x.user_id = s.user_id AND x.ord = s.ord + 1)
 SELECT event_id, user_id, target, state, CASE WHEN state || '>' || target NOT IN ({EDGES_SQL}) THEN 'illegal_edge' WHEN target = 'approved' AND user_id % 2 = 0 THEN 'wrong_actor' ELSE 'accepted' END AS verdict FROM s""")
 def lifecycle_fold(t):
     from pyspark.sql.window import Window as W

@@ -70,10 +70,27 @@ def risk_verdict_by_source(t):
 
 @query()
 def risk_findings(t):
-    """All rules of the pack with line and column, payment cards included."""
+    """All rules of the pack with line and column, payment cards included, over all documents."""
     return risk.findings(t.documents, "text", ["doc_id"])
 
 
+def _re2(pattern: str) -> str:
+    """A pattern as DuckDB takes it."""
+    return pattern.replace("'", "''")
+
+
+PACK = [r for r in risk.RULES if r[0] not in ("SR-PII-VALUE", "SR-ZERO-WIDTH-FORMATTING")]  # what regular expressions without looking around can say
+PACK_SQL = " UNION ALL ".join(f"SELECT doc_id, '{rule}' AS rule_id, '{severity}' AS severity, len(regexp_extract_all(text, '{_re2(pattern)}'))::BIGINT AS n_hits FROM documents" for rule, severity, pattern in PACK if "\x00" not in pattern)
+
+
+@query(f"SELECT * FROM ({PACK_SQL}) WHERE n_hits > 0")
+def risk_pack_counts(t):
+    """Hits of the pack's rules in every document, other than control characters, zero widths and personal data, which SQL can't say."""
+    found = risk.findings(t.documents, "text", ["doc_id"])
+    names = [r for r, _, p in PACK if "\x00" not in p]
+    return found.where(F.col("rule_id").isin(names)).groupBy("doc_id", "rule_id", "severity").agg(F.count("*").alias("n_hits"))
+
+
 @query()
 def risk_card_candidates(t):
     from attestor.functions.cards import card_numbers
@@ -103,6 +120,14 @@ def risk_capped_report(t):
     return risk.capped(risk.findings(t.documents, "text", ["doc_id"]), ["doc_id", "offset", "rule_id", "rule_index"])
 
 
+@query()
+def risk_report(t):
+    """The capped findings of a manifest of all documents, with what could not be scanned."""
+    files = manifest.with_status(_files(t).join(t.documents.select(F.expr(PATH).alias("path"), "text"), "path"))
+    sized = files.select("path", "sha256", "status", "format", "text", F.octet_length("text").cast("long").alias("size_bytes"), F.lit(True).alias("valid_utf8"))
+    return risk.report(sized, "text", ["path"], max_bytes=20_000)
+
+
 @query("SELECT page_id, regexp_replace(regexp_replace(url, '#.*$', ''), '/+$', '') AS url FROM pages")
 def url_canonical(t):
     return t.pages.select("page_id", urls.page_url(F.col("url")).alias("url"))
@@ -169,7 +194,7 @@ def entity_df(t):
 @query("SELECT page_id, url FROM pages WHERE contains(lower(url), '/de/') OR page_id IN (1, 2, 3) ")
 def catalog_selection(t):
     nodes = t.pages.select("page_id", "url", F.lit("page").alias("title"), F.array(F.lit("docs")).alias("breadcrumb"))
-    asked = [r[0] for r in t.pages.where("page_id in (1, 2, 3)").select("url").collect()]  # three named pages
+    asked = t.pages.where("page_id in (1, 2, 3)").select("url")
     return related.select_catalog(nodes, ["docs"], ["/de/"], asked).select("page_id", "url")
 
 
@@ -236,9 +261,8 @@ def category_score_weighted(t):
 @query(f"""WITH {SCORES_SQL}, v AS (SELECT run, total, lag(total) OVER (ORDER BY run) AS prev FROM tot)
 SELECT run, total, prev, CASE WHEN total >= 95 THEN 'converged' WHEN run % 4 + 1 >= 4 THEN 'exhausted' WHEN prev IS NOT NULL AND total <= prev THEN 'plateau' ELSE 'continue' END AS verdict FROM v""")
 def loop_verdict(t):
-    from pyspark.sql.window import Window as W
-
-    totals = scoring.evaluate(_issues(t), ["run"]).withColumn("prev", F.lag("total").over(W.orderBy("run")))
+    numbered = manifest.row_numbers(scoring.evaluate(_issues(t), ["run"]).select("run", "total"), ["run"], "n")
+    totals = numbered.join(numbered.select((F.col("n") + 1).alias("n"), F.col("total").alias("prev")), "n", "left")
     verdict = scoring.loop_verdict(F.col("prev"), F.col("total"), F.lit(95), F.col("run") % 4 + 1, F.lit(4), F.lit(1))
     return totals.select("run", "total", "prev", verdict.alias("verdict"))
 

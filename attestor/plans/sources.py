@@ -76,9 +76,34 @@ def document_lines(t):
     return facts.lines(t.documents, "doc_id", "text")
 
 
-@query("WITH l AS (SELECT doc_id AS source, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i, string_split(text, chr(10)) AS ls FROM documents) SELECT source, count(*) FILTER (WHERE regexp_matches(ls[i], '^\\s{0,3}(`{3,}|~{3,})(.*)$'))::BIGINT AS n_markers FROM l GROUP BY source HAVING n_markers % 2 = 1")
+RUN = r"^ {0,3}(`{3,}|~{3,})(.*)$"
+
+
+@query(rf"""WITH RECURSIVE d AS (SELECT doc_id AS source, string_split(text || CASE doc_id % 4 WHEN 0 THEN chr(10) || '~~~~ text' || chr(10) || '```' || chr(10) || '~~~' WHEN 1 THEN chr(10) || '```' || chr(10) || '````' ELSE '' END, chr(10)) AS ls FROM documents),
+l AS (SELECT source, unnest(range(1, len(ls) + 1))::INT AS i, ls FROM d),
+m AS (SELECT source, i, row_number() OVER (PARTITION BY source ORDER BY i) AS k, regexp_extract(ls[i], '{RUN}', 1) AS run, trim(regexp_extract(ls[i], '{RUN}', 2)) AS info FROM l WHERE regexp_matches(ls[i], '{RUN}')),
+f AS (SELECT source, k, run AS mark, i AS opened FROM m WHERE k = 1
+  UNION ALL SELECT m.source, m.k, CASE WHEN f.mark = '' THEN m.run WHEN m.info = '' AND starts_with(m.run, f.mark) THEN '' ELSE f.mark END, CASE WHEN f.mark = '' THEN m.i ELSE f.opened END FROM f JOIN m ON m.source = f.source AND m.k = f.k + 1)
+SELECT f.source, opened FROM f JOIN (SELECT source, max(k) AS k FROM m GROUP BY source) USING (source, k) WHERE mark <> ''""")
 def unclosed_fences(t):
-    return facts.unclosed_fences(t.documents, "doc_id", "text")
+    """All documents; half of them end in fences of both kinds."""
+    more = F.expr(r"CASE doc_id % 4 WHEN 0 THEN '\n~~~~ text\n```\n~~~' WHEN 1 THEN '\n```\n````' ELSE '' END")
+    return facts.unclosed_fences(t.documents.select("doc_id", F.concat("text", more).alias("text")), "doc_id", "text")
+
+
+@query()
+def document_endpoint_facts(t):
+    """Endpoint facts of all documents, each followed by a section that declares an endpoint, its parameters and an example."""
+    section = F.concat(F.lit("\n# Section "), "doc_id", F.lit("\nGET /"), "source", F.lit("/{id}\n\n| Name | Type |\n| --- | --- |\n| id | string |\n| "), "lang", F.lit(" | string |\n\n```json\n| Name | x |\n```\n# End\n| Name |\n| --- |\n| other |\n"))
+    return facts.endpoint_facts(t.documents.select("doc_id", F.concat("text", section).alias("text")), "doc_id", "text").withColumn("parameters", F.array_join("parameters", ","))
+
+
+@query()
+def section_owner_window(t):
+    """The endpoint that owns each line of all documents, each of which declares two of its own."""
+    body = F.concat(F.lit("# One\nGET /a\n"), "text", F.lit("\n## Two\nstill one\n# Three\nPOST /b\nlast"))
+    rows = facts.section_owner(facts.marked_lines(t.documents.select("doc_id", body.alias("text")), "doc_id", "text"))
+    return rows.where("owner is not null").groupBy("source", "owner.method", "owner.path").agg(F.min("line").alias("first_line"), F.max("line").alias("last_line"), F.count("*").alias("n"))
 
 
 @query()
