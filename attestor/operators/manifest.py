@@ -49,7 +49,7 @@ def with_status(files: DataFrame, path: str = "path", sha: str = "sha256", reada
 
 
 def scan_directory(spark, root: str) -> DataFrame:
-    """(path, size_bytes, sha256) of the files under ``root``, by Spark's binary reader."""
+    """(path, size_bytes, sha256) of the files under ``root``, by Spark's binary reader, which leaves out files without content."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     prefix = root.rstrip("/") + "/"
     return files.select(F.regexp_replace("path", "^[a-z]+:/+", "/").alias("path"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256")).withColumn("path", F.regexp_replace("path", "^" + prefix.replace(".", r"\."), ""))
@@ -65,10 +65,22 @@ def with_authority(files: DataFrame, sidecars: DataFrame) -> DataFrame:
     return met.withColumn("authority", value).drop("__path", "__content", "__side")
 
 
+#: Digests that one digest above them covers.
+FANOUT = 1024
+
+
 def binding_digest(manifest: DataFrame) -> DataFrame:
-    """One row: a digest over the manifest's rows in path order (V02), from per-row digests."""
+    """One row: a digest over the manifest's rows in path order (V02), by a tree of digests of FANOUT each, so that no row holds them all."""
     one = F.sha2(F.to_json(F.struct("path", "sha256", "status", "duplicate_of"), {"ignoreNullFields": "false"}), 256)
-    return manifest.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("path", one.alias("d")))), lambda x: x.d), "\n"), 256).alias("binding_digest"))
+    level = row_numbers(manifest.select("path", one.alias("d")), ["path", "d"], "n").select((F.col("n") - 1).cast("long").alias("n"), "d")
+    size = level.count()
+    while True:
+        joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "d"))), lambda x: x.d), "\n")
+        level = level.groupBy(F.floor(F.col("n") / FANOUT).cast("long").alias("n")).agg(F.sha2(joined, 256).alias("d"))
+        size = -(-size // FANOUT)
+        if size <= 1:
+            break
+    return level.agg(F.coalesce(F.max("d"), F.sha2(F.lit(""), 256)).alias("binding_digest"))
 
 
 def never_fetched(expected: DataFrame, results: DataFrame, url: str = "url") -> DataFrame:

@@ -19,12 +19,14 @@ def related_pages(pages: DataFrame, links: DataFrame, entities: DataFrame, targe
     """(target, page, score, rank): for each target the ``k`` most related other pages.
 
     ``pages``: (page, branch); ``links``: (page, to_page); ``entities``: (page, entity); ``targets``: (target). The same branch, a link
-    either way and each shared entity give points, an entity the fewer the more pages have it. Each is an equi-join from
-    the targets, and what they give is summed before ranking; ties go to the smaller page.
+    either way and each shared entity give points, an entity the fewer the more pages have it. Links and entities are equi-joins
+    from the targets. Of the pages that share nothing but the branch all score alike, so the first k + 1 of each
+    branch are enough, and no branch is paired with itself. Points are summed before ranking; ties go to the smaller page.
     """
-    known = pages.select("page", "branch")
-    own = targets.join(known.select(F.col("page").alias("target"), F.col("branch").alias("b")), "target")
-    branch = own.join(known, F.lower("b") == F.lower("branch")).select("target", "page", F.lit(BRANCH).alias("points"))
+    known = pages.select("page", F.lower("branch").alias("branch"))
+    own = targets.join(known.select(F.col("page").alias("target"), F.col("branch").alias("own_branch")), "target")
+    first = known.withColumn("n", F.row_number().over(W.partitionBy("branch").orderBy("page"))).where(F.col("n") <= k + 1)
+    branch = own.join(first, F.col("own_branch") == F.col("branch")).select("target", "page", F.lit(0).alias("points"))
     out = targets.join(links.distinct(), F.col("target") == F.col("page")).select("target", F.col("to_page").alias("page"), F.lit(OUTBOUND).alias("points"))
     back = targets.join(links.distinct(), F.col("target") == F.col("to_page")).select("target", "page", F.lit(INBOUND).alias("points"))
     df = document_frequency(entities)
@@ -32,24 +34,26 @@ def related_pages(pages: DataFrame, links: DataFrame, entities: DataFrame, targe
     worth = F.greatest(F.lit(LEAST_ENTITY), F.floor(F.lit(ENTITY) / F.col("df")).cast("int"))
     shared = mine.join(df, "entity").join(entities.distinct(), "entity").select("target", "page", worth.alias("points"))
     every = branch.unionByName(out).unionByName(back).unionByName(shared).where("page != target")
-    every = every.join(known.select("page"), "page", "left_semi")
-    score = every.groupBy("target", "page").agg(F.sum("points").cast("long").alias("score"))
+    summed = every.groupBy("target", "page").agg(F.sum("points").alias("points"))
+    met = summed.join(known, "page").join(own.select("target", "own_branch"), "target", "left")
+    score = met.withColumn("score", (F.col("points") + F.when(F.col("own_branch") == F.col("branch"), BRANCH).otherwise(0)).cast("long")).where("score > 0")
     rank = F.row_number().over(W.partitionBy("target").orderBy(F.desc("score"), "page"))
-    return score.withColumn("rank", rank).where(F.col("rank") <= k)
+    return score.withColumn("rank", rank).where(F.col("rank") <= k).select("target", "page", "score", "rank")
 
 
-def select_catalog(catalog: DataFrame, branches: list[str], terms: list[str], urls: list[str]) -> DataFrame:
+def select_catalog(catalog: DataFrame, branches: list[str], terms: list[str], urls: DataFrame) -> DataFrame:
     """Nodes that were asked for by URL, or whose breadcrumb has any branch and whose text has any term.
 
-    Without keywords only the URLs select; an empty list of one kind of keyword does not restrict.
+    ``urls``: (url). Without keywords only the URLs select; an empty list of one kind of keyword does not restrict.
     """
     low = lambda c: F.lower(c)
-    asked = F.col("url").isin(urls) if urls else F.lit(False)
-    if not branches and not terms:
-        return catalog.where(asked)
-    any_of = lambda words, text: F.lit(True) if not words else _any([text.contains(w.lower()) for w in words])
-    crumbs = low(F.array_join("breadcrumb", " > "))
-    return catalog.where(asked | (any_of(branches, crumbs) & any_of(terms, low(F.concat_ws(" ", crumbs, "title", "url")))))
+    met = catalog.join(urls.select("url", F.lit(True).alias("__asked")).distinct(), "url", "left")
+    asked = F.coalesce("__asked", F.lit(False))
+    if branches or terms:
+        any_of = lambda words, text: F.lit(True) if not words else _any([text.contains(w.lower()) for w in words])
+        crumbs = low(F.array_join("breadcrumb", " > "))
+        asked = asked | (any_of(branches, crumbs) & any_of(terms, low(F.concat_ws(" ", crumbs, "title", "url"))))
+    return met.where(asked).select(*catalog.columns)
 
 
 def _any(conditions: list[Column]) -> Column:

@@ -34,6 +34,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 _LOCAL_WORK: list[str] = []
+_OPEN: list[Workspace] = []
 
 
 def work_root(spark: SparkSession) -> str:
@@ -59,6 +60,7 @@ class Workspace:
         self.spark = spark
         self.path = f"{work_root(spark)}/{label}-{uuid.uuid4().hex}"
         self._n = 0
+        _OPEN.append(self)
 
     def new_path(self, name: str) -> str:
         self._n += 1
@@ -80,3 +82,19 @@ class Workspace:
         jvm = self.spark.sparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+    def close(self) -> None:
+        """Delete all tables of this workspace; what reads them must be done."""
+        self.delete(self.path)
+        if self in _OPEN:
+            _OPEN.remove(self)
+
+
+def close_work() -> None:
+    """Delete the tables of every workspace that operators have opened so far.
+
+    Operators return DataFrames that still read their tables, so only the caller knows when these are done with: after
+    writing a result, or at the end of a job.
+    """
+    for work in list(_OPEN):
+        work.close()

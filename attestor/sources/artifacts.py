@@ -39,23 +39,37 @@ def write_report(findings: DataFrame, path: str) -> None:
 
 
 def publish(df: DataFrame, root: str, version: str, expected: str | None = None) -> str:
-    """Write an immutable version and move the pointer row to it; the pointer must be ``expected``."""
+    """Write an immutable version and make it the current one; the current one must be ``expected``.
+
+    A claim on the step from ``expected`` is a file that is created only if it is not there, which a file system such as HDFS
+    does atomically: of two writers that start from one version, one fails.
+    """
     spark = df.sparkSession
     if current(spark, root) != expected:
         raise RuntimeError(f"the current version of {root} is not {expected}")
     path = f"{root}/versions/{version}"
     write_once(df, path)
-    spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("at")).write.mode("append").parquet(f"{root}/pointer")
+    fs, claim = _path(spark, f"{root}/claims/after-{expected or 'nothing'}")
+    if not fs.createNewFile(claim):
+        raise RuntimeError(f"the current version of {root} is no longer {expected}")
+    spark.range(1).select(F.lit(version).alias("version"), F.lit(expected).cast("string").alias("expected")).write.mode("append").parquet(f"{root}/pointer")
     return path
 
 
-def current(spark: SparkSession, root: str) -> str | None:
-    """The version that the last pointer row names."""
+def _path(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(f"{root}/pointer")
-    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def current(spark: SparkSession, root: str) -> str | None:
+    """The version that nothing has followed yet."""
+    fs, at = _path(spark, f"{root}/pointer")
+    if not fs.exists(at):
         return None
-    return spark.read.parquet(f"{root}/pointer").agg(F.max_by("version", "at")).first()[0]
+    steps = spark.read.parquet(f"{root}/pointer")
+    last = steps.join(steps.select(F.col("expected").alias("version")), "version", "left_anti").first()
+    return None if last is None else last[0]
 
 
 def url_sources(responses: DataFrame, max_bytes: int = 5 << 20) -> DataFrame:

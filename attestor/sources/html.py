@@ -45,6 +45,13 @@ class Node:
         return [n for n in self.walk() if n.tag in tags]
 
 
+#: A tag that begins ends what is open of the first kinds, up to an element of the second.
+IMPLIED = {
+    "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}), "li": ({"li"}, {"ul", "ol"}), "option": ({"option"}, {"select"}),
+    **{tag: ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}) for tag in ("thead", "tbody", "tfoot")},
+}
+
+
 class _Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -52,6 +59,14 @@ class _Tree(HTMLParser):
         self.open = [self.root]
 
     def handle_starttag(self, tag, attrs):
+        ended, held = IMPLIED.get(tag, ((), ()))
+        cut = len(self.open)
+        for i in range(len(self.open) - 1, 0, -1):
+            if self.open[i].tag in held:
+                break
+            if self.open[i].tag in ended:
+                cut = i
+        del self.open[cut:]
         node = Node(tag, {k: v or "" for k, v in attrs})
         self.open[-1].children.append(node)
         if tag not in VOID:
@@ -88,17 +103,18 @@ def _span(node: Node, name: str, most: int) -> int:
 
 
 def _rows(table: Node) -> list[list[Node]]:
-    """Cells by row of a table itself, not of tables inside its cells."""
-    rows, stack = [], list(reversed(table.children))
+    """Cells by row of a table itself, not of tables inside its cells: its head, its bodies in order, its foot."""
+    parts: dict[str, list] = {"thead": [], "tbody": [], "tfoot": []}
+    stack = [(node, "tbody") for node in reversed(table.children)]
     while stack:
-        node = stack.pop()
+        node, part = stack.pop()
         if isinstance(node, str):
             continue
         if node.tag == "tr":
-            rows.append([c for c in node.children if isinstance(c, Node) and c.tag in ("td", "th")])
-        elif node.tag in ("thead", "tbody", "tfoot"):
-            stack += reversed(node.children)
-    return rows
+            parts[part].append([c for c in node.children if isinstance(c, Node) and c.tag in ("td", "th")])
+        elif node.tag in parts:
+            stack += [(child, node.tag) for child in reversed(node.children)]
+    return parts["thead"] + parts["tbody"] + parts["tfoot"]
 
 
 def table_grid(table: Node) -> list[list[str]]:
