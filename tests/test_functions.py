@@ -35,12 +35,12 @@ def test_names(spark):
     assert values(spark, text.required_flag, ["Yes", "必填", "N", "maybe"]) == ["true", "true", "false", "maybe"]
     assert values(spark, text.snake, ["userId", "X-Request-ID", "__a b"]) == ["user_id", "x_request_id", "a_b"]
     assert values(spark, text.path_tokens, ["/a/{id}/{x}/{id}", "/b"]) == [["id", "x"], []]
-    assert values(spark, text.field_name, ["`a` (optional)", "[b](http://x)", "├ c", "**d**<br>note", "e【x】"]) == ["a", "b", "c", "d", "e"]
+    assert values(spark, text.field_name, ["`a` (optional)", "[b](http://x)", "├ c", "**d**<br>note", "e【x】", "_user_id_", "&nbsp;&nbsp;a.b"]) == ["a", "b", "c", "d", "e", "user_id", "a.b"]
 
 
 def test_declared_endpoints(spark):
-    got = values(spark, text.declared_endpoint, ["## GET /a/{id}`", "| URL | https://h.x/pay | Method | POST |", "see GET /a", "URL: /b HTTP Method: PUT", "get /a"])
-    assert [g and (g["method"], g["path"]) for g in got] == [("GET", "/a/{id}"), ("POST", "/pay"), None, ("PUT", "/b"), None]
+    got = values(spark, text.declared_endpoint, ["## GET /a/{id}`", "| URL | https://h.x/pay | Method | POST |", "see GET /a", "URL: /b HTTP Method: PUT", "get /a", "- `POST /x/y`,", "| GET /in/a/row |", "| URL | <API URL>/Login | Method | GET |", "| URL | see annex | Method | GET |", "curl: /b Method: PUT"])
+    assert [g and (g["method"], g["path"]) for g in got] == [("GET", "/a/{id}"), ("POST", "/pay"), None, ("PUT", "/b"), None, ("POST", "/x/y"), None, ("GET", "/Login"), None, None]
 
 
 def test_entities(spark):
