@@ -33,29 +33,39 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 def exact_scores(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """Integer inner products of matching rows; beyond 2**53 with Python integers, held to the range of a long."""
-    reach = np.abs(queries).max(initial=0) * np.abs(vectors).max(initial=0) * max(1, queries.shape[1])
+    with np.errstate(over="ignore"):
+        reach = np.abs(queries).max(initial=0) * np.abs(vectors).max(initial=0) * max(1, queries.shape[1])
     if reach < _EXACT:
         return np.einsum("ij,ij->i", queries, vectors).astype(np.int64)
     out = [sum(int(a) * int(b) for a, b in zip(q, v, strict=True)) for q, v in zip(queries, vectors, strict=True)]
     return np.array([max(-(2**63), min(2**63 - 1, x)) for x in out], dtype=np.int64)
 
 
+def _components(column: pa.Array, width: int, scale: float) -> np.ndarray:
+    """floor(scale * x), within the range of a double."""
+    most = np.finfo(np.float64).max
+    with np.errstate(over="ignore"):
+        return np.floor(np.clip(scale * _matrix(column, width), -most, most))
+
+
 class Searcher:
     """Keeps the k best of each query while blocks of vectors pass by in descending length."""
 
     def __init__(self, ids: np.ndarray, queries: np.ndarray, rotation: np.ndarray, k: int, floor: np.ndarray):
         self.ids, self.queries, self.rotation, self.k = ids, queries, rotation, k
-        rotated = queries @ rotation
-        self.head, self.rest = rotated[:, :HEAD_DIMS], np.linalg.norm(rotated[:, HEAD_DIMS:], axis=1)
-        self.norms = np.linalg.norm(queries, axis=1)
+        with np.errstate(over="ignore", invalid="ignore"):
+            rotated = queries @ rotation
+            self.head, self.rest = rotated[:, :HEAD_DIMS], np.linalg.norm(rotated[:, HEAD_DIMS:], axis=1)
+            self.norms = np.linalg.norm(queries, axis=1)
         self.floor = floor.astype(np.float64)  # a score below it is beaten k times already
         self.best_q = np.zeros(0, np.int64)
         self.best_score, self.best_id = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    @np.errstate(over="ignore", invalid="ignore")
     def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         norms = np.linalg.norm(vectors, axis=1)
         slack = 1e-6 + 1e-9 * self.norms * norms.max(initial=0)
-        active = np.flatnonzero(self.norms * norms.max(initial=0) + slack >= self.floor)
+        active = np.flatnonzero(~(self.norms * norms.max(initial=0) + slack < self.floor))  # what overflows is never pruned
         if not len(active):
             return
         rotated = vectors @ self.rotation
@@ -63,7 +73,7 @@ class Searcher:
         for a in range(0, len(active), 256):
             q = active[a : a + 256]
             bound = self.head[q] @ head.T + self.rest[q][:, None] * rest[None, :] + slack[q][:, None]
-            i, j = np.nonzero((bound >= self.floor[q][:, None]) & (self.ids[q][:, None] != ids[None, :]))
+            i, j = np.nonzero(~(bound < self.floor[q][:, None]) & (self.ids[q][:, None] != ids[None, :]))
             if not len(i):
                 continue
             scores = np.concatenate([exact_scores(self.queries[q[i[s : s + 65536]]], vectors[j[s : s + 65536]]) for s in range(0, len(i), 65536)])
@@ -135,7 +145,7 @@ def top_k(
         if not table.num_rows:
             return np.zeros(0, np.int64), np.zeros((0, width))
         chunk = table.to_batches()[0]
-        return np.asarray(chunk.column(0)), np.floor(scale * _matrix(chunk.column(1), width))
+        return np.asarray(chunk.column(0)), _components(chunk.column(1), width, scale)
 
     rotation = _rotation(pull(vectors.orderBy(F.xxhash64("id")).limit(FIT_VECTORS))[1], width)
     seed_ids, seeds = pull(vectors.orderBy(F.desc("norm"), "id").limit(SEED_VECTORS))
@@ -158,7 +168,7 @@ def top_k(
             for batch in batches:
                 for a in range(0, batch.num_rows, VECTOR_BLOCK):
                     part = batch.slice(a, VECTOR_BLOCK)
-                    search.add(np.asarray(part.column(0)), np.floor(scale * _matrix(part.column(1), width)))
+                    search.add(np.asarray(part.column(0)), _components(part.column(1), width, scale))
             yield pa.RecordBatch.from_arrays([pa.array(search.ids[search.best_q]), pa.array(search.best_id), pa.array(search.best_score)], names=["query_id", "vec_id", "score"])
 
         found.append(work.save(vectors.select("id", "v").mapInArrow(run, schema), f"block{b}"))

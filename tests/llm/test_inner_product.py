@@ -49,3 +49,8 @@ def test_few_rows_large_values_and_none(spark):
     assert run(spark, exact) == brute(exact, 5, 10) and abs(run(spark, exact)[0][3]) < 2**62
     assert run(spark, [(0, [1.0])]) == []
     assert run(spark, []) == []
+
+
+def test_components_whose_squares_overflow(spark):
+    rows = [(i, v) for i, v in vectors(60, 4)] + [(100, [1e200, 1.0, 0.0, 2.0]), (101, [1e200, -1e200, 1e160, 0.0]), (102, [1e-3, 2.0, 1e155, 1e300]), (110, [-1e300, 3.0, 1.0, 1.0])]
+    assert run(spark, rows) == brute(rows, 5, 10)
