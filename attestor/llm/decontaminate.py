@@ -120,7 +120,7 @@ class Index:
         passage, term = pairs // (none + 1), pairs % (none + 1)
         n_blocks = -(-len(self.ids) // BLOCK)
         found: dict[int, float] = {}
-        step = max(1, (1 << 20) // n_blocks)
+        step = min(max(1, (1 << 20) // n_blocks), int(passage[-1] - passage[0]) + 1)  # passages bounded at once
         for low in range(int(passage[0]), int(passage[-1]) + 1, step):
             a, b = np.searchsorted(passage, [low, low + step])
             size = self.start[term[a:b] + 1] - self.start[term[a:b]]
