@@ -19,7 +19,7 @@ from attestor.session import Workspace
 
 WORD = re.compile(r"\w+")
 K1, B = 1.2, 0.75
-#: Share of an indexed part's own BM25 score that a passage must reach before its item is verified.
+#: Share of an indexed part's own BM25 score that a passage must reach before its item is verified; less where that could lose an overlap.
 THRESHOLD = 0.7
 SHINGLE, OVERLAP = 5, 0.8
 #: Neighbouring items whose postings of a term share one maximum.
@@ -56,9 +56,28 @@ def indexed_part(text: str) -> list[str]:
     return answer if len(answer) > len(question) else question
 
 
+def least_score(tokens: list[str], weights: dict[str, float]) -> float:
+    """What a passage with OVERLAP of a part's shingles scores at least, if ``weights`` of the part's words add up to 1.
+
+    With b shingles to spare, b words may be missing at the edges, or one inside for each SHINGLE of them.
+    """
+    m = max(1, len(tokens) - SHINGLE + 1)
+    spare = int((1 - OVERLAP) * m + 1e-9) if len(tokens) >= SHINGLE else 0
+    loss, inside = 0.0, sorted(weights.values(), reverse=True)
+    for j in range(spare // SHINGLE + 1):
+        edge = spare - j * SHINGLE
+        lost = max(sum(weights[w] for w in {*tokens[:x], *tokens[len(tokens) - (edge - x) :]}) for x in range(edge + 1))
+        loss = max(loss, lost + sum(inside[:j]))
+    return 1 - loss
+
+
 @dataclass
 class Index:
-    """Postings of BM25 impacts, each divided by the part's score against itself, with their maxima for a term and for a term in a block of items."""
+    """Postings of BM25 impacts with their maxima for a term and for a term in a block of items.
+
+    An impact is divided by what a passage must reach: THRESHOLD of the part's score against itself, or less where a passage
+    with enough overlap could score less. So an item is retrieved at a sum of 1.
+    """
 
     ids: list[int]
     terms: dict[str, int]
@@ -72,20 +91,25 @@ class Index:
     blocks: np.ndarray
     bounds: np.ndarray
     parts: list[tuple[set, set]] = field(repr=False)
+    reach: list[float]
     chunk: int
 
     @classmethod
     def build(cls, items: list[tuple[int, str]], document_frequency: dict[str, int], total: int, mean_length: float, chunk: int) -> Index:
         terms: dict[str, int] = {}
         postings: list[list[tuple[int, float]]] = []
+        reach = []
         for i, (_, text) in enumerate(items):
-            counts = Counter(indexed_part(text))
+            tokens = indexed_part(text)
+            counts = Counter(tokens)
             length, row = sum(counts.values()), {}
             for term, tf in counts.items():
                 df = document_frequency[term]
                 idf = np.log1p((total - df + 0.5) / (df + 0.5))
                 row[term] = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean_length))
             own = sum(row.values()) or 1.0
+            reach.append(max(0.1, min(THRESHOLD, least_score(tokens, {w: x / own for w, x in row.items()}))))
+            own *= reach[-1]
             for term, x in row.items():
                 if term not in terms:
                     terms[term] = len(terms)
@@ -100,14 +124,14 @@ class Index:
         return cls(
             [i for i, _ in items], terms, [[i for i, _ in row] for row in postings], [[x for _, x in row] for row in postings], [max(x for _, x in row) for row in postings], block_most,
             np.concatenate(([0], np.cumsum([len(m) for m in block_most], dtype=np.int64))), np.array([b for m in block_most for b in m], np.int64), np.array([x for m in block_most for x in m.values()], np.float64),
-            [tuple(map(shingles, question_and_answer(t))) for _, t in items], chunk,
+            [tuple(map(shingles, question_and_answer(t))) for _, t in items], reach, chunk,
         )
 
     def candidates(self, tokens: list[str]) -> dict[int, float]:
-        """Items whose part scores THRESHOLD or more in some passage, with their best score.
+        """Items whose part reaches 1 in some passage, with their best score.
 
         A passage is two chunks of as many words as the longest part of any item, one chunk apart, so that it holds
-        any occurrence whole. Passages in which no block of items can reach THRESHOLD are dropped together;
+        any occurrence whole. Passages in which no block of items can reach 1 are dropped together;
         the others are searched one by one.
         """
         none = len(self.terms)
@@ -127,22 +151,22 @@ class Index:
             spot = np.repeat(self.start[term[a:b]] - (np.cumsum(size) - size), size) + np.arange(size.sum())
             cell = np.repeat((passage[a:b] - low) * n_blocks, size) + self.blocks[spot]
             reach = np.bincount(cell, weights=self.bounds[spot], minlength=step * n_blocks).reshape(step, n_blocks).max(axis=1)
-            for p in np.flatnonzero(reach >= THRESHOLD - 1e-9):
+            for p in np.flatnonzero(reach >= 1 - 1e-9):
                 x, y = np.searchsorted(passage, [low + p, low + p + 1])
                 for i, score in self.search(term[x:y].tolist()).items():
                     found[i] = max(found.get(i, 0.0), score)
         return found
 
     def search(self, terms: list[int]) -> dict[int, float]:
-        """Items in which ``terms`` score THRESHOLD or more, by block-max WAND.
+        """Items in which ``terms`` reach 1, by block-max WAND.
 
         Cursors stand at the next item of each term, in order. The pivot is the first item that the terms up to it can
-        lift to THRESHOLD by their largest impacts. Where the maxima of its block fall short, all of them
+        lift to 1 by their largest impacts. Where the maxima of its block fall short, all of them
         jump behind the block (or to the next cursor); else they catch up with the pivot, and only an
         item that all have reached is scored.
         """
         cursors = sorted([self.items[t][0], 0, t] for t in terms)
-        found, enough = {}, THRESHOLD - 1e-9
+        found, enough = {}, 1 - 1e-9
         while cursors:
             bound, last = 0.0, -1
             for k, cursor in enumerate(cursors):
@@ -191,7 +215,7 @@ class Index:
         for i, score in sorted(found.items()):
             question, answer = (sum(s in have for s in part) / len(part) if part else 1.0 for part in self.parts[i])
             if question >= OVERLAP and answer >= OVERLAP:
-                out.append({"item_id": self.ids[i], "score": round(score, 6), "question_overlap": question, "answer_overlap": answer})
+                out.append({"item_id": self.ids[i], "score": round(score * self.reach[i], 6), "question_overlap": question, "answer_overlap": answer})
         return out
 
 
@@ -235,8 +259,8 @@ def find_leaks(
     """Add ``out_col``: the test items that a document holds, as an array of (item_id, score, question_overlap, answer_overlap).
 
     The longer part of each item, question or answer, goes into an inverted index of BM25 impacts. Every
-    passage of every text is a query by block-max WAND: all items whose part reaches THRESHOLD of its own score are
-    retrieved, and one counts as leaked where at least OVERLAP of the five-word shingles of its question and of
+    passage of every text is a query by block-max WAND: all items whose part reaches THRESHOLD of its own score (less
+    where a passage with enough overlap could miss it) are retrieved, and one counts as leaked where at least OVERLAP of the five-word shingles of its question and of
     its answer stand in the document, together or apart. Words are compared in lower case without punctuation.
 
     One pass indexes, collects to the driver and broadcasts about ``pass_bytes`` of items; a larger benchmark takes

@@ -36,6 +36,10 @@ def documents():
     for k in (3, 8, 11):  # questions first, answers a long way on
         question, answer = ITEMS[k][1].splitlines()
         rows.append((400 + k, f"{question} {prose(7000 + k, 900)} {answer}"))
+    for k, (_, text) in enumerate(ITEMS[:40]):  # words lost at the edges, or one inside
+        question, answer = (x.split() for x in text.splitlines())
+        rows.append((500 + k, f"{prose(8000 + k, 40)} {' '.join(question[1 + k % 3 :])} {' '.join(answer[: len(answer) - k % 2])} {prose(8500 + k, 40)}"))
+        rows.append((600 + k, f"{prose(9000 + k, 40)} {' '.join([*question[:7], 'other', *question[8:]])} {' '.join(answer)}"))
     rows += [(300, ITEMS[40][1]), (301, f"a {ITEMS[41][1]} b"), (302, None), (303, ""), (304, prose(9, 40_000) + " " + ITEMS[5][1] + " " + prose(10, 9000)), (305, ITEMS[7][1]), (305, ITEMS[7][1])]
     return rows
 
@@ -78,7 +82,7 @@ def test_what_is_skipped_is_no_candidate():
     weights = [impacts(p) for p in parts]
 
     def scores(have):
-        return {i: s for i, w in enumerate(weights) if (s := sum(x for k, x in w.items() if k in have) / sum(w.values())) >= dc.THRESHOLD}
+        return {i: s / index.reach[i] for i, w in enumerate(weights) if (s := sum(x for k, x in w.items() if k in have) / sum(w.values())) >= index.reach[i] - 1e-9}
 
     for _, text in documents():
         tokens, want = dc.words(text or ""), {}
@@ -92,3 +96,20 @@ def test_what_is_skipped_is_no_candidate():
         some = r.sample(sorted(index.terms), r.randrange(1, len(index.terms)))
         got, want = index.search([index.terms[w] for w in some]), scores(set(some))
         assert want.keys() == got.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+
+
+def test_enough_overlap_always_reaches_the_least_score():
+    r = random.Random(8)
+    for _ in range(300):
+        tokens = [f"w{r.randrange(40)}" for _ in range(r.randrange(1, 45))]
+        raw = {w: r.random() ** 3 + 0.01 for w in set(tokens)}
+        weights = {w: x / sum(raw.values()) for w, x in raw.items()}
+        least = dc.least_score(tokens, weights)
+        for _ in range(60):
+            gone = set(r.sample(range(len(tokens)), r.randrange(0, min(len(tokens), 8) + 1)))
+            if r.random() < 0.5:
+                gone = set(range(r.randrange(0, 6))) | {len(tokens) - 1 - i for i in range(r.randrange(0, 6))}
+            have = ["" if i in gone else w for i, w in enumerate(tokens)]
+            want, there = dc.shingles(tokens), dc.shingles(have)
+            if sum(s in there for s in want) >= dc.OVERLAP * len(want):
+                assert sum(x for w, x in weights.items() if w in have) >= least - 1e-9
