@@ -75,3 +75,24 @@ def test_given_tokens_and_no_rows(spark):
     assert sorted((r.window, r.n_repeated, r.formatted.count("</turn>")) for r in out) == [(0, 0, 2), *[(w, 1, 3) for w in range(1, 5)]]
     assert chat.format_conversations(df.limit(0)).count() == 0
     assert chat.conversation_digests(chat.format_conversations(df.limit(0))).count() == 0
+
+
+def test_windows_by_counted_tokens_keep_the_budget(spark):
+    import public_tokenizers
+    import sentencepiece
+
+    from attestor.llm.token_count import count_tokens
+    from attestor.session import Workspace
+    from tests.llm.conftest import prose
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    turns = [(c, t, "system" if t == 0 else ("user", "assistant")[t % 2], prose(c * 100 + t, 2 + t % 5)) for c in range(5) for t in range(30)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    line = F.concat(F.lit(chat.OPEN), chat.escape(F.col("role"), chat.ESCAPES + chat.ROLE_ESCAPES), F.lit(chat.SEP), chat.escape(F.col("text")), F.lit(chat.CLOSE))
+    counted = Workspace(spark, "chattokens").save(count_tokens(df.withColumn("line", line), path, text_col="line", out_col="tokens"), "counted")
+    lib = sentencepiece.SentencePieceProcessor(model_file=path)
+    windows = chat.format_conversations(counted, budget=200, history=30, tokens_col="tokens").collect()
+    sizes = [sum(len(lib.encode(x + chat.CLOSE)) for x in w.formatted.split(chat.CLOSE)[:-1]) for w in windows]
+    assert len(windows) > 10 and max(sizes) <= 200
+    digests = {r.conv_id: r.n_turns for r in chat.conversation_digests(chat.format_conversations(counted, budget=200, history=30, tokens_col="tokens")).collect()}
+    assert digests == {c: 30 for c in range(5)}
