@@ -22,7 +22,11 @@ from attestor.session import Workspace, read_table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps (score of 0.3 or more)."""
+    """Documents that the quality classifier keeps (score of 0.3 or more).
+
+    Null texts count as empty, which has a score like any other; rows without doc_id are scored and train nothing; repeated
+    rows stay or go together; an empty table stays empty.
+    """
     return classify(docs, read_table(spark, sf_dir, "labels")).where("predicted = 1").select(*docs.columns)
 
 
@@ -41,18 +45,27 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of the benchmark."""
+    """Documents that hold no item of the benchmark; a row goes if the text holds the question and the answer of any.
+
+    Null and empty texts hold none; repeated rows stay or go together; an empty benchmark or table changes nothing.
+    """
     return find_leaks(docs, read_table(spark, sf_dir, "benchmark"), out_col="leaks").where(F.size("leaks") == 0).select(*docs.columns)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with surrogates for personal data; n_chars follows the new text."""
+    """Documents with surrogates for personal data; n_chars follows the new text.
+
+    Every row stays: null and empty texts as they are, repeated rows alike, a null n_chars null.
+    """
     out = replace_pii(docs, PII_KEY, count_col=None)
     return out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast("long"))).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' piece ids, their end offsets in bytes, and a digest of what they decode to."""
+    """The documents' piece ids, their end offsets in bytes, and a digest of what they decode to.
+
+    Every row stays; null and empty texts have no pieces, whatever repeats is encoded alike, an empty table stays empty.
+    """
     out = encode_pieces(docs, public_tokenizers.path(PIECE_MODEL))
     return out.select("doc_id", "lang", "source", F.size("piece_ids").cast("long").alias("n_tokens"), "piece_ids", "piece_ends", F.sha2("decoded", 256).alias("decoded_sha256"))
 
