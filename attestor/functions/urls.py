@@ -65,3 +65,11 @@ def is_spec(raw: Column) -> Column:
     v = F.try_parse_json(raw)
     kind = lambda k: F.coalesce(F.schema_of_variant(F.try_variant_get(v, f"$.{k}", "variant")) == "STRING", F.lit(False))
     return F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)) & (kind("openapi") | kind("swagger"))
+
+
+def openapi_signal(raw: Column) -> Column:
+    """(is_openapi, version) of a JSON text: Swagger 2.0 or OpenAPI 3.x, and the version its info states, if that is a string."""
+    v = F.try_parse_json(raw)
+    said = lambda path: F.when(F.schema_of_variant(F.try_variant_get(v, path, "variant")) == "STRING", F.try_variant_get(v, path, "string"))
+    is_api = F.coalesce(said("$.swagger") == "2.0", F.lit(False)) | F.coalesce(said("$.openapi").startswith("3."), F.lit(False))
+    return F.struct(is_api.alias("is_openapi"), F.when(is_api, said("$.info.version")).alias("version"))

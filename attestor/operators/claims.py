@@ -120,6 +120,21 @@ def supersession(amendments: DataFrame, now: Column, target: Column | None = Non
     return met.withColumn("state", F.when((F.col("state") == "active") & F.col("__over"), "superseded").otherwise(F.col("state"))).drop("__over")
 
 
+def supersession_violations(amendments: DataFrame) -> DataFrame:
+    """(id, violation) of amendments (id, supersedes, scope, target, digest, previous_digest) whose chain does not hold.
+
+    A chain that comes back to itself, a predecessor that is not there, one of another scope or target, or one whose digest is
+    not the one stated.
+    """
+    loops = parent_cycles(amendments.select("id", F.col("supersedes").alias("parent")))
+    loose = loops.select("id", F.when(F.col("violation") == "PARENT_CYCLE", "SUPERSESSION_CYCLE").otherwise("SUPERSEDED_NOT_FOUND").alias("violation"))
+    before = amendments.select(F.col("id").alias("supersedes"), F.col("scope").alias("old_scope"), F.col("target").alias("old_target"), F.col("digest").alias("old_digest"))
+    met = amendments.join(before, "supersedes")
+    same = F.col("scope").eqNullSafe(F.col("old_scope")) & F.col("target").eqNullSafe(F.col("old_target"))
+    found = F.array(F.when(~same, "OTHER_SCOPE"), F.when(~F.col("previous_digest").eqNullSafe(F.col("old_digest")), "DIGEST_MISMATCH"))
+    return loose.unionByName(met.select("id", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("violation")))
+
+
 def claim_metrics(expected: DataFrame, observed: DataFrame, keys: list[str], groups: list[str] | None = None) -> DataFrame:
     """Precision, recall, omission, unsupported and accuracy of observed against expected keys.
 

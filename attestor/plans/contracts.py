@@ -246,6 +246,19 @@ def supersession_chain(t):
     return claims.supersession(own, F.lit("1996-06-01").cast("timestamp_ntz")).select("id", "state")
 
 
+@query(f"""WITH RECURSIVE f AS (SELECT o_orderkey AS id, {PARENT} AS sup, o_orderkey % 7 = 0 AS scope, CASE WHEN o_orderkey % 11 = 0 THEN 'x' ELSE sha256(({PARENT})::VARCHAR) END AS said FROM orders),
+ends(id) AS (SELECT id FROM f WHERE sup IS NULL OR sup NOT IN (SELECT id FROM f) UNION ALL SELECT f.id FROM f JOIN ends e ON f.sup = e.id),
+m AS (SELECT f.id, f.scope <> o.scope AS other, f.said <> sha256(o.id::VARCHAR) AS broken FROM f JOIN f o ON o.id = f.sup)
+SELECT id, 'SUPERSESSION_CYCLE' AS violation FROM f WHERE id NOT IN (SELECT id FROM ends) UNION ALL SELECT id, 'SUPERSEDED_NOT_FOUND' FROM f WHERE sup NOT IN (SELECT id FROM f) UNION ALL SELECT id, 'OTHER_SCOPE' FROM m WHERE other UNION ALL SELECT id, 'DIGEST_MISMATCH' FROM m WHERE broken""")
+def supersession_violations(t):
+    parent = F.expr(PARENT)
+    rows = t.orders.select(
+        F.col("o_orderkey").alias("id"), parent.alias("supersedes"), (F.col("o_orderkey") % 7 == 0).alias("scope"), F.lit("t").alias("target"), F.sha2(F.col("o_orderkey").cast("string"), 256).alias("digest"),
+        F.when(F.col("o_orderkey") % 11 == 0, "x").otherwise(F.sha2(parent.cast("string"), 256)).alias("previous_digest"),
+    )
+    return claims.supersession_violations(rows)
+
+
 @query("SELECT event_id, '/' || k AS path, json_extract(props, '$.' || k)::VARCHAR AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)")
 def json_leaf_walk(t):
     return json_text.json_leaves(t.events, "props", ["event_id"]).select("event_id", "path", "value")

@@ -210,11 +210,14 @@ def stable_ids(t):
     return t.documents.select("doc_id", stable_id("frag", F.col("text")).alias("fragment_id"), stable_id("obs", F.col("text"), 20).alias("observation_id"))
 
 
-@query("""WITH b AS (SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN 'openapi' ELSE 'page' END AS kind, CASE WHEN doc_id % 6 = 0 THEN 'v1' END AS version, sha256(text) AS h, source FROM documents),
+FRESHNESS_SQL = """WITH b AS (SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN 'openapi' ELSE 'page' END AS kind, CASE WHEN doc_id % 6 = 0 THEN 'v1' END AS version, sha256(text) AS h, source FROM documents),
 o AS (SELECT doc_id AS id, doc_id % 13 = 0 AS failed, CASE WHEN doc_id % 11 = 0 THEN 304 ELSE 200 END AS st, CASE WHEN doc_id % 12 = 0 THEN 'v2' WHEN doc_id % 6 = 0 THEN 'v1' END AS v1, CASE WHEN doc_id % 10 = 0 THEN NULL WHEN doc_id % 7 = 0 THEN sha256(text || 'x') ELSE sha256(text) END AS h1 FROM documents WHERE doc_id % 17 <> 0),
 c AS (SELECT b.*, o.failed, st, v1, h1, (kind = 'openapi' AND version IS NOT NULL AND v1 IS NOT NULL) AS vs FROM b LEFT JOIN o USING (id)),
 s AS (SELECT *, CASE WHEN coalesce(failed, true) THEN 'fetch_failed' WHEN st = 304 THEN 'unchanged' WHEN v1 IS NULL AND h1 IS NULL THEN 'fetch_failed' WHEN vs THEN (CASE WHEN version = v1 THEN 'unchanged' ELSE 'changed' END) WHEN h1 IS NULL THEN 'fetch_failed' WHEN h = h1 THEN 'unchanged' ELSE 'changed' END AS status FROM c)
-SELECT id, status, CASE WHEN status = 'changed' THEN (CASE WHEN vs THEN 'version' ELSE 'sha256' END) END AS reason FROM s""")
+SELECT id, status, CASE WHEN status = 'changed' THEN (CASE WHEN vs THEN 'version' ELSE 'sha256' END) END AS reason FROM s"""
+
+
+@query(FRESHNESS_SQL)
 def freshness_classify(t):
     return _freshness(t)
 
@@ -235,7 +238,7 @@ def freshness_verdict(t):
     return compare.freshness_verdict(rows, ["source"])
 
 
-@query()
+@query(f"SELECT id, status, CASE status WHEN 'changed' THEN 're_extract' ELSE 'check_source' END AS action FROM ({FRESHNESS_SQL}) WHERE status <> 'unchanged'")
 def governance_triggers(t):
     return compare.governance_triggers(_freshness(t))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attestor.functions.urls import openapi_signal
+
 #: Schemas of the artifacts, as DDL; unknown shapes fail instead of being guessed.
 SCHEMAS = {
     "manifest": "relative_path string, mime_type string, source_format string, size_bytes bigint, sha256 string, scanned_at timestamp, supported boolean, status string, duplicate_of string, authority string",
@@ -98,3 +100,47 @@ def line_fragments(documents: DataFrame, requests: DataFrame) -> DataFrame:
     excerpt = F.when(valid, F.array_join(F.slice("__lines", F.greatest(F.col("start_line"), F.lit(1)), F.greatest(F.col("end_line") - F.col("start_line") + 1, F.lit(0))), "\n"))
     out = met.select("source", "start_line", "end_line", excerpt.alias("excerpt"))
     return out.withColumns({"digest": F.sha2("excerpt", 256), "precision": F.when(F.col("excerpt").isNull(), "unresolved").otherwise("exact")})
+
+
+def landed_specs(responses: DataFrame, max_bytes: int = 5 << 20) -> DataFrame:
+    """(url, status, sha256, version) of landed responses (url, status, body) as specifications to publish (S17): what is no specification, too large or no success says so."""
+    signal = openapi_signal(F.col("body"))
+    status = F.when(~F.col("status").between(200, 299) | F.col("body").isNull(), "not_fetched").when(F.octet_length("body") > max_bytes, "too_large").when(~signal.is_openapi, "not_a_specification").otherwise("accepted")
+    return responses.select("url", status.alias("status"), F.when(status == "accepted", F.sha2("body", 256)).alias("sha256"), F.when(status == "accepted", signal.version).alias("version"))
+
+
+def supplementary_notes(notes: DataFrame) -> DataFrame:
+    """Excerpts that people sent (S19), as files beside their provenance: (path, content, sha256, authority, provenance_path, provenance).
+
+    ``notes``: (file, content, received_from, received_at, excerpted_by, subject). The file is one Markdown name, sender and excerpter are
+    named, and the time has an offset; anything else raises, as does a file imported twice. The provenance states the
+    instant in UTC, and lower authority.
+    """
+    at = F.try_to_timestamp("received_at")
+    zoned = F.col("received_at").rlike(r"(Z|[+-]\d{2}:?\d{2})$")
+    wrong = (
+        F.when(~F.coalesce(F.col("file").rlike(r"^[^/\\]+\.(md|markdown)$"), F.lit(False)), "file is no Markdown name").when(F.coalesce(F.trim("received_from"), F.lit("")) == "", "received_from is empty")
+        .when(F.coalesce(F.trim("excerpted_by"), F.lit("")) == "", "excerpted_by is empty").when(at.isNull() | ~zoned, "received_at is no time with an offset")
+    )
+    twice = notes.groupBy(F.col("file").alias("__file")).agg(F.count("*").alias("__n"))
+    met = notes.join(twice, F.col("file") == F.col("__file"), "left").withColumn("wrong", F.coalesce(wrong, F.when(F.col("__n") > 1, "file is imported twice")))
+    sha = F.sha2("content", 256)
+    provenance = F.to_json(F.struct(F.lit(1).alias("schema_version"), F.lit("supplementary").alias("authority"), "received_from", F.date_format(at, "yyyy-MM-dd'T'HH:mm:ssXXX").alias("received_at"), "subject", "excerpted_by", sha.alias("imported_sha256"), F.col("file").alias("source_file")))
+    path = F.when(F.col("wrong").isNotNull(), F.raise_error(F.concat("file", F.lit(": "), "wrong"))).otherwise(F.col("file"))
+    return met.select(path.alias("path"), "content", sha.alias("sha256"), F.lit("supplementary").alias("authority"), F.concat("file", F.lit(".source.json")).alias("provenance_path"), provenance.alias("provenance"))
+
+
+def prepared_documents(files: DataFrame) -> DataFrame:
+    """Files (path, content) as they are prepared for reading (S20): (path, output, kind, content).
+
+    Texts are decoded with what is broken replaced; all else passes byte for byte. PDF and Word files are converted
+    elsewhere, so here they are ``unconverted`` under the name their Markdown would have. Two files that claim one output raise.
+    """
+    ending = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+    kind = F.when(ending.isin("pdf", "docx"), "unconverted").when(ending.isin("md", "markdown", "txt", "html", "htm", "json", "yaml", "yml", "csv"), "text").otherwise("passthrough")
+    named = files.withColumns({"kind": kind, "output": F.when(ending.isin("pdf", "docx"), F.concat("path", F.lit(".md"))).otherwise(F.col("path"))})
+    claims = named.groupBy(F.col("output").alias("__output")).agg(F.count_distinct("path").alias("__n"))
+    met = named.join(claims, F.col("output") == F.col("__output"))
+    output = F.when(F.col("__n") > 1, F.raise_error(F.concat(F.lit("several files map to "), "output"))).otherwise(F.col("output"))
+    content = F.when(F.col("kind") == "text", F.encode(F.make_valid_utf8(F.col("content").cast("string")), "UTF-8")).otherwise(F.col("content"))
+    return met.select("path", output.alias("output"), "kind", content.alias("content"))

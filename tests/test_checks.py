@@ -145,3 +145,36 @@ def test_tables_of_pages(spark):
 def test_titles(spark):
     df = spark.createDataFrame([("x\n# One two \n# Three",), ("## no",), ("",)], "m string")
     assert [r[0] for r in df.select(html.document_title("m")).collect()] == ["One two", None, None]
+
+
+def test_landed_specifications(spark):
+    spec = lambda **x: json.dumps({"openapi": "3.1.0", "info": {"version": "1.2"}} | x)
+    bodies = [(200, spec()), (200, json.dumps({"swagger": "2.0"})), (200, spec(openapi="4.0")), (404, spec()), (200, "<html>"), (200, None), (200, spec(x="y" * 99)), (200, spec(info={"version": 3}))]
+    df = spark.createDataFrame([(f"u{i}", *b) for i, b in enumerate(bodies)], "url string, status int, body string")
+    got = {r.url: (r.status, r.version) for r in artifacts.landed_specs(df, max_bytes=100).collect()}
+    assert [got[f"u{i}"] for i in range(8)] == [("accepted", "1.2"), ("accepted", None), ("not_a_specification", None), ("not_fetched", None), ("not_a_specification", None), ("not_fetched", None), ("too_large", None), ("accepted", None)]
+
+
+def test_supplementary_notes(spark):
+    note = lambda *x: spark.createDataFrame([x], "file string, content string, received_from string, received_at string, excerpted_by string, subject string")
+    r = artifacts.supplementary_notes(note("n.md", "text", "Ann", "2024-05-01T10:00:00+08:00", "Bo", None)).first()
+    side = json.loads(r.provenance)
+    assert (r.path, r.provenance_path, r.sha256, r.authority) == ("n.md", "n.md.source.json", hashlib.sha256(b"text").hexdigest(), "supplementary")
+    assert side == {"schema_version": 1, "authority": "supplementary", "received_from": "Ann", "received_at": "2024-05-01T02:00:00Z", "excerpted_by": "Bo", "imported_sha256": r.sha256, "source_file": "n.md"}
+    files = spark.createDataFrame([("n.md", r.sha256)], "path string, sha256 string")
+    assert rows(manifest.with_authority(files, spark.createDataFrame([(r.provenance_path, r.provenance)], "path string, content string")), "authority") == [("supplementary",)]
+    good = ["n.md", "t", "Ann", "2024-05-01T10:00:00Z", "Bo", None]
+    for k, bad in ((0, "a/n.md"), (0, "n.txt"), (2, " "), (3, "2024-05-01T10:00:00"), (3, "soon+08:00"), (4, None)):
+        with pytest.raises(Exception, match="n\\."):
+            artifacts.supplementary_notes(note(*[bad if i == k else x for i, x in enumerate(good)])).collect()
+    with pytest.raises(Exception, match="twice"):
+        artifacts.supplementary_notes(note(*good).union(note(*good))).collect()
+
+
+def test_prepared_documents(spark):
+    files = [("a.md", b"ok \xff"), ("b.bin", b"\xff\x00"), ("c.pdf", b"%PDF"), ("d/e.TXT", "é".encode())]
+    df = lambda x: spark.createDataFrame(x, "path string, content binary")
+    got = {r.path: (r.output, r.kind, bytes(r.content)) for r in artifacts.prepared_documents(df(files)).collect()}
+    assert got == {"a.md": ("a.md", "text", "ok \ufffd".encode()), "b.bin": ("b.bin", "passthrough", b"\xff\x00"), "c.pdf": ("c.pdf.md", "unconverted", b"%PDF"), "d/e.TXT": ("d/e.TXT", "text", "é".encode())}
+    with pytest.raises(Exception, match="several files"):
+        artifacts.prepared_documents(df([*files, ("c.pdf.md", b"x")])).collect()
