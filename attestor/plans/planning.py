@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from attestor.functions.json_text import json_leaves
-from attestor.operators import openapi, planning
+from attestor.operators import domain, openapi, planning
 from attestor.plans.registry import query
 
 
@@ -95,3 +95,32 @@ def integration_findings(t):
     entries = rows.withColumn("status", F.expr("CASE l_returnflag WHEN 'R' THEN 'conflicting' WHEN 'A' THEN 'unverified' ELSE 'supported' END"))
     refs = rows.select("run", "location", F.lit("op").alias("ref"))
     return planning.integration_findings(entries, rows.where("l_linenumber % 4 != 0"), refs, t.part.where("p_size > 5").select(F.col("p_partkey").alias("run"), F.lit("op").alias("ref")))
+
+
+@query("""WITH o AS (SELECT o_custkey AS run, o_orderkey AS ord, 'operations.' || o_orderkey AS location, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE 'operation:GET:/' || o_orderpriority END AS identity, o_orderkey % 3 AS nr, o_orderkey % 5 AS ne FROM orders), n AS (SELECT *, coalesce(identity, location) AS name, min(CASE WHEN identity IS NOT NULL THEN ord END) OVER (PARTITION BY run, identity) AS first FROM o)
+SELECT run, 'OPERATION_IDENTITY_INVALID' AS code, location, location AS message FROM n WHERE identity IS NULL UNION ALL SELECT run, 'OPERATION_IDENTITY_DUPLICATE', location, name FROM n WHERE identity IS NOT NULL AND ord > first UNION ALL SELECT run, 'RESPONSE_REQUIRED', location, name FROM n WHERE nr = 0 UNION ALL SELECT run, 'OPERATION_EVIDENCE_REQUIRED', location, name FROM n WHERE ne = 0""")
+def operation_rule_findings(t):
+    rows = t.orders.select(
+        F.col("o_custkey").alias("run"), F.col("o_orderkey").alias("ord"), F.concat(F.lit("operations."), F.col("o_orderkey").cast("string")).alias("location"), F.when(F.col("o_orderkey") % 13 == 0, "FETCH").otherwise(" get").alias("method"),
+        F.concat(F.lit("/"), "o_orderpriority").alias("path"), (F.col("o_orderkey") % 3).alias("n_responses"), (F.col("o_orderkey") % 5).alias("n_evidence"),
+    )
+    return domain.operation_findings(rows)
+
+
+@query("""WITH e AS (SELECT l_orderkey AS run, CASE WHEN l_linenumber % 2 = 0 THEN 'explicit_support' WHEN l_returnflag = 'R' THEN 'contradicts' ELSE 'insufficient' END AS rel, l_linestatus AS path FROM lineitem), g AS (SELECT run, count(*) AS n, count(*) FILTER (WHERE rel = 'explicit_support') AS s, count(*) FILTER (WHERE rel = 'contradicts') AS a, count(DISTINCT path) FILTER (WHERE rel = 'explicit_support' AND path IN ('F', 'O')) AS c FROM e GROUP BY run),
+m AS (SELECT o_orderkey AS run, coalesce(n, 0) AS n, coalesce(s, 0) AS s, coalesce(a, 0) AS a, coalesce(c, 0) AS c, o_orderstatus <> 'P' AS needs FROM orders LEFT JOIN g ON run = o_orderkey)
+SELECT run, 'CLAIM_EVIDENCE_REQUIRED' AS code FROM m WHERE needs AND n = 0 UNION ALL SELECT run, 'CLAIM_SEMANTIC_SUPPORT_REQUIRED' FROM m WHERE needs AND s = 0 UNION ALL SELECT run, 'CLAIM_SUPPORT_COVERAGE_INCOMPLETE' FROM m WHERE needs AND s > 0 AND c < 2 UNION ALL SELECT run, 'CLAIM_EVIDENCE_CONTRADICTS' FROM m WHERE a > 0""")
+def claim_rule_findings(t):
+    here = F.lit("claims.0").alias("location")
+    rel = F.expr("CASE WHEN l_linenumber % 2 = 0 THEN 'explicit_support' WHEN l_returnflag = 'R' THEN 'contradicts' ELSE 'insufficient' END")
+    proof = t.lineitem.select(F.col("l_orderkey").alias("run"), here, F.lit("r").alias("relationship_id"), rel.alias("relationship"), F.col("l_linestatus").alias("claim_path"))
+    own = t.orders.select(F.col("o_orderkey").alias("run"), here, F.col("o_orderkey").cast("string").alias("identity"), F.when(F.col("o_orderstatus") == "P", "unverified").otherwise("supported").alias("status"))
+    paths = own.select("run", "location", F.explode(F.array(F.lit("F"), F.lit("O"))).alias("path"))
+    return domain.claim_findings(own, proof, paths).select("run", "code")
+
+
+@query("SELECT DISTINCT l_orderkey AS run, 'SCHEMA_REFERENCE_UNRESOLVED' AS code, l_linenumber::VARCHAR AS location, l_partkey::VARCHAR AS message FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 10)")
+def unresolved_references(t):
+    refs = t.lineitem.select(F.col("l_orderkey").alias("run"), F.col("l_linenumber").cast("string").alias("location"), F.lit("schema").alias("kind"), F.col("l_partkey").cast("string").alias("ref"))
+    known = t.lineitem.join(t.part.where("p_size > 10").select(F.col("p_partkey").alias("l_partkey")), "l_partkey", "left_semi")
+    return domain.reference_findings(refs, known.select(F.col("l_orderkey").alias("run"), F.lit("schema").alias("kind"), F.col("l_partkey").cast("string").alias("name")))
