@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestor.llm.anchors import ANCHOR, SIDE, WINDOW, anchors
+from attestor.llm.anchors import SIDE, WINDOW, anchors
 from attestor.llm.interleave import repeated_windows
 from attestor.session import Workspace
 
@@ -74,7 +74,7 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts in order of anchor to (cid, pos, mask of the window starts that repeat), at least BATCH at a time."""
+    """Contexts in order of anchor to (cid, pos, mask of the window starts that repeat), about BATCH at a time."""
 
     def solve(table: pa.Table) -> pa.RecordBatch:
         column = lambda k: table.column(k).combine_chunks()
