@@ -224,9 +224,10 @@ def replace_pii(df: DataFrame, key: str, text_col: str = "text", out_col: str =
     gives an empty table.
     """
     work = Workspace(df.sparkSession, "pii")
-    base = work.save(df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), F.col(text_col).alias("body"), found_entities(F.col(text_col)).alias("found")), "found")
+    base = work.save(df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), found_entities(F.col(text_col)).alias("found")), "found")
+    base = base.withColumn("body", F.col("row")[text_col])
     has = F.coalesce(F.size("found") > 0, F.lit(False))
-    marked = work.save(_with_mentions(base.where(has)).withColumn("key", F.sha2(F.to_json("list"), 256)), "marked")
+    marked = work.save(_with_mentions(base.where(has)).drop("body").withColumn("key", F.sha2(F.to_json("list"), 256)), "marked")
     lists = work.save(marked.groupBy("key").agg(F.first("list").alias("list")), "lists")
     mentions = lists.select("key", F.posexplode("list").alias("pos", "e")).select("key", "pos", "e.kind", "e.value", _norm(F.col("e.kind"), F.col("e.value")).alias("norm"))
     known = distinct_surrogates(mentions.select("kind", "norm").distinct(), key, work)
