@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from attestor.session import Workspace, read_table
 
 PIECE_MODEL = "piece_bpe_32k.model"
+BYTE_RANKS = "byte_bpe_50k.tiktoken"
+BYTE_MODEL = "byte_bpe_50k.json"
 #: Key of the surrogates; a real job takes it from a secret store.
 PII_KEY = "attestor-example-key"
 
@@ -157,8 +159,24 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replace_pii(docs, PII_KEY).select("doc_id", "text", F.col("n_entities").cast("long").alias("n_entities"))
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from attestor.llm.byte_bpe import decode_bytes, encode_bytes
+
+    ranks = public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN
+    coded = decode_bytes(encode_bytes(read_table(spark, sf_dir, "documents").select("doc_id", "text"), *ranks).drop("text"), *ranks)
+    n = (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens")
+    return coded.select("doc_id", n, F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from attestor.llm.align import align_tokenizers
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return align_tokenizers(docs, public_tokenizers.path(BYTE_MODEL), public_tokenizers.PATTERN, public_tokenizers.path(PIECE_MODEL)).drop("key")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_exact_top_k, op3_token_counts, op4_warc_archive, op5_quality_classifier, op6_sentencepiece_spans, op7_repeated_strings, op8_chat_windows, op9_benchmark_leaks, op10_pii_surrogates)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_exact_top_k, op3_token_counts, op4_warc_archive, op5_quality_classifier, op6_sentencepiece_spans, op7_repeated_strings, op8_chat_windows, op9_benchmark_leaks, op10_pii_surrogates, op12_byte_bpe, op13_tokenizer_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
