@@ -159,6 +159,32 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replace_pii(docs, PII_KEY).select("doc_id", "text", F.col("n_entities").cast("long").alias("n_entities"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from attestor.llm.impact_index import rank_documents
+
+    return rank_documents(read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "benchmark"), k=50)
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, text FROM documents),
+t AS (SELECT row_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                               '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+c AS (SELECT row_id, term, count(*)::BIGINT AS tf FROM t GROUP BY ALL),
+lengths AS (SELECT row_id, sum(tf)::BIGINT AS n FROM c GROUP BY row_id),
+totals AS (SELECT count(*)::BIGINT AS big_n, sum(n)::BIGINT AS big_l FROM lengths),
+m AS (SELECT row_id, 100 - 50 + ((50 * n * big_n) // big_l) AS m FROM lengths, totals),
+w AS (SELECT term, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM c, totals GROUP BY term, big_n),
+q AS (SELECT row_number() OVER () AS item, item_id, text FROM benchmark),
+i AS (SELECT DISTINCT item, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                               '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM q),
+s AS (SELECT item, item_id, row_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+      FROM i JOIN c USING (term) JOIN w USING (term) JOIN m USING (row_id) GROUP BY ALL),
+r AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank
+      FROM s JOIN d USING (row_id) WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50
+"""
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from attestor.llm.byte_bpe import decode_bytes, encode_bytes
 
@@ -176,8 +202,8 @@ def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_exact_top_k, op3_token_counts, op4_warc_archive, op5_quality_classifier, op6_sentencepiece_spans, op7_repeated_strings, op8_chat_windows, op9_benchmark_leaks, op10_pii_surrogates, op12_byte_bpe, op13_tokenizer_alignment)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_exact_top_k, op3_token_counts, op4_warc_archive, op5_quality_classifier, op6_sentencepiece_spans, op7_repeated_strings, op8_chat_windows, op9_benchmark_leaks, op10_pii_surrogates, op11_ranked_search, op12_byte_bpe, op13_tokenizer_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_top_k": OP2_SQL, "op4_warc_archive": OP4_SQL, "op8_chat_windows": OP8_SQL}
+    return {"op2_exact_top_k": OP2_SQL, "op4_warc_archive": OP4_SQL, "op8_chat_windows": OP8_SQL, "op11_ranked_search": OP11_SQL}
