@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attestor.llm.byte_bpe import byte_bpe
-from attestor.llm.tokenizer_io import by_bytes, model_proto, sentencepiece_model, split_text
+from attestor.llm.tokenizer_io import MARK, by_bytes, model_proto, sentencepiece_model, split_text, splits_at_spaces
 from attestor.session import Workspace
 
 BATCH_BYTES = 1 << 20
@@ -30,10 +30,11 @@ BROADCAST_PAIRS = 1 << 20
 
 
 @lru_cache(maxsize=4)
-def _piece_bytes(path: str) -> tuple[list[bytes], np.ndarray]:
+def _piece_bytes(path: str) -> tuple[list[bytes], np.ndarray, int]:
+    """Bytes of each piece, their numbers, and the id of the unknown piece."""
     proto = model_proto(path)
-    out = [bytes([int(p.piece[1:-1], 16)]) if p.type == p.BYTE else p.piece.replace("▁", " ").encode() for p in proto.pieces]
-    return out, np.array([len(b) for b in out], np.int64)
+    out = [bytes([int(p.piece[1:-1], 16)]) if p.type == p.BYTE else p.piece.replace(MARK, " ").encode() for p in proto.pieces]
+    return out, np.array([len(b) for b in out], np.int64), proto.trainer_spec.unk_id
 
 
 @lru_cache(maxsize=4)
@@ -46,22 +47,23 @@ def both_tokens(text: str, byte_path: str, pattern: str, piece_path: str) -> tup
     if not text:
         return None
     whole = b" " + text.encode()
-    bpe = byte_bpe(byte_path, pattern)
-    packed = b"".join(bpe.encode(" " + text))
-    a = np.frombuffer(packed, "<u4")
+    a = np.frombuffer(b"".join(byte_bpe(byte_path, pattern).encode(" " + text)), "<u4")
     widths_a = _byte_widths(byte_path, pattern)[a]
-    of, widths = _piece_bytes(piece_path)
+    of, widths, unknown = _piece_bytes(piece_path)
     model = sentencepiece_model(piece_path)
-    ids = [i for part in split_text(text, piece_path, PIECE_CHARS) for i in model.encode(part)]
-    if widths_a.sum() != len(whole) or b"".join(map(of.__getitem__, ids)) != whole:  # byte-level tokens are the text's own bytes, if none is left out
-        return None
+    parts = split_text(text, piece_path, PIECE_CHARS)
+    ids = model.encode(text) if len(parts) == 1 else [i for part in parts for i in model.encode(part)]
     b = np.array(ids, np.uint32)
-    return (a, widths_a), (b, widths[b])
+    widths_b = widths[b]
+    if widths_a.sum() != len(whole) or widths_b.sum() != len(whole):  # byte-level tokens are the text's own bytes, if none is left out
+        return None
+    kept = splits_at_spaces(piece_path) and MARK not in text and not (b == unknown).any()  # nothing is normalised: pieces are the text's own bytes too
+    return ((a, widths_a), (b, widths_b)) if kept or b"".join(map(of.__getitem__, ids)) == whole else None
 
 
 @lru_cache(maxsize=1)
 def _compressor() -> zstandard.ZstdCompressor:
-    return zstandard.ZstdCompressor(level=3)
+    return zstandard.ZstdCompressor(level=1)
 
 
 @lru_cache(maxsize=1)
