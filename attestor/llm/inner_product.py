@@ -120,7 +120,7 @@ def top_k(
 
     Rows whose id or vector is null, or that hold a null, NaN or infinite component, take no part. Shorter
     vectors count as filled with zeros; an empty vector scores 0. Rows that repeat an id are candidates
-    each, but not for a query of that id; fewer than ``k`` candidates give fewer rows; an empty table
+    each, but not for a query of that id, and as queries each has a list of its own; fewer than ``k`` candidates give fewer rows; an empty table
     gives none. Scores beyond a long are held to its range. Other columns are ignored.
     """
     spark = df.sparkSession
@@ -135,7 +135,7 @@ def top_k(
     vectors = vectors.withColumn("norm", norm).repartitionByRange(n, F.desc("norm"), F.asc("id")).sortWithinPartitions(F.desc("norm"), F.asc("id"))
     vectors = work.save(vectors, "by_length")
     width, n_queries = vectors.agg(F.max(F.size("v")), F.count_if("q")).first()
-    schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.LongType())])
+    schema = T.StructType([T.StructField("query", T.LongType()), T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.LongType())])
     if not width and not n_queries:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     width = max(width or 0, 1)
@@ -162,14 +162,14 @@ def top_k(
         first.add(seed_ids, seeds)
         shared = spark.sparkContext.broadcast((ids, queries, rotation, first.floor))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, b=b) -> Iterator[pa.RecordBatch]:
             ids, queries, rotation, floor = shared.value
             search = Searcher(ids, queries, rotation, k, floor)
             for batch in batches:
                 for a in range(0, batch.num_rows, VECTOR_BLOCK):
                     part = batch.slice(a, VECTOR_BLOCK)
                     search.add(np.asarray(part.column(0)), _components(part.column(1), width, scale))
-            yield pa.RecordBatch.from_arrays([pa.array(search.ids[search.best_q]), pa.array(search.best_id), pa.array(search.best_score)], names=["query_id", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(search.best_q.astype(np.int64) + (b << 32)), pa.array(search.ids[search.best_q]), pa.array(search.best_id), pa.array(search.best_score)], names=["query", "query_id", "vec_id", "score"])
 
         found.append(work.save(vectors.select("id", "v").mapInArrow(run, schema), f"block{b}"))
         shared.unpersist()
@@ -178,5 +178,5 @@ def top_k(
     rows = found[0]
     for more in found[1:]:
         rows = rows.unionAll(more)
-    best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = W.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

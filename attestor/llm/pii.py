@@ -35,8 +35,6 @@ SIGN = rf"[0-9@\"']|(?=[MHSDFP])\b(?:{_MALE}|{_FEMALE}|{_EITHER})\b|(?<![0-9A-Za
 TITLE = rf"(?=[MHSDFP])\b(?:{_MALE}|{_FEMALE}|{_EITHER})\b"
 #: Any entity; the names of each gender are its three groups.
 ENTITY = "|".join(f"({p})" if kind in _NAMES else f"(?:{p})" for kind, p in PATTERNS.items())
-_SYLLABLES = ["ba", "de", "fi", "go", "hu", "ka", "le", "mi", "no", "pu", "ra", "se", "ti", "vo", "wa", "zu"]
-MAX_ROUNDS = 40
 
 
 def found_entities(text: Column) -> Column:
@@ -101,92 +99,171 @@ def _norm(kind: Column, value: Column) -> Column:
     return (
         F.when(kind.isin("phone", "card", "ssn"), F.regexp_replace(value, r"\D", ""))
         .when(kind == "iban", F.replace(value, F.lit(" "), F.lit("")))
-        .when(kind == "ip", value)
+        .when(kind == "ip", F.array_join(F.transform(F.split(value, r"\."), lambda o: o.cast("int").cast("string")), "."))
         .otherwise(F.lower(value))
     )
 
 
-def _bytes(seed: Column) -> Column:
-    """64 keyed bytes (0 to 255) as an array of int."""
-    hexes = F.concat(F.sha2(F.concat(seed, F.lit("|0")), 256), F.sha2(F.concat(seed, F.lit("|1")), 256))
-    return F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.conv(F.substring(hexes, i * 2 + 1, F.lit(2)), 16, 10).cast("int"))
+#: Ranges of code points whose letters or digits stand for each other; the first that holds a character is its own.
+_RANGES = [
+    (0x30, 0x39), (0x41, 0x5A), (0x61, 0x66), (0x67, 0x7A), (0xE0, 0xF6), (0xF8, 0xFF), (0x3B1, 0x3C9), (0x430, 0x44F), (0x450, 0x45F), (0x561, 0x586), (0x5D0, 0x5EA),
+    (0x641, 0x64A), (0x621, 0x63A), (0x904, 0x939), (0xE01, 0xE2E), (0x10D0, 0x10F0), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x3400, 0x4DB5), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3),
+]
+_VOWELS, _CONSONANTS = "aeiou", "bcdfghjklmnpqrstvwxyz"
+#: By gender the end of a name in Latin, Cyrillic and Greek letters; other scripts take none.
+_GENDER = {"name_m": ("no", "но", "νο"), "name_f": ("na", "на", "να"), "name_n": ("ne", "не", "νε")}
+#: Half rounds of the permutation, and tries to find an entity a surrogate that is no entity itself.
+HALF_ROUNDS, TRIES = 4, 12
+_FIXED_LENGTH = ("ip", "iban", "ssn", "phone", "card")
 
 
-def _like(value: Column, stream: Column, keep: Column) -> Column:
-    """Every letter and digit after the first ``keep`` swapped for one of its own script, case and class."""
+def _let(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
-    def swap(c: Column, i: Column) -> Column:
-        n = F.element_at(stream, (F.pmod(i, F.lit(64)) + 1).cast("int"))
-        code = lambda base, size: F.char((F.lit(base) + n % size).cast("int"))
-        wide = lambda base, size: F.decode(F.unhex(F.lpad(F.hex(F.lit(base) + n % size), 4, "0")), "UTF-16BE")
-        return (
-            F.when(i < keep, c)
-            .when(c.rlike("[0-9]"), code(48, 10))
-            .when(c.rlike(r"\p{IsCyrillic}"), F.when(c.rlike(r"\p{Lu}"), wide(0x410, 32)).otherwise(wide(0x430, 32)))
-            .when(c.rlike(r"\p{IsGreek}"), F.when(c.rlike(r"\p{Lu}"), wide(0x391, 17)).otherwise(wide(0x3B1, 17)))
-            .when(c.rlike(r"\p{Lu}"), code(65, 26))
-            .when(c.rlike(r"\p{L}"), code(97, 26))
-            .otherwise(c)
-        )
 
-    return F.array_join(F.transform(F.split(value, ""), swap), "")
+def _cells(kind: Column, text: Column) -> Column:
+    """The characters of a normal form (octets of an address) with their value, and the number of values in their class; 1 where a character stays.
 
+    The class of a character depends on itself, and what stays on what stays: so texts that differ in either never meet.
+    """
+    small = F.lit(None).cast("string")
 
-def _checked(value: Column) -> Column:
-    """The number with its last digit set so that the Luhn check holds."""
-    body = F.substring(value, 1, F.length(value) - 1)
-    return F.concat(body, F.element_at(F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: d.cast("string")), lambda d: F.call_function("luhn_check", F.concat(body, d))), 1))
+    def cell(c: Column, v: Column, size: Column, alphabet: Column = small, low: Column | None = None) -> Column:
+        return F.struct(c.alias("c"), v.cast("long").alias("v"), (F.lit(0) if low is None else low).cast("int").alias("low"), size.cast("long").alias("size"), alphabet.alias("alphabet"))
 
+    n = F.length(text)
+    tail = F.when(kind == "email", n - F.length(F.substring_index(text, ".", -1))).otherwise(n)
+    head = F.when(kind == "card", 1).when(kind == "phone", F.greatest(n - 10, F.lit(0))).when(kind == "iban", 2).otherwise(0)
 
-def _name(norm: Column, kind: Column, stream: Column) -> Column:
-    syllable = lambda i: F.element_at(F.array(*map(F.lit, _SYLLABLES)), (F.element_at(stream, F.lit(i)) % 16 + 1).cast("int"))
-    latin = F.concat(*[syllable(i) for i in range(1, 6)], F.when(kind == "name_f", "na").when(kind == "name_m", "no").otherwise("ne"))
-    return F.when(norm.rlike(r"\p{IsCyrillic}"), F.translate(latin, "abdefghiklmnoprstuvwz", "абдефгхиклмнопрстувшз")).when(norm.rlike(r"\p{IsGreek}"), F.translate(latin, "abdefghiklmnoprstuvwz", "αβδεφγχικλμνοπρστυβωζ")).otherwise(latin)
+    def of(c: Column, i: Column) -> Column:
+        code = F.ascii(c)
+        found = cell(c, F.lit(0), F.lit(1))
+        for low, high in reversed(_RANGES):
+            found = F.when(code.between(low, high), cell(c, code - low, F.lit(high - low + 1), low=F.lit(low))).otherwise(found)
+        for letters in (_VOWELS, _CONSONANTS):
+            found = F.when(kind.startswith("name") & F.lit(letters).contains(c), cell(c, F.instr(F.lit(letters), c) - 1, F.lit(len(letters)), F.lit(letters))).otherwise(found)
+        return F.when((i < head) | (i >= tail), cell(c, F.lit(0), F.lit(1))).otherwise(found)
 
+    octets = F.transform(F.split(text, r"\."), lambda o: cell(o, o.cast("int"), F.lit(256)))
+    return F.when(kind == "ip", octets).otherwise(F.transform(F.split(text, ""), of))
 
-def surrogate(kind: Column, norm: Column, key: str, attempt: Column) -> Column:
-    """The replacement of a normal form: same kind, length and script, in normal form itself."""
-    stream = F.col("stream")
-    number = _like(norm, stream, F.when(kind == "card", 1).when(kind == "phone", F.greatest(F.length(norm) - 10, F.lit(0))).otherwise(0))
-    octets = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: (F.element_at(stream, i) % 254 + 1).cast("string")), ".")
-    local, domain = F.substring_index(norm, "@", 1), F.substring_index(norm, "@", -1)
-    tld = F.concat(F.lit("."), F.substring_index(domain, ".", -1))
-    email = F.concat(_like(local, stream, F.lit(0)), F.lit("@"), _like(F.substring(domain, F.lit(1), F.length(domain) - F.length(tld)), F.reverse(stream), F.lit(0)), tld)
-    iban = F.concat(F.substring(norm, 1, 2), _like(F.substring(norm, F.lit(3), F.length(norm)), stream, F.lit(0)))
-    secret = F.when(norm.rlike("^[0-9a-f]+$"), F.array_join(F.transform(F.split(norm, ""), lambda c, i: F.lower(F.hex(F.element_at(stream, (F.pmod(i, F.lit(64)) + 1).cast("int")) % 16))), "")).otherwise(_like(norm, stream, F.lit(0)))
-    return (
-        F.when(kind == "card", F.when(F.call_function("luhn_check", norm), _checked(number)).otherwise(number))
-        .when(kind.isin("phone", "ssn"), number)
-        .when(kind == "ip", octets)
-        .when(kind == "email", email)
-        .when(kind == "iban", iban)
-        .when(kind.startswith("name"), _name(norm, kind, stream))
-        .otherwise(secret)
-    )
 
+def _permuted(cells: Column, seed: Column) -> Column:
+    """A keyed permutation of all texts with the same classes.
 
-def _with_surrogate(entities: DataFrame, key: str) -> DataFrame:
-    seed = F.concat_ws("|", F.lit(key), "kind", "norm", F.col("attempt").cast("string"))
-    return entities.withColumn("stream", _bytes(seed)).withColumn("surrogate", surrogate(F.col("kind"), F.col("norm"), key, F.col("attempt"))).drop("stream")
+    In each half round the cells at even (then odd) places are moved within their class by what a digest of all others tells, which
+    can be undone as the others are still there. So no two texts come to be one.
+    """
+    def half(r: int):
+        mine = r % 2
 
+        def moved(c: Column, i: Column, told: Column) -> Column:
+            step = F.conv(F.substring(F.sha2(F.concat(told, F.lit("|"), i.cast("string")), 256), 1, 12), 16, 10).cast("long")
+            return F.when((i % 2 == mine) & (c["size"] > 1), c.withField("v", (c["v"] + step) % c["size"])).otherwise(c)
+
+        def apply(now: Column) -> Column:
+            rest = F.filter(now, lambda c, i: i % 2 != mine)
+            told = F.sha2(F.concat(seed, F.lit(f"|{r}|"), F.array_join(F.transform(rest, lambda c: F.concat(c["v"].cast("string"), F.lit("/"), c["size"].cast("string"))), ",")), 256)
+            return _let(told, lambda told: F.transform(now, lambda c, i: moved(c, i, told)))
+
+        return apply
+
+    for r in range(HALF_ROUNDS):
+        cells = _let(cells, half(r))
+    return cells
+
+
+def _written(kind: Column, cells: Column) -> Column:
+    wide = lambda code: F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE")
+
+    def char(c: Column) -> Column:
+        return F.when(kind == "ip", c["v"].cast("string")).when(c["size"] == 1, c["c"]).when(c["alphabet"].isNotNull(), F.substring(c["alphabet"], c["v"].cast("int") + 1, F.lit(1))).otherwise(wide(c["low"] + c["v"]))
+
+    return F.call_function("array_join", F.transform(cells, char), F.when(kind == "ip", ".").otherwise(""))
 
-def distinct_surrogates(entities: DataFrame, key: str, work: Workspace) -> DataFrame:
-    """(kind, norm, surrogate) in which no two entities of a kind share a surrogate and none is an entity found.
 
-    Entities whose surrogate collides take a further keyed try, smaller normal forms first, until none does.
+def _luhn_digit(body: Column) -> Column:
+    """The digit that makes a number of these leading digits pass the Luhn check."""
+    digits = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: d.cast("string"))
+    return F.get(F.filter(digits, lambda d: F.call_function("luhn_check", F.concat(body, d))), F.lit(0)).cast("int")
+
+
+def _iban_digits(country: Column, body: Column) -> Column:
+    """The check number of an account: 98 less the remainder by 97, letters counting from 10."""
+    step = lambda acc, c: F.when(c.rlike("[0-9]"), (acc * 10 + c.cast("int")) % 97).otherwise((acc * 100 + F.ascii(c) - 55) % 97)
+    return F.lit(98) - F.aggregate(F.split(F.concat(body, country, F.lit("00")), ""), F.lit(0), lambda acc, c: step(acc, c).cast("int"))
+
+
+def surrogate(kind: Column, text: Column, key: str, tweak: Column) -> Column:
+    """The replacement of a normal form, in normal form itself; different forms of a kind have different ones.
+
+    Characters stay in their class (digits, letters of a script, vowels and consonants of Latin names), an address keeps its
+    top-level domain, a phone number what precedes its last ten digits, a card its first digit, an account its country. Check
+    digits are computed anew and stand as far from right as before, so right ones stay right. A name gets two more letters, by its gender.
+    """
+    seed = F.concat_ws("|", F.lit(key), kind, tweak.cast("string"))
+    front, last = F.substring(text, F.lit(1), F.length(text) - 1), F.substring(text, -1, 1).cast("int")
+    country, stated, body = F.substring(text, 1, 2), F.substring(text, 3, 2).cast("int"), F.substring(text, F.lit(5), F.length(text))
+    part = F.when(kind == "card", front).when(kind == "iban", F.concat(country, body)).otherwise(text)
+
+    def whole(new: Column) -> Column:
+        card = F.concat(new, F.pmod(_luhn_digit(new) + last - _luhn_digit(front), F.lit(10)).cast("string"))
+        account = F.substring(new, F.lit(3), F.length(new))
+        check = F.pmod(_iban_digits(country, account) + stated - _iban_digits(country, body), F.lit(100))
+        out = F.when(kind == "card", card).when(kind == "iban", F.concat(country, F.lpad(check.cast("string"), 2, "0"), account))
+        for name, ends in _GENDER.items():
+            for script, end in zip(("[a-z]", r"\p{IsCyrillic}", r"\p{IsGreek}"), ends, strict=True):
+                out = out.when((kind == name) & new.rlike(script), F.concat(new, F.lit(end)))
+        return out.otherwise(new)
+
+    return _let(_written(kind, _permuted(_cells(kind, part), seed)), whole)
+
+
+def _grown(kind: Column, norm: Column, n: int) -> Column:
+    more = F.lit("a" * n)
+    return F.when(kind == "email", F.concat(F.substring_index(norm, "@", 1), more, F.lit("@"), F.substring_index(norm, "@", -1))).otherwise(F.concat(norm, more))
+
+
+def distinct_surrogates(entities: DataFrame, key: str, work: Workspace) -> DataFrame:
+    """(kind, norm, surrogate) in which no two entities of a kind share a surrogate and none is an entity of its kind.
+
+    Each kind is permuted, so surrogates differ by construction, however many there are and however few a format allows. One that
+    is an entity of the table itself (or stays as it was) is replaced: what is permuted then is no entity but the normal
+    form grown by as many letters as tries were made, or, where a format has a fixed length, the form permuted by another key.
+    These inputs are no entities either, nor inputs of another, so they too come out distinct. Only such entities are tried
+    again, and a longer form leaves 26 times the room. A format of fixed length nearly all of which is in the table keeps,
+    after TRIES, the surrogate it had: distinct, yet somebody else's value.
     """
-    real = entities.select(F.col("kind").alias("k"), F.col("norm").alias("n"))
-    now = work.save(_with_surrogate(entities.withColumn("attempt", F.lit(0)), key), "surrogates0")
-    for r in range(1, MAX_ROUNDS):
-        firsts = now.groupBy("kind", "surrogate").agg(F.min("norm").alias("first"), F.count("*").alias("n"))
-        late = now.join(firsts.where("n > 1"), ["kind", "surrogate"]).where("norm != first").select("kind", "norm")
-        met = now.join(real, (now.kind == real.k) & (now.surrogate == real.n), "left_semi").select("kind", "norm")
-        again = late.union(met).distinct().withColumn("again", F.lit(True))
-        if again.isEmpty():
-            return now.select("kind", "norm", "surrogate")
-        tried = now.join(again, ["kind", "norm"], "left").select("kind", "norm", (F.col("attempt") + F.when(F.col("again"), 1).otherwise(0)).alias("attempt"))
-        now = work.save(_with_surrogate(tried, key), f"surrogates{r}")
-    raise RuntimeError(f"surrogates still collide after {MAX_ROUNDS} rounds")
+    real = work.save(entities.select("kind", "norm").distinct(), "entities")
+    known = real.select(F.col("kind").alias("k"), F.col("norm").alias("n"))
+    is_real = lambda rows, column: rows.join(known, (F.col("kind") == F.col("k")) & (F.col(column) == F.col("n")), "left").withColumn(f"{column}_is", F.col("n").isNotNull()).drop("k", "n")
+    first = real.withColumn("surrogate", surrogate(F.col("kind"), F.col("norm"), key, F.lit(0)))
+    first = work.save(is_real(first, "surrogate"), "surrogates0")
+    done, pending = [first.where("not surrogate_is").select("kind", "norm", "surrogate")], first.where("surrogate_is").select("kind", "norm", "surrogate")
+    used = None
+    for t in range(1, TRIES + 1):
+        if pending.isEmpty():
+            return _union(done)
+        fresh = F.when(F.col("kind").isin(*_FIXED_LENGTH), surrogate(F.col("kind"), F.col("norm"), key, F.lit(t))).otherwise(_grown(F.col("kind"), F.col("norm"), t))
+        tried = pending.withColumnRenamed("surrogate", "before").withColumn("input", fresh).withColumn("surrogate", surrogate(F.col("kind"), F.col("input"), key, F.lit(0)))
+        tried = is_real(is_real(tried, "input"), "surrogate").withColumn("free", ~F.col("input_is") & ~F.col("surrogate_is"))
+        if used is not None:
+            taken = used.select(F.col("kind").alias("k"), F.col("input").alias("i"))
+            tried = tried.join(taken, (F.col("kind") == F.col("k")) & (F.col("input") == F.col("i")), "left").withColumn("free", F.col("free") & F.col("i").isNull())
+        tried = work.save(tried.select("kind", "norm", "before", "input", "surrogate", "free"), f"surrogates{t}")
+        done.append(tried.where("free").select("kind", "norm", "surrogate"))
+        pending = tried.where("not free").select("kind", "norm", F.col("before").alias("surrogate"))
+        now = tried.where("free").select("kind", "input")
+        used = now if used is None else used.unionAll(now)
+    return _union([*done, pending])
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionAll(part)
+    return out
 
 
 def _in_format(kind: Column, value: Column, new: Column) -> Column:
@@ -213,10 +290,11 @@ def replace_pii(df: DataFrame, key: str, text_col: str = "text", out_col: str =
     security numbers, phone numbers, numbers of 13 to 19 digits (cards), and names after a title with their other
     mentions in the text; a name that never follows a title is not known as one. The
     replacement depends on the key and the entity's normal form alone, so all mentions agree, in every
-    document and spelling. It keeps kind, length, separators, letter case and script; a card keeps its
-    first digit and whether its Luhn check holds, a phone number its country code, an address its top-level
-    domain, a name the gender its title tells, so that two persons of one name and different titles stay two.
-    Replacements that would coincide with each other or with an entity of the table are drawn again.
+    document and spelling. It keeps kind, separators, letter case and script; a card keeps its
+    first digit and whether its Luhn check holds, an IBAN its country and whether its check number does, a phone number its country code, an address its top-level
+    domain, a name the gender its title tells, so that two persons of one name and different titles stay two. Length is
+    kept too, but for two letters more that tell the gender of names, and letters added where the same length would be an entity of the table
+    (see distinct_surrogates()). Letters of scripts without a range of their own here stay as they are.
 
     Every text is searched once and written with what was found; texts without entities are never shuffled. Null texts
     stay null and count 0; empty and very long texts, repeated rows and ties are no special case; other columns,

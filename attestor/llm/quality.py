@@ -124,7 +124,7 @@ def _collect(df: DataFrame, text_col: str) -> np.ndarray:
 
 
 def train(texts: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_rows: int = FIT_ROWS) -> Model:
-    """Fit on trusted positives and unlabelled texts, at most ``fit_rows`` of each, chosen by a hash of the id.
+    """Fit on trusted positives and unlabelled texts, at most ``fit_rows`` different rows of each, chosen by a hash of the id.
 
     ``labels`` must hold training rows only. Its positives are the trusted ones; texts count as unlabelled whatever
     their label. The class prior is the share of positives among all rows of ``labels``, as they are a
@@ -134,10 +134,15 @@ def train(texts: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     n, n_positive = known.agg(F.count("*"), F.count_if(F.col("known") == 1)).first()
     prior = min(0.98, max(0.02, n_positive / n)) if n else 0.5
     chosen = known.where("known = 1").orderBy(F.xxhash64("known_id"), "known_id").limit(fit_rows).select("known_id")
-    rows = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
-    positives = rows.join(chosen, rows.id == chosen.known_id, "left_semi")
-    picks = rows.where("id is not null").select("id").orderBy(F.xxhash64("id", F.lit(7)), "id").limit(fit_rows)
-    unlabelled = rows.join(picks.select(F.col("id").alias("pick")), F.col("id") == F.col("pick"), "left_semi")
+    rows = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"), F.xxhash64(text_col).alias("of"))
+
+    def bounded(some: DataFrame, salt: int) -> DataFrame:
+        """At most ``fit_rows`` of the different rows, by a hash of the id; only these are collected."""
+        picks = some.select("id", "of").distinct().orderBy(F.xxhash64("id", F.lit(salt)), "id", "of").limit(fit_rows)
+        return some.join(picks, ["id", "of"], "left_semi").dropDuplicates(["id", "of"])
+
+    positives = bounded(rows.join(chosen, rows.id == chosen.known_id, "left_semi"), 3)
+    unlabelled = bounded(rows.where("id is not null"), 7)
     return fit(_collect(positives, "body"), _collect(unlabelled, "body"), prior)
 
 

@@ -30,12 +30,12 @@ def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP2_SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+WITH v AS (SELECT row_number() OVER () AS row_id, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
              AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.e, v.e)::BIGINT AS score
+s AS (SELECT q.row_id, q.vec_id AS query_id, v.vec_id, list_inner_product(q.e, v.e)::BIGINT AS score
       FROM v AS q JOIN v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+r AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
@@ -83,7 +83,7 @@ def op4_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = work.save(built, "arc")
     page = F.regexp_extract(F.col("head").cast("string"), rf"\r\n{key}: (-?[0-9]+)\r\n", 1)
     heads = warc.convert_arc(archives, with_payload=False).withColumn("page_id", page.try_cast("long"))
-    revisits = work.save(warc.first_copies(heads, "page_id"), "revisits")
+    revisits = work.save(warc.first_copies(heads, "page_id", work), "revisits")
     path = work.new_path("archives")
     warc.write_warc(warc.convert_arc(archives), revisits, path)
     read = work.save(warc.read_warc(spark, path, with_payload=False).where("warc_type != 'warcinfo'").drop("payload"), "read")

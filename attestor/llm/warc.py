@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from attestor.session import Workspace
+
 CRLF = "\r\n"
 END = CRLF + CRLF
 MIN_DEDUP_BYTES = 100
@@ -187,14 +189,16 @@ def arc_archives(df: DataFrame, url: Column, body: Column, version: Column, head
     return rows.mapInArrow(run, "archive string, content binary")
 
 
-def first_copies(records: DataFrame, order: str, least: int = MIN_DEDUP_BYTES) -> DataFrame:
+def first_copies(records: DataFrame, order: str, work: Workspace, least: int = MIN_DEDUP_BYTES) -> DataFrame:
     """(record_id, first_id, first_order) of records whose payload of at least ``least`` bytes an earlier record has.
 
     Earlier is a smaller ``order``, ties by record_id; null orders come last. The copies of a payload meet in a
-    pre-aggregated minimum; the join back is one that adaptive execution splits for a hot payload.
+    pre-aggregated minimum, which is written before it is joined: so both sides of the join are plain exchanges, which adaptive
+    execution splits for a hot payload.
     """
     large = records.where((F.col("payload_bytes") >= least) & (F.col("warc_type") != "warcinfo")).select("record_id", "payload_digest", F.struct(F.col(order).isNull().alias("last"), F.col(order).alias("order"), "record_id").alias("rank"))
-    firsts = large.groupBy(F.col("payload_digest").alias("digest")).agg(F.min("rank").alias("first"))
+    large = work.save(large, "large")
+    firsts = work.save(large.groupBy(F.col("payload_digest").alias("digest")).agg(F.min("rank").alias("first")), "firsts")
     met = large.join(firsts, large.payload_digest == firsts.digest)
     return met.where(F.col("record_id") != F.col("first.record_id")).select("record_id", F.col("first.record_id").alias("first_id"))
 
@@ -274,7 +278,8 @@ def parse_warc(chunks: Iterable[bytes]) -> Iterator[dict]:
 def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """Records of the WARC files under ``path`` (plain, or .gz of any number of members); a payload that belies its digest raises.
 
-    The files are streamed by Spark's text reader, cut at two CRLF and put together again by declared lengths.
+    The files are streamed by Spark's text reader, cut at two CRLF and put together again by declared lengths. A packed file is
+    read by one task. A plain one may be split among several, so its lines are dealt out by file and sorted by split and place.
     A revisit has no payload of its own: length and digest are those its headers state. ``head`` is the HTTP header.
     """
     schema = _arrow_schema(READ)
@@ -312,4 +317,8 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
         yield from _batches(rows(), schema)
 
     lines = spark.read.option("lineSep", END).text(path)
-    return lines.select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("line")).mapInArrow(run, T.StructType.fromDDL(READ))
+    whole = T.StructType.fromDDL(READ)
+    named = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("place"), F.col("value").cast("binary").alias("line"))
+    packed = F.lower("file").endswith(".gz")
+    plain = named.where(~packed).repartition("file").sortWithinPartitions("file", "split", "place")
+    return named.where(packed).select("file", "line").mapInArrow(run, whole).unionAll(plain.select("file", "line").mapInArrow(run, whole))

@@ -54,3 +54,14 @@ def test_few_rows_large_values_and_none(spark):
 def test_components_whose_squares_overflow(spark):
     rows = [(i, v) for i, v in vectors(60, 4)] + [(100, [1e200, 1.0, 0.0, 2.0]), (101, [1e200, -1e200, 1e160, 0.0]), (102, [1e-3, 2.0, 1e155, 1e300]), (110, [-1e300, 3.0, 1.0, 1.0])]
     assert run(spark, rows) == brute(rows, 5, 10)
+
+
+def test_queries_that_repeat_an_id_have_lists_of_their_own(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), *((i, [i / 10, 1 - i / 10]) for i in range(1, 9))]
+    got = run(spark, rows)
+    lists = {}
+    for q, rank, vec, score in got:
+        assert q == 0
+        lists.setdefault(rank, []).append((vec, score))
+    assert sorted(lists) == [1, 2, 3, 4, 5] and all(len(v) == 2 for v in lists.values())
+    assert {v for v, _ in lists[1]} == {1, 8}

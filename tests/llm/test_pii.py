@@ -140,3 +140,62 @@ def test_equals_a_search_row_by_row(spark):
             assert new != old and seen.setdefault((kind, norm), new_norm) == new_norm
     assert len(seen) == len({(k, v) for (k, _), v in seen.items()}) and len(seen) > 25
     assert not {(k, v) for (k, _), v in seen.items()} & seen.keys()
+
+
+def test_a_full_format_has_room_for_all(spark):
+    """Every address of one letter at one letter is an entity: each still gets a surrogate of its own that is none of them."""
+    rows = [(i, f"mail {chr(97 + i // 26)}@{chr(97 + i % 26)}.co now") for i in range(676)]
+    new = [r.text.split()[1] for r in run(spark, rows)[1].collect()]
+    assert len(set(new)) == 676 and not set(new) & {t.split()[1] for _, t in rows} and all(re.fullmatch(r"[a-z]+@[a-z]\.co", x) for x in new)
+
+
+def surrogates(spark, kind, norms, key="k", tweak=0):
+    from pyspark.sql import functions as F
+
+    from attestor.llm.pii import surrogate
+
+    df = spark.createDataFrame([(n,) for n in norms], "norm string").repartition(4)
+    return {r.norm: r.new for r in df.select("norm", surrogate(F.lit(kind), F.col("norm"), key, F.lit(tweak)).alias("new")).collect()}
+
+
+def test_permutations_of_whole_formats(spark):
+    """Over all texts of a format the surrogates are all texts of that format."""
+    digits = [f"{i:03d}" for i in range(1000)]
+    assert set(surrogates(spark, "secret", digits).values()) == set(digits)
+    assert surrogates(spark, "secret", digits) != surrogates(spark, "secret", digits, tweak=1)
+    names = [a + b + c for a in "bcdfg" for b in "aeiou" for c in "xyz"]
+    new = surrogates(spark, "name_f", names)
+    assert len(set(new.values())) == len(names) and all(re.fullmatch("[^aeiou][aeiou][^aeiou]na", x) for x in new.values())
+    ips = [f"{a}.{b}.0.1" for a in range(40) for b in range(40)]
+    new = set(surrogates(spark, "ip", ips).values())
+    assert len(new) == 1600 and all(all(0 <= int(o) < 256 for o in x.split(".")) for x in new)
+
+
+def test_check_digits_and_scripts(spark):
+    def luhn(x: str) -> bool:
+        return sum(int(d) if i % 2 == 0 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(reversed(x))) % 10 == 0
+
+    def mod97(x: str) -> int:
+        return int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97
+
+    cards = [f"4539148803{i:06d}" for i in range(3000)]
+    new = surrogates(spark, "card", cards)
+    assert len(set(new.values())) == 3000 and all(luhn(a) == luhn(b) and b[0] == "4" and len(b) == 16 for a, b in new.items())
+    new = surrogates(spark, "iban", ["DE89370400440532013000", "GB29NWBK60161331926819", "DE88370400440532013000"])
+    for a, b in new.items():
+        assert a != b and a[:2] == b[:2] and (mod97(a) == 1) == (mod97(b) == 1) and [c.isdigit() for c in a] == [c.isdigit() for c in b]
+    new = surrogates(spark, "email", ["用户@例子公司.com", "élan@ñandú.es", "ιαν@ελ.gr", "имя@почта.рф"])
+    assert all(re.fullmatch("[\u4e00-\u9fa5]{2}@[\u4e00-\u9fa5]{4}\\.com", b) and a != b for a, b in new.items() if a.endswith("com"))
+    assert all(re.fullmatch("[а-я]{3}@[а-я]{5}\\.рф", b) and a != b for a, b in new.items() if a.endswith("рф"))
+    assert all(len(a) == len(b) and a != b for a, b in new.items())
+
+
+def test_many_names_take_no_rounds(spark):
+    """Far more names of one kind than five syllables could tell apart, by formula."""
+    from pyspark.sql import functions as F
+
+    from attestor.llm.pii import surrogate
+
+    names = spark.range(0, 200_000, 1, 8).select(F.translate(F.lpad(F.conv(F.col("id").cast("string"), 10, 26), 5, "0"), "0123456789ABCDEFGHIJKLMNOP", "abcdefghijklmnopqrstuvwxyz").alias("norm"))
+    new = names.select(surrogate(F.lit("name_m"), F.col("norm"), "k", F.lit(0)).alias("new"))
+    assert new.distinct().count() == 200_000

@@ -66,3 +66,13 @@ def test_odd_rows_pass_every_stage(docs, spark, sf_dir):
             assert rows.count() >= 0
     twice = docs.select("doc_id", "text", "lang", "source", F.lit(1).cast("long").alias("n_chars")).where("doc_id in (20, 21, 34)")
     assert sorted(r.doc_id for r in cp.near_dedup(spark, twice, sf_dir).collect()) == [20, 34]
+
+
+def test_near_dedup_keeps_every_text_that_is_no_duplicate(spark, sf_dir):
+    from tests.llm.conftest import prose
+
+    a, b = prose(1, 60), prose(2, 60)
+    rows = [(1, a, "en", "s", 1), (1, b, "en", "s", 1), (2, a, "en", "s", 1), (3, b, "de", "s", 1), (3, a + " tail", "en", "s", 1), (4, prose(3, 60), "en", "s", 1), (4, prose(3, 60), "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r.doc_id, r.text) for r in cp.near_dedup(spark, docs, sf_dir).collect())
+    assert got == sorted([(1, a), (1, b), (4, prose(3, 60))])

@@ -92,3 +92,18 @@ def test_the_fit_reaches_the_least_non_negative_risk():
             k = int(np.argmin(values))
             step, at, best = (step / 2, at, best) if values[k] >= best - 1e-9 else (step, grid[k], values[k])
         assert risk(model.weights) <= best + 0.01
+
+
+def test_rows_that_repeat_an_id_stay_within_the_bound(spark, monkeypatch):
+    from attestor.llm import quality
+
+    collected = []
+    plain = quality._collect
+    monkeypatch.setattr(quality, "_collect", lambda df, text_col: collected.append(plain(df, text_col)) or collected[-1])
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(3000)] + [(2, "same")] * 50, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    quality.train(docs, labels, fit_rows=10)
+    assert [len(x) for x in collected] == [10, 10]
+    collected.clear()
+    quality.train(docs.where("doc_id = 2"), spark.createDataFrame([(2, 1)], "doc_id long, quality int"), fit_rows=10)
+    assert [len(x) for x in collected] == [1, 1]  # identical rows count once

@@ -30,7 +30,7 @@ def test_round_trip(spark, archive_bytes):
         assert archives.count() < len(PAGES)
     records = warc.convert_arc(archives).withColumn("order", page_of("head"))
     path = work.new_path("warc")
-    warc.write_warc(records, warc.first_copies(records, "order"), path, records_per_file=3)
+    warc.write_warc(records, warc.first_copies(records, "order", work), path, records_per_file=3)
     rows = {r.page: r for r in warc.read_warc(spark, path).where("warc_type != 'warcinfo'").withColumn("page", page_of("head")).collect()}
     assert len(rows) == len(PAGES)
     for page, url, html in PAGES:
@@ -62,7 +62,7 @@ def test_empty_table(spark):
     work = Workspace(spark, "warctest")
     records = warc.convert_arc(archive(spark, PAGES).limit(0)).withColumn("order", F.lit(1))
     path = work.new_path("warc")
-    warc.write_warc(records, warc.first_copies(records, "order"), path)
+    warc.write_warc(records, warc.first_copies(records, "order", work), path)
     assert warc.read_warc(spark, path).count() == 0
 
 
@@ -98,3 +98,27 @@ def test_records_are_the_same_in_any_chunks(step):
     data = b"".join(b"WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(b), b) for b in blocks)
     found = list(warc.parse_warc(data[i : i + step] for i in range(0, len(data), step)))
     assert [f["block"] for f in found] == blocks and all(data[f["offset"] :].startswith(b"WARC/") for f in found)
+
+
+def test_plain_files_that_spark_splits(spark, tmp_path):
+    """A plain archive many times as large as one split is read like its packed twin."""
+    def record(n: int) -> bytes:
+        body = (f"HTTP/1.1 200 OK\r\nX-Page-Id: {n}\r\n\r\n" + f"page {n} \r\n\r\n é " * (n % 40)).encode()
+        digest = hashlib.sha256(body.partition(b"\r\n\r\n")[2]).hexdigest()
+        head = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x:{n}>\r\nWARC-Payload-Digest: sha256:{digest}\r\nContent-Type: application/http\r\nContent-Length: {len(body)}\r\n\r\n"
+        return head.encode() + body + b"\r\n\r\n"
+
+    for name in ("a.warc", "b.warc"):
+        (tmp_path / name).write_bytes(b"".join(record(n) for n in range(300)))
+    with gzip.open(tmp_path / "c.warc.gz", "wb") as f:
+        f.write(b"".join(record(n) for n in range(300)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+    try:
+        rows = warc.read_warc(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    by_file = {}
+    for r in rows:
+        by_file.setdefault(r.file[-9:], []).append((r.offset, r.record_id, r.payload_bytes, bytes(r.payload)))
+    assert len(by_file) == 3 and len({tuple(sorted(v)) for v in by_file.values()}) == 1 and len(rows) == 900
