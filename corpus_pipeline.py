@@ -31,16 +31,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one whose doc_id is smallest.
+    """One document of each group of near-duplicates: the one whose doc_id is smallest, of rows of one id any that is in the group.
 
     Near-duplicates have sets of five-word shingles with a Jaccard similarity of 0.8 or more, found by wide SimHash
-    fingerprints and verified on the texts. Rows without doc_id can't be told apart and stay; of rows that
-    repeat a doc_id the one with the smallest text stays.
+    fingerprints and verified on the texts. Rows are told apart by doc_id and text: rows that repeat an id with other
+    texts are documents of their own, of rows that repeat both one stays. Rows without doc_id stay.
     """
-    groups = similar_components(docs.where("doc_id is not null"))
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    whole = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
-    one = whole.groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("row"))
+    key = F.xxhash64("doc_id", "text").alias("row_key")
+    rows = docs.where("doc_id is not null").select(*docs.columns, key)
+    groups = similar_components(rows, "row_key").distinct()
+    members = rows.select(F.col("row_key").alias("member"), "doc_id").distinct()
+    first = groups.join(members, groups.row_key == members.member).groupBy("component_id").agg(F.min(F.struct("doc_id", "row_key")).alias("first"))
+    whole = rows.join(first.select("first.row_key"), "row_key", "left_semi")
+    one = whole.groupBy("doc_id", "row_key").agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("row"))
     return one.select("doc_id", "row.*").select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
