@@ -1,6 +1,6 @@
 """The catalogue of queries."""
 
-from attestor.plans import contracts, documents, planning, sources  # noqa: F401
+from attestor.plans import contracts, documents, planning, references, sources  # noqa: F401
 from attestor.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
