@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestor.operators import derivations
+from attestor.operators.schema_graph import compare_documents
 from attestor.plans.registry import query
 
 
@@ -83,3 +84,37 @@ def ref_derivations(t):
     """Every claim that each part's document lets derive, over none, one or two references."""
     nodes = derivations.json_nodes(part_documents(t), "body", ["p_partkey"])
     return derivations.derivable_claims(nodes, "p_partkey").select("p_partkey", "derivation", "scope", "claim_path", "value")
+
+
+def _two_versions(t) -> tuple[DataFrame, DataFrame]:
+    """Each part's document, and the one that it would have if it were two sizes larger."""
+    class Larger:
+        part = t.part.withColumn("p_size", F.col("p_size") + 2)
+
+    return part_documents(t), part_documents(Larger)
+
+
+_CHANGES_SQL = """
+WITH s AS (SELECT p_partkey, p_size AS a, p_size + 2 AS b FROM part),
+n AS (SELECT *, (a % 5 = 0) AS was, (b % 5 = 0) AS now, o.owner FROM s, (VALUES ('Part'), ('Lot'), ('Stop')) o(owner)),
+r AS (SELECT n.*, x.name, (x.owner = n.owner) AS both_have FROM n, (VALUES ('Lot', 'price'), ('Part', 'size'), ('Stop', 'port')) x(owner, name))
+SELECT p_partkey, 'breaking' AS impact, 'openapi.schemas' AS area, 'components.schemas.' || owner || '.' || name AS location, 'property became required' AS summary FROM r WHERE now AND NOT was AND both_have
+UNION ALL SELECT p_partkey, 'changed', 'openapi.schemas', 'components.schemas.' || owner || '.' || name, 'property no longer required' FROM r WHERE was AND NOT now
+UNION ALL SELECT p_partkey, 'breaking', 'openapi.schemas', 'components.schemas.Part.lots[]', 'schema changed' FROM s WHERE (a % 3 = 2) <> (b % 3 = 2)
+UNION ALL SELECT p_partkey, 'additive', 'openapi.schemas', 'components.schemas.Part.maker', 'optional property added' FROM s WHERE a % 4 = 1 AND b % 4 <> 1
+UNION ALL SELECT p_partkey, 'breaking', 'openapi.schemas', 'components.schemas.Part.maker', 'property removed' FROM s WHERE a % 4 <> 1 AND b % 4 = 1
+UNION ALL SELECT p_partkey, 'additive', 'openapi.schemas', 'components.schemas.Lot.stops', 'optional property added' FROM s WHERE a % 3 <> 0 AND b % 3 = 0
+UNION ALL SELECT p_partkey, 'breaking', 'openapi.schemas', 'components.schemas.Lot.stops', 'property removed' FROM s WHERE a % 3 = 0 AND b % 3 <> 0
+"""
+
+
+@query(_CHANGES_SQL)
+def contract_changes(t):
+    """Changes between two versions of each part's contract, references compared by name."""
+    return compare_documents(*_two_versions(t), "body", ["p_partkey"])
+
+
+@query()
+def contract_changes_through_refs(t):
+    """The same with references followed in pairs, so that requests and responses are judged by what they refer to."""
+    return compare_documents(*_two_versions(t), "body", ["p_partkey"], follow_refs=True)
