@@ -7,19 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from attestor.functions import text
+from attestor.operators import tables
 from attestor.operators.manifest import row_numbers
 
 #: An ATX heading of one to six marks; closing marks are no part of it.
 HEADING = r"^ {0,3}(#{1,6})[ \t]+(.*?)[ \t]*#*[ \t]*$"
+#: What makes a heading of the line of text above it.
+UNDERLINE = r"^ {0,3}(?:=+|-{2,})[ \t]*$"
 #: A run of three or more of one fence character, and what stands behind it.
 FENCE = r"^ {0,3}(([`~])\2{2,})(.*)$"
-#: The rule under a table's header: dashes, with colons and pipes.
-SEPARATOR = r"^[ \t]*(?=[^-]*-)[|:\- \t]+$"
-
-
-#: Headers whose column holds field names.
-NAME_HEADERS = ["name", "field", "parameter", "param", "attribute", "property", "key", "參數", "欄位", "名稱", "屬性", "變數", "參數名", "键", "键名"]
-
 
 def fence_spans(body: Column) -> Column:
     """Array of (opened, closed) lines of the fences of a text, ``closed`` null where one stays open.
@@ -56,6 +52,7 @@ def lines(docs: DataFrame, source: str, body: str) -> DataFrame:
 def marked_lines(docs: DataFrame, source: str, body: str) -> DataFrame:
     """Lines with ``in_fence``, ``opens_fence``, ``level`` (0 if no heading), ``heading`` and the endpoint a line declares outside fences.
 
+    A line of text that the next one underlines is a heading, of level 1 by equal signs and 2 by dashes, from its underline on.
     The lines of a fence's own marks are no content: neither inside nor outside. Each document's fences are found in one
     fold over its runs, and a line looks up whether it is between two.
     """
@@ -65,8 +62,12 @@ def marked_lines(docs: DataFrame, source: str, body: str) -> DataFrame:
     inside = F.exists("spans", lambda s: (s.opened < at) & (s.closed.isNull() | (at < s.closed)))
     rows = rows.withColumns({"opens_fence": opens, "is_marker": opens | closes, "in_fence": inside}).drop("spans")
     free = ~F.col("in_fence") & ~F.col("is_marker")
-    level = F.when(free, F.length(F.regexp_extract("text", HEADING, 1))).otherwise(0)
-    return rows.withColumns({"level": level, "heading": F.when(level > 0, F.regexp_extract("text", HEADING, 2)), "endpoint": F.when(free, text.declared_endpoint(F.col("text")))})
+    w = W.partitionBy("source").orderBy("line")
+    before = F.lag(F.when(free & ~F.col("text").rlike(HEADING) & ~F.col("text").rlike(r"^\s*\|"), F.trim("text"))).over(w)
+    rows = rows.withColumns({"free": free, "title": F.when(free & F.col("text").rlike(UNDERLINE) & (before != ""), before)})
+    level = F.when(F.col("title").isNotNull(), F.when(F.ltrim("text").startswith("="), 1).otherwise(2)).when(F.col("free"), F.length(F.regexp_extract("text", HEADING, 1))).otherwise(0)
+    rows = rows.withColumns({"level": level, "heading": F.coalesce("title", F.when(level > 0, F.regexp_extract("text", HEADING, 2))), "endpoint": F.when(F.col("free"), text.declared_endpoint(F.col("text")))})
+    return rows.drop("free", "title")
 
 
 def section_owner(marked: DataFrame) -> DataFrame:
@@ -90,24 +91,13 @@ def section_owner(marked: DataFrame) -> DataFrame:
 def endpoint_facts(docs: DataFrame, source: str, body: str) -> DataFrame:
     """(source, method, path, line, last_line, n_fences, parameters) of every declared endpoint.
 
-    Parameters are the field names in the first column of tables of its section whose header names a name column.
+    Parameters are what the tables of its section list (table_parameters()).
     """
     rows = section_owner(marked_lines(docs, source, body))
-    w = W.partitionBy("source").orderBy("line")
-    table = F.col("text").rlike(r"^\s*\|") & ~F.col("in_fence")
-    rows = rows.withColumns({"is_row": table, "is_rule": table & F.col("text").rlike(SEPARATOR)})
-    header = F.lead("is_rule").over(w)
-    rows = rows.withColumn("head", F.when(table & F.coalesce(header, F.lit(False)), F.lower(F.element_at(text.table_cells(F.col("text")), 1))))
-    block = F.sum((~F.col("is_row")).cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0))
-    rows = rows.withColumn("block", block)
-    named = F.max(F.when(F.col("head").rlike(f"^(?:{'|'.join(NAME_HEADERS)})"), F.lit(True))).over(W.partitionBy("source", "block"))
-    cell = text.field_name(F.element_at(text.table_cells(F.col("text")), 1))
-    field = F.when(F.col("is_row") & named & F.col("head").isNull() & ~F.col("is_rule") & cell.rlike("^[A-Za-z_][A-Za-z0-9_.\\-\\[\\]]*$"), cell)
-    owned = rows.withColumn("field", field).where("owner is not null")
-    g = owned.groupBy("source", "owner.method", "owner.path").agg(
-        F.min("line").alias("line"), F.max("line").alias("last_line"), F.count_if("opens_fence").alias("n_fences"), F.array_sort(F.collect_set("field")).alias("parameters")
-    )
-    return g
+    key = ["source", "method", "path"]
+    listed = tables.table_parameters(tables.tables(rows)).groupBy(*key).agg(F.array_sort(F.collect_set("name")).alias("parameters"))
+    spans = rows.where("owner is not null").groupBy("source", "owner.method", "owner.path").agg(F.min("line").alias("line"), F.max("line").alias("last_line"), F.count_if("opens_fence").alias("n_fences"))
+    return spans.join(listed, key, "left").select(*key, "line", "last_line", "n_fences", F.coalesce("parameters", F.array().cast("array<string>")).alias("parameters"))
 
 
 def draft_endpoints(docs: DataFrame, source: str, body: str) -> DataFrame:

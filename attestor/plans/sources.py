@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from attestor.operators import facts
+from attestor.operators import facts, tables
 from attestor.plans.registry import query
 from attestor.sources import artifacts, html
 
@@ -157,3 +157,28 @@ def evidence_fragments(t):
 def url_probe_rows(t):
     landed = t.pages.select("url", F.expr("CASE WHEN page_id % 5 = 0 THEN 404 ELSE 200 END").alias("status"), F.encode("html", "UTF-8").alias("content"), F.expr("CASE WHEN page_id % 7 = 0 THEN 'timeout' END").alias("error"))
     return artifacts.url_sources(landed)
+
+
+def _part_guides(t):
+    """A Markdown guide of every part: a table of parameters, with an error table stuck to it or not, one of constants, and one of codes."""
+    size = F.col("p_size")
+    body = F.concat(
+        F.lit("# "), "p_name", F.lit("\nGET /parts/"), F.col("p_partkey").cast("string"),
+        F.lit("\n| 參數 | Request_Field | Type | Required |\n|---|---|---|---|\n| 大小 | size | int | yes |\n| Header | | | |\n| 品牌 | **brand** (new) | str | no |\n| 接受 | Accept | str | |\n"),
+        F.when(size % 3 == 0, "| **Error code:** | | | |\n| 0 | ok | | |\n").otherwise(""), F.lit("\n| Name | Value |\n|---|---|\n| Content-Type | application/json |\n\n## Error handling\n### Payment\n| Code | Meaning |\n|---|---|\n| `E"), size.cast("string"), F.lit("` | odd |\n| 支付類 | |\n"),
+        F.when(size % 4 == 0, "| not a code! | y |\n").otherwise(""), F.lit("\n## Else\n| Code | Currency |\n|---|---|\n| USD | dollar |\n"),
+    )
+    docs = t.part.select("p_partkey", body.alias("body"))
+    return tables.tables(facts.section_owner(facts.marked_lines(docs, "p_partkey", "body")))
+
+
+@query("SELECT p_partkey, 'GET' AS method, '/parts/' || p_partkey AS path, name, required FROM part, (VALUES ('size', 'true'), ('brand', 'false')) v(name, required)")
+def guide_parameters(t):
+    """Parameters that the tables of each part's guide list."""
+    return tables.table_parameters(_part_guides(t)).select(F.col("source").alias("p_partkey"), "method", "path", "name", "required")
+
+
+@query("SELECT p_partkey, 'E' || p_size AS code, 'odd' AS meaning FROM part WHERE p_size % 4 <> 0")
+def guide_error_codes(t):
+    """Error codes that whole tables of each part's guide document."""
+    return tables.error_codes(_part_guides(t)).select(F.col("source").alias("p_partkey"), "code", "meaning")
