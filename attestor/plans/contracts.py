@@ -420,10 +420,12 @@ def contract_diff(t):
     return compare.compare_parts(k.where("p_size % 9 != 1"), head)
 
 
-@query("SELECT unnest(['precision', 'recall', 'gone']) AS metric, unnest([0.5, 0.75, 0.1]::DOUBLE[]) AS baseline, unnest([0.75, 0.5, NULL]::DOUBLE[]) AS candidate, unnest([0.25, -0.25, NULL]::DOUBLE[]) AS delta")
+@query("""WITH m AS (SELECT l_linestatus, l_returnflag || l_linenumber AS metric, count(*)::DOUBLE AS value FROM lineitem WHERE l_linenumber <> 3 OR l_linestatus = 'F' GROUP BY ALL), b AS (SELECT * FROM m WHERE l_linestatus = 'F'), c AS (SELECT * FROM m WHERE l_linestatus = 'O')
+SELECT coalesce(b.metric, c.metric) AS metric, b.value AS baseline, c.value AS candidate, c.value - b.value AS delta FROM b FULL JOIN c ON b.metric = c.metric""")
 def replay_deltas(t):
-    sql = t.spark.sql
-    return compare.metric_deltas(sql("SELECT * FROM VALUES ('precision', 0.5D), ('recall', 0.75D), ('gone', 0.1D) AS v(metric, value)"), sql("SELECT * FROM VALUES ('precision', 0.75D), ('recall', 0.5D) AS v(metric, value)"))
+    """Counts of lines by flag and number, closed ones as the baseline of open ones."""
+    rows = t.lineitem.where("l_linenumber != 3 or l_linestatus = 'F'").groupBy("l_linestatus", F.concat("l_returnflag", F.col("l_linenumber").cast("string")).alias("metric")).agg(F.count("*").cast("double").alias("value"))
+    return compare.metric_deltas(rows.where("l_linestatus = 'F'"), rows.where("l_linestatus = 'O'"))
 
 
 @query("WITH l AS (SELECT DISTINCT l_returnflag AS code, l_partkey AS place FROM lineitem WHERE l_linenumber = 1), c AS (SELECT DISTINCT l_returnflag AS code, l_partkey AS place FROM lineitem WHERE l_linenumber = 2) SELECT coalesce(l.code, c.code) AS code, CASE WHEN c.code IS NULL THEN 'left' ELSE 'right' END AS side, count(*) AS n FROM l FULL JOIN c ON l.code = c.code AND l.place = c.place WHERE l.code IS NULL OR c.code IS NULL GROUP BY ALL")

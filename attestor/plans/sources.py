@@ -121,10 +121,12 @@ def navigation_catalog(t):
     return html.catalog(t.pages)
 
 
-@query("SELECT 0 AS \"table\", row, col, text FROM (VALUES (0, 0, 'a'), (0, 1, 'b'), (1, 0, 'x'), (1, 1, ''), (2, 0, 'y'), (2, 1, 'z')) v(row, col, text)")
+@query("""SELECT p_partkey, 0 AS "table", row, col, CASE text WHEN 'name' THEN p_name WHEN 'brand' THEN p_brand WHEN 'size' THEN p_size::VARCHAR ELSE text END AS text
+FROM part, (VALUES (0, 0, 'a'), (0, 1, 'b'), (0, 2, 'c'), (1, 0, 'name'), (1, 1, ''), (1, 2, 'brand'), (2, 0, 'size'), (2, 1, 'z'), (2, 2, 'brand')) v(row, col, text)""")
 def html_table_grid(t):
-    sample = "<table><tr><th>a</th><th>b</th></tr><tr><td colspan=2>x</td></tr><tr><td>y</td><td>z</td></tr></table>"
-    return t.spark.range(1).select(F.explode(html.table_cells(F.lit(sample))).alias("c")).select("c.*")
+    """Cells of a table about every part, some of which span columns or rows."""
+    table = F.concat(F.lit("<table><tr><th>a</th><th>b</th><th>c</th></tr><tr><td colspan=2>"), "p_name", F.lit("</td><td rowspan=2>"), "p_brand", F.lit("</td></tr><tr><td>"), F.col("p_size").cast("string"), F.lit("</td><td>z</td></tr></table>"))
+    return t.part.select("p_partkey", F.explode(html.table_cells(table)).alias("c")).select("p_partkey", "c.*")
 
 
 @query()
