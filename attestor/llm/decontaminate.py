@@ -59,7 +59,8 @@ def indexed_part(text: str) -> list[str]:
 def least_score(tokens: list[str], weights: dict[str, float]) -> float:
     """What a passage with OVERLAP of a part's shingles scores at least, if ``weights`` of the part's words add up to 1.
 
-    With b shingles to spare, b words may be missing at the edges, or one inside for each SHINGLE of them.
+    With b shingles to spare, b words may be missing at the edges, or one inside for each SHINGLE of them. Where that
+    leaves nothing (parts that repeat few words), the words of one shingle must still be there, so the bound is above 0.
     """
     m = max(1, len(tokens) - SHINGLE + 1)
     spare = int((1 - OVERLAP) * m + 1e-9) if len(tokens) >= SHINGLE else 0
@@ -68,7 +69,7 @@ def least_score(tokens: list[str], weights: dict[str, float]) -> float:
         edge = spare - j * SHINGLE
         lost = max(sum(weights[w] for w in {*tokens[:x], *tokens[len(tokens) - (edge - x) :]}) for x in range(edge + 1))
         loss = max(loss, lost + sum(inside[:j]))
-    return 1 - loss
+    return max(1 - loss, min((sum(weights[w] for w in set(s)) for s in shingles(tokens)), default=1.0))
 
 
 @dataclass
@@ -90,7 +91,9 @@ class Index:
     start: np.ndarray
     blocks: np.ndarray
     bounds: np.ndarray
+    #: The shingles of each item's indexed part and of the other one, and whether the first of them is the answer.
     parts: list[tuple[set, set]] = field(repr=False)
+    by_answer: list[bool] = field(repr=False)
     reach: list[float]
     chunk: int
 
@@ -108,7 +111,7 @@ class Index:
                 idf = np.log1p((total - df + 0.5) / (df + 0.5))
                 row[term] = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean_length))
             own = sum(row.values()) or 1.0
-            reach.append(max(0.1, min(THRESHOLD, least_score(tokens, {w: x / own for w, x in row.items()}))))
+            reach.append(min(THRESHOLD, least_score(tokens, {w: x / own for w, x in row.items()})))
             own *= reach[-1]
             for term, x in row.items():
                 if term not in terms:
@@ -124,11 +127,11 @@ class Index:
         return cls(
             [i for i, _ in items], terms, [[i for i, _ in row] for row in postings], [[x for _, x in row] for row in postings], [max(x for _, x in row) for row in postings], block_most,
             np.concatenate(([0], np.cumsum([len(m) for m in block_most], dtype=np.int64))), np.array([b for m in block_most for b in m], np.int64), np.array([x for m in block_most for x in m.values()], np.float64),
-            [tuple(map(shingles, question_and_answer(t))) for _, t in items], reach, chunk,
+            [tuple(map(shingles, sorted(question_and_answer(t), key=len, reverse=True))) for _, t in items], [indexed_part(t) != question_and_answer(t)[0] for _, t in items], reach, chunk,
         )
 
-    def candidates(self, tokens: list[str]) -> dict[int, float]:
-        """Items whose part reaches 1 in some passage, with their best score.
+    def candidates(self, tokens: list[str]) -> Iterator[tuple[int, dict[int, float]]]:
+        """(passage, items whose part reaches 1 in it, with their scores), for each passage that has any.
 
         A passage is two chunks of as many words as the longest part of any item, one chunk apart, so that it holds
         any occurrence whole. Passages in which no block of items can reach 1 are dropped together;
@@ -138,12 +141,11 @@ class Index:
         coded = np.fromiter(map(self.terms.get, tokens, [none] * len(tokens)), np.int64, len(tokens))
         known = np.flatnonzero(coded != none)
         if not len(known):
-            return {}
+            return
         chunks = known // self.chunk
         pairs = np.unique(np.concatenate([chunks, chunks - 1]) * (none + 1) + np.tile(coded[known], 2))  # a chunk is in its own passage and in the one before
         passage, term = pairs // (none + 1), pairs % (none + 1)
         n_blocks = -(-len(self.ids) // BLOCK)
-        found: dict[int, float] = {}
         step = min(max(1, (1 << 20) // n_blocks), int(passage[-1] - passage[0]) + 1)  # passages bounded at once
         for low in range(int(passage[0]), int(passage[-1]) + 1, step):
             a, b = np.searchsorted(passage, [low, low + step])
@@ -153,9 +155,9 @@ class Index:
             reach = np.bincount(cell, weights=self.bounds[spot], minlength=step * n_blocks).reshape(step, n_blocks).max(axis=1)
             for p in np.flatnonzero(reach >= 1 - 1e-9):
                 x, y = np.searchsorted(passage, [low + p, low + p + 1])
-                for i, score in self.search(term[x:y].tolist()).items():
-                    found[i] = max(found.get(i, 0.0), score)
-        return found
+                found = self.search(term[x:y].tolist())
+                if found:
+                    yield int(low + p), found
 
     def search(self, terms: list[int]) -> dict[int, float]:
         """Items in which ``terms`` reach 1, by block-max WAND.
@@ -204,21 +206,35 @@ class Index:
         return found
 
     def leaks(self, text: str) -> list[dict]:
+        """Items whose indexed part stands in a retrieved passage and whose other part stands anywhere in the text."""
         tokens = words(text)
-        found = self.candidates(tokens)
-        if not found:
-            return []
-        have, out = shingles(tokens), []
-        lengths = {len(s) for i in found for part in self.parts[i] for s in part if len(s) < SHINGLE}
-        for n in lengths:
-            have |= {tuple(tokens[i : i + n]) for i in range(len(tokens) - n + 1)}
-        for i, score in sorted(found.items()):
-            question, answer = (sum(s in have for s in part) / len(part) if part else 1.0 for part in self.parts[i])
-            if question >= OVERLAP and answer >= OVERLAP:
+        held: dict[int, tuple[float, float]] = {}
+        for p, found in self.candidates(tokens):
+            passage = tokens[max(0, p * self.chunk) : (p + 2) * self.chunk]
+            have: dict[int, set] = {}
+            for i, score in found.items():
+                overlap = _share(self.parts[i][0], passage, have)
+                if overlap >= OVERLAP:
+                    held[i] = max(held.get(i, (0.0, 0.0)), (overlap, score))
+        have, out = {}, []
+        for i, (overlap, score) in sorted(held.items()):
+            other = _share(self.parts[i][1], tokens, have)
+            if other >= OVERLAP:
+                question, answer = (other, overlap) if self.by_answer[i] else (overlap, other)
                 out.append({"item_id": self.ids[i], "score": round(score * self.reach[i], 6), "question_overlap": question, "answer_overlap": answer})
         return out
 
 
+def _share(part: set, tokens: list[str], have: dict[int, set]) -> float:
+    """The share of a part's shingles that stand in ``tokens``, whose runs are kept in ``have`` by their length."""
+    if not part:
+        return 1.0
+    n = len(next(iter(part)))
+    if n not in have:
+        have[n] = {tuple(tokens[i : i + n]) for i in range(len(tokens) - n + 1)}
+    return len(part & have[n]) / len(part)
+
+
 def _indexes(benchmark: DataFrame, item_col: str, text_col: str, pass_bytes: int) -> tuple[int, Iterator[Index]]:
     """The number of passes, and the index of each in turn; statistics and passages are those of all items."""
     items = benchmark.where(F.col(item_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).alias("body")).distinct()
@@ -260,8 +276,11 @@ def find_leaks(
 
     The longer part of each item, question or answer, goes into an inverted index of BM25 impacts. Every
     passage of every text is a query by block-max WAND: all items whose part reaches THRESHOLD of its own score (less
-    where a passage with enough overlap could miss it) are retrieved, and one counts as leaked where at least OVERLAP of the five-word shingles of its question and of
-    its answer stand in the document, together or apart. Words are compared in lower case without punctuation.
+    where a passage with enough overlap could miss it) are retrieved. One counts as leaked where at least OVERLAP of the
+    five-word shingles of that part stand in one retrieved passage, and as many of the other part's anywhere in the
+    document. No item that this rule counts is missed. A passage is two neighbouring chunks of as many words as the
+    longest part of any item (LEAST_CHUNK at least), so it holds any occurrence whole; a part cut into pieces that no
+    passage holds together is no leak. Words are compared in lower case without punctuation.
 
     One pass indexes, collects to the driver and broadcasts about ``pass_bytes`` of items; a larger benchmark takes
     several, one after another, each of which writes what it found by the digest of the text, so that one index is held
