@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from attestor.functions.json_text import json_leaves
-from attestor.operators import domain, openapi, planning
+from attestor.operators import answers, domain, openapi, planning
 from attestor.plans.registry import query
 
 
@@ -124,3 +124,26 @@ def unresolved_references(t):
     refs = t.lineitem.select(F.col("l_orderkey").alias("run"), F.col("l_linenumber").cast("string").alias("location"), F.lit("schema").alias("kind"), F.col("l_partkey").cast("string").alias("ref"))
     known = t.lineitem.join(t.part.where("p_size > 10").select(F.col("p_partkey").alias("l_partkey")), "l_partkey", "left_semi")
     return domain.reference_findings(refs, known.select(F.col("l_orderkey").alias("run"), F.lit("schema").alias("kind"), F.col("l_partkey").cast("string").alias("name")))
+
+
+@query("""WITH p AS (SELECT p_partkey AS run, p_size % 4 AS form, p_size % 2 AS two, p_brand FROM part),
+r AS (SELECT run, stage, NULL AS query_id, -1 AS ord, 'missing' AS kind, NULL AS status, NULL AS source, 'no structured answer' AS detail, NULL AS payload FROM p, (VALUES ('03'), ('04'), ('08'), ('09')) v(stage)
+UNION ALL SELECT run, '05', 'q5', -1, 'missing', NULL, NULL, 'no structured answer', NULL FROM p WHERE form = 2
+UNION ALL SELECT run, '05', 'q5', -1, 'missing', NULL, NULL, 'malformed shape for endpoints', NULL FROM p WHERE form = 0
+UNION ALL SELECT run, '05', 'q5', i, 'missing', NULL, NULL, told, NULL FROM p, (VALUES (0, 'gap'), (1, '{"a":7}')) v(i, told) WHERE form = 0
+UNION ALL SELECT run, '05', 'q5', 0, 'item', 'supported', 'd2', '/p' || run, '{"method":"GET","path":"/p' || run || '","source":"B.md"}' FROM p WHERE form = 1
+UNION ALL SELECT run, '05', 'q5', i, 'missing', NULL, NULL, 'malformed item in endpoints', wrong FROM p, (VALUES (1, 'method'), (2, NULL)) v(i, wrong) WHERE form = 1
+UNION ALL SELECT run, '05', 'q5', 0, 'conflict', NULL, NULL, 'c', NULL FROM p WHERE form = 1
+UNION ALL SELECT run, '07', 'q7', 0, 'item', CASE two WHEN 0 THEN 'supported' ELSE 'unverified' END, CASE two WHEN 0 THEN 'd1' END, p_brand, '{"enums":"","fields":[{"name":"x"}],"name":"' || p_brand || '"}' FROM p
+UNION ALL SELECT run, '07', 'q7', 1, 'missing', NULL, NULL, 'malformed item in schemas', 'fields' FROM p)
+SELECT * FROM r""")
+def coerced_answers(t):
+    """Structured answers about every part, of several shapes; some have a later answer, or one without structure."""
+    run, form = F.col("p_partkey").alias("run"), F.col("p_size") % 4
+    whole = F.concat(F.lit('```json\n{"endpoints": [{"path": "/p'), F.col("p_partkey").cast("string"), F.lit('", "method": "GET", "source": "B.md"}, {"method": 5, "path": "/x"}, "odd"], "conflicts": ["c"]}\n```'))
+    first = t.part.select(run, F.lit("05").alias("stage"), F.lit(0).alias("ord"), F.lit("q5").alias("query_id"), F.when(form == 0, '{"endpoints": {"a": 1}, "missing": ["gap", {"a": 7}]}').when(form == 2, "none").otherwise(whole).alias("answer"))
+    later = t.part.where(form == 3).select(run, F.lit("05"), F.lit(1), F.lit("q5b"), F.lit('Nothing: {"endpoints": []}'))
+    schemas = t.part.select(run, F.lit("07"), F.lit(0), F.lit("q7"), F.concat(F.lit('{"schemas": [{"name": "'), "p_brand", F.lit('", "fields": [{"name": "x"}], "enums": ""}, {"name": "b", "fields": ["x"]}]}')))
+    names = F.array(F.struct(F.lit("d1").alias("document"), F.lit("a.md").alias("name")), F.struct(F.lit("d2").alias("document"), F.lit("b.md").alias("name")))
+    manifest = t.part.select(run, F.explode(F.when(F.col("p_size") % 2 == 1, names).otherwise(F.slice(names, 1, 1))).alias("d")).select("run", "d.*")
+    return answers.coerced_items(first.unionAll(later).unionAll(schemas), manifest)
