@@ -16,6 +16,10 @@ HEADING = r"^ {0,3}(#{1,6})[ \t]+(.*?)[ \t]*#*[ \t]*$"
 UNDERLINE = r"^ {0,3}(?:=+|-{2,})[ \t]*$"
 #: A run of three or more of one fence character, and what stands behind it.
 FENCE = r"^ {0,3}(([`~])\2{2,})(.*)$"
+#: What a fence may say it holds to count as an example, and how its content may begin where it says nothing of these.
+PAYLOADS = ["json", "xml", "http", "curl", "yaml", "yml", "javascript", "js", "response", "request", "jsonc", "html"]
+PAYLOAD_STARTS = ["{", "[", "<"]
+
 
 def fence_spans(body: Column) -> Column:
     """Array of (opened, closed) lines of the fences of a text, ``closed`` null where one stays open.
@@ -100,6 +104,27 @@ def endpoint_facts(docs: DataFrame, source: str, body: str) -> DataFrame:
     return spans.join(listed, key, "left").select(*key, "line", "last_line", "n_fences", F.coalesce("parameters", F.array().cast("array<string>")).alias("parameters"))
 
 
+def payload_fences(docs: DataFrame, source: str, body: str) -> DataFrame:
+    """(source, method, path, info, start_line, end_line, excerpt) of the fences in an endpoint's section that hold an example.
+
+    A fence holds one if its info names a payload, or else if its first line with anything on it begins like one. It ends at its closing
+    mark, or with the text. Lines find their fence by the last opening mark before them, so a fence's content is gathered by
+    document and opening line.
+    """
+    own = docs.select(source, F.regexp_replace(body, r"(\r\n|\r|\n)\z", "").alias(body))
+    rows = section_owner(marked_lines(own, source, body))
+    at = F.last(F.when(F.col("opens_fence"), F.col("line")), ignorenulls=True).over(W.partitionBy("source").orderBy("line").rowsBetween(W.unboundedPreceding, 0))
+    inside = rows.withColumn("start_line", at).where("in_fence or is_marker")
+    content = F.when(F.col("in_fence"), F.struct("line", "text"))
+    first = F.min(F.when(F.col("in_fence") & F.col("text").rlike(r"(?U)\S"), F.struct("line", F.regexp_extract("text", r"(?U)\S", 0).alias("start"))))
+    fences = inside.groupBy("source", "start_line").agg(
+        F.max(F.when(F.col("opens_fence"), F.struct("owner.method", "owner.path"))).alias("owner"), F.max(F.when(F.col("opens_fence"), F.lower(F.regexp_replace(F.regexp_extract("text", FENCE, 3), r"(?U)^\s+|\s+$", "")))).alias("info"),
+        F.max("line").alias("end_line"), first.alias("first"), F.array_join(F.transform(F.sort_array(F.collect_list(content)), lambda x: x["text"]), "\n").alias("told"),
+    )
+    held = fences.where(F.col("owner.path").isNotNull() & (F.col("info").isin(PAYLOADS) | F.coalesce(F.col("first.start").isin(PAYLOAD_STARTS), F.lit(False))))
+    return held.select("source", "owner.method", "owner.path", "info", "start_line", "end_line", text.normalize_excerpt(F.col("told")).alias("excerpt"))
+
+
 def draft_endpoints(docs: DataFrame, source: str, body: str) -> DataFrame:
     """The lenient twin for drafts (V04): any line that names a method and a path counts, whatever stands before."""
     pattern = r"(?i)\b(GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)\s+`?(/[A-Za-z0-9_{}./:-]*)"

@@ -98,6 +98,14 @@ def document_endpoint_facts(t):
     return facts.endpoint_facts(t.documents.select("doc_id", F.concat("text", section).alias("text")), "doc_id", "text").withColumn("parameters", F.array_join("parameters", ","))
 
 
+@query("""SELECT doc_id AS source, method, path, info, start_line, end_line, replace(excerpt, '{}', doc_id::VARCHAR) AS excerpt FROM documents,
+(VALUES ('GET', '/a', 'json', 3, 6, '{"a":' || chr(10) || ' {}}'), ('GET', '/a', '', 10, 13, '  [{}]'), ('POST', '/b', 'text', 18, 21, '<b>' || chr(10) || '```'), ('POST', '/b', 'http', 22, 23, '')) v(method, path, info, start_line, end_line, excerpt) WHERE text IS NOT NULL""")
+def document_payload_fences(t):
+    """Example fences of every document, which follows sections of two endpoints."""
+    head = F.concat(F.lit('# A\nGET /a\n``` JSON\n{"a":  \n '), "doc_id", F.lit("}\n```\n~~~ text\nplain {\n~~~\n```\n\n  ["), "doc_id", F.lit("]\n```\n# B\n```json\n```\nPOST /b\n~~~ text\n<b>\n```\n~~~\n``` http\n```\n# Text\n"))
+    return facts.payload_fences(t.documents.select("doc_id", F.concat(head, "text").alias("text")), "doc_id", "text")
+
+
 @query()
 def section_owner_window(t):
     """The endpoint that owns each line of all documents, each of which declares two of its own."""

@@ -72,3 +72,39 @@ def test_endpoint_facts(spark):
     text = "# A\nGET /x\n| Name | T |\n|---|---|\n| one | s |\n| `two` (optional) | s |\n~~~text\n```\n| Name | T |\n| --- | --- |\n| fake | s |\n~~~\n```json\n{}\n```\n## Sub\n| Code | M |\n| --- | --- |\n| E1 | no |\n# B\nPOST /y\n| Field |\n| --- |\n| three |"
     rows = facts.endpoint_facts(spark.createDataFrame([("s", text)], "id string, text string"), "id", "text").collect()
     assert {(r.method, r.path): (r.line, r.last_line, r.n_fences, tuple(r.parameters)) for r in rows} == {("GET", "/x"): (2, 19, 2, ("one", "two")), ("POST", "/y"): (21, 24, 0, ("three",))}
+
+
+def plain_fences(text):
+    """Fences of an endpoint's section that hold an example, line by line."""
+    out, rows, endpoint, i = [], text.splitlines(), None, 0
+    while i < len(rows):
+        mark = re.match(r" {0,3}(`{3,}|~{3,})(.*)$", rows[i])
+        if not mark:
+            if rows[i].startswith("# "):
+                endpoint = None
+            elif rows[i].startswith("GET /"):
+                endpoint = rows[i][4:]
+            i += 1
+            continue
+        start, content, end, i = i + 1, [], i + 1, i + 1
+        while i < len(rows):
+            close = re.match(r" {0,3}(`{3,}|~{3,})(.*)$", rows[i])
+            end, i = i + 1, i + 1
+            if close and not close[2].strip() and close[1].startswith(mark[1]):
+                break
+            content.append(rows[end - 1])
+        info, first = mark[2].strip().lower(), next((x.strip()[0] for x in content if x.strip()), "")
+        if endpoint and (info in facts.PAYLOADS or first and first in "{[<"):
+            out.append((endpoint, info, start, end, "\n".join(content).strip("\n")))
+    return out
+
+
+def test_payload_fences_equal_a_reader(spark):
+    r = random.Random(12)
+    bits = ["# H", "GET /a", "GET /b/c", "```", "````", "~~~", "``` json", "```JSON ", "~~~ text", "{x", "  [1]", "<a>", "plain", "", "   ", "```` http"]
+    texts = ["\n".join(r.choice(bits) for _ in range(r.randrange(1, 16))) + r.choice(["", "\n", "\n\n"]) for _ in range(400)] + ["", None]
+    got = facts.payload_fences(spark.createDataFrame(list(enumerate(texts)), "id int, body string"), "id", "body").collect()
+    want = sorted((i, p, *f[:3]) for i, t in enumerate(texts) if t for p, *f in plain_fences(t))
+    assert sorted((g.source, g.path, g.info, g.start_line, g.end_line) for g in got) == want and len(want) > 50
+    told = {(i, f[2]): f[4] for i, t in enumerate(texts) if t for f in plain_fences(t)}
+    assert all(g.excerpt == re.sub(r"[ \t]+(?=\n|$)", "", told[g.source, g.start_line]).strip("\n") for g in got)
