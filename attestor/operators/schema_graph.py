@@ -18,6 +18,8 @@ SIGNATURE = ["type", "$ref", "enum", "oneOf", "anyOf", "allOf", "format"]
 #: By area, whether a property that is now required breaks, and whether one that goes does.
 RULES = {"openapi.requestBody": (True, False), "openapi.responses": (False, True), "openapi.schemas": (True, True)}
 MAX_LEVELS = 200
+#: Rows that are sent on at once.
+BATCH_ROWS = 10_000
 
 _NODE = "pointer string, signature string, is_object boolean, required array<string>, children map<string, string>, target string"
 _PART = "kind string, area string, location string, parent string, value string, pointer string"
@@ -102,14 +104,23 @@ def _read(df: DataFrame, json_col: str, keep: list[str], ddl: str, rows) -> Data
             document = None
         return document if isinstance(document, dict) else {}
 
+    def together(batch: pa.RecordBatch, at: list[int], found: list[tuple]) -> pa.RecordBatch:
+        same = [c.take(pa.array(at)) for c in batch.columns[:-1]]
+        columns = [pa.array([list(v.items()) if isinstance(v, dict) else v for v in c], k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)]
+        return pa.RecordBatch.from_arrays([*same, *columns], names=schema.names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            at, found = [], []
             for i, text in enumerate(batch.column(batch.num_columns - 1)):
-                found = list(rows(parse(text.as_py())))
-                if found:
-                    same = [pa.concat_arrays([c.slice(i, 1)] * len(found)) for c in batch.columns[:-1]]
-                    columns = [pa.array([list(v.items()) if isinstance(v, dict) else v for v in c], k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)]
-                    yield pa.RecordBatch.from_arrays([*same, *columns], names=schema.names)
+                for row in rows(parse(text.as_py())):
+                    at.append(i)
+                    found.append(row)
+                    if len(found) >= BATCH_ROWS:
+                        yield together(batch, at, found)
+                        at, found = [], []
+            if found:
+                yield together(batch, at, found)
 
     return df.select(*keep, json_col).mapInArrow(run, schema)
 
@@ -125,10 +136,10 @@ def compare_documents(base: DataFrame, head: DataFrame, json_col: str, keep: lis
     which were read once. With ``follow_refs`` a pair of local references leads to the pair of components that they
     name, under the rules of where it began; each pair of nodes is compared once under an area, at the first location that
     reaches it (of one level the smallest), so cycles end. Without, a reference is compared by its name alone. ``keep`` must
-    not be null or repeat; a document that one side lacks counts as empty there.
+    not be null or repeat; a document that one side lacks counts as empty there. Nodes are merged, never broadcast: written
+    tables of like documents are a small part of the rows they hold, so their size says nothing.
     """
-    spark = base.sparkSession
-    work = Workspace(spark, "schemas")
+    work = Workspace(base.sparkSession, "schemas")
     sides = {}
     for side, df in (("left", base), ("right", head)):
         parts = work.save(_read(df, json_col, keep, _PART, _roots), f"{side}_parts")
@@ -141,7 +152,7 @@ def compare_documents(base: DataFrame, head: DataFrame, json_col: str, keep: lis
     b = new.select(*id_cols, F.col("area").alias("a1"), F.col("parent").alias("p1"), F.col("value").alias("v1"), F.col("pointer").alias("right"), F.lit(True).alias("has"))
     parts = work.save(a.join(b, id_cols, "full_outer").select(*id_cols, F.coalesce("a0", "a1").alias("area"), F.coalesce("p0", "p1").alias("parent"), "v0", "v1", "left", "right", "had", "has"), "parts")
     shared = parts.where("kind in ('operation', 'response') and had and has").select(*keep, F.col("location").alias("parent"))
-    judged = parts.where("area is not null and parent is not null").join(shared.unionAll(parts.where("kind = 'schema'").select(*keep, F.lit(None).cast("string").alias("parent"))).distinct(), [*keep, "parent"], "left_semi").select(*parts.columns)
+    judged = parts.where("area is not null and parent is not null").join(shared.unionAll(parts.where("kind = 'schema'").select(*keep, F.lit(None).cast("string").alias("parent"))).distinct().hint("merge"), [*keep, "parent"], "left_semi").select(*parts.columns)
     judged = judged.unionAll(parts.where("kind = 'schema'"))
     kind, text = F.col("kind"), lambda what: F.concat(F.col("kind"), F.lit(f" {what}"))
     body = F.when(F.col("had") & F.col("has") & (F.col("v0") != F.col("v1")), F.when(F.col("v1") == "true", F.struct(F.lit("breaking").alias("impact"), F.lit("request body became required").alias("summary"))).otherwise(F.struct(F.lit("changed").alias("impact"), F.lit("request body no longer required").alias("summary"))))
@@ -158,7 +169,7 @@ def compare_documents(base: DataFrame, head: DataFrame, json_col: str, keep: lis
     frontier = work.save(judged.where("left is not null and right is not null").groupBy(*pair_id).agg(F.min("location").alias("location")), "level0")
     seen = frontier.select(*pair_id)
     for level in range(1, MAX_LEVELS + 1):
-        met = work.save(frontier.join(left, [*keep, "left"]).join(right, [*keep, "right"]).withColumn("stops", (F.col("left_signature") != F.col("right_signature")) & (F.col("left_is_object") != F.col("right_is_object"))), f"pairs{level}")
+        met = work.save(frontier.join(left.hint("merge"), [*keep, "left"]).join(right.hint("merge"), [*keep, "right"]).withColumn("stops", (F.col("left_signature") != F.col("right_signature")) & (F.col("left_is_object") != F.col("right_is_object"))), f"pairs{level}")
         found.append(_pair_findings(met, keep).select(*keep, *whats))
         both = F.array_intersect(F.map_keys("left_children"), F.map_keys("right_children"))
         on = met.where("not stops")
@@ -168,7 +179,7 @@ def compare_documents(base: DataFrame, head: DataFrame, json_col: str, keep: lis
             below = below.unionAll(on.where("left_target is not null and right_target is not null").select(*keep, "area", F.col("left_target").alias("left"), F.col("right_target").alias("right"), "location"))
         fresh = below.groupBy(*pair_id).agg(F.min("location").alias("location"))
         if follow_refs:  # a tree never comes back to a pair
-            fresh = fresh.join(seen, pair_id, "left_anti")
+            fresh = fresh.join(seen.hint("merge"), pair_id, "left_anti")
         frontier = work.save(fresh.select(*pair_id, "location"), f"level{level}")
         if frontier.isEmpty():
             break
