@@ -24,3 +24,10 @@ def test_nodes_of_schemas_are_not_broadcast(spark, monkeypatch):
         assert {r.summary for r in found.collect()} == {"property removed", "optional property added"}
         assert "Broadcast" not in plan(found)
     assert sum("SortMergeJoin" in p for p in saved) >= 4 and not any("Broadcast" in p for p in saved)
+
+
+def test_places_of_documents_are_not_broadcast(spark):
+    leaves = json_leaves(spark.createDataFrame([(1, '{"a": {"$ref": "#/b"}}')], "id int, j string"), "j", ["id"])
+    found = openapi.dangling_refs(leaves, ["id"])
+    assert "Broadcast" not in plan(found)
+    assert [tuple(r) for r in found.collect()] == [(1, "/a/$ref", "#/b")]
