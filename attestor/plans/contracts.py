@@ -172,7 +172,7 @@ def feedback_route(t):
 @query(f"WITH {OBS_SQL} SELECT claim, path, min(observed) AS proposed, count(*) AS n_refs FROM r WHERE relationship = 'contradicts' AND kind = 'value' GROUP BY ALL")
 def feedback_proposals(t):
     rows = _related(t).withColumn("high_risk", F.col("kind") != "value")
-    return conformance.proposals(rows).select("claim", "path", "proposed", F.size("refs").cast("long").alias("n_refs"))
+    return conformance.proposals(rows).select("claim", "path", "proposed", "n_refs")
 
 
 @query("""WITH a AS (SELECT p_partkey AS claim, 'amended' AS proposed, CASE WHEN p_size % 5 = 0 THEN TIMESTAMP '2030-01-01' ELSE TIMESTAMP '2020-01-01' END AS approved, CASE WHEN p_size % 3 = 0 THEN TIMESTAMP '2021-01-01' END AS expires FROM part WHERE p_size % 2 = 0),

@@ -31,3 +31,8 @@ def test_places_of_documents_are_not_broadcast(spark):
     found = openapi.dangling_refs(leaves, ["id"])
     assert "Broadcast" not in plan(found)
     assert [tuple(r) for r in found.collect()] == [(1, "/a/$ref", "#/b")]
+
+
+def test_proposals_count_observations_that_repeat_an_id(spark):
+    rows = spark.createDataFrame([(7, 1, "/v", "x", "contradicts", False)] * 2 + [(8, 1, "/v", "x", "contradicts", False)], "id long, claim long, path string, observed string, relationship string, high_risk boolean")
+    assert [tuple(r) for r in conformance.proposals(rows).collect()] == [(1, "/v", "x", [7, 8], 3)]
