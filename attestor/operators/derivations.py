@@ -13,12 +13,15 @@ from pyspark.sql import types as T
 
 from attestor.functions.json_text import pointer_escape
 from attestor.operators.openapi import METHODS
+from attestor.session import Workspace
 
 #: Places of a document that derivations read: operations, responses, schema references, component schemas and what stands below their properties.
 READ = r"^/paths/[^/]+/[^/]+$|^/paths/[^/]+/[^/]+/responses/[^/]+(/content/[^/]+/schema/\$ref)?$|^/paths/[^/]+/[^/]+/requestBody/content/[^/]+/schema/\$ref$|^/components/schemas/[^/]+(/properties/.+)?$"
 _SCHEMA, _PROPERTY = r"^/components/schemas/[^/]+$", r"^/components/schemas/[^/]+/properties/[^/]+$"
 _REF = r"^/components/schemas/[^/]+/properties/[^/]+/(items/)?\$ref$"
 _LOCAL = "#/components/schemas/"
+#: Characters of nodes that are sent on at once.
+BATCH_CHARS = 4_000_000
 #: Derivations that are checked by their result alone.
 PLAIN = ["canonical_json", "normalize_boolean_token", "unicode_nfc"]
 #: Derivations by one, and by two, references given as context, in order.
@@ -56,13 +59,23 @@ def json_nodes(df: DataFrame, json_col: str, keep: list[str], where: str = READ)
             below = node.items() if isinstance(node, dict) else enumerate(node) if isinstance(node, list) else ()
             todo += [(f"{at}/{str(k).replace('~', '~0').replace('/', '~1')}", v) for k, v in below]
 
+    def together(batch: pa.RecordBatch, at: list[int], found: list[tuple[str, str]]) -> pa.RecordBatch:
+        same = [c.take(pa.array(at)) for c in batch.columns[:-1]]
+        return pa.RecordBatch.from_arrays([*same, pa.array([p for p, _ in found], pa.string()), pa.array([v for _, v in found], pa.string())], names=schema.names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            at, found, size = [], [], 0
             for i, text in enumerate(batch.column(batch.num_columns - 1)):
-                found = list(nodes(text.as_py()))
-                if found:
-                    same = [pa.concat_arrays([c.slice(i, 1)] * len(found)) for c in batch.columns[:-1]]
-                    yield pa.RecordBatch.from_arrays([*same, pa.array([p for p, _ in found]), pa.array([v for _, v in found])], names=schema.names)
+                for node in nodes(text.as_py()):
+                    at.append(i)
+                    found.append(node)
+                    size += len(node[0]) + len(node[1])
+                    if size >= BATCH_CHARS:
+                        yield together(batch, at, found)
+                        at, found, size = [], [], 0
+            if found:
+                yield together(batch, at, found)
 
     return df.select(*names, json_col).mapInArrow(run, schema)
 
@@ -118,10 +131,14 @@ def derivable_claims(nodes: DataFrame, doc: str = "document") -> DataFrame:
 
     A body's field takes the array mark of its own type before the path below it, a schema's field after it. A claim
     that a property is required is about direct properties only; behind a reference, of names without a dot.
+
+    The nodes are written once, so that documents are read once for all derivations. References are merged with what they lead
+    to, never broadcast: tables of like documents are a small part of the rows they hold.
     """
     quoted = lambda s: F.when(s.isNotNull(), F.substring(F.to_json(F.array(s)), F.lit(2), F.length(F.to_json(F.array(s))) - 2))
     seg = F.split("pointer", "/")
-    rows = nodes.select(F.col(doc).alias("doc"), "pointer", "value", input_digest(F.col("pointer"), F.col("value")).alias("digest"))
+    work = Workspace(nodes.sparkSession, "derivations")
+    rows = work.save(nodes.select(F.col(doc).alias("doc"), "pointer", "value", input_digest(F.col("pointer"), F.col("value")).alias("digest")), "nodes")
     part = lambda i: _unescaped(F.get(seg, F.lit(i)))
     columns = ["doc", "derivation", "scope", "claim_path", "value", "inputs", "digests"]
 
@@ -187,10 +204,10 @@ def derivable_claims(nodes: DataFrame, doc: str = "document") -> DataFrame:
     first = hop(1)
     prefix = F.concat("from1", F.when(F.col("array1"), "[].").otherwise("."))
     to = lambda refs, n: refs.withColumn("schema", F.col(f"to{n}"))
-    met = to(first, 1).join(direct, ["doc", "schema"])
+    met = to(first, 1).join(direct.hint("merge"), ["doc", "schema"])
     field = F.concat(prefix, "name", "mark")
     shown = met.where("is_object and not odd")
-    inner = to(first, 1).join(plain, ["doc", "schema"]).where(~F.col("from1").contains("."))
+    inner = to(first, 1).join(plain.hint("merge"), ["doc", "schema"]).where(~F.col("from1").contains("."))
     out += [
         claim(met.where("array1"), ONE_HOP[0], F.col("owner1"), _path("parameters/body", field, "name"), quoted(field), ("r1",)),
         claim(inner.where("array1"), ONE_HOP[1], F.col("owner1"), _path("parameters/body", field, "required"), F.col("needed"), ("r1",)),
@@ -200,10 +217,10 @@ def derivable_claims(nodes: DataFrame, doc: str = "document") -> DataFrame:
     ]
 
     second = hop(2).where("array2")
-    chain = first.where("array1").withColumn("owner2", F.col("to1")).join(second, ["doc", "owner2"])
+    chain = first.where("array1").withColumn("owner2", F.col("to1")).join(second.hint("merge"), ["doc", "owner2"])
     far = F.concat("from1", F.lit("[]."), "from2", F.lit("[]."), "name", "mark")
-    reached = to(chain, 2).join(direct, ["doc", "schema"]).where("is_object and not odd").where((F.col("mark") == "[]") | ~F.col("name").endswith("[]"))
-    held = to(chain, 2).join(members, ["doc", "schema"])
+    reached = to(chain, 2).join(direct.hint("merge"), ["doc", "schema"]).where("is_object and not odd").where((F.col("mark") == "[]") | ~F.col("name").endswith("[]"))
+    held = to(chain, 2).join(members.hint("merge"), ["doc", "schema"])
     out += [
         claim(reached, TWO_HOPS[0], F.col("owner1"), _path("fields", far, "name"), quoted(far), ("r1", "r2")),
         claim(reached, TWO_HOPS[1], F.col("owner1"), _path("fields", far, "type"), quoted(F.col("type")), ("r1", "r2")),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 from attestor.functions.json_text import json_leaves
-from attestor.operators import conformance, openapi
+from attestor.operators import conformance, derivations, openapi
 from attestor.operators.schema_graph import compare_documents
 from attestor.session import Workspace
 
@@ -36,3 +36,11 @@ def test_places_of_documents_are_not_broadcast(spark):
 def test_proposals_count_observations_that_repeat_an_id(spark):
     rows = spark.createDataFrame([(7, 1, "/v", "x", "contradicts", False)] * 2 + [(8, 1, "/v", "x", "contradicts", False)], "id long, claim long, path string, observed string, relationship string, high_risk boolean")
     assert [tuple(r) for r in conformance.proposals(rows).collect()] == [(1, "/v", "x", [7, 8], 3)]
+
+
+def test_documents_are_read_once_for_all_derivations(spark):
+    doc = json.dumps({"components": {"schemas": {"A": {"properties": {"l": {"type": "array", "items": {"$ref": "#/components/schemas/A"}}}}}}})
+    nodes = derivations.json_nodes(spark.createDataFrame([(i, doc) for i in range(3)], "id int, j string"), "j", ["id"])
+    found = derivations.derivable_claims(nodes, "id")
+    assert "Broadcast" not in plan(found) and "MapInArrow" not in plan(found)
+    assert {r.claim_path for r in found.collect() if r.derivation in derivations.TWO_HOPS} == {"/fields/l[].l[].l[]/" + x for x in ("name", "type", "required")}
