@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,6 +52,9 @@ def match_webhooks(endpoints: DataFrame, details: DataFrame) -> DataFrame:
     the details, each takes the first endpoint of its method without path that has its locator, else the first that has its
     source, and no endpoint is taken twice; a detail that finds none is added as an endpoint, which later details may take. The choice
     hangs on all before it, so the webhooks of one run and method are one group, bounded by one contract's callbacks.
+
+    Groups are sorted into partitions and read in a stream, so that a small group costs no call of its own; of a group only the endpoints that are
+    still free are held.
     """
     schema = "run string, detail long, endpoint long, added long"
     none = F.lit(None)
@@ -59,24 +64,30 @@ def match_webhooks(endpoints: DataFrame, details: DataFrame) -> DataFrame:
         F.when(F.col("locator") != "", F.array("locator")).otherwise(none).cast("array<string>").alias("locators"), F.when(F.col("source").isNotNull(), F.array("source")).otherwise(none).cast("array<string>").alias("sources"),
     )
 
-    def pair(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["kind", "ord"])
-        names = lambda x: set() if x is None else set(x)
-        free = [(int(r.ord), None, names(r.locators), names(r.sources)) for r in group[group.kind == 0].itertuples()]
-        out = []
-        for r in group[group.kind == 1].itertuples():
-            for field, mine in ((2, names(r.locators)), (3, names(r.sources))):
-                hit = next((i for i, x in enumerate(free) if mine & x[field]), None)
-                if hit is not None:
-                    endpoint, added, _, _ = free.pop(hit)
-                    out.append((r.run, int(r.ord), endpoint, added))
-                    break
-            else:
-                free.append((None, int(r.ord), names(r.locators), names(r.sources)))
-                out.append((r.run, int(r.ord), None, int(r.ord)))
-        return pd.DataFrame(out, columns=["run", "detail", "endpoint", "added"]).astype({"endpoint": "Int64", "added": "Int64"})
-
-    return e.unionByName(d).groupBy("run", "m").applyInPandas(pair, schema)
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, free = None, []
+        for batch in batches:
+            out = []
+            for run, m, kind, ord_, locators, sources in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if (run, m) != group:
+                    group, free = (run, m), []
+                where, what = set(locators or ()), set(sources or ())
+                if kind == 0:
+                    free.append((ord_, None, where, what))
+                    continue
+                for field, mine in ((2, where), (3, what)):
+                    hit = next((i for i, x in enumerate(free) if mine & x[field]), None)
+                    if hit is not None:
+                        endpoint, added, _, _ = free.pop(hit)
+                        out.append((run, ord_, endpoint, added))
+                        break
+                else:
+                    free.append((None, ord_, where, what))
+                    out.append((run, ord_, None, ord_))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate([pa.string(), pa.int64(), pa.int64(), pa.int64()])], names=["run", "detail", "endpoint", "added"])
+
+    rows = e.unionByName(d).select("run", "m", "kind", "ord", "locators", "sources")
+    return rows.repartition("run", "m").sortWithinPartitions("run", "m", "kind", "ord").mapInArrow(pair, schema)
 
 
 def merged_fields(items: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 from attestor.functions.json_text import json_leaves
-from attestor.operators import conformance, derivations, openapi
+from attestor.operators import conformance, derivations, openapi, planning
 from attestor.operators.schema_graph import compare_documents
 from attestor.session import Workspace
 
@@ -44,3 +44,19 @@ def test_documents_are_read_once_for_all_derivations(spark):
     found = derivations.derivable_claims(nodes, "id")
     assert "Broadcast" not in plan(found) and "MapInArrow" not in plan(found)
     assert {r.claim_path for r in found.collect() if r.derivation in derivations.TWO_HOPS} == {"/fields/l[].l[].l[]/" + x for x in ("name", "type", "required")}
+
+
+def test_groups_of_webhooks_are_read_in_a_stream(spark):
+    e = [(run, 2 * i, "POST", None, ["l"], ["s"]) for run in range(5) for i in range(3)]
+    d = [(run, 2 * i + 1, "post", None, "l" if i % 2 else "x", "s") for run in range(5) for i in range(4)]
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        found = planning.match_webhooks(
+            spark.createDataFrame(e, "run long, ord long, method string, path string, locators array<string>, sources array<string>"), spark.createDataFrame(d, "run long, ord long, method string, path string, locator string, source string")
+        )
+        assert "InPandas" not in plan(found)
+        got = sorted(tuple(r) for r in found.collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    assert got == sorted((str(run), *x) for run in range(5) for x in ((1, 0, None), (3, 2, None), (5, 4, None), (7, None, 7)))
