@@ -33,11 +33,16 @@ def place(number: Column) -> Column:
 HERE = ""
 
 
+def last_of_each(parts: Column) -> Column:
+    """Sorted (step, value) with the greatest value of each step."""
+    return F.filter(parts, lambda p, i: ~F.coalesce(F.get(parts, i + 1)["step"] == p["step"], F.lit(False)))
+
+
 def fold_json(rows: DataFrame, keep: list[str], work: Workspace) -> DataFrame:
     """(*keep, json): the tree whose leaves are ``rows`` (*keep, path, value), as JSON with sorted keys and no spaces.
 
     ``path`` is an array of steps made by key(), place() and HERE, ``value`` JSON. The deepest rows are folded into their parents, level
-    by level: each is one aggregation by parent, so no document meets in one task before its last levels. Of rows
+    by level: each is one aggregation by parent, and one shuffle, so no document meets in one task before its last levels. Of rows
     that repeat a step the greatest value stays. Rows without path are the whole document.
     """
     leaves = work.save(rows.select(*keep, F.col("path").cast(_STEPS).alias("path"), "value"), "leaves")
@@ -45,8 +50,8 @@ def fold_json(rows: DataFrame, keep: list[str], work: Workspace) -> DataFrame:
     now = leaves.where(F.size("path") == depth)
     for d in range(depth, 0, -1):
         step = F.element_at("path", -1)
-        one = now.groupBy(*keep, "path").agg(F.max("value").alias("value")).withColumn("parent", F.slice("path", 1, d - 1)).withColumn("step", step)
-        parts = F.sort_array(F.collect_list(F.when(F.col("step") != "", F.struct("step", "value"))))
+        one = now.select(*keep, F.slice("path", 1, d - 1).alias("parent"), step.alias("step"), "value")
+        parts = last_of_each(F.sort_array(F.collect_list(F.when(F.col("step") != "", F.struct("step", "value")))))
         by_marker = F.max(F.when(F.col("step") == "", F.col("value")))
         is_object = F.coalesce(by_marker == "{}", F.max(F.col("step")).startswith("k"))
         folded = one.groupBy(*keep, "parent").agg(parts.alias("parts"), is_object.alias("is_object"))
@@ -102,6 +107,38 @@ def _with_errors(contracts: DataFrame, content: DataFrame, errors: DataFrame) ->
     return met.select("contract", F.when(F.col("error").isNull(), F.col("content")).alias("content"), "error")
 
 
+def _operations(operations: DataFrame, parameters: DataFrame, responses: DataFrame) -> DataFrame:
+    """(contract, path, value): each operation as JSON at its place, by one aggregation of its own row, its parameters and its responses."""
+    said = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    reference = lambda c: F.concat(F.lit('{"$ref":'), _reference(F.col(c)), F.lit("}"))
+    content = lambda c: F.when(said(c), F.concat(F.lit('{"application/json":{"schema":'), reference(c), F.lit("}}")))
+    member = lambda name, value: F.concat(F.lit(f'"{name}":'), value)
+    object_ = lambda *members: F.concat(F.lit("{"), F.concat_ws(",", *members), F.lit("}"))
+    needs = F.transform("security", lambda s: F.when(s.isNull(), "[]").otherwise(F.concat(F.lit("{"), quoted(s), F.lit(":[]}"))))
+    listed = F.when(F.size("security") > 0, F.concat(F.lit("["), F.array_join(needs, ","), F.lit("]")))
+    body = F.when(said("request_schema_ref"), F.concat(F.lit('{"content":'), content("request_schema_ref"), F.lit("}")))
+    key = ["contract", "path", F.lower("method").alias("method")]
+    none = F.lit(None).cast("string")
+    own = operations.select(*key, F.lit("o").alias("kind"), none.alias("step"), none.alias("value"), body.alias("body"), listed.alias("needs"), F.when(said("summary"), quoted(F.col("summary"))).alias("summary"))
+    parameter = object_(member("in", quoted(F.col("location"))), member("name", quoted(F.col("name"))), member("required", F.col("required").cast("string")), F.when(said("schema_ref"), member("schema", reference("schema_ref"))))
+    asked = parameters.select(*key, F.lit("p"), place(F.col("ord")), parameter, none, none, none)
+    answer = object_(member("content", content("schema_ref")), member("description", quoted(F.coalesce("description", F.lit("")))))
+    told = responses.select(*key, F.lit("r"), F.col("status"), answer, none, none, none)
+
+    kind = F.col("kind")
+    parts = lambda k: last_of_each(F.sort_array(F.collect_list(F.when((kind == k) & F.col("step").isNotNull(), F.struct("step", "value")))))
+    one = own.unionAll(asked).unionAll(told).groupBy("contract", "path", "method").agg(
+        F.bool_or(kind == "o").alias("is_own"), F.bool_or(kind == "p").alias("asks"), F.bool_or(kind == "r").alias("answers"), F.max("body").alias("body"), F.max("needs").alias("needs"), F.max("summary").alias("summary"), parts("p").alias("p"), parts("r").alias("r"),
+    )
+    every = F.array_join(F.transform("p", lambda x: x["value"]), ",")
+    by_status = F.array_join(F.transform("r", lambda x: F.concat(quoted(x["step"]), F.lit(":"), x["value"])), ",")
+    text = object_(
+        F.when(F.col("asks"), member("parameters", F.concat(F.lit("["), every, F.lit("]")))), member("requestBody", F.col("body")), F.when(F.col("is_own") | F.col("answers"), member("responses", F.concat(F.lit("{"), by_status, F.lit("}")))),
+        member("security", F.col("needs")), member("summary", F.col("summary")),
+    )
+    return one.select("contract", F.array(F.lit("kpaths"), F.concat(F.lit("k"), "path"), F.concat(F.lit("k"), "method")).alias("path"), text.alias("value"))
+
+
 def openapi_documents(tables: dict[str, DataFrame]) -> DataFrame:
     """(contract, content, error): each contract as an OpenAPI 3.1 document, or why it can't be one.
 
@@ -123,13 +160,9 @@ def openapi_documents(tables: dict[str, DataFrame]) -> DataFrame:
     refused.append((tables["schemas"].where(~F.col("name").rlike(_NAME)), F.concat(F.lit("invalid component name "), "name")))
 
     info = [key("info")]
-    at = [key("paths"), key(F.col("path")), key(F.lower("method"))]
-    answer, parameter = [*at, key("responses"), key(F.col("status"))], [*at, key("parameters"), place(F.col("ord"))]
-    media = [key("content"), key("application/json"), key("schema"), key("$ref")]
     said = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
     servers = tables["environments"].select("contract", "ord", "name", F.posexplode("servers").alias("pos", "url"))
     server = [key("servers"), place(F.col("ord") * 100_000 + F.col("pos"))]
-    needs = operations.select("contract", "method", "path", F.posexplode("security").alias("pos", "scheme"))
     components = [key("components"), key("schemas")]
     rows = [
         _rows(contracts, [key("openapi")], F.lit('"3.1.0"')),
@@ -139,16 +172,7 @@ def openapi_documents(tables: dict[str, DataFrame]) -> DataFrame:
         *[_rows(contracts, [*path, HERE], F.lit(empty)) for path, empty in (([key("servers")], "[]"), ([key("paths")], "{}"), (components, "{}"), ([key("components"), key("securitySchemes")], "{}"))],
         _rows(servers, [*server, key("url")], quoted(F.col("url"))),
         _rows(servers, [*server, key("description")], quoted(F.col("name"))),
-        _rows(operations, [*at, key("summary")], quoted(F.col("summary")), said("summary")),
-        _rows(operations, [*at, key("requestBody"), *media], _reference(F.col("request_schema_ref")), said("request_schema_ref")),
-        _rows(operations, [*at, key("responses"), HERE], F.lit("{}")),
-        _rows(needs, [*at, key("security"), place(F.col("pos")), key(F.col("scheme")), HERE], F.lit("[]")),
-        _rows(tables["parameters"], [*parameter, key("name")], quoted(F.col("name"))),
-        _rows(tables["parameters"], [*parameter, key("in")], quoted(F.col("location"))),
-        _rows(tables["parameters"], [*parameter, key("required")], F.col("required").cast("string"), F.col("required").isNotNull()),
-        _rows(tables["parameters"], [*parameter, key("schema"), key("$ref")], _reference(F.col("schema_ref")), said("schema_ref")),
-        _rows(tables["responses"], [*answer, key("description")], quoted(F.coalesce("description", F.lit("")))),
-        _rows(tables["responses"], [*answer, *media], _reference(F.col("schema_ref")), said("schema_ref")),
+        _operations(operations, tables["parameters"], tables["responses"]),
         *_schema_rows(tables["schemas"], tables["fields"], components),
         _rows(tables["security"], [key("components"), key("securitySchemes"), key(F.col("name")), key("type")], quoted(F.col("type"))),
     ]

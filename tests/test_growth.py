@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 from attestor.functions.json_text import json_leaves
-from attestor.operators import conformance, derivations, openapi, planning
+from attestor.operators import conformance, derivations, openapi, planning, projections
 from attestor.operators.schema_graph import compare_documents
 from attestor.session import Workspace
 
@@ -60,3 +60,22 @@ def test_groups_of_webhooks_are_read_in_a_stream(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
     assert got == sorted((str(run), *x) for run in range(5) for x in ((1, 0, None), (3, 2, None), (5, 4, None), (7, None, 7)))
+
+
+def test_an_operation_is_one_leaf(spark, monkeypatch):
+    saved, save = [], Workspace.save
+    monkeypatch.setattr(Workspace, "save", lambda self, df, name: saved.append(save(self, df, name)) or saved[-1])
+    empty = lambda columns: spark.createDataFrame([], "contract int, " + columns)
+    found = projections.openapi_documents({
+        "contracts": spark.createDataFrame([(1, "t", "1")], "contract int, title string, version string"), "environments": empty("ord int, name string, servers array<string>"), "schemas": empty("name string"),
+        "fields": empty("schema string, ord int, name string, type string, schema_ref string, required boolean"), "security": empty("name string, type string"),
+        "operations": spark.createDataFrame([(1, "GET", "/a", "s", "R", ["k"])], "contract int, method string, path string, summary string, request_schema_ref string, security array<string>"),
+        "parameters": spark.createDataFrame([(1, "get", "/a", i, f"q{i}", "query", True, "R") for i in (10, 9)], "contract int, method string, path string, ord int, name string, location string, required boolean, schema_ref string"),
+        "responses": spark.createDataFrame([(1, "GET", "/a", s, None, "R") for s in ("404", "200")], "contract int, method string, path string, status string, description string, schema_ref string"),
+    })
+    ref, schema = '{"$ref":"#/components/schemas/R"}', '"content":{"application/json":{"schema":{"$ref":"#/components/schemas/R"}}}'
+    ask = ",".join(f'{{"in":"query","name":"q{i}","required":true,"schema":{ref}}}' for i in (9, 10))
+    answers = ",".join(f'"{s}":{{{schema},"description":""}}' for s in (200, 404))
+    want = f'"paths":{{"/a":{{"get":{{"parameters":[{ask}],"requestBody":{{{schema}}},"responses":{{{answers}}},"security":[{{"k":[]}}],"summary":"s"}}}}}}'
+    assert want in found.first().content
+    assert saved[0].where("path[0] = 'kpaths' and path[1] != ''").count() == 1
