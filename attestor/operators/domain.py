@@ -64,15 +64,20 @@ def claim_findings(claims: DataFrame, evidence: DataFrame, paths: DataFrame) ->
     """Findings about claims (run, location, identity, status) from their evidence (run, location, relationship_id, relationship, claim_path) and the paths (run, location, path) that support must cover.
 
     A supported or waived claim needs evidence, and support that is verified as such, for each of its paths; what contradicts a claim is
-    always told.
+    always told. Evidence and paths are counted together, by path and then by claim, and claims meet the
+    counts once for all findings.
     """
     semantic = F.col("relationship_id").isNotNull() & F.col("relationship").isin(SUPPORT)
-    counts = evidence.groupBy("run", "location").agg(F.count("*").alias("n"), F.count_if(semantic).alias("n_semantic"), F.count_if(F.col("relationship") == "contradicts").alias("n_against"))
-    covered = evidence.where(semantic & F.col("claim_path").isNotNull()).select("run", "location", F.col("claim_path").alias("path")).distinct()
-    gaps = paths.select("run", "location", "path").distinct().join(covered, ["run", "location", "path"], "left_anti").groupBy("run", "location").agg(F.count("*").alias("n_gaps"))
-    met = claims.join(counts, ["run", "location"], "left").join(gaps, ["run", "location"], "left").fillna(0, ["n", "n_semantic", "n_against", "n_gaps"])
+    keys, zero, numbers = ["run", "location"], F.lit(0).cast("long"), ["n", "n_semantic", "n_against"]
+    told = evidence.select(*keys, F.col("claim_path").alias("path"), F.lit(1).cast("long").alias("n"), semantic.cast("long").alias("n_semantic"), (F.col("relationship") == "contradicts").cast("long").alias("n_against"), F.lit(False).alias("is_asked"))
+    asked = paths.select(*keys, "path", zero, zero, zero, F.lit(True))
+    sums = [F.coalesce(F.sum(c), zero).alias(c) for c in numbers]
+    by_path = told.unionAll(asked).groupBy(*keys, "path").agg(*sums, F.bool_or("is_asked").alias("is_asked"))
+    counts = by_path.groupBy(*keys).agg(*sums, F.count_if(F.col("is_asked") & (F.col("path").isNull() | (F.col("n_semantic") == 0))).alias("n_gaps"))
+    met = claims.select(*keys, "identity", "status").join(counts, keys, "left").fillna(0, [*numbers, "n_gaps"])
     needs = F.col("status").isin(SUPPORTED)
-    return _all([
-        _where(met, needs & (F.col("n") == 0), "CLAIM_EVIDENCE_REQUIRED", "identity"), _where(met, needs & (F.col("n_semantic") == 0), "CLAIM_SEMANTIC_SUPPORT_REQUIRED", "identity"),
-        _where(met, needs & (F.col("n_semantic") > 0) & (F.col("n_gaps") > 0), "CLAIM_SUPPORT_COVERAGE_INCOMPLETE", "identity"), _where(met, F.col("n_against") > 0, "CLAIM_EVIDENCE_CONTRADICTS", "identity"),
-    ])
+    codes = F.array(
+        F.when(needs & (F.col("n") == 0), "CLAIM_EVIDENCE_REQUIRED"), F.when(needs & (F.col("n_semantic") == 0), "CLAIM_SEMANTIC_SUPPORT_REQUIRED"),
+        F.when(needs & (F.col("n_semantic") > 0) & (F.col("n_gaps") > 0), "CLAIM_SUPPORT_COVERAGE_INCOMPLETE"), F.when(F.col("n_against") > 0, "CLAIM_EVIDENCE_CONTRADICTS"),
+    )
+    return met.select("run", F.explode(F.filter(codes, lambda c: c.isNotNull())).alias("code"), "location", F.col("identity").cast("string").alias("message"))
