@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
+from collections import Counter
 
 from attestor.functions.json_text import json_leaves
-from attestor.operators import conformance, derivations, openapi, planning, projections
+from attestor.operators import compare, conformance, derivations, domain, openapi, planning, projections
 from attestor.operators.schema_graph import compare_documents
 from attestor.session import Workspace
 
@@ -79,3 +80,20 @@ def test_an_operation_is_one_leaf(spark, monkeypatch):
     want = f'"paths":{{"/a":{{"get":{{"parameters":[{ask}],"requestBody":{{{schema}}},"responses":{{{answers}}},"security":[{{"k":[]}}],"summary":"s"}}}}}}'
     assert want in found.first().content
     assert saved[0].where("path[0] = 'kpaths' and path[1] != ''").count() == 1
+
+
+def test_claims_meet_their_counts_once(spark):
+    claims = spark.createDataFrame([(1, "a", "i", "supported"), (1, "a", "j", "unverified"), (None, "a", "k", "supported"), (2, "a", "l", "supported")], "run int, location string, identity string, status string")
+    proof = [(1, "a", "r", "explicit_support", "p"), (1, "a", None, "explicit_support", "q"), (1, "a", "r", "contradicts", None), (None, "a", "r", "explicit_support", "p"), (2, "a", "r", "derived_support", "p"), (3, "a", "r", "contradicts", "p")]
+    paths = spark.createDataFrame([(1, "a", "p"), (1, "a", "q"), (2, "a", "p"), (None, "a", "p")], "run int, location string, path string")
+    found = domain.claim_findings(claims, spark.createDataFrame(proof, "run int, location string, relationship_id string, relationship string, claim_path string"), paths)
+    assert plan(found).count("Join") == 1
+    got = sorted((r.run or 0, r.code, r.message) for r in found.collect())
+    assert got == [(0, "CLAIM_EVIDENCE_REQUIRED", "k"), (0, "CLAIM_SEMANTIC_SUPPORT_REQUIRED", "k"), (1, "CLAIM_EVIDENCE_CONTRADICTS", "i"), (1, "CLAIM_EVIDENCE_CONTRADICTS", "j"), (1, "CLAIM_SUPPORT_COVERAGE_INCOMPLETE", "i")]
+
+
+def test_equal_parts_are_counted_before_they_meet(spark):
+    rows = lambda *values: spark.createDataFrame([("schema", "k", v, True) for v in values] + [("body", None, "x", True)] * 2, "kind string, key string, value string, required boolean")
+    found = compare.compare_parts(rows("x", "x", "y"), rows("x", "z", "z"))
+    assert "Aggregate" in plan(found)
+    assert sorted(Counter(r.summary for r in found.collect()).items()) == [("body added", 2), ("body removed", 2), ("schema changed", 7)]
