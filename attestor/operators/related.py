@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from attestor.session import Workspace
+
 #: Points of a shared branch, an outgoing and an incoming link, and of an entity.
 BRANCH, OUTBOUND, INBOUND, ENTITY, LEAST_ENTITY = 20, 100, 80, 60, 5
 
@@ -18,27 +20,48 @@ def document_frequency(entities: DataFrame) -> DataFrame:
 def related_pages(pages: DataFrame, links: DataFrame, entities: DataFrame, targets: DataFrame, k: int) -> DataFrame:
     """(target, page, score, rank): for each target the ``k`` most related other pages.
 
-    ``pages``: (page, branch); ``links``: (page, to_page); ``entities``: (page, entity); ``targets``: (target). The same branch, a link
-    either way and each shared entity give points, an entity the fewer the more pages have it. Links and entities are equi-joins
-    from the targets. Of the pages that share nothing but the branch all score alike, so the first k + 1 of each
-    branch are enough, and no branch is paired with itself. Points are summed before ranking; ties go to the smaller page.
+    ``pages``: (page, branch), each page once; ``links``: (page, to_page); ``entities``: (page, entity); ``targets``: (target). The same
+    branch, a link either way and each shared entity give points, an entity the fewer the more pages have it. Points are summed
+    before ranking; ties go to the smaller page.
+
+    Pages of one branch with the same entities are of one kind. But for links they score alike, so kinds meet each other by
+    equi-joins, not pages, and the first k + 1 pages of a kind are enough, as are the best k + 1 of all for each kind. Of the pages
+    that share nothing but the branch, too, the first k + 1 of each branch are enough. Linked pages, whose points only rise,
+    are scored one by one beside them.
     """
-    known = pages.select("page", F.lower("branch").alias("branch"))
-    own = targets.join(known.select(F.col("page").alias("target"), F.col("branch").alias("own_branch")), "target")
-    first = known.withColumn("n", F.row_number().over(W.partitionBy("branch").orderBy("page"))).where(F.col("n") <= k + 1)
-    branch = own.join(first, F.col("own_branch") == F.col("branch")).select("target", "page", F.lit(0).alias("points"))
-    out = targets.join(links.distinct(), F.col("target") == F.col("page")).select("target", F.col("to_page").alias("page"), F.lit(OUTBOUND).alias("points"))
-    back = targets.join(links.distinct(), F.col("target") == F.col("to_page")).select("target", "page", F.lit(INBOUND).alias("points"))
-    df = document_frequency(entities)
-    mine = targets.join(entities.distinct(), F.col("target") == F.col("page")).select("target", "entity")
-    worth = F.greatest(F.lit(LEAST_ENTITY), F.floor(F.lit(ENTITY) / F.col("df")).cast("int"))
-    shared = mine.join(df, "entity").join(entities.distinct(), "entity").select("target", "page", worth.alias("points"))
-    every = branch.unionByName(out).unionByName(back).unionByName(shared).where("page != target")
-    summed = every.groupBy("target", "page").agg(F.sum("points").alias("points"))
-    met = summed.join(known, "page").join(own.select("target", "own_branch"), "target", "left")
-    score = met.withColumn("score", (F.col("points") + F.when(F.col("own_branch") == F.col("branch"), BRANCH).otherwise(0)).cast("long")).where("score > 0")
+    work = Workspace(pages.sparkSession, "related")
+    known = pages.select("page", F.lower("branch").alias("branch"), F.lit(True).alias("known"))
+    held = entities.where("entity is not null").groupBy("page").agg(F.sort_array(F.collect_set("entity")).alias("entities"))
+    all_pages = known.join(held, "page", "full").withColumn("kind", F.sha2(F.to_json(F.struct("branch", "entities")), 256))
+    all_pages = work.save(all_pages, "pages")
+    kinds = work.save(all_pages.groupBy("kind").agg(F.first("branch").alias("branch"), F.first("entities").alias("entities"), F.count("*").alias("n")), "kinds")
+
+    each = kinds.select("kind", "n", F.explode("entities").alias("entity"))
+    worth = F.greatest(F.lit(LEAST_ENTITY), F.floor(F.lit(ENTITY) / F.sum("n")).cast("int"))
+    mine = each.join(each.groupBy("entity").agg(worth.alias("points")), "entity").select("kind", "entity", "points")
+    shared = mine.join(each.select(F.col("kind").alias("other"), "entity"), "entity").groupBy("kind", "other").agg(F.sum("points").alias("points"))
+    shared = work.save(shared, "shared")
+
+    first = lambda of: F.row_number().over(W.partitionBy(of).orderBy("page"))
+    members = all_pages.where("known")
+    leading = members.where("branch is not null").withColumn("n", first("branch")).where(F.col("n") <= k + 1).select("branch", F.col("kind").alias("other")).distinct()
+    met = shared.unionByName(kinds.select("kind", "branch").join(leading, "branch").select("kind", "other", F.lit(0).cast("long").alias("points")))
+    met = met.groupBy("kind", "other").agg(F.sum("points").alias("points"))
+    branch = kinds.select("kind", F.col("branch").alias("own_branch"))
+    heads = members.withColumn("n", first("kind")).where(F.col("n") <= k + 1).select(F.col("kind").alias("other"), "page", "branch")
+    score = F.coalesce("points", F.lit(0)) + F.when(F.col("own_branch") == F.col("branch"), BRANCH).otherwise(0)
+    scored = met.join(branch, "kind").join(heads, "other").select("kind", "page", score.alias("score"))
+    best = scored.withColumn("n", F.row_number().over(W.partitionBy("kind").orderBy(F.desc("score"), "page"))).where(F.col("n") <= k + 1).drop("n")
+
+    asking = targets.join(all_pages.select(F.col("page").alias("target"), "kind", F.col("branch").alias("own_branch")), "target")
+    out = links.distinct().select(F.col("page").alias("target"), F.col("to_page").alias("page"), F.lit(OUTBOUND).alias("linked"))
+    back = links.distinct().select(F.col("to_page").alias("target"), "page", F.lit(INBOUND).alias("linked"))
+    linked = out.unionByName(back).join(targets, "target", "left_semi").groupBy("target", "page").agg(F.sum("linked").alias("linked"))
+    linked = linked.join(members.select("page", F.col("kind").alias("other"), "branch"), "page").join(asking.distinct(), "target", "left").join(shared, ["kind", "other"], "left")
+    every = asking.join(best, "kind").select("target", "page", "score").unionByName(linked.select("target", "page", (score + F.col("linked")).alias("score")))
+    total = every.where("page != target").groupBy("target", "page").agg(F.max("score").cast("long").alias("score"))
     rank = F.row_number().over(W.partitionBy("target").orderBy(F.desc("score"), "page"))
-    return score.withColumn("rank", rank).where(F.col("rank") <= k).select("target", "page", "score", "rank")
+    return total.withColumn("rank", rank).where(F.col("rank") <= k).select("target", "page", "score", "rank")
 
 
 def select_catalog(catalog: DataFrame, branches: list[str], terms: list[str], urls: DataFrame) -> DataFrame:

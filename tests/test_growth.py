@@ -5,8 +5,10 @@ from __future__ import annotations
 import json
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from attestor.functions.json_text import json_leaves
-from attestor.operators import compare, conformance, derivations, domain, openapi, planning, projections
+from attestor.operators import compare, conformance, derivations, domain, openapi, planning, projections, related
 from attestor.operators.schema_graph import compare_documents
 from attestor.session import Workspace
 
@@ -97,3 +99,30 @@ def test_equal_parts_are_counted_before_they_meet(spark):
     found = compare.compare_parts(rows("x", "x", "y"), rows("x", "z", "z"))
     assert "Aggregate" in plan(found)
     assert sorted(Counter(r.summary for r in found.collect()).items()) == [("body added", 2), ("body removed", 2), ("schema changed", 7)]
+
+
+def test_pages_alike_meet_as_one(spark):
+    n, k = 60, 3
+    branch = lambda i: None if i == 11 else ("A" if i % 2 else "a") if i % 5 else "b"
+    has = {i: {"hot"} | ({"rare", f"x{i % 4}"} if i % 7 == 0 else set()) if i != 13 else set() for i in range(n)}
+    links = {(i, (i * 3) % 50) for i in range(0, n, 2)} | {(5, 5), (4, 999), (7, 6), (6, 7)}
+    df = {e: sum(e in s for s in has.values()) for e in set().union(*has.values())}
+    low = lambda i: branch(i) and branch(i).lower()
+    want = []
+    for t in range(n):
+        score = {p: sum(max(5, 60 // df[e]) for e in has[t] & has[p]) + 20 * (low(t) is not None and low(t) == low(p)) + 100 * ((t, p) in links) + 80 * ((p, t) in links) for p in range(n) if p != t}
+        want += [(t, p, s, r) for r, (p, s) in enumerate(sorted(((p, s) for p, s in score.items() if s), key=lambda x: (-x[1], x[0]))[:k], 1)]
+    table = lambda rows, schema: spark.createDataFrame(list(rows), schema)
+    found = related.related_pages(
+        table([(i, branch(i)) for i in range(n)], "page long, branch string"), table(links, "page long, to_page long"), table([(i, e) for i in range(n) for e in [*has[i]] * 2], "page long, entity string"), table([(i,) for i in range(n)], "target long"), k
+    )
+    assert sorted(tuple(r) for r in found.collect()) == sorted(want)
+
+
+def test_pages_alike_are_not_paired(spark, monkeypatch):
+    saved, save = {}, Workspace.save
+    monkeypatch.setattr(Workspace, "save", lambda self, df, name: saved.setdefault(name, save(self, df, name)))
+    pages = spark.range(500).select(F.col("id").alias("page"), F.lit("a").alias("branch"))
+    found = related.related_pages(pages, pages.selectExpr("page", "page + 1 as to_page"), pages.selectExpr("page", "'hot' as entity"), pages.selectExpr("page as target"), 5)
+    assert found.count() == 2500
+    assert saved["shared"].count() == 1
