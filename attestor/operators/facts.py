@@ -9,6 +9,7 @@ from pyspark.sql.window import Window as W
 from attestor.functions import text
 from attestor.operators import tables
 from attestor.operators.manifest import row_numbers
+from attestor.session import Workspace
 
 #: An ATX heading of one to six marks; closing marks are no part of it.
 HEADING = r"^ {0,3}(#{1,6})[ \t]+(.*?)[ \t]*#*[ \t]*$"
@@ -27,7 +28,8 @@ def fence_spans(body: Column) -> Column:
     A fence closes at a run of its own character, at least as long, with nothing behind it; any other run inside it is
     content. One fold over the lines that hold runs, in order.
     """
-    runs = F.transform(_split(body), lambda x, i: F.named_struct(F.lit("line"), i + 1, F.lit("run"), F.regexp_extract(x, FENCE, 1), F.lit("info"), F.trim(F.regexp_extract(x, FENCE, 3))))
+    marks = F.filter(F.transform(_split(body), lambda x, i: F.named_struct(F.lit("line"), i + 1, F.lit("text"), x)), lambda x: x.text.rlike(FENCE))
+    runs = F.transform(marks, lambda x: F.named_struct(F.lit("line"), x.line, F.lit("run"), F.regexp_extract(x.text, FENCE, 1), F.lit("info"), F.trim(F.regexp_extract(x.text, FENCE, 3))))
     none = F.lit(None).cast("int")
     start = F.struct(none.alias("line"), F.lit("").alias("run"), F.array().cast("array<struct<opened:int,closed:int>>").alias("spans"))
 
@@ -41,7 +43,8 @@ def fence_spans(body: Column) -> Column:
         )
 
     left = lambda acc: F.when(acc.line.isNull(), acc.spans).otherwise(F.concat(acc.spans, F.array(F.named_struct(F.lit("opened"), acc.line, F.lit("closed"), none))))
-    return F.aggregate(F.filter(runs, lambda x: x.run != ""), start, step, left)
+    any_marks = body.contains("```") | body.contains("~~~")
+    return F.when(any_marks, F.aggregate(runs, start, step, left)).otherwise(F.array().cast("array<struct<opened:int,closed:int>>"))
 
 
 def _split(body: Column) -> Column:
@@ -58,22 +61,33 @@ def marked_lines(docs: DataFrame, source: str, body: str) -> DataFrame:
 
     A line of text that the next one underlines is a heading, of level 1 by equal signs and 2 by dashes, from its underline on.
     The lines of a fence's own marks are no content: neither inside nor outside. Each document's fences are found in one
-    fold over its runs, and a line looks up whether it is between two.
+    fold over its runs, and a line looks up whether it is between two. Lines leave with the one before them, so none is
+    shuffled; ``is_last`` marks the last.
     """
-    rows = docs.select(F.col(source).alias("source"), fence_spans(F.col(body)).alias("spans"), F.posexplode(_split(F.col(body))).alias("line", "text")).withColumn("line", F.col("line") + 1)
+    split = docs.select(F.col(source).alias("source"), fence_spans(F.col(body)).alias("spans"), _split(F.col(body)).alias("all"))
+    pairs = F.arrays_zip(F.col("all").alias("text"), F.slice(F.concat(F.array(F.lit(None).cast("string")), "all"), F.lit(1), F.size("all")).alias("before"))
+    rows = split.select("source", "spans", F.size("all").alias("n"), F.posexplode(pairs).alias("line", "x")).select("source", "spans", "n", (F.col("line") + 1).alias("line"), "x.text", "x.before")
     at = F.col("line")
-    opens, closes = F.exists("spans", lambda s: s.opened == at), F.exists("spans", lambda s: s.closed.eqNullSafe(at))
-    inside = F.exists("spans", lambda s: (s.opened < at) & (s.closed.isNull() | (at < s.closed)))
-    rows = rows.withColumns({"opens_fence": opens, "is_marker": opens | closes, "in_fence": inside}).drop("spans")
-    free = ~F.col("in_fence") & ~F.col("is_marker")
-    w = W.partitionBy("source").orderBy("line")
-    before = F.lag(F.when(free & ~F.col("text").rlike(HEADING) & ~F.col("text").rlike(r"^\s*\|"), F.trim("text"))).over(w)
-    rows = rows.withColumns({"free": free, "title": F.when(free & F.col("text").rlike(UNDERLINE) & (before != ""), before)})
+    opens = lambda at: F.exists("spans", lambda s: s.opened == at)
+    marker = lambda at: opens(at) | F.exists("spans", lambda s: s.closed.eqNullSafe(at))
+    inside = lambda at: F.exists("spans", lambda s: (s.opened < at) & (s.closed.isNull() | (at < s.closed)))
+    title = F.when(F.col("text").rlike(UNDERLINE) & (F.trim("before") != "") & ~F.col("before").rlike(HEADING) & ~F.col("before").rlike(r"^\s*\|") & ~inside(at - 1) & ~marker(at - 1), F.trim("before"))
+    rows = rows.withColumns({"opens_fence": opens(at), "is_marker": marker(at), "in_fence": inside(at), "title": title, "is_last": at == F.col("n")}).drop("spans", "n", "before")
+    rows = rows.withColumn("free", ~F.col("in_fence") & ~F.col("is_marker")).withColumn("title", F.when(F.col("free"), F.col("title")))
     level = F.when(F.col("title").isNotNull(), F.when(F.ltrim("text").startswith("="), 1).otherwise(2)).when(F.col("free"), F.length(F.regexp_extract("text", HEADING, 1))).otherwise(0)
     rows = rows.withColumns({"level": level, "heading": F.coalesce("title", F.when(level > 0, F.regexp_extract("text", HEADING, 2))), "endpoint": F.when(F.col("free"), text.declared_endpoint(F.col("text")))})
     return rows.drop("free", "title")
 
 
+def landmarks(marked: DataFrame) -> DataFrame:
+    """The lines of ``marked`` that say where sections, tables and fences are, and the last line of each document.
+
+    section_owner() and tables() give these lines what they give them among all lines; an owner changes at none of the others.
+    """
+    row = F.col("text").rlike(r"^\s*\|") & ~F.col("in_fence")
+    return marked.where((F.col("level") > 0) | F.col("endpoint").isNotNull() | F.col("opens_fence") | row | F.col("is_last"))
+
+
 def section_owner(marked: DataFrame) -> DataFrame:
     """Lines with the endpoint whose section they are in.
 
@@ -95,12 +109,16 @@ def section_owner(marked: DataFrame) -> DataFrame:
 def endpoint_facts(docs: DataFrame, source: str, body: str) -> DataFrame:
     """(source, method, path, line, last_line, n_fences, parameters) of every declared endpoint.
 
-    Parameters are what the tables of its section list (table_parameters()).
+    Parameters are what the tables of its section list (table_parameters()). Of all lines only landmarks() leave their document;
+    a section reaches to the line before the next of these. They are written once, as both sides read them.
     """
-    rows = section_owner(marked_lines(docs, source, body))
+    rows = section_owner(landmarks(marked_lines(docs, source, body)))
+    until = F.coalesce(F.lead("line").over(W.partitionBy("source").orderBy("line")) - 1, F.col("line"))
+    owned = rows.withColumn("until", until).select("source", "line", "until", "text", "level", "heading", "in_fence", "opens_fence", "owner")
+    rows = Workspace(docs.sparkSession, "facts").save(owned, "owned")
     key = ["source", "method", "path"]
     listed = tables.table_parameters(tables.tables(rows)).groupBy(*key).agg(F.array_sort(F.collect_set("name")).alias("parameters"))
-    spans = rows.where("owner is not null").groupBy("source", "owner.method", "owner.path").agg(F.min("line").alias("line"), F.max("line").alias("last_line"), F.count_if("opens_fence").alias("n_fences"))
+    spans = rows.where("owner is not null").groupBy("source", "owner.method", "owner.path").agg(F.min("line").alias("line"), F.max("until").alias("last_line"), F.count_if("opens_fence").alias("n_fences"))
     return spans.join(listed, key, "left").select(*key, "line", "last_line", "n_fences", F.coalesce("parameters", F.array().cast("array<string>")).alias("parameters"))
 
 
@@ -112,7 +130,8 @@ def payload_fences(docs: DataFrame, source: str, body: str) -> DataFrame:
     document and opening line.
     """
     own = docs.select(source, F.regexp_replace(body, r"(\r\n|\r|\n)\z", "").alias(body))
-    rows = section_owner(marked_lines(own, source, body))
+    marked = marked_lines(own, source, body)
+    rows = section_owner(marked.where((F.col("level") > 0) | F.col("endpoint").isNotNull() | F.col("in_fence") | F.col("is_marker")))
     at = F.last(F.when(F.col("opens_fence"), F.col("line")), ignorenulls=True).over(W.partitionBy("source").orderBy("line").rowsBetween(W.unboundedPreceding, 0))
     inside = rows.withColumn("start_line", at).where("in_fence or is_marker")
     content = F.when(F.col("in_fence"), F.struct("line", "text"))

@@ -51,11 +51,12 @@ def enclosing_headings(marked: DataFrame) -> DataFrame:
 def tables(owned: DataFrame) -> DataFrame:
     """(source, line, last_line, owner, headings, header, body) of every table outside fences, from lines with their owner.
 
+    Of the lines all headings and rows of tables are needed (facts.landmarks()), others may be left out.
     Lines that begin with a pipe and follow each other are one block, which meets in one row; it is a table if a header, a rule and one
     row at least are there. ``body`` has line, text and cells of the rows below the rule, in order.
     """
     rows = enclosing_headings(owned).withColumn("is_row", F.col("text").rlike(r"^\s*\|") & ~F.col("in_fence"))
-    block = F.sum((~F.col("is_row")).cast("int")).over(W.partitionBy("source").orderBy("line").rowsBetween(W.unboundedPreceding, 0))
+    block = F.col("line") - F.sum(F.col("is_row").cast("int")).over(W.partitionBy("source").orderBy("line").rowsBetween(W.unboundedPreceding, 0))
     one = F.struct("line", "text", text.table_cells(F.col("text")).alias("cells"))
     found = rows.withColumn("block", block).where("is_row").groupBy("source", "block").agg(F.sort_array(F.collect_list(one)).alias("rows"), F.min_by(F.struct("owner", "headings"), "line").alias("at"))
     found = found.where((F.size("rows") >= 3) & F.get("rows", F.lit(1))["text"].rlike(SEPARATOR))

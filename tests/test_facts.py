@@ -7,7 +7,8 @@ import re
 
 from pyspark.sql import functions as F
 
-from attestor.operators import facts
+from attestor.operators import facts, tables
+from attestor.session import Workspace
 
 
 def read_fences(text):
@@ -108,3 +109,19 @@ def test_payload_fences_equal_a_reader(spark):
     assert sorted((g.source, g.path, g.info, g.start_line, g.end_line) for g in got) == want and len(want) > 50
     told = {(i, f[2]): f[4] for i, t in enumerate(texts) if t for f in plain_fences(t)}
     assert all(g.excerpt == re.sub(r"[ \t]+(?=\n|$)", "", told[g.source, g.start_line]).strip("\n") for g in got)
+
+
+def test_only_landmarks_are_shuffled(spark, monkeypatch):
+    saved, save = [], Workspace.save
+    monkeypatch.setattr(Workspace, "save", lambda self, df, name: saved.append(save(self, df, name)) or saved[-1])
+    text = "prose\n" * 50 + "# A\nGET /x\n" + "prose\n" * 50 + "| Name |\n| --- |\n| one |\n\nsay\n| Name |\n| --- |\n| two |\n" + "prose\n" * 20 + "end"
+    df = spark.createDataFrame([(1, text), (2, "| a |\n| URL | /y | Method | POST |\n| --- |\n| b |"), (3, "prose\n\nTitle\n-----\nGET /z\nlast"), (4, None), (5, "")], "id int, text string")
+    got = sorted((r.source, r.path, r.line, r.last_line, r.parameters) for r in facts.endpoint_facts(df, "id", "text").collect())
+    assert got == [(1, "/x", 52, 131, ["one", "two"]), (2, "/y", 2, 4, []), (3, "/z", 5, 6, [])]
+    assert saved[0].where("source = 1").count() == 9
+    assert "Exchange" not in facts.marked_lines(df, "id", "text")._jdf.queryExecution().executedPlan().toString()
+    marked = facts.marked_lines(df, "id", "text")
+    some = {(r.source, r.line): r.owner for r in facts.section_owner(facts.landmarks(marked)).collect()}
+    every = {(r.source, r.line): r.owner for r in facts.section_owner(marked).collect()}
+    assert some == {k: every[k] for k in some}
+    assert sorted(map(str, tables.tables(facts.section_owner(facts.landmarks(marked))).collect())) == sorted(map(str, tables.tables(facts.section_owner(marked)).collect()))
