@@ -179,7 +179,7 @@ def _part_guides(t):
         F.when(size % 4 == 0, "| not a code! | y |\n").otherwise(""), F.lit("\n## Else\n| Code | Currency |\n|---|---|\n| USD | dollar |\n"),
     )
     docs = t.part.select("p_partkey", body.alias("body"))
-    return tables.tables(facts.section_owner(facts.marked_lines(docs, "p_partkey", "body")))
+    return tables.tables(facts.section_owner(facts.landmarks(facts.marked_lines(docs, "p_partkey", "body"))))
 
 
 @query("SELECT p_partkey, 'GET' AS method, '/parts/' || p_partkey AS path, name, required FROM part, (VALUES ('size', 'true'), ('brand', 'false')) v(name, required)")
