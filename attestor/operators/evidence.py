@@ -17,6 +17,9 @@ PAGE_MARKER = r"(?iU)^\s*<!--\s*page\s*:\s*(\d+)\s*-->\s*$"
 #: Every end of line that a reader of text knows.
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
+#: Lines of a document that travel as one row.
+BLOCK_LINES = 64
+
 
 def source_locator(raw: Column) -> Column:
     """What a locator written as ``<source> page 3``, ``<source> lines 2-5``, ``<source>.json#/a/b``, ``css:``, ``xpath:`` or ``section:A > B`` asks for."""
@@ -38,13 +41,14 @@ def _text_lines(body: Column) -> Column:
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
 
 
-def heading_spans(docs: DataFrame, source: str, body: str) -> DataFrame:
+def heading_spans(docs: DataFrame, source: str, body: str, only: DataFrame | None = None) -> DataFrame:
     """(source, headings, first, last): each section as an interval of lines, its own heading and those around it, outermost first.
 
     A section reaches to the line before the next heading of its level or above. Only the lines that are headings take
-    part in the windows.
+    part in the windows, and of these only those of the sources in ``only`` (source) if it is given.
     """
     heads = marked_lines(docs, source, body).where("level > 0").select("source", "line", "level", "heading")
+    heads = heads if only is None else heads.join(only, "source", "left_semi")
     back = W.partitionBy("source").orderBy("line").rowsBetween(W.unboundedPreceding, 0)
     ahead = W.partitionBy("source").orderBy("line").rowsBetween(1, W.unboundedFollowing)
     level = F.col("level")
@@ -66,13 +70,17 @@ def acquire_fragments(documents: DataFrame, requests: DataFrame, sections: bool
     the whole document. With ``sections`` a heading path gives the one section whose headings end with it, of precision
     ``section``; without it, or where several sections fit, it is unresolved, as are selectors.
 
-    A request becomes the lines of its intervals, which meet the lines of the documents by source and line: no document is
-    repeated for its requests, and a source that many ask for is split like any join. A source has one document; sources
+    A request becomes the blocks of lines of its intervals, which meet the blocks of the documents by source and number: no document is
+    repeated for its requests, and a source that many ask for is split like any join. What documents have beside their lines (numbers,
+    markers, headings) is found where they are read. A source has one document; sources
     without one and null texts leave requests unresolved, without a digest. Repeated requests count once; list places in pointers are plain numbers.
     """
     asked = requests.select("source", "raw").distinct().withColumn("at", source_locator(F.col("raw")))
-    docs = documents.select("source", "text").join(requests.select("source").distinct(), "source", "left_semi").where("text is not null")
-    lines = docs.select("source", F.posexplode(_text_lines(F.col("text"))).alias("line", "text")).withColumn("line", F.col("line") + 1)
+    docs = documents.select("source", "text").where("text is not null")
+    split = docs.select("source", _text_lines(F.col("text")).alias("all"))
+    cut = lambda i: F.slice("all", i * BLOCK_LINES + 1, F.lit(BLOCK_LINES))
+    blocks = split.select("source", F.posexplode(F.transform(F.sequence(F.lit(0), F.expr(f"cast((size(all) - 1) div {BLOCK_LINES} as int)")), cut)).alias("block", "lines"))
+    lines = split.select("source", F.posexplode("all").alias("line", "text")).withColumn("line", F.col("line") + 1)
     ends = docs.select("source", F.size(_text_lines(F.col("text"))).alias("n"), F.sha2("text", 256).alias("whole"))
 
     ranges = asked.where("at.kind = 'lines'").join(ends, "source").where("at.first between 1 and at.last and at.last <= n").select("source", "raw", "at.first", "at.last")
@@ -82,13 +90,16 @@ def acquire_fragments(documents: DataFrame, requests: DataFrame, sections: bool
     spans = ranges.unionAll(pages)
     if sections:
         wanted = asked.where("at.kind = 'section'").select("source", "raw", F.col("at.headings").alias("path"), F.element_at("at.headings", -1).alias("heading"))
-        own = documents.select("source", "text").join(wanted.select("source").distinct(), "source", "left_semi")
-        held = heading_spans(own, "source", "text").withColumn("heading", F.element_at("headings", -1))
+        held = heading_spans(documents, "source", "text", wanted.select("source").distinct()).withColumn("heading", F.element_at("headings", -1))
         fits = (F.size("headings") >= F.size("path")) & (F.slice("headings", F.greatest(F.size("headings") - F.size("path") + 1, F.lit(1)), F.size("path")) == F.col("path"))
         met = wanted.join(held, ["source", "heading"]).where(fits).groupBy("source", "raw").agg(F.count("*").alias("fitting"), F.min("first").alias("first"), F.min("last").alias("last"))
         spans = spans.unionAll(met.where("fitting = 1").join(ends, "source").select("source", "raw", "first", F.coalesce("last", "n").alias("last")))
-    each = spans.where("first <= last").select("source", "raw", F.explode(F.sequence("first", "last")).alias("line"))
-    told = each.join(lines, ["source", "line"]).groupBy("source", "raw").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("told"))
+    number = lambda line: F.expr(f"cast(({line} - 1) div {BLOCK_LINES} as int)")
+    each = spans.where("first <= last").select("source", "raw", "first", "last", F.explode(F.sequence(number("first"), number("last"))).alias("block"))
+    start = F.greatest(F.col("first") - F.col("block") * BLOCK_LINES, F.lit(1))
+    part = F.slice("lines", start, F.least(F.col("last") - F.col("block") * BLOCK_LINES, F.lit(BLOCK_LINES)) - start + 1)
+    parts = each.join(blocks, ["source", "block"]).select("source", "raw", F.struct((F.col("block") * BLOCK_LINES + start).alias("line"), F.array_join(part, "\n").alias("text")).alias("part"))
+    told = parts.groupBy("source", "raw").agg(F.array_join(F.transform(F.sort_array(F.collect_list("part")), lambda x: x["text"]), "\n").alias("told"))
     found = spans.select("source", "raw").distinct().join(told, ["source", "raw"], "left").select("source", "raw", normalize_excerpt(F.coalesce("told", F.lit(""))).alias("excerpt"))
 
     pointed = asked.where("at.kind = 'pointer'").select("source", "raw", "at.pointer")

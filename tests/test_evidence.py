@@ -109,3 +109,14 @@ def test_references(spark, frames):
 def test_nothing(spark, frames):
     assert evidence.acquire_fragments(frames[0], frames[1].limit(0), True).count() == 0
     assert {r.precision for r in evidence.acquire_fragments(frames[0].limit(0), frames[1], True).collect()} == {"unresolved"}
+
+
+def test_lines_travel_in_blocks(spark):
+    n = 2 * evidence.BLOCK_LINES + 5
+    body = [f"l{i}" if i % 9 else "" for i in range(1, n + 1)]
+    docs = spark.createDataFrame([("d", "\n".join(body)), ("e", ""), ("f", None)], "source string, text string")
+    spans = [(1, 1), (1, n), (evidence.BLOCK_LINES, evidence.BLOCK_LINES + 1), (evidence.BLOCK_LINES + 1, 2 * evidence.BLOCK_LINES), (n, n), (5, n + 1)]
+    found = evidence.acquire_fragments(docs, spark.createDataFrame([("d", f"d lines {a}-{b}") for a, b in spans] + [("e", "e lines 1-1"), ("f", "f lines 1-1")], "source string, raw string"))
+    got = {r.raw: r.excerpt for r in found.collect()}
+    assert got == {f"d lines {a}-{b}": "\n".join(body[a - 1 : b]).strip("\n") if b <= n else None for a, b in spans} | {"e lines 1-1": None, "f lines 1-1": None}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") <= 1  # only the documents that pointers ask for
