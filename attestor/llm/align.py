@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attestor.llm.byte_bpe import byte_bpe
+from attestor.llm.byte_bpe import REMEMBERED_CHARS, byte_bpe
 from attestor.llm.tokenizer_io import MARK, by_bytes, model_proto, sentencepiece_model, split_text, splits_at_spaces
 from attestor.session import Workspace
 
@@ -27,6 +29,10 @@ OUT_BYTES = 1 << 22
 LOOSE_PAIRS = 1 << 20
 #: Pairs of ids whose counts are broadcast at once; more take several passes over the links.
 BROADCAST_PAIRS = 1 << 20
+#: Words whose pieces each Python worker remembers, and how many are encoded at once.
+REMEMBERED_WORDS, WORDS_AT_ONCE = 1 << 19, 1 << 13
+#: What stands behind one space: a word with the further spaces before it, and those that end the text.
+_WORD = re.compile(r" ( *[^ ]+(?: +\Z)?| +\Z)")
 
 
 @lru_cache(maxsize=4)
@@ -42,6 +48,48 @@ def _byte_widths(path: str, pattern: str) -> np.ndarray:
     return np.array([len(b) for b in byte_bpe(path, pattern).bytes_of], np.int64)
 
 
+@lru_cache(maxsize=4)
+def _piece_words(path: str) -> tuple[dict[str, bytes], np.ndarray] | None:
+    """Packed ids of words met before, and by id whether the piece begins with the mark; None where words are not proven to stand alone.
+
+    No piece holds a mark behind another character, so merges of pairs never cross the place before a run of spaces; as unknown
+    characters become bytes, no two unknown pieces are joined there either.
+    """
+    proto = model_proto(path)
+    spec = proto.trainer_spec
+    if not (splits_at_spaces(path) and spec.model_type == spec.BPE and spec.byte_fallback):
+        return None
+    return {}, np.array([p.piece.startswith(MARK) for p in proto.pieces])
+
+
+def _piece_ids(text: str, path: str) -> np.ndarray:
+    """Ids of the pieces of a text as the library gives them; words that come again are not encoded again.
+
+    New words go to the library in one text: those without spaces of their own begin at the pieces that begin with the mark.
+    """
+    model, made = sentencepiece_model(path), _piece_words(path)
+    if made is None or MARK in text:
+        return np.array([i for part in split_text(text, path, PIECE_CHARS) for i in model.encode(part)], np.uint32)
+    known, begins = made
+    words = _WORD.findall(" " + text) if "  " in text or text[0] == " " or text[-1] == " " else text.split(" ")
+    new = set(words).difference(known)
+    spaced = {w for w in new if " " in w}
+    known.update((w, np.array(model.encode(w), "<u4").tobytes()) for w in spaced)
+    single = list(new - spaced)
+    for s in range(0, len(single), WORDS_AT_ONCE):
+        some = single[s : s + WORDS_AT_ONCE]
+        ids = np.array(model.encode(" ".join(some)), "<u4")
+        raw, at = ids.tobytes(), [*(4 * np.flatnonzero(begins[ids])).tolist(), 4 * len(ids)]
+        known.update(zip(some, (raw[x:y] for x, y in pairwise(at)), strict=True))
+    out = np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4")
+    for w in new:
+        if len(w) > REMEMBERED_CHARS:
+            del known[w]
+    if len(known) > REMEMBERED_WORDS:
+        known.clear()
+    return out
+
+
 def both_tokens(text: str, byte_path: str, pattern: str, piece_path: str) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]] | None:
     """Ids and widths in bytes of the tokens of a space and the text (A) and of the text (B); None where either's bytes are not those."""
     if not text:
@@ -50,15 +98,12 @@ def both_tokens(text: str, byte_path: str, pattern: str, piece_path: str) -> tup
     a = np.frombuffer(b"".join(byte_bpe(byte_path, pattern).encode(" " + text)), "<u4")
     widths_a = _byte_widths(byte_path, pattern)[a]
     of, widths, unknown = _piece_bytes(piece_path)
-    model = sentencepiece_model(piece_path)
-    parts = split_text(text, piece_path, PIECE_CHARS)
-    ids = model.encode(text) if len(parts) == 1 else [i for part in parts for i in model.encode(part)]
-    b = np.array(ids, np.uint32)
+    b = _piece_ids(text, piece_path)
     widths_b = widths[b]
     if widths_a.sum() != len(whole) or widths_b.sum() != len(whole):  # byte-level tokens are the text's own bytes, if none is left out
         return None
     kept = splits_at_spaces(piece_path) and MARK not in text and not (b == unknown).any()  # nothing is normalised: pieces are the text's own bytes too
-    return ((a, widths_a), (b, widths_b)) if kept or b"".join(map(of.__getitem__, ids)) == whole else None
+    return ((a, widths_a), (b, widths_b)) if kept or b"".join(map(of.__getitem__, b.tolist())) == whole else None
 
 
 @lru_cache(maxsize=1)

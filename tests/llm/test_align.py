@@ -130,3 +130,31 @@ def test_query(spark, sf_dir, both):
     assert sorted(got.columns) == sorted(COLUMNS)
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     assert Counter(tuple(r) for r in got.select(*COLUMNS).collect()) == plain(rows, both)
+
+
+def test_words_that_come_again_are_encoded_once(monkeypatch):
+    import sentencepiece
+
+    from attestor.llm import align
+
+    path = P.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    asked = []
+
+    class Counted:
+        def encode(self, text):
+            asked.append(len(text))
+            return library.encode(text)
+
+    monkeypatch.setattr(align, "sentencepiece_model", lambda path: Counted())
+    align._piece_words.cache_clear()
+    for text in ("alpha beta gamma " * 500, "beta  gamma alpha", "gamma beta"):
+        found = align.both_tokens(text, P.path("byte_bpe_50k.json"), P.PATTERN, path)
+        assert found[1][0].tolist() == library.encode(text)
+    assert sum(asked) < 100
+    r, parts = random.Random(5), [" ", "  ", "a", "ab", "the", "\n", "\t", "▁", "é", "中文", "　", " ", "\0", "😀", ".", "▁ ", "</s>", "<0x41>", "x" * 60]
+    monkeypatch.setattr(align, "REMEMBERED_WORDS", 50)
+    for _ in range(3000):
+        text = "".join(r.choices(parts, k=r.randint(1, 12)))
+        assert align._piece_ids(text, path).tolist() == library.encode(text)
+    align._piece_words.cache_clear()
