@@ -146,26 +146,27 @@ def nested_fields(fields: DataFrame) -> DataFrame:
     ``fields``: (owner, ord, name, required, is_union). ``A.b`` is a property of the object A, ``A[].b`` one of the objects in the
     array A. A node is required if its own field says so, and is described by the last field of its whole name (``leaf``, its
     ord). A union is terminal: what names spell below it is left out. Nodes stand in order of first mention.
+
+    Fields are dealt out by owner once, before they are cut into steps, and nodes sorted by name: what a name spells below a node
+    follows it at once, and ends before the name with ``/`` behind it, the character after the dot.
     """
-    split = fields.where("name is not null and name != ''").withColumn("parts", F.split("name", r"\."))
-    step = F.posexplode("parts").alias("level", "part")
-    steps = split.select("owner", "ord", "required", "is_union", "parts", step).withColumns({
-        "key": F.regexp_replace("part", r"\[\]$", ""),
-        "keys": F.filter(F.transform(F.slice("parts", F.lit(1), F.col("level") + 1), lambda p: F.regexp_replace(p, r"\[\]$", "")), lambda k: k != ""),
-    })
-    steps = steps.where("key != ''").withColumns({"path": F.array_join("keys", "."), "is_leaf": F.col("level") == F.size("parts") - 1, "is_array": F.col("part").endswith("[]")})
-    nodes = steps.groupBy("owner", "path", "keys").agg(
-        F.min(F.struct("ord", "level")).alias("position"), F.bool_or("is_array").alias("is_array"), F.max(F.when(F.col("is_leaf"), F.struct("ord", "required", "is_union"))).alias("leaf"),
+    plain = lambda part: F.regexp_replace(part, r"\[\]$", "")
+    named = fields.where("name is not null and name != ''").select("owner", "ord", "name", "required", "is_union").repartition("owner")
+    split = named.withColumn("parts", F.split("name", r"\.")).withColumn("keys", F.transform("parts", plain))
+    steps = split.select("owner", "ord", "required", "is_union", "keys", F.size("parts").alias("n"), F.posexplode("parts").alias("level", "part")).where(F.element_at("keys", F.col("level") + 1) != "")
+    path = F.array_join(F.filter(F.slice("keys", F.lit(1), F.col("level") + 1), lambda k: k != ""), ".")
+    steps = steps.select(
+        "owner", F.concat(path, F.lit(".")).alias("inside"), F.struct("ord", "level").alias("position"), F.col("part").endswith("[]").alias("is_array"),
+        F.when(F.col("level") == F.col("n") - 1, F.struct("ord", "required", "is_union")).alias("leaf"),
     )
-    unions = nodes.where("leaf.is_union").select("owner", F.col("path").alias("above"))
-    above = nodes.select("owner", "path", F.explode(F.transform(F.sequence(F.lit(1), F.size("keys")), lambda i: F.array_join(F.slice("keys", F.lit(1), i), "."))).alias("above")).where("above != path")
-    hidden = above.join(unions, ["owner", "above"], "left_semi").select("owner", "path").distinct()
-    shown = nodes.join(hidden, ["owner", "path"], "left_anti")
-    parent = F.array_join(F.slice("keys", F.lit(1), F.size("keys") - 1), ".")
-    inner = shown.where(F.size("keys") > 1).select("owner", parent.alias("path"), F.lit(True).alias("has_children")).distinct()
-    met = shown.join(inner, ["owner", "path"], "left")
-    kind = F.when(F.coalesce("leaf.is_union", F.lit(False)), "union").when(F.col("has_children").isNull(), "field").when(F.col("is_array"), "array").otherwise("object")
-    return met.select("owner", "path", parent.alias("parent"), F.element_at("keys", -1).alias("key"), kind.alias("kind"), F.coalesce("leaf.required", F.lit(False)).alias("required"), F.col("leaf.ord").alias("leaf"), F.struct("position.ord", "position.level").alias("position"))
+    nodes = steps.groupBy("owner", "inside").agg(F.min("position").alias("position"), F.bool_or("is_array").alias("is_array"), F.max("leaf").alias("leaf")).withColumn("path", F.expr("left(inside, length(inside) - 1)"))
+    order = W.partitionBy("owner").orderBy("inside")
+    end = F.max(F.when(F.col("leaf.is_union"), F.concat("path", F.lit("/")))).over(order.rowsBetween(W.unboundedPreceding, -1))
+    met = nodes.withColumns({"end": end, "has_children": F.coalesce(F.lead("inside").over(order).startswith(F.col("inside")), F.lit(False))}).where("end is null or end < inside")
+    keys = F.split("path", r"\.")
+    parent = F.array_join(F.slice(keys, F.lit(1), F.size(keys) - 1), ".")
+    kind = F.when(F.coalesce("leaf.is_union", F.lit(False)), "union").when(~F.col("has_children"), "field").when(F.col("is_array"), "array").otherwise("object")
+    return met.select("owner", "path", parent.alias("parent"), F.element_at(keys, -1).alias("key"), kind.alias("kind"), F.coalesce("leaf.required", F.lit(False)).alias("required"), F.col("leaf.ord").alias("leaf"), "position")
 
 
 def reachable_names(names: DataFrame, refs: DataFrame, roots: DataFrame) -> DataFrame:

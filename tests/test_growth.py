@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import random
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -126,3 +127,32 @@ def test_pages_alike_are_not_paired(spark, monkeypatch):
     found = related.related_pages(pages, pages.selectExpr("page", "page + 1 as to_page"), pages.selectExpr("page", "'hot' as entity"), pages.selectExpr("page as target"), 5)
     assert found.count() == 2500
     assert saved["shared"].count() == 1
+
+
+def test_nested_fields_are_dealt_out_once_and_names_sort_as_trees(spark):
+    r = random.Random(3)
+    names = [".".join(r.choice(["a", "a-b", "a/", "b", "b[]", "", "ab", "a "]) for _ in range(r.randint(1, 4))) for _ in range(120)]
+    rows = [(i % 4, i, name, r.random() < 0.5, r.random() < 0.2) for i, name in enumerate(names)]
+    found = planning.nested_fields(spark.createDataFrame(rows, "owner int, ord int, name string, required boolean, is_union boolean"))
+    assert plan(found).split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
+    position, arrays, leaf = {}, set(), {}
+    for owner, i, name, required, union in rows:
+        parts = name.split(".") if name else []
+        keys = [p.removesuffix("[]") for p in parts]
+        for level, key in enumerate(keys):
+            if key:
+                node = (owner, tuple(k for k in keys[: level + 1] if k))
+                position.setdefault(node, (i, level))
+                arrays |= {node} if parts[level].endswith("[]") else set()
+                leaf |= {node: (i, required, union)} if level == len(keys) - 1 else {}
+    unions = {n for n in position if leaf.get(n, (0, 0, False))[2]}
+    want = set()
+    for owner, keys in position:
+        node = (owner, keys)
+        if not any((owner, keys[:n]) in unions for n in range(1, len(keys))):
+            inner = any(o == owner and len(k) == len(keys) + 1 and k[:-1] == keys for o, k in position)
+            kind = "union" if node in unions else "field" if not inner else "array" if node in arrays else "object"
+            at, required, _ = leaf.get(node, (None, False, False))
+            want.add((owner, ".".join(keys), ".".join(keys[:-1]), keys[-1], kind, required, at, position[node]))
+    got = found.collect()
+    assert {(*x[:7], tuple(x.position)) for x in got} == want and len(got) == len(want) > 50
