@@ -132,9 +132,12 @@ def navigation_catalog(t):
 @query("""SELECT p_partkey, 0 AS "table", row, col, CASE text WHEN 'name' THEN p_name WHEN 'brand' THEN p_brand WHEN 'size' THEN p_size::VARCHAR ELSE text END AS text
 FROM part, (VALUES (0, 0, 'a'), (0, 1, 'b'), (0, 2, 'c'), (1, 0, 'name'), (1, 1, ''), (1, 2, 'brand'), (2, 0, 'size'), (2, 1, 'z'), (2, 2, 'brand')) v(row, col, text)""")
 def html_table_grid(t):
-    """Cells of a table about every part, some of which span columns or rows."""
+    """Cells of a table about every part, some of which span columns or rows.
+
+    Parts are dealt out before their tables are parsed: a small file of many rows is otherwise one task's.
+    """
     table = F.concat(F.lit("<table><tr><th>a</th><th>b</th><th>c</th></tr><tr><td colspan=2>"), "p_name", F.lit("</td><td rowspan=2>"), "p_brand", F.lit("</td></tr><tr><td>"), F.col("p_size").cast("string"), F.lit("</td><td>z</td></tr></table>"))
-    return t.part.select("p_partkey", F.explode(html.table_cells(table)).alias("c")).select("p_partkey", "c.*")
+    return t.part.select("p_partkey", "p_name", "p_brand", "p_size").repartition("p_partkey").select("p_partkey", F.explode(html.table_cells(table)).alias("c")).select("p_partkey", "c.*")
 
 
 @query()

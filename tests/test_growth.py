@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from attestor.functions.json_text import json_leaves
 from attestor.operators import compare, conformance, derivations, domain, openapi, planning, projections, related
 from attestor.operators.schema_graph import compare_documents
+from attestor.plans import QUERIES
 from attestor.session import Workspace
 
 
@@ -156,3 +157,8 @@ def test_nested_fields_are_dealt_out_once_and_names_sort_as_trees(spark):
             want.add((owner, ".".join(keys), ".".join(keys[:-1]), keys[-1], kind, required, at, position[node]))
     got = found.collect()
     assert {(*x[:7], tuple(x.position)) for x in got} == want and len(got) == len(want) > 50
+
+
+def test_rows_are_dealt_out_before_their_tables_are_parsed(spark):
+    found = plan(QUERIES["html_table_grid"](spark, "/root/testdata/sf0.001")).split("Initial Plan")[-1]
+    assert "hashpartitioning(p_partkey" in found and found.index("EvalPython") < found.index("Exchange")
