@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +17,8 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 DROPPED = {"aside", "footer", "nav", "script", "style", "template"}
 BLOCKS = {"p", "div", "section", "article", "main", "header", "body", "html", "figure", "dl", "dd", "dt", "blockquote"}
 MAX_COLSPAN, MAX_ROWSPAN = 16, 64
+#: Bytes of pages that are Python objects at once, and rows.
+SLICE_BYTES, SLICE_ROWS = 1 << 20, 1 << 10
 
 
 class Node:
@@ -226,16 +229,30 @@ def to_markdown(html: str | None) -> str:
     return "\n\n".join(out) + ("\n" if out else "")
 
 
-@F.pandas_udf(T.StringType())
-def page_markdown(html: pd.Series) -> pd.Series:
-    return html.map(to_markdown)
+def each_page(pages: pa.Array, make: Callable, kind: pa.DataType) -> pa.Array:
+    """``make`` of every page of a batch; a batch stays in Arrow's memory, and pages become Python objects a slice at a time."""
+    sizes = pc.fill_null(pc.binary_length(pages), 0).to_pylist()
+    out, start, held = [], 0, 0
+    for i, n in enumerate(sizes):
+        if i > start and (held + n > SLICE_BYTES or i - start == SLICE_ROWS):
+            out.append(pa.array([make(p.as_py()) for p in pages.slice(start, i - start)], kind))
+            start, held = i, 0
+        held += n
+    out.append(pa.array([make(p.as_py()) for p in pages.slice(start)], kind))
+    return pa.concat_arrays(out)
+
+
+@F.arrow_udf(T.StringType())
+def page_markdown(html: pa.Array) -> pa.Array:
+    return each_page(html, to_markdown, pa.string())
 
 
 META = T.StructType([T.StructField("title", T.StringType()), T.StructField("headings", T.ArrayType(T.StringType())), T.StructField("body_text", T.StringType()), T.StructField("hrefs", T.ArrayType(T.StringType()))])
+_META = pa.struct([("title", pa.string()), ("headings", pa.list_(pa.string())), ("body_text", pa.string()), ("hrefs", pa.list_(pa.string()))])
 
 
-@F.pandas_udf(META)
-def page_metadata(html: pd.Series) -> pd.DataFrame:
+@F.arrow_udf(META)
+def page_metadata(html: pa.Array) -> pa.Array:
     """Title (first h1 of the content, else the title element), headings to level 4, body text and links in order."""
 
     def one(page):
@@ -247,28 +264,34 @@ def page_metadata(html: pd.Series) -> pd.DataFrame:
         links = dict.fromkeys(n.attrs["href"] for n in body.walk(DROPPED) if n.tag == "a" and n.attrs.get("href"))
         return (h1 or title or [None])[0], heads, body.text(DROPPED), list(links)
 
-    return pd.DataFrame([one(p) for p in html], columns=["title", "headings", "body_text", "hrefs"])
+    return each_page(html, one, _META)
 
 
 GRID = T.ArrayType(T.StructType([T.StructField("table", T.IntegerType()), T.StructField("row", T.IntegerType()), T.StructField("col", T.IntegerType()), T.StructField("text", T.StringType())]))
 
 
-@F.pandas_udf(GRID)
-def table_cells(html: pd.Series) -> pd.Series:
+_GRID = pa.list_(pa.struct([("table", pa.int32()), ("row", pa.int32()), ("col", pa.int32()), ("text", pa.string())]))
+
+
+@F.arrow_udf(GRID)
+def table_cells(html: pa.Array) -> pa.Array:
     """Every cell of every table on its place."""
 
     def one(page):
         tables = content_root(parse(page)).find("table")
-        return [{"table": t, "row": r, "col": c, "text": x} for t, node in enumerate(tables) for r, row in enumerate(table_grid(node)) for c, x in enumerate(row)]
+        return [(t, r, c, x) for t, node in enumerate(tables) for r, row in enumerate(table_grid(node)) for c, x in enumerate(row)]
 
-    return html.map(one)
+    return each_page(html, one, _GRID)
 
 
 NAV = T.ArrayType(T.StructType([T.StructField("ordinal", T.IntegerType()), T.StructField("href", T.StringType()), T.StructField("title", T.StringType()), T.StructField("breadcrumb", T.ArrayType(T.StringType())), T.StructField("parent_href", T.StringType())]))
 
 
-@F.pandas_udf(NAV)
-def navigation(html: pd.Series) -> pd.Series:
+_NAV = pa.list_(pa.struct([("ordinal", pa.int32()), ("href", pa.string()), ("title", pa.string()), ("breadcrumb", pa.list_(pa.string())), ("parent_href", pa.string())]))
+
+
+@F.arrow_udf(NAV)
+def navigation(html: pa.Array) -> pa.Array:
     """Links of navigation lists with the titles and the link above them; anchors that are no pages are left out."""
 
     def one(page):
@@ -284,7 +307,7 @@ def navigation(html: pd.Series) -> pd.Series:
                     here, href = [*crumbs, label] if label else crumbs, parent
                     if link and link.attrs["href"] != "#" and label:
                         href = link.attrs["href"]
-                        out.append({"ordinal": len(out), "href": href, "title": label, "breadcrumb": crumbs, "parent_href": parent})
+                        out.append((len(out), href, label, crumbs, parent))
                     for inner in child.children:
                         if isinstance(inner, Node) and inner.tag in ("ul", "ol"):
                             visit(inner, here, href)
@@ -295,7 +318,7 @@ def navigation(html: pd.Series) -> pd.Series:
             visit(nav, [], None)
         return out
 
-    return html.map(one)
+    return each_page(html, one, _NAV)
 
 
 def catalog(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:

@@ -6,6 +6,7 @@ import json
 import random
 from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from attestor.functions.json_text import json_leaves
@@ -13,6 +14,7 @@ from attestor.operators import compare, conformance, derivations, domain, openap
 from attestor.operators.schema_graph import compare_documents
 from attestor.plans import QUERIES
 from attestor.session import Workspace
+from attestor.sources import html
 
 
 def plan(df) -> str:
@@ -162,3 +164,14 @@ def test_nested_fields_are_dealt_out_once_and_names_sort_as_trees(spark):
 def test_rows_are_dealt_out_before_their_tables_are_parsed(spark):
     found = plan(QUERIES["html_table_grid"](spark, "/root/testdata/sf0.001")).split("Initial Plan")[-1]
     assert "hashpartitioning(p_partkey" in found and found.index("EvalPython") < found.index("Exchange")
+
+
+def test_pages_become_python_objects_a_slice_at_a_time(monkeypatch):
+    held, most = [], []
+    monkeypatch.setattr(html, "SLICE_BYTES", 100)
+    build = pa.array
+    monkeypatch.setattr(html.pa, "array", lambda x, *kind: (most.append(len(x)), build(x, *kind))[1])
+    pages = [None, "", "x" * 60, "é" * 30, "y" * 300, "z", *["a"] * 250]
+    got = html.each_page(build(pages), lambda p: (held.append(p), len(p or ""))[1], pa.int32())
+    assert got.to_pylist() == [len(p or "") for p in pages] and held == pages and max(most) <= 100 and sum(most) == len(pages)
+    assert html.each_page(build([], pa.string()), len, pa.int32()).to_pylist() == []
