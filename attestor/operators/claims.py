@@ -91,20 +91,32 @@ def parent_cycles(fragments: DataFrame) -> DataFrame:
     base = work.save(fragments.select("id", "parent"), "base")
     ids = base.select(F.col("id").alias("parent"))
     lost = base.where("parent is not null").join(ids, "parent", "left_anti").select("id", F.lit("PARENT_MISSING").alias("violation"), F.lit(False).alias("on_cycle"))
-    live = work.save(base.join(ids, "parent", "left_semi").select("id", F.col("parent").alias("at")), "live")
-    state = None
-    while True:
-        seen = live.agg(F.count("*"), F.count_distinct("at")).first()
-        if seen == state:
-            break
-        state = seen
-        up = live.select(F.col("id").alias("at"), F.col("at").alias("next"))
-        farther = work.save(live.join(up, "at").select("id", F.col("next").alias("at")), "live")
-        work.drop(live)
-        live = farther
+    live, state = endless(work, base.join(ids, "parent", "left_semi").select("id", F.col("parent").alias("at"))), None
+    while (seen := live.agg(F.count_distinct("at")).first()[0]) != state:
+        state, live = seen, _doubled(work, live)
     ring = live.select(F.col("at").alias("id")).distinct().withColumn("on_cycle", F.lit(True))
-    endless = live.select("id").join(ring, "id", "left").select("id", F.lit("PARENT_CYCLE").alias("violation"), F.coalesce("on_cycle", F.lit(False)).alias("on_cycle"))
-    return lost.unionByName(endless)
+    found = live.select("id").join(ring, "id", "left").select("id", F.lit("PARENT_CYCLE").alias("violation"), F.coalesce("on_cycle", F.lit(False)).alias("on_cycle"))
+    return lost.unionByName(found)
+
+
+def _doubled(work: Workspace, live: DataFrame) -> DataFrame:
+    """Pointers (id, at) twice as far, without those that end on the way; ``live``, written by ``work``, is deleted."""
+    up = live.select(F.col("id").alias("at"), F.col("at").alias("next"))
+    farther = work.save(live.join(up, "at").select("id", F.col("next").alias("at")), "live")
+    work.drop(live)
+    return farther
+
+
+def endless(work: Workspace, steps: DataFrame) -> DataFrame:
+    """(id, at) of those ``steps`` (id, at), ids unique, whose chain never ends, ``at`` some steps ahead; written.
+
+    Pointers are doubled until no chain ends in a round: a longer chain that ends would hold some that do. Numbers of rows
+    come from the files, so a round shuffles nothing but its join.
+    """
+    live, n = work.save(steps, "live"), None
+    while (left := live.count()) != n:
+        n, live = left, _doubled(work, live)
+    return live
 
 
 def supersession(amendments: DataFrame, now: Column, target: Column | None = None) -> DataFrame:
@@ -125,14 +137,19 @@ def supersession_violations(amendments: DataFrame) -> DataFrame:
 
     A chain that comes back to itself, a predecessor that is not there, one of another scope or target, or one whose digest is
     not the one stated.
+
+    Each amendment meets its predecessor once, both digests by 128 bits of their SHA-256, and what that tells is written; chains are then followed by id alone.
     """
-    loops = parent_cycles(amendments.select("id", F.col("supersedes").alias("parent")))
-    loose = loops.select("id", F.when(F.col("violation") == "PARENT_CYCLE", "SUPERSESSION_CYCLE").otherwise("SUPERSEDED_NOT_FOUND").alias("violation"))
-    before = amendments.select(F.col("id").alias("supersedes"), F.col("scope").alias("old_scope"), F.col("target").alias("old_target"), F.col("digest").alias("old_digest"))
-    met = amendments.join(before, "supersedes")
+    short = lambda digest: F.substring(F.unhex(F.sha2(digest, 256)), 1, 16)
+    work = Workspace(amendments.sparkSession, "supersession")
+    before = amendments.select(F.col("id").alias("supersedes"), F.col("scope").alias("old_scope"), F.col("target").alias("old_target"), short("digest").alias("old_digest"), F.lit(True).alias("found"))
+    own = amendments.where("supersedes is not null").select("id", "supersedes", "scope", "target", short("previous_digest").alias("previous_digest"))
     same = F.col("scope").eqNullSafe(F.col("old_scope")) & F.col("target").eqNullSafe(F.col("old_target"))
-    found = F.array(F.when(~same, "OTHER_SCOPE"), F.when(~F.col("previous_digest").eqNullSafe(F.col("old_digest")), "DIGEST_MISMATCH"))
-    return loose.unionByName(met.select("id", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("violation")))
+    told = F.array(F.when(~same, "OTHER_SCOPE"), F.when(~F.col("previous_digest").eqNullSafe(F.col("old_digest")), "DIGEST_MISMATCH"))
+    told = F.when(F.col("found"), F.filter(told, lambda x: x.isNotNull())).otherwise(F.array(F.lit("SUPERSEDED_NOT_FOUND")))
+    met = work.save(own.join(before, "supersedes", "left").select("id", F.col("supersedes").alias("at"), "found", told.alias("told")), "met")
+    loops = endless(work, met.where("found").select("id", "at")).select("id", F.lit("SUPERSESSION_CYCLE").alias("violation"))
+    return loops.unionByName(met.select("id", F.explode("told").alias("violation")))
 
 
 def claim_metrics(expected: DataFrame, observed: DataFrame, keys: list[str], groups: list[str] | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from attestor.functions.json_text import json_leaves
-from attestor.operators import compare, conformance, derivations, domain, openapi, planning, projections, related
+from attestor.operators import claims, compare, conformance, derivations, domain, openapi, planning, projections, related
 from attestor.operators.schema_graph import compare_documents
 from attestor.plans import QUERIES
 from attestor.session import Workspace
@@ -175,3 +175,12 @@ def test_pages_become_python_objects_a_slice_at_a_time(monkeypatch):
     got = html.each_page(build(pages), lambda p: (held.append(p), len(p or ""))[1], pa.int32())
     assert got.to_pylist() == [len(p or "") for p in pages] and held == pages and max(most) <= 100 and sum(most) == len(pages)
     assert html.each_page(build([], pa.string()), len, pa.int32()).to_pylist() == []
+
+
+def test_amendments_meet_their_predecessors_once(spark):
+    rows = [(1, None, "s", "d1", None), (2, 1, "s", "d2", "d1"), (3, 2, "t", "d3", "d2"), (4, 3, "t", "d4", "x"), (5, 9, "t", "d5", None), (6, 7, "s", None, "d7"), (7, 6, "s", "d7", None), (8, 6, "s", "d8", "d6")]
+    rows += [(i, i - 1 if i > 100 else None, None, "d", "d") for i in range(100, 140)]
+    found = claims.supersession_violations(spark.createDataFrame(rows, "id int, supersedes int, scope string, digest string, previous_digest string").withColumn("target", F.lit("t")))
+    assert "Join" not in plan(found)
+    got = sorted(tuple(r) for r in found.collect())
+    assert got == [(3, "OTHER_SCOPE"), (4, "DIGEST_MISMATCH"), (5, "SUPERSEDED_NOT_FOUND"), *[(i, "SUPERSESSION_CYCLE") for i in (6, 7)], (8, "DIGEST_MISMATCH"), (8, "SUPERSESSION_CYCLE")]
