@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from attestor.functions.json_text import json_block
 from attestor.operators.planning import STAGES
+from attestor.session import Workspace
 
 #: By stage, the fields of an item and what they have to be. A list that is empty, false or zero counts as empty.
 FIELDS = {
@@ -78,12 +79,16 @@ def coerced_items(answers: DataFrame, manifest: DataFrame) -> DataFrame:
     is no object or whose field has another type (``malformed item``, ``payload`` the field's name). Gaps and conflicts that
     an answer tells of follow in order; what is no string there stays JSON.
 
-    Each answer is parsed once; types are read from the VARIANT values, so no schema is inferred and nothing is shuffled but
-    by run.
+    Types are read from the VARIANT values, so no schema is inferred and nothing is shuffled but by run. Answers are dealt out by run
+    before the last of a stage is chosen, and their objects, cut out of the text once, are written: what is told of them is
+    read from there, apart from the memory that choosing takes.
     """
     known = list(FIELDS)
-    text = answers.where(F.col("stage").isin([*known, "10"])).groupBy("run", "stage").agg(F.max_by(F.struct("query_id", "answer"), F.struct("ord", "query_id")).alias("a"))
-    last = text.select("run", "stage", "a.query_id", F.try_parse_json(json_block("a.answer")).alias("block"))
+    work = Workspace(answers.sparkSession, "answers")
+    dealt = answers.where(F.col("stage").isin([*known, "10"])).select("run", "stage", "ord", "query_id", "answer").repartition("run")
+    text = dealt.groupBy("run", "stage").agg(F.max_by(F.struct("query_id", "answer"), F.struct("ord", "query_id")).alias("a"))
+    written = work.save(text.select("run", "stage", "a.query_id", json_block("a.answer").alias("block")), "blocks")
+    last = written.withColumn("block", F.try_parse_json("block"))
     staged = last.where(F.col("stage").isin(known)).withColumn("raw", _by_stage(lambda s: _member(F.col("block"), STAGES[s])))
     area = F.create_map(*[F.lit(x) for pair in STAGES.items() for x in pair])[F.col("stage")]
     none = F.lit(None).cast("string")

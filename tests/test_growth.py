@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from attestor.functions.json_text import json_leaves
-from attestor.operators import claims, compare, conformance, derivations, domain, openapi, planning, projections, related
+from attestor.operators import answers, claims, compare, conformance, derivations, domain, openapi, planning, projections, related
 from attestor.operators.schema_graph import compare_documents
 from attestor.plans import QUERIES
 from attestor.session import Workspace
@@ -184,3 +184,13 @@ def test_amendments_meet_their_predecessors_once(spark):
     assert "Join" not in plan(found)
     got = sorted(tuple(r) for r in found.collect())
     assert got == [(3, "OTHER_SCOPE"), (4, "DIGEST_MISMATCH"), (5, "SUPERSEDED_NOT_FOUND"), *[(i, "SUPERSESSION_CYCLE") for i in (6, 7)], (8, "DIGEST_MISMATCH"), (8, "SUPERSESSION_CYCLE")]
+
+
+def test_objects_of_answers_are_cut_out_once(spark, monkeypatch):
+    saved, save = [], Workspace.save
+    monkeypatch.setattr(Workspace, "save", lambda self, df, name: (saved.append(plan(df)), save(self, df, name))[1])
+    rows = spark.createDataFrame([(1, "07", i, "q", '{"schemas": [{"name": "a"}], "missing": ["%d"]}' % i) for i in range(3)], "run int, stage string, ord int, query_id string, answer string")
+    found = answers.coerced_items(rows, spark.createDataFrame([(1, "d", "n")], "run int, document string, name string"))
+    assert "EvalPython" not in plan(found) and "max_by" not in plan(found)
+    assert len(saved) == 1 and saved[0].split("Initial Plan")[-1].count("Exchange") == 1
+    assert [r.detail for r in found.where("stage = '07'").orderBy("kind").collect()] == ["a", "2"]
