@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -13,6 +14,7 @@ from pyspark.sql import types as T
 
 from attestor.functions.json_text import pointer_escape
 from attestor.operators.openapi import METHODS
+from attestor.operators.schema_graph import read_documents
 from attestor.session import Workspace
 
 #: Places of a document that derivations read: operations, responses, schema references, component schemas and what stands below their properties.
@@ -22,6 +24,8 @@ _REF = r"^/components/schemas/[^/]+/properties/[^/]+/(items/)?\$ref$"
 _LOCAL = "#/components/schemas/"
 #: Characters of nodes that are sent on at once.
 BATCH_CHARS = 4_000_000
+#: Pointers of which a worker remembers whether they are wanted, as like documents share them.
+KNOWN_POINTERS = 65_536
 #: Derivations that are checked by their result alone.
 PLAIN = ["canonical_json", "normalize_boolean_token", "unicode_nfc"]
 #: Derivations by one, and by two, references given as context, in order.
@@ -37,6 +41,10 @@ NO_HOP = [
     "openapi_schema_property_name_from_pointer", "openapi_schema_property_type_from_pointer", "openapi_schema_property_required_from_schema_pointer",
 ]
 
+_STATUS = re.compile(r"default|[1-5]([0-9]{2}|XX)")
+_BAD_ESCAPE = re.compile("~(?![01])")
+_encode = json.JSONEncoder(sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode
+
 
 def json_nodes(df: DataFrame, json_col: str, keep: list[str], where: str = READ) -> DataFrame:
     """(*keep, pointer, value) of the nodes, inner ones included, of a JSON column whose pointer matches ``where``; values are canonical JSON.
@@ -46,28 +54,31 @@ def json_nodes(df: DataFrame, json_col: str, keep: list[str], where: str = READ)
     schema = T.StructType([*[f for f in df.schema.fields if f.name in keep], T.StructField("pointer", T.StringType()), T.StructField("value", T.StringType())])
     names = [f.name for f in schema.fields[:-2]]
 
-    def nodes(text: str | None) -> Iterator[tuple[str, str]]:
+    def nodes(text: str | None, wanted: Callable[[str], object]) -> Iterator[tuple[str, str]]:
         try:
             todo = [("", json.loads(text))] if text else []
         except ValueError:
             return
-        wanted = re.compile(where)
         while todo:
             at, node = todo.pop()
-            if wanted.search(at):
-                yield at, json.dumps(node, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-            below = node.items() if isinstance(node, dict) else enumerate(node) if isinstance(node, list) else ()
-            todo += [(f"{at}/{str(k).replace('~', '~0').replace('/', '~1')}", v) for k, v in below]
+            if wanted(at):
+                yield at, _encode(node)
+            if isinstance(node, dict):
+                todo += [(f"{at}/{k if '~' not in k and '/' not in k else k.replace('~', '~0').replace('/', '~1')}", v) for k, v in node.items()]
+            elif isinstance(node, list):
+                todo += [(f"{at}/{i}", v) for i, v in enumerate(node)]
 
     def together(batch: pa.RecordBatch, at: list[int], found: list[tuple[str, str]]) -> pa.RecordBatch:
         same = [c.take(pa.array(at)) for c in batch.columns[:-1]]
         return pa.RecordBatch.from_arrays([*same, pa.array([p for p, _ in found], pa.string()), pa.array([v for _, v in found], pa.string())], names=schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pattern = re.compile(where)
+        wanted = lru_cache(KNOWN_POINTERS)(lambda at: pattern.search(at) is not None)
         for batch in batches:
             at, found, size = [], [], 0
             for i, text in enumerate(batch.column(batch.num_columns - 1)):
-                for node in nodes(text.as_py()):
+                for node in nodes(text.as_py(), wanted):
                     at.append(i)
                     found.append(node)
                     size += len(node[0]) + len(node[1])
@@ -82,7 +93,7 @@ def json_nodes(df: DataFrame, json_col: str, keep: list[str], where: str = READ)
 
 def _unescaped(segment: Column) -> Column:
     """The raw segment; null if a tilde starts no escape."""
-    return F.when(~segment.rlike("~(?![01])"), F.replace(F.replace(segment, F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~")))
+    return F.when(~segment.contains("~"), segment).when(~segment.rlike("~(?![01])"), F.replace(F.replace(segment, F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~")))
 
 
 def _text(value: Column) -> Column:
@@ -114,13 +125,147 @@ def _field_path(tail: Column) -> Column:
             .otherwise(F.struct(acc["out"].alias("out"), F.lit(True).alias("named"), (acc["ok"] & (s == "properties")).alias("ok")))
         )
 
-    return F.aggregate(tail, start, step, lambda acc: F.when(acc["ok"] & ~acc["named"], acc["out"]))
+    return F.when(F.size(tail) == 0, "").otherwise(F.aggregate(tail, start, step, lambda acc: F.when(acc["ok"] & ~acc["named"], acc["out"])))
+
+
+def _quoted(s: Column) -> Column:
+    """A string as JSON; null stays null."""
+    inside = F.to_json(F.array(s))
+    return F.when(s.rlike(r"^[ !#-\[\]-~]*$"), F.concat(F.lit('"'), s, F.lit('"'))).when(s.isNotNull(), F.substring(inside, F.lit(2), F.length(inside) - 2))
 
 
 def _path(parts: str, field: Column, what: str) -> Column:
     return F.concat(F.lit(f"/{parts}/"), pointer_escape(field), F.lit(f"/{what}"))
 
 
+def _kids(node) -> Iterator[tuple[str, object]]:
+    """Members of an object and elements of an array, by the keys that pointers have for them; none is empty."""
+    return ((k, v) for k, v in (node.items() if isinstance(node, dict) else ((str(i), v) for i, v in enumerate(node)) if isinstance(node, list) else ()) if k)
+
+
+def _at(node, *keys: str):
+    for k in keys:
+        node = node.get(k) if isinstance(node, dict) else None
+    return node
+
+
+def _named(ref) -> str | None:
+    """The component that a local reference names."""
+    name = ref.rsplit(_LOCAL, 1)[-1] if isinstance(ref, str) and ref.startswith(_LOCAL) else ""
+    return name.replace("~1", "/").replace("~0", "~") if name and "/" not in name and not _BAD_ESCAPE.search(name) else None
+
+
+def _type(node) -> tuple[str | None, bool, str]:
+    """(type, whether it is an object that states no odd one, array mark) of a schema."""
+    kind = node.get("type") if isinstance(node, dict) else None
+    return (kind, True, "[]" if kind == "array" else "") if isinstance(kind, str) else (None, isinstance(node, dict) and kind is None, "")
+
+
+def _fields(node, rest: str) -> Iterator[tuple[str, object]]:
+    """(path below the property, node) of a property and all that stands below it by properties and items."""
+    todo = [(rest, node)]
+    while todo:
+        rest, node = todo.pop()
+        yield rest, node
+        if isinstance(node, dict):
+            if "items" in node:
+                todo.append((rest + "[]", node["items"]))
+            if "properties" in node:
+                todo += [(f"{rest}.{name}", below) for name, below in _kids(node["properties"])]
+
+
+def _claims(document: dict) -> Iterator[tuple[str, str | None, str, str]]:
+    """(derivation, scope, claim_path, value) of every claim that a document allows to derive."""
+    escape = lambda s: s.replace("~", "~0").replace("/", "~1") if "~" in s or "/" in s else s
+    for path, item in _kids(document.get("paths")):
+        for method, op in _kids(item) if path.startswith("/") else ():
+            if method not in METHODS:
+                continue
+            yield "openapi_path_from_pointer", None, "/path", _encode(path)
+            yield "openapi_method_from_pointer", None, "/method", _encode(method.upper())
+            for status, answer in _kids(_at(op, "responses")):
+                if _STATUS.fullmatch(status):
+                    yield "openapi_response_status_from_pointer", None, f"/responses/{status}/status_code", _encode(status)
+                    for _, content in _kids(_at(answer, "content")):
+                        if name := _named(_at(content, "schema", "$ref")):
+                            yield "openapi_schema_name_from_ref", None, f"/responses/{status}/schema_ref", _encode(name)
+            for _, content in _kids(_at(op, "requestBody", "content")):
+                if name := _named(_at(content, "schema", "$ref")):
+                    yield "openapi_request_schema_name_from_ref", None, "/request_schema_ref", _encode(name)
+
+    direct: dict[str, list[tuple[str, str | None, bool, bool]]] = {}
+    members: dict[str, list[tuple[str, str, bool]]] = {}
+    hops: list[tuple[str, str, bool, str]] = []
+    for schema, node in _kids(_at(document, "components", "schemas")):
+        yield NO_HOP[7], schema, "/name", _encode(schema)
+        own, properties, listed = direct.setdefault(schema, []), _at(node, "properties"), node.get("required", []) if isinstance(node, dict) else None
+        for name, prop in _kids(properties):
+            kind, stated, mark = _type(prop)
+            own.append((name + mark, None if kind is None else _encode(kind), stated, bool(mark) or not name.endswith("[]")))
+            for rest, below in _fields(prop, ""):
+                kind, stated, mark = _type(below)
+                field = name + mark + rest
+                yield NO_HOP[5], schema, f"/parameters/body/{escape(field)}/name", _encode(field)
+                if stated:
+                    field = name + rest + mark
+                    yield NO_HOP[8], schema, f"/fields/{escape(field)}/name", _encode(field)
+                    if kind is not None:
+                        yield NO_HOP[9], schema, f"/fields/{escape(field)}/type", _encode(kind)
+            if isinstance(prop, dict):
+                hops += [(schema, name, array, to) for array, ref in ((False, prop.get("$ref")), (True, _at(prop, "items", "$ref"))) if (to := _named(ref))]
+        if isinstance(listed, list) and isinstance(properties, dict) and all(isinstance(x, str) for x in listed):
+            held, needs = members.setdefault(schema, []), set(listed)
+            for name, prop in properties.items():
+                mark = _type(prop)[2]
+                if isinstance(prop, dict) and (mark or name and not name.endswith("[]")):
+                    field, needed, plain = name + mark, "true" if name in needs else "false", "." not in name
+                    held.append((field, needed, plain))
+                    if plain:
+                        yield NO_HOP[6], schema, f"/parameters/body/{escape(field)}/required", needed
+                    yield NO_HOP[10], schema, f"/fields/{escape(field)}/required", needed
+
+    above: dict[str, list[tuple[str, str]]] = {}
+    for schema, name, array, to in hops:
+        if array:
+            above.setdefault(to, []).append((schema, name))
+    for schema, name, array, to in hops:
+        prefix = f"{name}[]." if array else f"{name}."
+        for own, kind, stated, _ in direct.get(to, ()):
+            field = prefix + own
+            place, text = escape(field), _encode(field)
+            if array:
+                yield ONE_HOP[0], schema, f"/parameters/body/{place}/name", text
+            if stated:
+                yield ONE_HOP[2], schema, f"/fields/{place}/name", text
+                if kind is not None:
+                    yield ONE_HOP[3], schema, f"/fields/{place}/type", kind
+        for own, needed, plain in members.get(to, ()) if "." not in name else ():
+            if plain:
+                place = escape(prefix + own)
+                if array:
+                    yield ONE_HOP[1], schema, f"/parameters/body/{place}/required", needed
+                yield ONE_HOP[4], schema, f"/fields/{place}/required", needed
+        for top, first in above.get(schema, ()) if array else ():
+            far = f"{first}[].{prefix}"
+            for own, kind, stated, fits in direct.get(to, ()):
+                if stated and fits:
+                    place = escape(far + own)
+                    yield TWO_HOPS[0], top, f"/fields/{place}/name", _encode(far + own)
+                    if kind is not None:
+                        yield TWO_HOPS[1], top, f"/fields/{place}/type", kind
+            for own, needed, _ in members.get(to, ()):
+                yield TWO_HOPS[2], top, f"/fields/{escape(far + own)}/required", needed
+
+
+def document_claims(df: DataFrame, json_col: str, keep: list[str]) -> DataFrame:
+    """(*keep, derivation, scope, claim_path, value): the claims of derivable_claims() read from whole documents, without their inputs.
+
+    A document holds all that its claims are derived from, so each is read in one call, without nodes, joins or shuffles.
+    Verification needs inputs and digests, which derivable_claims() gives.
+    """
+    return read_documents(df, [json_col], keep, "derivation string, scope string, claim_path string, value string", _claims)
+
+
 def derivable_claims(nodes: DataFrame, doc: str = "document") -> DataFrame:
     """Every claim that the documents' nodes (``doc``, pointer, value) allow to derive, without any proposal.
 
@@ -132,100 +277,105 @@ def derivable_claims(nodes: DataFrame, doc: str = "document") -> DataFrame:
     A body's field takes the array mark of its own type before the path below it, a schema's field after it. A claim
     that a property is required is about direct properties only; behind a reference, of names without a dot.
 
-    The nodes are written once, so that documents are read once for all derivations. References are merged with what they lead
-    to, never broadcast: tables of like documents are a small part of the rows they hold.
+    The nodes are written once, so that documents are read once for all derivations. A node, or a reference with what it leads
+    to, gives all its claims at once: references meet each other in one join, and what they lead to in another. They are
+    merged, never broadcast: tables of like documents are a small part of the rows they hold.
     """
-    quoted = lambda s: F.when(s.isNotNull(), F.substring(F.to_json(F.array(s)), F.lit(2), F.length(F.to_json(F.array(s))) - 2))
     seg = F.split("pointer", "/")
     work = Workspace(nodes.sparkSession, "derivations")
-    rows = work.save(nodes.select(F.col(doc).alias("doc"), "pointer", "value", input_digest(F.col("pointer"), F.col("value")).alias("digest")), "nodes")
+    rows = work.save(nodes.select(F.col(doc).alias("doc"), "pointer", "value"), "nodes").withColumn("digest", input_digest(F.col("pointer"), F.col("value")))
     part = lambda i: _unescaped(F.get(seg, F.lit(i)))
-    columns = ["doc", "derivation", "scope", "claim_path", "value", "inputs", "digests"]
+    none = F.lit(None).cast("string")
 
-    def claim(df: DataFrame, name: str, scope: Column, path: Column, value: Column, context: tuple[str, ...] = ()) -> DataFrame:
-        inputs = [F.array("pointer", *[f"{c}_pointer" for c in context]).alias("inputs"), F.array("digest", *[f"{c}_digest" for c in context]).alias("digests")]
-        made = df.select("doc", F.lit(name).alias("derivation"), scope.cast("string").alias("scope"), path.alias("claim_path"), value.alias("value"), *inputs)
-        return made.where("claim_path is not null and value is not null").select(*columns)
+    def claims(df: DataFrame, *each: tuple[str, Column, Column, Column], hops: int = 0) -> DataFrame:
+        """The (derivation, scope, claim_path, value) of ``each`` row that have both path and value, with the row's fragments as inputs."""
+        made = F.explode(F.array(*[F.struct(F.lit(name).alias("derivation"), scope.alias("scope"), path.alias("claim_path"), value.alias("value")) for name, scope, path, value in each])).alias("claim")
+        kinds = ["pointer", "digest"]
+        inputs = [F.array(*([c] + ([f"r1_{c}", f"r2_{c}"] if hops else []))) for c in kinds]
+        inputs = [F.filter(c, lambda x: x.isNotNull()) if hops else c for c in inputs]
+        out = df.select("doc", made, *[c for k in kinds for c in ([k] + ([f"r1_{k}", f"r2_{k}"] if hops else []))]).where("claim.claim_path is not null and claim.value is not null")
+        return out.select("doc", "claim.*", inputs[0].alias("inputs"), inputs[1].alias("digests"))
 
-    none = F.lit(None)
     paths = rows.where(F.col("pointer").startswith("/paths/") & F.get(seg, F.lit(3)).isin(METHODS) & part(2).startswith("/"))
     status = F.when(F.col("pointer").rlike(r"^/paths/[^/]+/[^/]+/responses/(default|[1-5]([0-9]{2}|XX))(/|$)"), F.get(seg, F.lit(5)))
-    operations = paths.where(F.size(seg) == 4)
     media = lambda i: F.coalesce(part(i), F.lit("")) != ""
-    out = [
-        claim(operations, "openapi_path_from_pointer", none, F.lit("/path"), quoted(part(2))),
-        claim(operations, "openapi_method_from_pointer", none, F.lit("/method"), quoted(F.upper(F.get(seg, F.lit(3))))),
-        claim(paths.where(F.size(seg) == 6), "openapi_response_status_from_pointer", none, F.concat(F.lit("/responses/"), status, F.lit("/status_code")), quoted(status)),
-        claim(paths.where((F.size(seg) == 10) & media(7)), "openapi_schema_name_from_ref", none, F.concat(F.lit("/responses/"), status, F.lit("/schema_ref")), quoted(_target(F.col("value")))),
-        claim(paths.where((F.size(seg) == 9) & media(6)), "openapi_request_schema_name_from_ref", none, F.lit("/request_schema_ref"), quoted(_target(F.col("value")))),
-    ]
-
-    variant = F.try_parse_json("value")
+    paths = paths.select("doc", "pointer", "digest", F.size(seg).alias("n"), _quoted(part(2)).alias("path"), _quoted(F.upper(F.get(seg, F.lit(3)))).alias("method"), status.alias("status"), F.when(F.size(seg) >= 9, _quoted(_target(F.col("value")))).alias("target"), media(7).alias("answer_media"), media(6).alias("request_media"))
+    at = lambda n, value: F.when(F.col("n") == n, value)
+    answer = lambda what: F.concat(F.lit("/responses/"), "status", F.lit(f"/{what}"))
+    out = [claims(
+        paths,
+        ("openapi_path_from_pointer", none, F.lit("/path"), at(4, F.col("path"))),
+        ("openapi_method_from_pointer", none, F.lit("/method"), at(4, F.col("method"))),
+        ("openapi_response_status_from_pointer", none, answer("status_code"), at(6, _quoted(F.col("status")))),
+        ("openapi_schema_name_from_ref", none, answer("schema_ref"), at(10, F.when(F.col("answer_media"), F.col("target")))),
+        ("openapi_request_schema_name_from_ref", none, F.lit("/request_schema_ref"), at(9, F.when(F.col("request_media"), F.col("target")))),
+    )]
+
+    variant = F.when(F.col("value").startswith("{"), F.try_parse_json("value"))
     kind = lambda v: F.schema_of_variant(v)
-    type_of = F.try_variant_get(variant, "$.type", "variant")
-    typed = F.col("value").startswith("{")
-    own_type = F.when(typed & (kind(type_of) == "STRING"), F.try_variant_get(variant, "$.type", "string"))
-    odd_type = F.coalesce(typed & type_of.isNotNull() & ~kind(type_of).isin("STRING", "VOID"), F.lit(False))
+    type_of = F.try_variant_get("variant", "$.type", "variant")
+    own_type = F.when(kind(F.col("type_of")) == "STRING", F.try_variant_get("type_of", "$", "string"))
+    odd_type = F.coalesce(F.col("type_of").isNotNull() & ~kind(F.col("type_of")).isin("STRING", "VOID"), F.lit(False))
     below = rows.where(F.col("pointer").rlike(r"^/components/schemas/[^/]+/properties/"))
-    below = below.select("*", part(3).alias("schema"), part(5).alias("name"), F.slice(seg, F.lit(7), F.greatest(F.size(seg) - 6, F.lit(0))).alias("tail"), typed.alias("is_object"), own_type.alias("type"), odd_type.alias("odd"))
-    below = below.where("schema != '' and name != ''").withColumn("rest", _field_path(F.col("tail"))).withColumn("mark", F.when(F.col("type") == "array", "[]").otherwise(""))
-    fields = below.where("rest is not null")
+    below = below.select("*", part(3).alias("schema"), part(5).alias("name"), F.slice(seg, F.lit(7), F.greatest(F.size(seg) - 6, F.lit(0))).alias("tail"), F.col("value").startswith("{").alias("is_object"), variant.alias("variant"))
+    below = below.where("schema != '' and name != ''").withColumn("rest", _field_path(F.col("tail"))).withColumn("type_of", type_of)
+    below = below.select("doc", "pointer", "digest", "schema", "name", "rest", own_type.alias("type"), (F.col("is_object") & ~odd_type).alias("stated")).withColumn("mark", F.when(F.col("type") == "array", "[]").otherwise(""))
     body_field, schema_field = F.concat("name", "mark", "rest"), F.concat("name", "rest", "mark")
-    stated = fields.where("is_object and not odd")
-    out += [
-        claim(fields, NO_HOP[5], F.col("schema"), _path("parameters/body", body_field, "name"), quoted(body_field)),
-        claim(stated, NO_HOP[8], F.col("schema"), _path("fields", schema_field, "name"), quoted(schema_field)),
-        claim(stated, NO_HOP[9], F.col("schema"), _path("fields", schema_field, "type"), quoted(F.col("type"))),
-    ]
+    fields = below.where("rest is not null").select("doc", "pointer", "digest", "schema", "type", "stated", body_field.alias("body_field"), schema_field.alias("schema_field"))
+    stated = lambda value: F.when(F.col("stated"), value)
+    out.append(claims(
+        fields,
+        (NO_HOP[5], F.col("schema"), _path("parameters/body", F.col("body_field"), "name"), _quoted(F.col("body_field"))),
+        (NO_HOP[8], F.col("schema"), _path("fields", F.col("schema_field"), "name"), stated(_quoted(F.col("schema_field")))),
+        (NO_HOP[9], F.col("schema"), _path("fields", F.col("schema_field"), "type"), stated(_quoted(F.col("type")))),
+    ))
 
     schemas = rows.where(F.col("pointer").rlike(_SCHEMA)).select("*", part(3).alias("schema")).where("schema != ''")
-    names = F.try_variant_get(variant, "$.required", "array<variant>")
-    raw = F.try_variant_get(variant, "$.required", "variant")
+    names = F.try_variant_get("variant", "$.required", "array<variant>")
+    raw = F.try_variant_get("variant", "$.required", "variant")
     listed = F.when(raw.isNull(), F.array().cast("array<string>")).when(F.forall(names, lambda x: F.schema_of_variant(x) == "STRING"), F.transform(names, lambda x: F.try_variant_get(x, "$", "string")))
-    children = F.explode(F.try_variant_get(variant, "$.properties", "map<string, variant>"))
-    members = schemas.where(F.col("value").startswith("{")).withColumn("listed", listed).where("listed is not null").select("doc", "pointer", "digest", "schema", "listed", children.alias("name", "child"))
+    children = F.explode(F.try_variant_get("variant", "$.properties", "map<string, variant>"))
+    members = schemas.where(F.col("value").startswith("{")).withColumn("variant", variant).withColumn("listed", listed).where("listed is not null").select("doc", "pointer", "digest", "schema", "listed", children.alias("name", "child"))
     child_type = F.when(F.schema_of_variant(F.try_variant_get("child", "$.type", "variant")) == "STRING", F.try_variant_get("child", "$.type", "string"))
-    members = members.where(F.to_json("child").startswith("{")).withColumn("mark", F.when(child_type == "array", "[]").otherwise(""))
+    members = members.where(F.schema_of_variant("child").startswith("OBJECT")).withColumn("mark", F.when(child_type == "array", "[]").otherwise(""))
     members = members.where((F.col("mark") == "[]") | ~F.col("name").endswith("[]")).where("concat(name, mark) != ''").withColumn("needed", F.array_contains("listed", F.col("name")).cast("string"))
-    own = F.concat("name", "mark")
-    plain = members.where(~F.col("name").contains("."))
-    out += [
-        claim(schemas, NO_HOP[7], F.col("schema"), F.lit("/name"), quoted(F.col("schema"))),
-        claim(plain, NO_HOP[6], F.col("schema"), _path("parameters/body", own, "required"), F.col("needed")),
-        claim(members, NO_HOP[10], F.col("schema"), _path("fields", own, "required"), F.col("needed")),
-    ]
+    members = members.select("doc", "pointer", "digest", "schema", "name", "mark", "needed", (~F.col("name").contains(".")).alias("is_plain"))
+    out.append(claims(schemas, (NO_HOP[7], F.col("schema"), F.lit("/name"), _quoted(F.col("schema")))))
+    out.append(claims(
+        members.withColumn("own", F.concat("name", "mark")),
+        (NO_HOP[6], F.col("schema"), _path("parameters/body", F.col("own"), "required"), F.when(F.col("is_plain"), F.col("needed"))),
+        (NO_HOP[10], F.col("schema"), _path("fields", F.col("own"), "required"), F.col("needed")),
+    ))
 
     def hop(n: int) -> DataFrame:
         """References of properties: the owner, the property with its array mark, and the component that it leads to."""
         refs = rows.where(F.col("pointer").rlike(_REF)).select("doc", F.col("pointer").alias(f"r{n}_pointer"), F.col("digest").alias(f"r{n}_digest"), part(3).alias(f"owner{n}"), part(5).alias(f"from{n}"), (F.size(seg) == 8).alias(f"array{n}"), _target(F.col("value")).alias(f"to{n}"))
         return refs.where(f"owner{n} != '' and from{n} != '' and to{n} is not null")
 
-    direct = below.where(F.col("pointer").rlike(_PROPERTY))
     first = hop(1)
-    prefix = F.concat("from1", F.when(F.col("array1"), "[].").otherwise("."))
-    to = lambda refs, n: refs.withColumn("schema", F.col(f"to{n}"))
-    met = to(first, 1).join(direct.hint("merge"), ["doc", "schema"])
-    field = F.concat(prefix, "name", "mark")
-    shown = met.where("is_object and not odd")
-    inner = to(first, 1).join(plain.hint("merge"), ["doc", "schema"]).where(~F.col("from1").contains("."))
-    out += [
-        claim(met.where("array1"), ONE_HOP[0], F.col("owner1"), _path("parameters/body", field, "name"), quoted(field), ("r1",)),
-        claim(inner.where("array1"), ONE_HOP[1], F.col("owner1"), _path("parameters/body", field, "required"), F.col("needed"), ("r1",)),
-        claim(shown, ONE_HOP[2], F.col("owner1"), _path("fields", field, "name"), quoted(field), ("r1",)),
-        claim(shown, ONE_HOP[3], F.col("owner1"), _path("fields", field, "type"), quoted(F.col("type")), ("r1",)),
-        claim(inner, ONE_HOP[4], F.col("owner1"), _path("fields", field, "required"), F.col("needed"), ("r1",)),
-    ]
-
-    second = hop(2).where("array2")
-    chain = first.where("array1").withColumn("owner2", F.col("to1")).join(second.hint("merge"), ["doc", "owner2"])
-    far = F.concat("from1", F.lit("[]."), "from2", F.lit("[]."), "name", "mark")
-    reached = to(chain, 2).join(direct.hint("merge"), ["doc", "schema"]).where("is_object and not odd").where((F.col("mark") == "[]") | ~F.col("name").endswith("[]"))
-    held = to(chain, 2).join(members.hint("merge"), ["doc", "schema"])
-    out += [
-        claim(reached, TWO_HOPS[0], F.col("owner1"), _path("fields", far, "name"), quoted(far), ("r1", "r2")),
-        claim(reached, TWO_HOPS[1], F.col("owner1"), _path("fields", far, "type"), quoted(F.col("type")), ("r1", "r2")),
-        claim(held, TWO_HOPS[2], F.col("owner1"), _path("fields", far, "required"), F.col("needed"), ("r1", "r2")),
-    ]
+    chain = first.where("array1").withColumn("owner2", F.col("to1")).join(hop(2).where("array2").hint("merge"), ["doc", "owner2"])
+    way = ["doc", "schema", "owner", "prefix", "by_array", "two", "dotted", "r1_pointer", "r1_digest", "r2_pointer", "r2_digest"]
+    one = first.select("doc", F.col("to1").alias("schema"), F.col("owner1").alias("owner"), F.concat("from1", F.when(F.col("array1"), "[].").otherwise(".")).alias("prefix"), F.col("array1").alias("by_array"), F.lit(False).alias("two"), F.col("from1").contains(".").alias("dotted"), "r1_pointer", "r1_digest", none.alias("r2_pointer"), none.alias("r2_digest"))
+    two = chain.select("doc", F.col("to2").alias("schema"), F.col("owner1").alias("owner"), F.concat("from1", F.lit("[]."), "from2", F.lit("[].")).alias("prefix"), F.lit(True).alias("by_array"), F.lit(True).alias("two"), F.lit(False).alias("dotted"), "r1_pointer", "r1_digest", "r2_pointer", "r2_digest")
+    direct = below.where(F.col("pointer").rlike(_PROPERTY)).select("doc", "schema", "pointer", "digest", "name", "mark", "type", "stated", F.lit(False).alias("member"), none.alias("needed"), F.lit(None).cast("boolean").alias("is_plain"))
+    held = members.select("doc", "schema", "pointer", "digest", "name", "mark", none.alias("type"), F.lit(False).alias("stated"), F.lit(True).alias("member"), "needed", "is_plain")
+    met = one.select(*way).unionAll(two.select(*way)).join(direct.unionAll(held).hint("merge"), ["doc", "schema"])
+    flag = lambda c: F.expr(c)
+    met = met.select("*", F.concat("prefix", "name", "mark").alias("field"), ((F.col("mark") == "[]") | ~F.col("name").endswith("[]")).alias("fits"))
+    met = met.select("*", _quoted(F.col("field")).alias("quoted_field"), _quoted(F.col("type")).alias("quoted_type"))
+    field, about, inside = F.col("field"), F.col("owner"), "member and not two and is_plain and not dotted"
+    out.append(claims(
+        met,
+        (ONE_HOP[0], about, _path("parameters/body", field, "name"), F.when(flag("not member and not two and by_array"), F.col("quoted_field"))),
+        (ONE_HOP[1], about, _path("parameters/body", field, "required"), F.when(flag(f"{inside} and by_array"), F.col("needed"))),
+        (ONE_HOP[2], about, _path("fields", field, "name"), F.when(flag("stated and not two"), F.col("quoted_field"))),
+        (ONE_HOP[3], about, _path("fields", field, "type"), F.when(flag("stated and not two"), F.col("quoted_type"))),
+        (ONE_HOP[4], about, _path("fields", field, "required"), F.when(flag(inside), F.col("needed"))),
+        (TWO_HOPS[0], about, _path("fields", field, "name"), F.when(flag("stated and two and fits"), F.col("quoted_field"))),
+        (TWO_HOPS[1], about, _path("fields", field, "type"), F.when(flag("stated and two and fits"), F.col("quoted_type"))),
+        (TWO_HOPS[2], about, _path("fields", field, "required"), F.when(flag("member and two"), F.col("needed"))),
+        hops=1,
+    ))
     every = out[0]
     for more in out[1:]:
         every = every.unionAll(more)

@@ -223,7 +223,7 @@ def _differences(base: dict, head: dict, follow_refs: bool) -> Iterator[tuple[st
         level = below
 
 
-def _read(df: DataFrame, json_cols: list[str], keep: list[str], ddl: str, rows) -> DataFrame:
+def read_documents(df: DataFrame, json_cols: list[str], keep: list[str], ddl: str, rows) -> DataFrame:
     """A row (*keep, ddl) for each that ``rows`` gives for the documents of a row; broken JSON and what is no object count as empty."""
     made = T.StructType.fromDDL(ddl)
     schema = T.StructType([*[df.schema[k] for k in keep], *made.fields])
@@ -276,14 +276,14 @@ def compare_documents(base: DataFrame, head: DataFrame, json_col: str, keep: lis
     was, now = (df.select(*keep, F.col(json_col).alias(name)) for df, name in ((base, "__was"), (head, "__now")))
     too_long = lambda *texts: F.greatest(F.lit(0), *[F.length(text) for text in texts]) > WHOLE_CHARS
     met = was.join(now.hint("merge"), keep, "full_outer")
-    whole = _read(met.where(~too_long("__was", "__now")), ["__was", "__now"], keep, _FOUND, lambda a, b: _differences(a, b, follow_refs))
+    whole = read_documents(met.where(~too_long("__was", "__now")), ["__was", "__now"], keep, _FOUND, lambda a, b: _differences(a, b, follow_refs))
     rare = any(not df.where(too_long(df.columns[-1])).isEmpty() for df in (was, now))
     met = work.save(met.where(too_long("__was", "__now")) if rare else met.limit(0), "long")
 
     sides = {}
     for side, text in (("left", "__was"), ("right", "__now")):
-        parts = work.save(_read(met, [text], keep, _PART, _parts), f"{side}_parts")
-        nodes = work.save(_read(met, [text], keep, _NODE, _nodes), f"{side}_nodes")
+        parts = work.save(read_documents(met, [text], keep, _PART, _parts), f"{side}_parts")
+        nodes = work.save(read_documents(met, [text], keep, _NODE, _nodes), f"{side}_nodes")
         sides[side] = parts, nodes.select(*keep, *[F.col(c).alias(f"{side}_{c}" if c != "pointer" else side) for c in nodes.columns if c not in keep])
     (old, left), (new, right) = sides["left"], sides["right"]
 
