@@ -105,6 +105,15 @@ def test_equal_parts_are_counted_before_they_meet(spark):
     assert sorted(Counter(r.summary for r in found.collect()).items()) == [("body added", 2), ("body removed", 2), ("schema changed", 7)]
 
 
+def test_a_finding_of_many_pairs_is_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(compare, "BLOCK", 100)
+    rows = lambda n, value: spark.range(n).select(F.lit("schema").alias("kind"), F.lit("k").alias("key"), F.concat(F.lit(value), F.col("id") % 2).alias("value"), F.lit(True).alias("required"))
+    found = compare.compare_parts(rows(30, "x"), rows(71, "y"))
+    sizes = [x["count"] for x in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 30 * 71 and max(sizes) <= 30 * 71 // 2
+    assert {tuple(x) for x in found.collect()} == {("breaking", "schema", "k", "schema changed")}
+
+
 def test_pages_alike_meet_as_one(spark):
     n, k = 60, 3
     branch = lambda i: None if i == 11 else ("A" if i % 2 else "a") if i % 5 else "b"
