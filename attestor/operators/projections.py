@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from attestor.functions.json_text import pointer_escape
 from attestor.operators.openapi import MISSING, STATUS_KEY
@@ -11,12 +19,17 @@ from attestor.session import Workspace
 
 _NAME = r"^[A-Za-z0-9._-]+$"
 _STEPS = "array<string>"
+#: Characters and rows that are sent on at once.
+BATCH_CHARS, BATCH_ROWS = 4_000_000, 10_000
+#: What passes make, apart from keys as they came.
+_ARROW = {"string": pa.string(), "boolean": pa.bool_(), _STEPS: pa.list_(pa.string())}
 
 
 def quoted(text: Column) -> Column:
     """A string as JSON."""
     inside = F.to_json(F.array(text))
-    return F.substring(inside, F.lit(2), F.length(inside) - 2)
+    plain = text.rlike(r"^[ !#-\[\]-~]*$")  # nothing to escape
+    return F.when(plain, F.concat(F.lit('"'), text, F.lit('"'))).otherwise(F.substring(inside, F.lit(2), F.length(inside) - 2))
 
 
 def key(name: Column | str) -> Column:
@@ -38,28 +51,128 @@ def last_of_each(parts: Column) -> Column:
     return F.filter(parts, lambda p, i: ~F.coalesce(F.get(parts, i + 1)["step"] == p["step"], F.lit(False)))
 
 
-def fold_json(rows: DataFrame, keep: list[str], work: Workspace) -> DataFrame:
+@lru_cache(65_536)
+def _name(step: str) -> str:
+    """The name of a member as JSON, escaped as quoted() does."""
+    text = json.dumps(step[1:], ensure_ascii=False)
+    return re.sub(r"\\(u[0-9a-f]{4}|.)", lambda m: "\\u" + m[1][1:].upper() if len(m[1]) == 5 else m[0], text) if "\\u" in text else text
+
+
+class _Tree:
+    """Leaves of one document, put in by path and folded at the end."""
+
+    def __init__(self):
+        self.leaf: str | None = None
+        self.root: tuple[dict, dict] | None = None
+
+    def put(self, path: list[str | None], value: str | None) -> None:
+        if not path:
+            self.leaf = _greater(self.leaf, value)
+            return
+        if self.root is None:
+            self.root = {}, {}
+        inner, leaves = self.root
+        for step in path[:-1]:
+            if step is None:
+                return
+            found = inner.get(step)
+            if found is None:
+                found = inner[step] = {}, {}
+            inner, leaves = found
+        step = path[-1]
+        if step is not None:
+            leaves[step] = _greater(leaves.get(step), value)
+
+    def json(self) -> str | None:
+        return _greater(self.leaf, None if self.root is None else _folded(self.root))
+
+
+def _greater(a: str | None, b: str | None) -> str | None:
+    return b if a is None else a if b is None else max(a, b)
+
+
+def _folded(node: tuple[dict, dict]) -> str:
+    inner, leaves = node
+    texts = leaves | {step: _greater(leaves.get(step), _folded(below)) for step, below in inner.items()} if inner else leaves
+    marker = texts.get(HERE)
+    steps = sorted(s for s in texts if s != HERE)
+    if marker == "{}" or marker is None and steps and steps[-1][0] == "k":
+        return "{" + ",".join([f"{_name(s)}:{texts[s]}" for s in steps if texts[s] is not None]) + "}"
+    return "[" + ",".join([texts[s] for s in steps if texts[s] is not None]) + "]"
+
+
+def _by_key(df: DataFrame, keys: list[str], schema: T.StructType, start: Callable, end: Callable) -> DataFrame:
+    """One pass over the rows of each key, which meet in one task: ``start()`` gives what takes each row, ``end(key, it)`` its rows of ``schema``."""
+    dealt = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    dealt = dealt.sortWithinPartitions(F.xxhash64(*keys), *keys) if len(keys) > 1 else dealt.sortWithinPartitions(*keys)  # most keys are told apart by one number
+    others = [c for c in df.columns if c not in keys]
+
+    def values(column: pa.Array) -> list:
+        if pa.types.is_string(column.type):
+            return column.to_numpy(zero_copy_only=False).tolist()
+        if not pa.types.is_list(column.type):
+            return column.to_pylist()
+        flat, ends = values(column.flatten()), np.cumsum([0, *column.value_lengths().fill_null(0).to_numpy()]).tolist()
+        return [flat[a:b] if there else None for a, b, there in zip(ends, ends[1:], column.is_valid().to_pylist(), strict=False)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, it, made, chars, kinds = None, None, [], 0, None
+
+        def together() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made, strict=True), kinds, strict=True)], names=schema.names)
+
+        for batch in batches:
+            if kinds is None:
+                kinds = [_ARROW.get(f.dataType.simpleString()) or batch.schema.field(f.name).type for f in schema.fields]
+            found = zip(*[values(batch.column(c)) for c in others], strict=True)
+            for key, row in zip(zip(*[values(batch.column(k)) for k in keys], strict=True), found, strict=True):
+                if it is None or key != now:
+                    if it is not None:
+                        for out in end(now, it):
+                            made.append(out)
+                            for x in out:
+                                if type(x) is str:
+                                    chars += len(x)
+                        if made and (chars >= BATCH_CHARS or len(made) >= BATCH_ROWS):
+                            yield together()
+                            made, chars = [], 0
+                    now, it = key, start()
+                it(row)
+        if it is not None:
+            made += end(now, it)
+        if made:
+            yield together()
+
+    return dealt.select(*keys, *others).mapInArrow(run, schema)
+
+
+class _Document:
+    """What _documents() takes of one document: leaves; rows without path are the places where it is asked for, or why it can't be written."""
+
+    def __init__(self):
+        self.tree, self.asked, self.error = _Tree(), 0, None
+
+    def __call__(self, row: tuple) -> None:
+        path, value = row
+        if path is not None:
+            self.tree.put(path, value)
+        elif value is None:
+            self.asked += 1
+        elif self.error is None or value < self.error:
+            self.error = value
+
+
+def fold_json(rows: DataFrame, keep: list[str], work: Workspace | None = None) -> DataFrame:
     """(*keep, json): the tree whose leaves are ``rows`` (*keep, path, value), as JSON with sorted keys and no spaces.
 
-    ``path`` is an array of steps made by key(), place() and HERE, ``value`` JSON. The deepest rows are folded into their parents, level
-    by level: each is one aggregation by parent, and one shuffle, so no document meets in one task before its last levels. Of rows
-    that repeat a step the greatest value stays. Rows without path are the whole document.
+    ``path`` is an array of steps made by key(), place() and HERE, ``value`` JSON. A document's leaves meet in one task, by one
+    shuffle, and are folded in one pass. Of rows that repeat a step the greatest value stays. Rows without path
+    are the whole document. With ``work`` the rows are written first, for such as are dear to make.
     """
-    leaves = work.save(rows.select(*keep, F.col("path").cast(_STEPS).alias("path"), "value"), "leaves")
-    depth = leaves.agg(F.max(F.size("path"))).first()[0] or 0
-    now = leaves.where(F.size("path") == depth)
-    for d in range(depth, 0, -1):
-        step = F.element_at("path", -1)
-        one = now.select(*keep, F.slice("path", 1, d - 1).alias("parent"), step.alias("step"), "value")
-        parts = last_of_each(F.sort_array(F.collect_list(F.when(F.col("step") != "", F.struct("step", "value")))))
-        by_marker = F.max(F.when(F.col("step") == "", F.col("value")))
-        is_object = F.coalesce(by_marker == "{}", F.max(F.col("step")).startswith("k"))
-        folded = one.groupBy(*keep, "parent").agg(parts.alias("parts"), is_object.alias("is_object"))
-        members = F.array_join(F.transform("parts", lambda p: F.concat(quoted(F.substring(p["step"], F.lit(2), F.length(p["step"]))), F.lit(":"), p["value"])), ",")
-        elements = F.array_join(F.transform("parts", lambda p: p["value"]), ",")
-        text = F.when(F.col("is_object"), F.concat(F.lit("{"), members, F.lit("}"))).otherwise(F.concat(F.lit("["), elements, F.lit("]")))
-        now = folded.select(*keep, F.col("parent").alias("path"), text.alias("value")).unionAll(leaves.where(F.size("path") == d - 1))
-    return now.groupBy(*keep).agg(F.max("value").alias("json"))
+    rows = rows.select(*keep, F.col("path").cast(_STEPS).alias("path"), "value").where("path is not null")
+    rows = rows if work is None else work.save(rows, "leaves")
+    schema = T.StructType([*[rows.schema[k] for k in keep], T.StructField("json", T.StringType())])
+    return _by_key(rows, keep, schema, _Document, lambda key, it: [(*key, it.tree.json())])
 
 
 def _rows(df: DataFrame, path: list[Column | str], value: Column, where: Column | None = None) -> DataFrame:
@@ -108,7 +221,7 @@ def _with_errors(contracts: DataFrame, content: DataFrame, errors: DataFrame) ->
 
 
 def _operations(operations: DataFrame, parameters: DataFrame, responses: DataFrame) -> DataFrame:
-    """(contract, path, value): each operation as JSON at its place, by one aggregation of its own row, its parameters and its responses."""
+    """(contract, path, value, repeated): each operation as JSON at its place, by one pass over its own row, its parameters and its responses."""
     said = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
     reference = lambda c: F.concat(F.lit('{"$ref":'), _reference(F.col(c)), F.lit("}"))
     content = lambda c: F.when(said(c), F.concat(F.lit('{"application/json":{"schema":'), reference(c), F.lit("}}")))
@@ -125,18 +238,44 @@ def _operations(operations: DataFrame, parameters: DataFrame, responses: DataFra
     answer = object_(member("content", content("schema_ref")), member("description", quoted(F.coalesce("description", F.lit("")))))
     told = responses.select(*key, F.lit("r"), F.col("status"), answer, none, none, none)
 
-    kind = F.col("kind")
-    parts = lambda k: last_of_each(F.sort_array(F.collect_list(F.when((kind == k) & F.col("step").isNotNull(), F.struct("step", "value")))))
-    one = own.unionAll(asked).unionAll(told).groupBy("contract", "path", "method").agg(
-        F.bool_or(kind == "o").alias("is_own"), F.bool_or(kind == "p").alias("asks"), F.bool_or(kind == "r").alias("answers"), F.max("body").alias("body"), F.max("needs").alias("needs"), F.max("summary").alias("summary"), parts("p").alias("p"), parts("r").alias("r"),
-    )
-    every = F.array_join(F.transform("p", lambda x: x["value"]), ",")
-    by_status = F.array_join(F.transform("r", lambda x: F.concat(quoted(x["step"]), F.lit(":"), x["value"])), ",")
-    text = object_(
-        F.when(F.col("asks"), member("parameters", F.concat(F.lit("["), every, F.lit("]")))), member("requestBody", F.col("body")), F.when(F.col("is_own") | F.col("answers"), member("responses", F.concat(F.lit("{"), by_status, F.lit("}")))),
-        member("security", F.col("needs")), member("summary", F.col("summary")),
-    )
-    return one.select("contract", F.array(F.lit("kpaths"), F.concat(F.lit("k"), "path"), F.concat(F.lit("k"), "method")).alias("path"), text.alias("value"))
+    schema = T.StructType([T.StructField("contract", own.schema["contract"].dataType), T.StructField("path", T.ArrayType(T.StringType())), T.StructField("value", T.StringType()), T.StructField("repeated", T.BooleanType())])
+    return _by_key(own.unionAll(asked).unionAll(told), ["contract", "path", "method"], schema, _Operation, lambda at, it: [it.leaf(*at)])
+
+
+class _Operation:
+    """What is said of one operation: its own rows, its parameters by place and its responses by status."""
+
+    def __init__(self):
+        self.own, self.body, self.needs, self.summary, self.asks, self.answers = 0, None, None, None, None, None
+
+    def __call__(self, row: tuple) -> None:
+        kind, step, value, body, needs, summary = row
+        if kind == "o":
+            self.own += 1
+            self.body, self.needs, self.summary = _greater(self.body, body), _greater(self.needs, needs), _greater(self.summary, summary)
+            return
+        if kind == "p":
+            parts = self.asks = {} if self.asks is None else self.asks
+        else:
+            parts = self.answers = {} if self.answers is None else self.answers
+        if step is not None:
+            parts[step] = _greater(parts.get(step), value)
+
+    def leaf(self, contract, path: str | None, method: str | None) -> tuple:
+        """Its place and text, and whether more than one operation stands there."""
+        members = []
+        if self.asks is not None:
+            members.append('"parameters":[' + ",".join([self.asks[s] for s in sorted(self.asks)]) + "]")
+        if self.body is not None:
+            members.append('"requestBody":' + self.body)
+        if self.own or self.answers is not None:
+            told = self.answers or {}
+            members.append('"responses":{' + ",".join([f"{_name('k' + s)}:{told[s]}" for s in sorted(told)]) + "}")
+        if self.needs is not None:
+            members.append('"security":' + self.needs)
+        if self.summary is not None:
+            members.append('"summary":' + self.summary)
+        return contract, ["kpaths", None if path is None else "k" + path, None if method is None else "k" + method], "{" + ",".join(members) + "}", self.own > 1
 
 
 def openapi_documents(tables: dict[str, DataFrame]) -> DataFrame:
@@ -148,6 +287,9 @@ def openapi_documents(tables: dict[str, DataFrame]) -> DataFrame:
     interactions (transport and what operations have); those that are no HTTP refuse the contract, as do
     two operations of one method and path and component names that OpenAPI has no form for. A reference hides a field's type, a
     missing version is stated. Of rows that repeat a key otherwise, one stays. No contracts give no rows.
+
+    Operations are written once, each by one pass over what is said of it; then all of a contract, with what refuses it, meets in
+    one task by one shuffle, and its document is folded there in one pass, one document at a time.
     """
     work = Workspace(tables["contracts"].sparkSession, "openapi")
     contracts, operations = tables["contracts"], tables["operations"]
@@ -156,7 +298,9 @@ def openapi_documents(tables: dict[str, DataFrame]) -> DataFrame:
         others = tables["interactions"]
         refused.append((others.where("transport != 'http'"), F.concat(F.lit("unsupported transport "), "transport")))
         operations = operations.unionByName(others.where("transport = 'http'").select(*operations.columns))
-    refused.append((_repeats(operations.select("contract", F.upper("method").alias("method"), "path"), ["method", "path"]), F.concat(F.lit("two operations on "), "method", F.lit(" "), "path")))
+    written = work.save(_operations(operations, tables["parameters"], tables["responses"]), "operations")
+    step = lambda i: F.substring(F.get("path", F.lit(i)), F.lit(2), F.length(F.get("path", F.lit(i))))
+    refused.append((written.where("repeated"), F.concat(F.lit("two operations on "), F.upper(step(2)), F.lit(" "), step(1))))
     refused.append((tables["schemas"].where(~F.col("name").rlike(_NAME)), F.concat(F.lit("invalid component name "), "name")))
 
     info = [key("info")]
@@ -172,12 +316,19 @@ def openapi_documents(tables: dict[str, DataFrame]) -> DataFrame:
         *[_rows(contracts, [*path, HERE], F.lit(empty)) for path, empty in (([key("servers")], "[]"), ([key("paths")], "{}"), (components, "{}"), ([key("components"), key("securitySchemes")], "{}"))],
         _rows(servers, [*server, key("url")], quoted(F.col("url"))),
         _rows(servers, [*server, key("description")], quoted(F.col("name"))),
-        _operations(operations, tables["parameters"], tables["responses"]),
+        written.drop("repeated"),
         *_schema_rows(tables["schemas"], tables["fields"], components),
         _rows(tables["security"], [key("components"), key("securitySchemes"), key(F.col("name")), key("type")], quoted(F.col("type"))),
     ]
-    content = fold_json(_union(rows), ["contract"], work).select("contract", F.col("json").alias("content"))
-    return _with_errors(contracts, content, _refusals(refused))
+    mark = lambda df, value: df.select("contract", F.lit(None).cast(_STEPS).alias("path"), value.alias("value"))
+    rows += [mark(contracts, F.lit(None).cast("string")), *[mark(df, reason).where("value is not null") for df, reason in refused]]
+    schema = T.StructType([contracts.schema["contract"], T.StructField("content", T.StringType()), T.StructField("error", T.StringType())])
+
+    def documents(key: tuple, it: _Document) -> list[tuple]:
+        nobody = key[0] is None
+        return [(*key, None if nobody or it.error is not None else it.tree.json(), None if nobody else it.error)] * it.asked
+
+    return _by_key(_union(rows), ["contract"], schema, _Document, documents)
 
 
 #: Root types of a GraphQL schema, in order.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import random
+from collections import Counter
 
 import pytest
 
@@ -102,3 +103,23 @@ def test_fold_of_nested_arrays_and_markers(spark):
     df = spark.createDataFrame(rows, "id int, path array<string>, value string")
     got = {x.id: x.json for x in p.fold_json(df, ["id"], Workspace(spark, "fold")).collect()}
     assert got == {1: '{"a":[{"x":[]},2,10],"b":{"c":null}}', 2: "7", 3: "[]"}
+
+
+def test_a_contract_meets_once_whatever_its_paths(spark, tables):
+    rows, frames = tables
+    first = rows["contracts"][0][0]
+    twice = spark.createDataFrame([*rows["contracts"], rows["contracts"][0], (None, None, None)], frames["contracts"].schema)
+    found = p.openapi_documents(frames | {"contracts": twice})
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan and "Aggregate" not in plan
+    got = Counter((x.contract, x.content, x.error) for x in found.collect())
+    assert got == Counter({(None, None, None): 1} | {(c, plain(rows, c), None): 1 + (c == first) for c, *_ in rows["contracts"]})
+
+
+def test_fold_of_odd_steps_and_values(spark):
+    rows = [
+        (1, ["ka"], "1"), (1, ["ka", "kb"], "2"), (1, ["ka"], None), (2, ["ka", None], "1"), (2, ["ka", "", "kb"], "1"), (3, [None], "1"), (4, None, "1"), (5, ["kx", "k"], None), (5, ["kx", "k\x1f\\u001f"], "{}"),
+        (6, [], "1"), (6, ["ka"], "2"), (7, ["i01"], "1"), (7, ["ka"], "2"), (8, ["ka", ""], "[]"), (8, ["ka", "kb"], "3"), (None, ["ka"], "9"), (None, ["ka"], "8"),
+    ]
+    got = {x.id: x.json for x in p.fold_json(spark.createDataFrame(rows, "id int, path array<string>, value string"), ["id"]).collect()}
+    assert got == {1: '{"a":{"b":2}}', 2: '{"a":[]}', 3: "[]", 5: '{"x":{"\\u001F\\\\u001f":{}}}', 6: '{"a":2}', 7: '{"01":1,"a":2}', 8: '{"a":[3]}', None: '{"a":9}'}
