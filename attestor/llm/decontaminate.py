@@ -59,17 +59,44 @@ def indexed_part(text: str) -> list[str]:
 def least_score(tokens: list[str], weights: dict[str, float]) -> float:
     """What a passage with OVERLAP of a part's shingles scores at least, if ``weights`` of the part's words add up to 1.
 
-    With b shingles to spare, b words may be missing at the edges, or one inside for each SHINGLE of them. Where that
-    leaves nothing (parts that repeat few words), the words of one shingle must still be there, so the bound is above 0.
+    Where the part repeats no shingle, places may be missing as long as they stand in no more shingles than there are to spare; a
+    run inside costs its length and SHINGLE - 1 more, one at an edge its length. The costliest choice is found place by
+    place, a word's weight shared by its places. Where shingles repeat, a word is missing with all that hold it, and each holds
+    SHINGLE words at most, which bounds the weights that fit. Where that leaves nothing (parts that repeat few words), the words of one
+    shingle must still be there, so the bound is above 0.
     """
-    m = max(1, len(tokens) - SHINGLE + 1)
-    spare = int((1 - OVERLAP) * m + 1e-9) if len(tokens) >= SHINGLE else 0
-    loss, inside = 0.0, sorted(weights.values(), reverse=True)
-    for j in range(spare // SHINGLE + 1):
-        edge = spare - j * SHINGLE
-        lost = max(sum(weights[w] for w in {*tokens[:x], *tokens[len(tokens) - (edge - x) :]}) for x in range(edge + 1))
-        loss = max(loss, lost + sum(inside[:j]))
-    return max(1 - loss, min((sum(weights[w] for w in set(s)) for s in shingles(tokens)), default=1.0))
+    want = shingles(tokens)
+    spare = int((1 - OVERLAP) * len(want) + 1e-9) if len(tokens) >= SHINGLE else 0
+    loss = (_lost_places if len(want) == len(tokens) - SHINGLE + 1 else _lost_words)(tokens, weights, want, spare) if spare else 0.0
+    return max(1 - loss, min((sum(weights[w] for w in set(s)) for s in want), default=1.0))
+
+
+def _lost_places(tokens: list[str], weights: dict[str, float], want: set[tuple[str, ...]], spare: int) -> float:
+    """The most weight of places that stand in ``spare`` shingles at most, if all shingles differ."""
+    count = Counter(tokens)
+    best = np.zeros((SHINGLE + 1, spare + 1))  # by places since the last missing one, SHINGLE for more or none, and shingles lost
+    best[:SHINGLE] = -np.inf
+    for i, w in enumerate(tokens):
+        last = min(i, len(want) - 1)
+        missing = np.full(spare + 1, -np.inf)
+        for since in range(1, SHINGLE + 1):  # the last missing place is i - since
+            cost = max(0, last - max(i - since + 1, 0) + 1)
+            if cost <= spare:
+                missing[cost:] = np.maximum(missing[cost:], best[since - 1 if since < SHINGLE else slice(SHINGLE - 1, None)].reshape(-1, spare + 1).max(axis=0)[: spare + 1 - cost])
+        best[SHINGLE] = np.maximum(best[SHINGLE], best[SHINGLE - 1])
+        best[1:SHINGLE] = best[: SHINGLE - 1].copy()
+        best[0] = missing + weights[w] / count[w]
+    return float(best.max())
+
+
+def _lost_words(tokens: list[str], weights: dict[str, float], want: set[tuple[str, ...]], spare: int) -> float:
+    """No less than the most weight of words that stand in ``spare`` shingles at most."""
+    held = Counter(w for s in want for w in set(s))
+    loss, left = 0.0, SHINGLE * spare
+    for w in sorted((w for w in held if held[w] <= spare), key=lambda w: weights[w] / held[w], reverse=True):
+        part = min(1.0, left / held[w])
+        loss, left = loss + part * weights[w], left - part * held[w]
+    return loss
 
 
 @dataclass

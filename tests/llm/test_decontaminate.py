@@ -123,3 +123,13 @@ def test_enough_overlap_always_reaches_the_least_score():
             want, there = dc.shingles(tokens), dc.shingles(have)
             if sum(s in there for s in want) >= dc.OVERLAP * len(want):
                 assert sum(x for w, x in weights.items() if w in have) >= least - 1e-9
+
+
+def test_a_run_of_heavy_words_inside_may_be_missing():
+    tokens = [f"w{i}" for i in range(44)]  # 40 shingles, 8 to spare: four words in a row
+    weights = {w: (10 if 20 <= i < 24 else 1) / 80 for i, w in enumerate(tokens)}
+    assert abs(dc.least_score(tokens, weights) - 0.5) < 1e-9
+    again = [*tokens[:20], *tokens[:20], "x"]  # the same shingles twice: a word is missing at both places
+    lost = [w for i, w in enumerate(again) if i % 20 in (8, 9)]
+    there = dc.shingles(["" if w in lost else w for w in again])
+    assert sum(s in there for s in dc.shingles(again)) < dc.OVERLAP * len(dc.shingles(again)) or dc.least_score(again, {w: 1 / 21 for w in set(again)}) <= 1 - len(set(lost)) / 21
