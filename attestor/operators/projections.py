@@ -46,11 +46,6 @@ def place(number: Column) -> Column:
 HERE = ""
 
 
-def last_of_each(parts: Column) -> Column:
-    """Sorted (step, value) with the greatest value of each step."""
-    return F.filter(parts, lambda p, i: ~F.coalesce(F.get(parts, i + 1)["step"] == p["step"], F.lit(False)))
-
-
 @lru_cache(65_536)
 def _name(step: str) -> str:
     """The name of a member as JSON, escaped as quoted() does."""
